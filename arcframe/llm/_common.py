@@ -32,7 +32,7 @@ def materialize(df: DataFrame) -> DataFrame:
     """
     spark = df.sparkSession
     at = f"{shared_dir(spark)}/arcframe-{uuid.uuid4().hex}"
-    df.write.parquet(at)
+    df.write.option("compression", "zstd").parquet(at)
     path = spark._jvm.org.apache.hadoop.fs.Path(at)
     path.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(path)
     return spark.read.schema(df.schema).parquet(at)

@@ -7,12 +7,16 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .language import identify_languages
+from .line_dedup import dedup_lines
+from .minhash import near_duplicates
 from .mixing import plan_mixture
 from .packing import encode_pieces, pack
 from .quality import quality_table
 from .sharding import assign_shards
 from .substrings import drop_repeated_passages
 from .token_counts import count_tokens
+from .vectors import near_vectors
 
 WORD_BPE, BYTE_BPE = "word_bpe_49k.json", "byte_bpe_50k.json"
 
@@ -28,6 +32,11 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def op1_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = near_duplicates(documents(spark, sf_dir).select("doc_id", "text"), width=5, threshold=0.8)
+    return found.select("doc_id", "class_id", "kept", "n_shingles")
+
+
 def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     pieces = encode_pieces(documents(spark, sf_dir), tokenizer_path(WORD_BPE), with_ids=False)
     return pack(pieces, order=["doc_id", "piece"], capacity=2048)
@@ -46,11 +55,26 @@ def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placed.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op5_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tagged = identify_languages(documents(spark, sf_dir).select("doc_id", "text", "lang"))
+    return tagged.select("doc_id", "held_out", "lang_pred", "score")
+
+
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     planned = plan_mixture(documents(spark, sf_dir))
     return planned.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"), "copies")
 
 
+def op7_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = near_vectors(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), threshold=0.98)
+    return found.select("vec_id", "n_links", "component_id", "kept")
+
+
+def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = dedup_lines(documents(spark, sf_dir).select("doc_id", "text"))
+    return cut.select("doc_id", "n_lines", "n_removed", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
+
+
 def op9_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     kept = drop_repeated_passages(documents(spark, sf_dir), width=13)
     none = F.when(F.col("n_words") == 0, F.lit("")).otherwise(F.col("text"))
@@ -62,10 +86,14 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_minhash": op1_minhash,
     "op2_packing": op2_packing,
     "op3_token_counts": op3_token_counts,
     "op4_sharding": op4_sharding,
+    "op5_language": op5_language,
     "op6_mixing": op6_mixing,
+    "op7_vectors": op7_vectors,
+    "op8_line_dedup": op8_line_dedup,
     "op9_substrings": op9_substrings,
     "op10_quality": op10_quality,
 }
@@ -95,6 +123,15 @@ r as (select d.doc_id, d.size, t.source_size, t.target, case when t.source_size
       from d join t on d.source is not distinct from t.source)
 select doc_id, size, source_size, target::double target, (floor(rate) + case when u < rate - floor(rate) then 1 else 0 end)::int copies,
   (size * (floor(rate) + case when u < rate - floor(rate) then 1 else 0 end))::bigint taken from r""",
+    "op7_vectors": r"""
+with recursive v as (select vec_id, label, list_transform(embedding, lambda x: x::double) e, list_dot_product(list_transform(embedding, lambda x: x::double), list_transform(embedding, lambda x: x::double)) q from embeddings),
+ok as (select * from v where label is not null and q > 0 and isfinite(q)),
+l as (select a.vec_id a, b.vec_id b from ok a join ok b on a.label = b.label and a.vec_id <> b.vec_id and len(a.e) = len(b.e)
+      where list_dot_product(a.e, b.e) / sqrt(a.q) / sqrt(b.q) >= 0.98),
+r as (select vec_id a, vec_id b from v union select r.a, l.b from r join l on r.b = l.a),
+c as (select a, min(b) m from r group by a),
+n as (select a, count(*) n from l group by a)
+select c.a vec_id, coalesce(n.n, 0)::bigint n_links, c.m component_id, c.a = c.m kept from c left join n using (a)""",
     "op9_substrings": rf"""
 with d as (select doc_id, {_WORDS} w from documents),
 g as (select doc_id, unnest(range(1, len(w) - 11)) p, unnest(list_transform(range(1, len(w) - 11), lambda i: md5(array_to_string(w[i:i + 12], ' ')))) s from d where len(w) >= 13),
