@@ -207,7 +207,7 @@ def tag_documents(docs: DataFrame, crf: Crf, *, text: str = "text", cells: int =
             texts = texts_of(batch, text)
             sums, sizes = np.zeros((len(texts), k)), np.zeros(len(texts), np.int64)
             for a, b in by_bytes([len(x) for x in texts], 8 << 20):
-                words = [letter_words(x) for x in texts[a:b]]
+                words = [letter_words(x) if k else [] for x in texts[a:b]]  # without labels nothing can be said
                 scores = [word_scores(w) for w in words]
                 order = sorted((i for i in range(b - a) if words[i]), key=lambda i: -len(words[i]))
                 at = 0

@@ -109,7 +109,7 @@ class SimHashes:
     def _alone(self, line: list[str]) -> np.ndarray:
         total = np.zeros((1, BITS), np.int64)
         for i in range(0, len(line), 4096):
-            total += self._bytes(line[i : i + 4096]).view(np.uint8).reshape(-1, BITS).sum(axis=0)
+            total += self._bytes(line[i : i + 4096]).view(np.uint8).reshape(-1, BITS).sum(axis=0, dtype=np.int64)
         return self._bits(total, np.array([len(line)]))
 
 

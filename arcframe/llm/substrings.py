@@ -65,7 +65,7 @@ def _returned(table: pa.Table, owner: np.ndarray, kind: int, *columns: np.ndarra
     """Rows (g, kind, packed columns), one for each owner that gets something; ``owner`` indexes rows of ``table``."""
     order = np.argsort(owner, kind="stable")
     who, starts = np.unique(owner[order], return_index=True)
-    spans = list(zip(starts.tolist(), [*starts.tolist()[1:], len(order)], strict=True))
+    spans = list(zip(starts.tolist(), np.append(starts[1:], len(order)).tolist(), strict=False))  # none without owners
     data = {"g": table.column("g").take(pa.array(who)), "kind": pa.array([kind] * len(who), pa.int32())}
     packed = {f"c{k}": pa.array([c[order[a:b]].tobytes() if len(c) else b"" for a, b in spans], pa.binary()) for k, c in enumerate(columns)}
     return pa.table(data | packed)
