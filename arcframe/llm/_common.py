@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import gc
 import tempfile
+import time
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -40,8 +41,10 @@ def materialize(df: DataFrame) -> DataFrame:
 
 def release(spark: SparkSession) -> None:
     """Let Spark drop shuffle files of finished steps whose frames are no longer referenced."""
-    gc.collect()
-    spark._jvm.System.gc()
+    for _ in range(2):  # frames in Python hold those of the JVM, which hold shuffles
+        gc.collect()
+        spark._jvm.System.gc()
+        time.sleep(0.5)
 
 
 def unit_hash(*cols: Column) -> Column:

@@ -3,29 +3,15 @@
 from __future__ import annotations
 
 import re
+from dataclasses import dataclass
 
 import numpy as np
+import pyarrow as pa
 import xxhash
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
 
-class WordHashes(dict):
-    """word -> 64-bit hash. It forgets everything when full, so a task's memory stays bounded."""
-
-    def __init__(self, limit: int = 1 << 18):
-        self.limit = limit
-
-    def __missing__(self, word: str) -> int:
-        if len(self) >= self.limit:
-            self.clear()
-        h = self[word] = xxhash.xxh3_64_intdigest(word.encode("utf-8", "surrogatepass"))
-        return h
-
-    def of(self, words: list[str]) -> np.ndarray:
-        return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
-
-
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijective scrambling of 64-bit values."""
     x = x ^ (x >> np.uint64(32))
@@ -51,3 +37,86 @@ def windows(hashes: np.ndarray, width: int, salt: int = 1) -> np.ndarray:
         for k, c in enumerate(seeds(width, salt)):
             out += hashes[k : k + n] * c
         return mix(out)
+
+
+_SPACE = np.zeros(256, bool)
+_SPACE[[0x20, *range(0x09, 0x0E)]] = True
+_LONGEST = 4096
+with np.errstate(over="ignore"):
+    _BYTES = mix(np.arange(256, dtype=np.uint64) + np.uint64(0x51A2B3C4D5E6F708))
+    _POWERS = np.cumprod(np.full(_LONGEST, 0xA0761D6478BD642F, np.uint64), dtype=np.uint64)  # all odd
+
+
+@dataclass
+class Texts:
+    """The words of a batch of texts, in order: no Python object for a word.
+
+    Text k has the words bounds[k]..bounds[k + 1]; word i lies in data[starts[i]:ends[i]] (UTF-8) and belongs to owner[i].
+    """
+
+    data: np.ndarray
+    edges: np.ndarray
+    starts: np.ndarray
+    ends: np.ndarray
+    hashes: np.ndarray
+    bounds: np.ndarray
+
+    @property
+    def owner(self) -> np.ndarray:
+        return np.repeat(np.arange(len(self.bounds) - 1), np.diff(self.bounds))
+
+
+def read_words(column: pa.Array | pa.ChunkedArray) -> Texts:
+    """Split and hash the words of a string column; null is empty. Equal words have equal hashes in any batch."""
+    column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    column = column.cast(pa.large_string()).fill_null("")
+    edges = np.frombuffer(column.buffers()[1], np.int64)[column.offset : column.offset + len(column) + 1] if len(column) else np.zeros(1, np.int64)
+    raw = column.buffers()[2] if len(column) else None
+    data = np.frombuffer(raw, np.uint8)[edges[0] : edges[-1]] if raw is not None and edges[-1] > edges[0] else np.empty(0, np.uint8)
+    edges = edges - edges[0]
+    inside = ~_SPACE[data]
+    fresh = np.ones(len(data) + 1, bool)  # a word may begin here
+    fresh[1:] = np.append(~inside[:-1], True) if len(data) else True
+    fresh[edges] = True
+    starts = np.flatnonzero(inside & fresh[:-1])
+    over = np.append(~inside, True)
+    over[edges] = True
+    stops = np.flatnonzero(over)
+    ends = stops[np.searchsorted(stops, starts, "right")]
+    bounds = np.searchsorted(starts, edges)
+    return Texts(data, edges, starts, ends, _hashed(data, starts, ends), bounds)
+
+
+def _hashed(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, most: int = 1 << 20) -> np.ndarray:
+    out = np.empty(len(starts), np.uint64)
+    at = 0
+    with np.errstate(over="ignore"):
+        while at < len(starts):
+            to = max(at + 1, int(np.searchsorted(ends, starts[at] + most, "right")))
+            size = np.minimum(ends[at:to] - starts[at:to], _LONGEST)
+            first = np.cumsum(size) - size
+            nth = np.arange(size.sum()) - np.repeat(first, size)
+            out[at:to] = np.add.reduceat(_BYTES[data[np.repeat(starts[at:to], size) + nth]] * _POWERS[nth], first)
+            at = to
+        out = mix(out + (ends - starts).astype(np.uint64))
+    for i in np.flatnonzero(ends - starts > _LONGEST):
+        out[i] = xxhash.xxh3_64_intdigest(data[starts[i] : ends[i]].tobytes())
+    return out
+
+
+def join_words(texts: Texts, keep: np.ndarray) -> pa.Array:
+    """Each text's kept words, joined by one blank."""
+    last = np.full(len(texts.bounds) - 1, -1)
+    kept = np.flatnonzero(keep)
+    owner = texts.owner[kept]
+    last[owner] = kept  # the later one stays
+    gap = kept[last[owner] != kept]
+    mask = np.zeros(len(texts.data) + 1, np.int8)
+    np.add.at(mask, texts.starts[kept], 1)
+    np.add.at(mask, texts.ends[kept], -1)
+    mask = np.cumsum(mask[:-1], dtype=np.int8).astype(bool)
+    data = texts.data.copy()
+    data[texts.ends[gap]] = 0x20
+    mask[texts.ends[gap]] = True
+    edges = np.concatenate(([0], np.cumsum(mask)))[texts.edges]
+    return pa.LargeStringArray.from_buffers(len(edges) - 1, pa.py_buffer(edges.astype(np.int64).tobytes()), pa.py_buffer(data[mask].tobytes())).cast(pa.string())

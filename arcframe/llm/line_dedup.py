@@ -3,26 +3,23 @@
 from __future__ import annotations
 
 import math
-import re
 
 import numpy as np
 import pyarrow as pa
-import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ._common import map_arrow, materialize, release
 from ._graph import cluster_buckets
-from ._words import WORD, WordHashes, mix
+from ._words import WORD, Texts, mix, read_words
 
 #: Bits of a SimHash, and how many 64-bit numbers hold them.
 BITS, PARTS = 256, 4
-_NUMBER = re.compile(r"\d+")
 
 
-def normal_words(line: str) -> list[str]:
-    """The words of a line in lower case, with digits as one 0."""
-    return WORD.findall(_NUMBER.sub("0", line.lower()))
+def normal_text(text: Column) -> Column:
+    """Lower case, with runs of digits as one 0; words and lines stay where they are."""
+    return F.regexp_replace(F.lower(text), "[0-9]+", "0")
 
 
 def edit_distance(a: str, b: str) -> int:
@@ -65,52 +62,46 @@ def similar(a: str, b: str, threshold: float) -> bool:
     return abs(len(a) - len(b)) <= most and edit_distance(a, b) <= most
 
 
-class SimHashes:
-    """SimHash of lines: the majority of the bits of their words' hashes, counted eight words of bits to a number."""
-
-    def __init__(self, limit: int = 1 << 16):
-        self.limit, self.hashes = limit, WordHashes()
-        self.clear()
-
-    def clear(self) -> None:
-        self.at: dict[str, int] = {}
-        self.table = np.zeros((self.limit, BITS // 8), np.uint64)  # a byte for each bit
-
-    def of(self, lines: list[list[str]]) -> np.ndarray:
-        """(lines, PARTS) unsigned numbers. Every line has a word."""
-        new = set().union(*lines).difference(self.at)
-        if len(self.at) + len(new) > self.limit:
-            self.clear()
-            new = set().union(*lines)
-            if len(new) > self.limit:  # one call with very many different words
-                half = len(lines) // 2
-                return np.concatenate([self.of(lines[:half]), self.of(lines[half:])]) if half else self._alone(lines[0])
-        if new:
-            self.table[len(self.at) : len(self.at) + len(new)] = self._bytes(list(new))
-            self.at.update((w, i) for i, w in enumerate(new, len(self.at)))
-        flat = np.fromiter((i for line in lines for i in map(self.at.__getitem__, line)), np.int64)
-        sizes = np.array([len(x) for x in lines])
-        ends = np.cumsum(sizes)
-        cuts = np.concatenate([np.arange(e - n, e, 255) for e, n in zip(ends, sizes, strict=True)])  # a byte counts to 255
-        counts = np.add.reduceat(self.table[flat], cuts, axis=0).view(np.uint8)
-        if len(cuts) > len(lines):
-            counts = np.add.reduceat(counts.astype(np.int32), np.searchsorted(cuts, ends - sizes), axis=0)
-        return self._bits(counts, sizes)
-
-    def _bytes(self, words: list[str]) -> np.ndarray:
-        h = self.hashes.of(words)
-        with np.errstate(over="ignore"):
-            parts = np.stack([mix(h + np.uint64(k)) for k in range(1, PARTS + 1)], axis=1)
-        return np.unpackbits(parts.view(np.uint8), axis=1).view(np.uint64)
-
-    def _bits(self, counts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-        return np.packbits(counts * 2.0 > sizes[:, None], axis=1).view(np.uint64)
-
-    def _alone(self, line: list[str]) -> np.ndarray:
-        total = np.zeros((1, BITS), np.int64)
-        for i in range(0, len(line), 4096):
-            total += self._bytes(line[i : i + 4096]).view(np.uint8).reshape(-1, BITS).sum(axis=0, dtype=np.int64)
-        return self._bits(total, np.array([len(line)]))
+def simhash(hashes: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """(lines, PARTS) unsigned numbers: for each line the majority of its words' hash bits, 256 of them.
+
+    ``hashes``: the words of all lines one after another; ``sizes``: words of each line, at least one. The bits of eight
+    words' bytes are counted in one number, at most 255 words at a time.
+    """
+    out, at, first = np.empty((len(sizes), PARTS), np.uint64), 0, 0
+    ends = np.cumsum(sizes)
+    while at < len(sizes):
+        to = max(at + 1, int(np.searchsorted(ends, first + (1 << 17), "right")))
+        counts = np.zeros((to - at, BITS), np.int64)
+        for a in range(first, int(ends[to - 1]), 1 << 17):  # only a line that long alone takes several turns
+            b = min(a + (1 << 17), int(ends[to - 1]))
+            lines = np.searchsorted(ends, np.arange(a, b), "right") - at
+            with np.errstate(over="ignore"):
+                bits = np.unpackbits(np.stack([mix(hashes[a:b] + np.uint64(k)) for k in range(1, PARTS + 1)], axis=1).view(np.uint8), axis=1)
+            nth = np.arange(b - a) - np.searchsorted(lines, lines)
+            cuts = np.flatnonzero(nth % 255 == 0)
+            counted = np.add.reduceat(bits.view(np.uint64), cuts, axis=0).view(np.uint8)
+            np.add.at(counts, lines[cuts], counted)
+        out[at:to] = np.packbits(counts * 2 > sizes[at:to, None], axis=1).view(np.uint64)
+        at, first = to, int(ends[to - 1])
+    return out
+
+
+def line_hashes(texts: Texts) -> tuple[np.ndarray, ...]:
+    """(first word, words, text, number in the text, hash) of each line that has a word."""
+    feeds = np.flatnonzero(texts.data == 0x0A)
+    line = np.searchsorted(feeds, texts.starts)  # numbered over all texts
+    owner = texts.owner
+    new = np.ones(len(line), bool)
+    new[1:] = (line[1:] != line[:-1]) | (owner[1:] != owner[:-1])
+    first = np.flatnonzero(new)
+    sizes = np.diff(np.append(first, len(line)))
+    number = line[first] - np.searchsorted(feeds, texts.edges)[owner[first]]
+    nth = np.arange(len(line)) - np.repeat(first, sizes)
+    with np.errstate(over="ignore"):
+        each = mix(texts.hashes + nth.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+        found = mix(np.add.reduceat(each, first) + sizes.astype(np.uint64)) if len(first) else np.empty(0, np.uint64)
+    return first, sizes, owner[first], number, found
 
 
 def block_width(lines: int) -> int:
@@ -134,30 +125,21 @@ def dedup_lines(docs: DataFrame, *, text: str = "text", id_col: str = "doc_id",
     stored = materialize(docs.drop("n_lines", "n_removed").withColumn("_row", F.monotonically_increasing_id()))
 
     def split():
-        simhashes = SimHashes()
-
         def each(batch: pa.RecordBatch) -> pa.RecordBatch:
-            row, at, hashes, sims, first = [], [], [], [], {}
-            for r, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                for k, line in enumerate((t or "").split("\n")):
-                    if words := normal_words(line):
-                        h = xxhash.xxh3_64_intdigest(" ".join(words).encode("utf-8", "surrogatepass"))
-                        row.append(r)
-                        at.append(k)
-                        hashes.append(h)
-                        sims.append(first.setdefault(h, (len(sims), words))[0] == len(sims))
-            new = [x[1] for x in first.values()]
-            done, size, start = [np.empty((0, PARTS), np.uint64)], 0, 0
-            for k, words in enumerate(new):  # about 100 MB of counters at a time
-                size += len(words)
-                if size > 1 << 17 or k == len(new) - 1:
-                    done.append(simhashes.of(new[start : k + 1]))
-                    size, start = 0, k + 1
-            sim = np.zeros((len(row), PARTS), np.int64)
-            mine = np.array(sims, bool)
-            sim[mine] = np.concatenate(done).view(np.int64)
-            columns = [pa.array(sim[:, p], pa.int64(), mask=~mine) for p in range(PARTS)]
-            return pa.RecordBatch.from_arrays([pa.array(row, pa.int64()), pa.array(at, pa.int32()), pa.array(np.array(hashes, np.uint64).view(np.int64)), *columns], ["_row", "line", "node", *[f"s{p}" for p in range(PARTS)]])
+            parts = []
+            for a in range(0, batch.num_rows, 256):
+                texts = read_words(batch.column(1).slice(a, 256))
+                first, sizes, owner, number, found = line_hashes(texts)
+                _, new = np.unique(found, return_index=True)  # one SimHash for equal lines
+                sim = np.zeros((len(found), PARTS), np.uint64)
+                mine = np.zeros(len(found), bool)
+                mine[new] = True
+                of = np.repeat(mine, sizes)
+                sim[mine] = simhash(texts.hashes[of], sizes[mine])
+                columns = [pa.array(np.ascontiguousarray(sim[:, p]).view(np.int64), pa.int64(), mask=~mine) for p in range(PARTS)]
+                rows = batch.column(0).slice(a, 256).take(pa.array(owner))
+                parts.append(pa.RecordBatch.from_arrays([rows, pa.array(number, pa.int32()), pa.array(found.view(np.int64)), *columns], ["_row", "line", "node", *[f"s{p}" for p in range(PARTS)]]))
+            return pa.Table.from_batches(parts).combine_chunks().to_batches()[0] if any(p.num_rows for p in parts) else parts[0]
 
         return each
 
@@ -168,7 +150,7 @@ def dedup_lines(docs: DataFrame, *, text: str = "text", id_col: str = "doc_id",
                 split = t.split("\n")
                 for x in needs:
                     nodes.append(x["node"])
-                    lines.append(" ".join(normal_words(split[x["line"]])))
+                    lines.append(" ".join(WORD.findall(split[x["line"]])))
             return pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(lines, pa.string())], ["node", "words"])
 
         return each
@@ -182,7 +164,7 @@ def dedup_lines(docs: DataFrame, *, text: str = "text", id_col: str = "doc_id",
 
     schema = "_row long, line int, node long, " + ", ".join(f"s{p} long" for p in range(PARTS))
     ids = stored.select("_row", F.col(id_col).alias("_id"))
-    lines = materialize(map_arrow(stored.select("_row", F.col(text).alias("t")), split, schema))
+    lines = materialize(map_arrow(stored.select("_row", normal_text(F.col(text)).alias("t")), split, schema))
     place = F.struct(F.col("_id").isNull().alias("none"), F.col("_id").alias("id"), F.col("_row").alias("row"), F.col("line").alias("line"))
     nodes = lines.join(ids, "_row").groupBy("node").agg(F.min(place).alias("first"), F.count("*").alias("n"), *[F.max(f"s{p}").alias(f"s{p}") for p in range(PARTS)])
     nodes = materialize(nodes)
@@ -197,7 +179,7 @@ def dedup_lines(docs: DataFrame, *, text: str = "text", id_col: str = "doc_id",
             needed = pairs.select(F.col("a").alias("node")).unionAll(pairs.select("b")).distinct()
             at = nodes.select("node", F.col("first.row").alias("_row"), F.col("first.line").alias("line")).join(needed, "node", "left_semi")
             at = at.groupBy("_row").agg(F.collect_list(F.struct("node", "line")).alias("needs"))  # lines of one document
-            wanted = stored.select("_row", F.col(text).alias("t")).join(at, "_row").select("t", "needs")
+            wanted = stored.select("_row", F.col(text).alias("t")).join(at, "_row").select(normal_text(F.col("t")).alias("t"), "needs")
             known.append(materialize(map_arrow(wanted, texts, "node long, words string")))
             release(spark)
         a, b = (known[0].select(F.col("node").alias(x), F.col("words").alias(f"w{x}")) for x in "ab")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -9,15 +11,21 @@ from pyspark.sql import functions as F
 
 from ._common import map_arrow, materialize, release
 from ._graph import cluster_buckets
-from ._words import WORD, WordHashes, mix, windows
+from ._words import mix, read_words, windows
 
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 
 
-def shingles(words: list[str], known: WordHashes, width: int = 5) -> np.ndarray:
-    """Hashes of all runs of ``width`` words; fewer words are one run, no word is none. Repeats included."""
-    hashes = known.of(words)
-    return windows(hashes, min(width, len(hashes))) if len(hashes) else hashes
+def shingle_sets(column: pa.Array, width: int = 5) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """For each text: hashes of its runs of ``width`` words, and how often each occurs.
+
+    Fewer words are one run, no word is none.
+    """
+    for a in range(0, len(column), 512):
+        texts = read_words(column.slice(a, 512))
+        for first, last in zip(texts.bounds[:-1].tolist(), texts.bounds[1:].tolist(), strict=True):
+            hashes = texts.hashes[first:last]
+            yield np.unique(windows(hashes, min(width, len(hashes))) if len(hashes) else hashes, return_counts=True)
 
 
 def dart_signature(elements: np.ndarray, weights: np.ndarray | None, k: int) -> np.ndarray:
@@ -100,16 +108,10 @@ def near_duplicates(docs: DataFrame, *, text: str = "text", id_col: str = "doc_i
     spark, counted = docs.sparkSession, weights == "count"
     stored = materialize(docs.drop("class_id", "kept", "n_shingles").withColumn("_row", F.monotonically_increasing_id()))
 
-    def elements(text: str | None, known: WordHashes) -> tuple[np.ndarray, np.ndarray]:
-        return np.unique(shingles(WORD.findall(text or ""), known, width), return_counts=True)
-
     def sketch():
-        known = WordHashes()
-
         def each(batch: pa.RecordBatch) -> pa.RecordBatch:
             n, one, two, keys = [], [], [], []
-            for t in batch.column(1).to_pylist():
-                found, count = elements(t, known)
+            for found, count in shingle_sets(batch.column(1), width):
                 n.append(len(found))
                 with np.errstate(over="ignore"):
                     own = mix(found + count.astype(np.uint64)) if counted else found
@@ -122,10 +124,8 @@ def near_duplicates(docs: DataFrame, *, text: str = "text", id_col: str = "doc_i
         return each
 
     def runs():
-        known = WordHashes()
-
         def each(batch: pa.RecordBatch) -> pa.RecordBatch:
-            found = [elements(t, known) for t in batch.column(1).to_pylist()]
+            found = list(shingle_sets(batch.column(1), width))
             # Counted runs become sets of (run, 1), (run, 2), ...: their Jaccard is the weighted one.
             sets = [mix(np.repeat(e, c) + (np.arange(c.sum()) - np.repeat(np.cumsum(c) - c, c)).astype(np.uint64) * _STEP) if counted else e for e, c in found]
             lists = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum([len(x) for x in sets]))), pa.int32()), pa.array(np.concatenate(sets).view(np.int64)))

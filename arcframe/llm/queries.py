@@ -77,8 +77,7 @@ def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     kept = drop_repeated_passages(documents(spark, sf_dir), width=13)
-    none = F.when(F.col("n_words") == 0, F.lit("")).otherwise(F.col("text"))
-    return kept.select("doc_id", "n_words", "n_removed", F.sha2(F.coalesce(none, F.lit("")), 256).alias("kept_sha256"))
+    return kept.select("doc_id", "n_words", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
 
 
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql.window import Window
 from ._common import materialize
 
 
-def assign_shards(rows: DataFrame, *, shards: int = 24, stratum: str = "source", order: list[str], seed: str = "shard", rows_per_bucket: int = 200_000) -> DataFrame:
+def assign_shards(rows: DataFrame, *, shards: int = 24, stratum: str = "source", order: list[str], seed: str = "shard", rows_per_bucket: int = 200) -> DataFrame:
     """``rows`` with shard (0..shards-1) and slot (gapless from 0): row counts of shards differ by one at most.
 
     Within each stratum rows are ranked by a seeded hash of ``order[0]`` (then ``order``), the strata are interleaved by

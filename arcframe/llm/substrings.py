@@ -2,32 +2,58 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._common import materialize, release
-from ._words import WORD, WordHashes, mix, windows
+from ._words import join_words, mix, read_words, windows
 
 #: Every difference modulo 7 is one of two members of {0, 1, 3}: of any two places, a shift below 7 moves both onto the cover.
 PERIOD, COVER = 7, (0, 1, 3)
 
 
-def _docs(table: pa.Table) -> Iterator[tuple[int | None, str, list[str], np.ndarray]]:
-    known = WordHashes()
-    for i, text in zip(table.column("id").to_pylist(), table.column("text").to_pylist(), strict=True):
-        words = WORD.findall(text or "")
-        yield i, text, words, known.of(words)
+class Group:
+    """The documents of one group: words, ids, and for each word its document, place and the words from it to the end."""
+
+    def __init__(self, table: pa.Table):
+        self.texts = read_words(table.column("text"))
+        ids = table.column("id")
+        self.known = ids.is_valid().to_numpy()
+        self.owner = self.texts.owner
+        self.id = ids.fill_null(0).to_numpy()[self.owner]
+        n, bounds = len(self.owner), self.texts.bounds
+        self.first = bounds[:-1][self.owner]
+        self.place = np.arange(n) - self.first
+        self.left = np.where(self.known[self.owner], bounds[1:][self.owner] - np.arange(n), 0)
+
+    def anchors(self, width: int) -> tuple[np.ndarray, np.ndarray]:
+        """(words where they start, hashes) of the windows of width - PERIOD + 1 words at cover places."""
+        size = width - PERIOD + 1
+        at = np.flatnonzero((self.left >= size) & np.isin(self.place % PERIOD, COVER))
+        return at, windows(self.texts.hashes, size, salt=1)[at] if len(at) else np.empty(0, np.uint64)
+
+    def candidates(self, shared: np.ndarray, width: int, buckets: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(starts, hash that deals out, hash that compares) of the windows around shared anchors."""
+        at, found = self.anchors(width)
+        at = at[_held(shared, _anchor_keys(found, buckets))]
+        edge = np.zeros(len(self.owner) + 1, np.int64)
+        np.add.at(edge, np.maximum(at - PERIOD + 1, self.first[at]), 1)
+        np.add.at(edge, at + 1, -1)
+        starts = np.flatnonzero((np.cumsum(edge)[:-1] > 0) & (self.left >= width))
+        if not len(starts):
+            return starts, np.empty(0, np.uint64), np.empty(0, np.uint64)
+        return starts, windows(self.texts.hashes, width, salt=2)[starts], windows(mix(self.texts.hashes), width, salt=3)[starts]
+
+
+def _bucket(h: np.ndarray, buckets: int) -> np.ndarray:
+    return (h >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)
 
 
-def _anchors(hashes: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
-    """(places, hashes) of the windows of width - PERIOD + 1 words that start at cover places; the lowest bit is free."""
-    found = windows(hashes, width - PERIOD + 1, salt=1) & ~np.uint64(1)
-    at = np.flatnonzero(np.isin(np.arange(len(found)) % PERIOD, COVER))
-    return at, found[at]
+def _anchor_keys(h: np.ndarray, buckets: int) -> np.ndarray:
+    """The bucket and 31 further bits; a bucket has about a million anchors at any size of the corpus."""
+    return _bucket(h, buckets) << np.uint64(32) | (h & np.uint64(0xFFFFFFFE))
 
 
 def _held(sorted_set: np.ndarray, values: np.ndarray) -> np.ndarray:
@@ -36,56 +62,36 @@ def _held(sorted_set: np.ndarray, values: np.ndarray) -> np.ndarray:
     return sorted_set[np.minimum(np.searchsorted(sorted_set, values), len(sorted_set) - 1)] == values
 
 
-def _dealt(g: int, key: np.ndarray, buckets: int, *columns: np.ndarray) -> pa.Table:
-    """One row for each bucket of ``key`` (sorted): what the group has of it, packed."""
-    bucket = ((key >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
-    cuts = np.concatenate(([0], np.flatnonzero(np.diff(bucket)) + 1, [len(key)])) if len(key) else np.zeros(1, np.int64)
-    spans = list(zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True))
-    data = {"bucket": pa.array([int(bucket[a]) for a, _ in spans], pa.int64()), "g": pa.array([g] * len(spans), pa.int64())}
-    return pa.table(data | {f"c{k}": pa.array([c[a:b].tobytes() for a, b in spans], pa.binary()) for k, c in enumerate(columns)})
+def _spans(values: np.ndarray) -> list[tuple[int, int]]:
+    """Runs of equal neighbours."""
+    cuts = np.flatnonzero(np.diff(values)) + 1 if len(values) else np.empty(0, np.int64)
+    return list(zip([0, *cuts.tolist()], [*cuts.tolist(), len(values)], strict=True)) if len(values) else []
 
 
-def _packed(table: pa.Table, name: str, kind: type = np.uint64) -> np.ndarray:
-    return np.frombuffer(b"".join(table.column(name).to_pylist()), kind)
+def _first(values: np.ndarray) -> np.ndarray:
+    """Where runs of equal neighbours begin."""
+    return np.flatnonzero(np.concatenate(([True], values[1:] != values[:-1]))) if len(values) else np.empty(0, np.int64)
+
+
+def _runs(values: np.ndarray) -> np.ndarray:
+    """The number of its run for each of sorted values."""
+    return np.cumsum(np.concatenate(([False], values[1:] != values[:-1]))) if len(values) else np.empty(0, np.int64)
 
 
-def _owners(table: pa.Table) -> np.ndarray:
-    return np.repeat(np.arange(table.num_rows), [len(x) // 8 for x in table.column("c0").to_pylist()])
+def _packed(table: pa.Table, name: str, kind: type) -> np.ndarray:
+    return np.frombuffer(b"".join(table.column(name).to_pylist()), kind)
 
 
-def _runs(*keys: np.ndarray) -> np.ndarray:
-    """The number of its run for each row of sorted keys."""
-    new = np.zeros(len(keys[0]), bool)
-    for k in keys:
-        new[1:] |= k[1:] != k[:-1]
-    return np.cumsum(new)
+def _owners(table: pa.Table, item: int) -> np.ndarray:
+    return np.repeat(np.arange(table.num_rows), [len(x) // item for x in table.column("c0").to_pylist()])
 
 
-def _returned(table: pa.Table, owner: np.ndarray, kind: int, *columns: np.ndarray) -> pa.Table:
-    """Rows (g, kind, packed columns), one for each owner that gets something; ``owner`` indexes rows of ``table``."""
+def _returned(table: pa.Table, owner: np.ndarray, values: np.ndarray, bucket: int) -> pa.Table:
+    """Rows (g, bucket, packed values), one for each row of ``table`` that gets something back."""
     order = np.argsort(owner, kind="stable")
-    who, starts = np.unique(owner[order], return_index=True)
-    spans = list(zip(starts.tolist(), np.append(starts[1:], len(order)).tolist(), strict=False))  # none without owners
-    data = {"g": table.column("g").take(pa.array(who)), "kind": pa.array([kind] * len(who), pa.int32())}
-    packed = {f"c{k}": pa.array([c[order[a:b]].tobytes() if len(c) else b"" for a, b in spans], pa.binary()) for k, c in enumerate(columns)}
-    return pa.table(data | packed)
-
-
-def _candidates(docs: pa.Table, shared: np.ndarray, width: int):
-    """For each document: (id, text, words, starts of windows with a shared anchor, their two hashes)."""
-    for i, text, words, hashes in _docs(docs):
-        at, found = _anchors(hashes, width)
-        n = len(hashes) - width + 1
-        starts = np.empty(0, np.int64)
-        if n > 0 and i is not None and len(hit := at[_held(shared, found)]):
-            edge = np.zeros(len(hashes) + 2, np.int32)
-            np.add.at(edge, np.maximum(hit - PERIOD + 1, 0), 1)
-            np.add.at(edge, hit + 1, -1)
-            starts = np.flatnonzero(np.cumsum(edge)[:n] > 0)
-        one = windows(hashes, width, salt=2)[starts] if len(starts) else np.empty(0, np.uint64)
-        with np.errstate(over="ignore"):
-            two = windows(mix(hashes), width, salt=3)[starts] if len(starts) else one
-        yield i, text, words, starts, one, two
+    spans = _spans(owner[order])
+    who = table.column("g").take(pa.array([int(owner[order[a]]) for a, _ in spans], pa.int64()))
+    return pa.table({"g": who, "bucket": pa.array([bucket] * len(spans), pa.int64()), "c0": pa.array([values[order[a:b]].tobytes() for a, b in spans], pa.binary())})
 
 
 def drop_repeated_passages(docs: DataFrame, *, text: str = "text", id_col: str = "doc_id", width: int = 13, group_bytes: int = 4 << 20) -> DataFrame:
@@ -113,82 +119,76 @@ def drop_repeated_passages(docs: DataFrame, *, text: str = "text", id_col: str =
     rows = rows.withColumn("g", F.pmod(F.xxhash64("id", F.when(F.col("id").isNull(), F.col("text"))), F.lit(groups)))
 
     def send_anchors(key: tuple, table: pa.Table) -> pa.Table:
-        found, owner = [np.empty(0, np.uint64)], [np.empty(0, np.int64)]
-        for i, _, _, hashes in _docs(table):
-            if i is not None:
-                found.append(np.unique(_anchors(hashes, width)[1]))
-                owner.append(np.full(len(found[-1]), i, np.int64))
-        h, d = np.concatenate(found), np.concatenate(owner)
-        order = np.lexsort((d, h))
-        h, d = h[order], d[order]
-        first = np.flatnonzero(np.diff(_runs(h), prepend=-1)) if len(h) else np.empty(0, np.int64)
-        last = np.concatenate((first[1:], [len(h)])).astype(np.int64) - 1 if len(h) else first
-        several = (d[first] != d[last]).astype(np.uint64)
-        return _dealt(key[0].as_py(), h[first], buckets, h[first] | several)
+        group = Group(table)
+        at, h = group.anchors(width)
+        order = np.argsort(_anchor_keys(h, buckets))
+        keys, ids = _anchor_keys(h, buckets)[order], group.id[at][order]
+        first = _first(keys)
+        several = np.minimum.reduceat(ids, first) != np.maximum.reduceat(ids, first) if len(first) else np.empty(0, bool)
+        keys = keys[first] | several.astype(np.uint64)  # the free lowest bit: two documents of this group have it
+        bucket = keys >> np.uint64(32)
+        spans = _spans(bucket)
+        return pa.table({"bucket": pa.array([int(bucket[a]) for a, _ in spans], pa.int64()), "g": pa.array([key[0].as_py()] * len(spans), pa.int64()), "c0": pa.array([keys[a:b].astype("<u4").tobytes() for a, b in spans], pa.binary())})
 
     def shared_anchors(key: tuple, table: pa.Table) -> pa.Table:
-        h, owner = _packed(table, "c0"), _owners(table)
+        h, owner = _packed(table, "c0", np.uint32), _owners(table, 4)
         order = np.argsort(h, kind="stable")
         h, owner = h[order], owner[order]
-        run = _runs(h & ~np.uint64(1))
-        many = (np.bincount(run) > 1) | (np.bincount(run, weights=(h & np.uint64(1)).astype(float)) > 0) if len(h) else np.zeros(0, bool)
-        keep = many[run] if len(h) else np.zeros(0, bool)
-        mine = h[keep] & ~np.uint64(1)
-        return _returned(table, owner[keep], 0, mine, np.zeros(0, np.uint64))
+        run = _runs(h & np.uint32(0xFFFFFFFE))
+        several = (np.bincount(run) > 1) | (np.bincount(run, weights=h & 1) > 0)
+        keep = several[run]
+        return _returned(table, owner[keep], h[keep] & np.uint32(0xFFFFFFFE), key[0].as_py())
+
+    def anchors_of(replies: pa.Table) -> np.ndarray:
+        h = _packed(replies, "c0", np.uint32).astype(np.uint64)
+        bucket = np.repeat(replies.column("bucket").to_numpy(), [len(x) // 4 for x in replies.column("c0").to_pylist()]) if replies.num_rows else np.empty(0)
+        return np.sort(bucket.astype(np.uint64) << np.uint64(32) | h)
 
     def send_windows(key: tuple, table: pa.Table, replies: pa.Table) -> pa.Table:
-        shared = np.unique(_packed(replies, "c0"))
-        one, two, owner = [np.empty(0, np.uint64)], [np.empty(0, np.uint64)], [np.empty(0, np.int64)]
-        for i, _, _, _, a, b in _candidates(table, shared, width):
-            if len(a):
-                one.append(a)
-                two.append(b)
-                owner.append(np.full(len(a), i, np.int64))
-        h, k, d = np.concatenate(one), np.concatenate(two), np.concatenate(owner)
-        order = np.lexsort((d, k, h))
-        h, k, d = h[order], k[order], d[order]
-        first = np.flatnonzero(np.diff(_runs(h, k), prepend=-1)) if len(h) else np.empty(0, np.int64)
-        return _dealt(key[0].as_py(), h[first], buckets, h[first], k[first], d[first])
+        group = Group(table)
+        starts, deal, h = group.candidates(anchors_of(replies), width, buckets)
+        order = np.argsort(h)
+        first = _first(h[order])
+        ids = np.minimum.reduceat(group.id[starts][order], first) if len(first) else np.empty(0, np.int64)
+        h, bucket = h[order][first], _bucket(deal[order][first], buckets)
+        order = np.lexsort((ids, bucket))
+        h, bucket, ids = h[order], bucket[order], ids[order]
+        spans = _spans(bucket)
+        each = [_first(ids[a:b]) for a, b in spans]  # ids in runs take little room
+        return pa.table({
+            "bucket": pa.array([int(bucket[a]) for a, _ in spans], pa.int64()), "g": pa.array([key[0].as_py()] * len(spans), pa.int64()),
+            "c0": pa.array([h[a:b].tobytes() for a, b in spans], pa.binary()), "c1": pa.array([ids[a:b][f].tobytes() for (a, b), f in zip(spans, each, strict=True)], pa.binary()),
+            "c2": pa.array([np.diff(np.append(f, b - a)).astype("<i4").tobytes() for (a, b), f in zip(spans, each, strict=True)], pa.binary()),
+        })
 
     def later_windows(key: tuple, table: pa.Table) -> pa.Table:
-        h, k, d, owner = _packed(table, "c0"), _packed(table, "c1"), _packed(table, "c2", np.int64), _owners(table)
-        order = np.lexsort((d, k, h))
-        h, k, d, owner = h[order], k[order], d[order], owner[order]
-        run = _runs(h, k)
-        least = d[np.flatnonzero(np.diff(run, prepend=-1))] if len(h) else d
-        late = d > least[run] if len(h) else np.zeros(0, bool)
-        return _returned(table, owner[late], 1, h[late], k[late])
+        h, owner = _packed(table, "c0", np.uint64), _owners(table, 8)
+        ids = np.repeat(_packed(table, "c1", np.int64), _packed(table, "c2", np.int32))
+        order = np.argsort(h, kind="stable")
+        h, owner, ids = h[order], owner[order], ids[order]
+        late = ids > np.minimum.reduceat(ids, _first(h))[_runs(h)]
+        return _returned(table, owner[late], h[late], key[0].as_py())
 
     def apply(key: tuple, table: pa.Table, replies: pa.Table) -> pa.Table:
-        kinds = replies.column("kind").to_numpy() if replies.num_rows else np.empty(0, np.int32)
-        shared = np.unique(_packed(replies.filter(pa.array(kinds == 0)), "c0"))
-        late = replies.filter(pa.array(kinds == 1))
-        late_one, late_two = _packed(late, "c0"), _packed(late, "c1")
-        found = list(_candidates(table, shared, width))
-        one = np.concatenate([late_one, *[x[4] for x in found]])
-        two = np.concatenate([late_two, *[x[5] for x in found]])
-        lowest = np.iinfo(np.int64).min  # a reply stands for a smaller id elsewhere
-        doc = np.concatenate([np.full(len(late_one), lowest, np.int64), *[np.full(len(x[4]), x[0] or 0, np.int64) for x in found]])
-        order = np.lexsort((doc, two, one))
-        gone = np.zeros(len(one), bool)
-        if len(one):
-            run = _runs(one[order], two[order])
-            gone[order] = doc[order] > doc[order][np.flatnonzero(np.diff(run, prepend=-1))][run]
-        at, ids, texts, counts, cut = len(late_one), [], [], [], []
-        for i, text, words, starts, _, _ in found:
-            hit = starts[gone[at : at + len(starts)]]
-            at += len(starts)
-            edge = np.zeros(len(words) + 1, np.int32)
-            np.add.at(edge, hit, 1)
-            np.add.at(edge, hit + width, -1)
-            keep = np.cumsum(edge[:-1]) == 0
-            ids.append(i)
-            counts.append(len(words))
-            cut.append(int(len(words) - keep.sum()))
-            texts.append((" ".join([w for w, k in zip(words, keep.tolist(), strict=True) if k]) if cut[-1] else " ".join(words)) if text else text)
-        return pa.table({"id": pa.array(ids, pa.int64()), "text": pa.array(texts, pa.string()), "n_words": pa.array(counts, pa.int64()), "n_removed": pa.array(cut, pa.int64())})
-
-    reply = "g long, kind int, c0 binary, c1 binary"
+        group = Group(table)
+        windows_too = replies.column("kind").to_numpy() == 1 if replies.num_rows else np.empty(0, bool)
+        late = np.sort(_packed(replies.filter(pa.array(windows_too)), "c0", np.uint64))
+        starts, _, h = group.candidates(anchors_of(replies.filter(pa.array(~windows_too))), width, buckets)
+        order = np.argsort(h)
+        gone = np.zeros(len(h), bool)
+        if len(h):  # a smaller id in this group, or, by a reply, in another
+            ids, run = group.id[starts][order], _runs(h[order])
+            gone[order] = (ids > np.minimum.reduceat(ids, _first(h[order]))[run]) | _held(late, h[order])
+        edge = np.zeros(len(group.owner) + 1, np.int64)
+        np.add.at(edge, starts[gone], 1)
+        np.add.at(edge, starts[gone] + width, -1)
+        keep = np.cumsum(edge)[:-1] == 0
+        bounds = group.texts.bounds
+        counts = np.diff(bounds)
+        left = np.diff(np.concatenate(([0], np.cumsum(keep)))[bounds])
+        return pa.table({"id": table.column("id"), "text": join_words(group.texts, keep), "n_words": pa.array(counts, pa.int64()), "n_removed": pa.array(counts - left, pa.int64())})
+
+    reply = "g long, bucket long, c0 binary"
     anchors = rows.groupBy("g").applyInArrow(send_anchors, "bucket long, g long, c0 binary")
     shared = materialize(anchors.groupBy("bucket").applyInArrow(shared_anchors, reply))
     del anchors
@@ -197,5 +197,6 @@ def drop_repeated_passages(docs: DataFrame, *, text: str = "text", id_col: str =
     later = materialize(sent.groupBy("bucket").applyInArrow(later_windows, reply))
     del sent
     release(spark)
-    out = rows.groupBy("g").cogroup(shared.unionAll(later).groupBy("g")).applyInArrow(apply, "id long, text string, n_words long, n_removed long")
+    replies = shared.withColumn("kind", F.lit(0)).unionAll(later.withColumn("kind", F.lit(1)))
+    out = rows.groupBy("g").cogroup(replies.groupBy("g")).applyInArrow(apply, "id long, text string, n_words long, n_removed long")
     return out.select(F.col("id").cast(id_kind).alias(id_col), F.col("text").alias(text), "n_words", "n_removed")

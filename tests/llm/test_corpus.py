@@ -4,18 +4,20 @@ from __future__ import annotations
 
 import hashlib
 import random
+import re
 import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from arcframe.llm import _graph
 from arcframe.llm._pieces import BYTE_LEVEL, WORD_LEVEL, PieceTokens, load_tokenizer, pieces_of
-from arcframe.llm._words import WORD
+from arcframe.llm._words import WORD, join_words, mix, read_words
 from arcframe.llm.language import Crf, identify_languages, letter_words, train
-from arcframe.llm.line_dedup import SimHashes, block_width, dedup_lines, edit_distance, normal_words, similar
+from arcframe.llm.line_dedup import block_width, dedup_lines, edit_distance, simhash, similar
 from arcframe.llm.minhash import dart_signature, near_duplicates
 from arcframe.llm.mixing import emit_mixture, plan_mixture, source_targets
 from arcframe.llm.packing import encode_pieces, pack, plan_bins
@@ -59,6 +61,10 @@ def none(spark):
     return spark.createDataFrame([], SCHEMA)
 
 
+def normal_words(line):
+    return WORD.findall(re.sub("[0-9]+", "0", line.lower()))
+
+
 def split(text):
     return WORD.findall(text or "")
 
@@ -380,7 +386,7 @@ def test_line_dedup(docs, none, spark):
                 norm.setdefault(" ".join(w), len(norm))
     names = list(norm)
     width = block_width(len(names))
-    sims = SimHashes().of([n.split() for n in names])
+    sims = plain_simhashes(names)
     blocks = [[(int(s) >> 64 - width * (k + 1)) & (1 << width) - 1 for s in row for k in range(64 // width)] for row in sims]
     links = [(a, b) for a in range(len(names)) for b in range(a) if any(x == y for x, y in zip(blocks[a], blocks[b])) and similar(names[a], names[b], 0.8)]
     group = components(range(len(names)), links)
@@ -405,13 +411,34 @@ def test_line_dedup(docs, none, spark):
     assert dedup_lines(none).count() == 0
 
 
-def test_simhash_of_long_lines():
-    few = SimHashes(limit=64)
-    long, short = [f"w{k % 50}" for k in range(3000)], ["a", "b", "c"]
-    many = [f"v{k}" for k in range(500)]
-    plain = SimHashes()
-    assert (few.of([long, short, many])[0] == plain.of([long])[0]).all()
-    assert (few.of([many])[0] == plain.of([short, many])[1]).all()
+def plain_simhashes(lines):
+    words = read_words(pa.array(lines))
+    out = []
+    for a, b in zip(words.bounds[:-1], words.bounds[1:]):
+        bits = np.unpackbits(np.stack([mix(words.hashes[a:b] + np.uint64(k)) for k in range(1, 5)], axis=1).view(np.uint8), axis=1)
+        out.append(np.packbits(bits.sum(axis=0, dtype=np.int64) * 2 > b - a).view(np.uint64))
+    return out
+
+
+def test_simhash():
+    lines = [" ".join(words(k, n)) for k, n in enumerate((1, 3, 600, 2, 300000, 255, 256, 7))]
+    found = read_words(pa.array(lines))
+    assert (simhash(found.hashes, np.diff(found.bounds)) == np.array(plain_simhashes(lines))).all()
+
+
+def test_words():
+    texts = [r[1] for r in corpus()] + ["a b", "b\ta ", "\u00a0x\u2003y", "y" * 5000 + " é"]
+    found = read_words(pa.array(texts))
+    hashes = {}
+    for k, t in enumerate(texts):
+        mine = found.hashes[found.bounds[k] : found.bounds[k + 1]].tolist()
+        assert len(mine) == len(split(t))
+        assert all(hashes.setdefault(w, h) == h for w, h in zip(split(t), mine))
+    assert len(set(hashes.values())) == len(hashes)
+    odd = np.arange(len(found.starts)) % 3 > 0
+    want = [" ".join(w for w, k in zip(split(t), odd[a:]) if k) for t, a in zip(texts, found.bounds)]
+    assert join_words(found, odd).to_pylist() == want
+    assert read_words(pa.array([], pa.string())).bounds.tolist() == [0]
 
 
 @pytest.mark.parametrize("size", [4 << 20, 400])
