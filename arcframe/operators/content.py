@@ -147,7 +147,7 @@ def verify_archives(archives: DataFrame, *, limits: dict | None = None) -> DataF
     from .scan import diagnostics
 
     fine = F.col("ok") | (F.col("skipped").isin("encrypted", "stream-only-codec") & F.col("local_header_match"))
-    each = verify_entries(archives, limits=limits).groupBy("archive_id").agg(F.count("*").alias("n"), F.count_if(~fine).alias("bad"))
+    each = verify_entries(archives, limits=limits).groupBy("archive_id").agg(F.count("*").alias("n"), F.count_if(~F.coalesce(fine, F.lit(False))).alias("bad"))
     errors = diagnostics(archives, limits=limits, validate="extent").where("severity = 'error'").select("archive_id", "code")
     out = archives.select("archive_id").join(each, "archive_id", "left").join(errors, "archive_id", "left")
     n = F.when(F.col("code").isNull(), F.coalesce("n", F.lit(0))).otherwise(0)
