@@ -42,3 +42,25 @@ def name_error(name: Column) -> Column:
 
 def written_name(name: Column, directory: Column) -> Column:
     return F.when(directory & ~name.endswith("/"), F.concat(name, F.lit("/"))).otherwise(name)
+
+
+def glob(name: Column, pattern: str) -> Column:
+    """Shell pattern over whole names: * and ? stop at slashes, ** doesn't, [...] is a set."""
+    import re
+
+    out, at = "", 0
+    while at < len(pattern):
+        c = pattern[at]
+        if pattern.startswith("**/", at):
+            out, at = out + "(?:.*/)?", at + 3
+            continue
+        if pattern.startswith("**", at):
+            out, at = out + ".*", at + 2
+            continue
+        end = pattern.find("]", at + 2) if c == "[" else -1
+        if end > 0:
+            inner = pattern[at + 1 : end].replace("\\", "\\\\")
+            out, at = out + "[" + ("^" + inner[1:] if inner[0] == "!" else inner) + "]", end + 1
+            continue
+        out, at = out + ("[^/]*" if c == "*" else "[^/]" if c == "?" else re.escape(c)), at + 1
+    return name.rlike(f"(?s)^{out}\\z")

@@ -93,6 +93,7 @@ def iso_findings(archives: DataFrame) -> DataFrame:
         "WF/LFH-NAME-MISMATCH": local["name"] != F.col("raw_name"),
         "WF/LFH-SIZE-MISMATCH": (local["flags"].bitwiseAND(8) == 0) & ((local["compressed_size"] != F.col("compressed_size")) | (local["uncompressed_size"] != F.col("uncompressed_size"))) & (local["compressed_size"] != 0xFFFFFFFF),
         "WF/LFH-CRC-MISMATCH": (local["flags"].bitwiseAND(8) == 0) & (local["crc32"] != F.col("crc32")),
+        "ISO-4.3.10": local["flags"].bitwiseAND(8) != F.col("flags").bitwiseAND(8),
         "WF/ENTRY-OVERLAP": F.col("shared_offset") | (local["data_start"] + F.col("compressed_size") > F.col("next_boundary")),
     }
     found = F.array(*[F.struct(F.lit(k).alias("finding"), F.coalesce(v, F.lit(False)).alias("hit")) for k, v in tests.items()])

@@ -113,6 +113,58 @@ def pack(rows: DataFrame, *, canonical: bool = True, comments: DataFrame | None
     return assemble(segments(packed_specs(rows, limits=limits), canonical=canonical), comments=comments)
 
 
+def write_archives(parts: DataFrame, folder: str, *, chunk: int = 1 << 20) -> DataFrame:
+    """Write ``segments`` rows to one file an archive below ``folder``, piece by piece; (archive_id, path, length) when it is run.
+
+    No task ever holds an archive: its rows come sorted, payloads are passed on as they come, and only the directory is
+    kept to the end. A file takes its name when it is complete, so a repeated task leaves no half one. ``folder`` is
+    a place that all executors share, of any file system that Arrow knows.
+    """
+    from pyspark.sql.pandas.types import to_arrow_schema
+    from pyspark.sql.types import StructType
+
+    out = f"archive_id {parts.schema['archive_id'].dataType.simpleString()}, path string, length long"
+    rows = parts.select("archive_id", "position", "local", "payload", "trail", "central").repartition("archive_id").sortWithinPartitions("archive_id", "position")
+
+    def run(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import uuid
+
+        from pyarrow import fs
+
+        system, root = fs.FileSystem.from_uri(folder) if "://" in folder else (fs.LocalFileSystem(), folder)
+        system.create_dir(root, recursive=True)
+        now, sink, done, directory, size, n, part = None, None, [], [], 0, 0, ""
+
+        def finish() -> None:
+            tail = b"".join(directory)
+            end = writer.trailer(n, len(tail), size)
+            sink.write(tail + end)
+            sink.close()
+            final = f"{root}/{now}.zip"
+            system.move(part, final)
+            done.append({"archive_id": now, "path": final, "length": size + len(tail) + len(end)})
+
+        for batch in stream:
+            for k in range(batch.num_rows):
+                r = batch.slice(k, 1).to_pylist()[0]
+                if r["archive_id"] != now or sink is None:
+                    if sink is not None:
+                        finish()
+                    now, directory, size, n, part = r["archive_id"], [], 0, 0, f"{root}/.{uuid.uuid4().hex}"
+                    sink = system.open_output_stream(part, buffer_size=chunk)
+                for piece in (r["local"], r["payload"], r["trail"]):
+                    sink.write(piece)
+                    size += len(piece)
+                directory.append(r["central"])
+                n += 1
+        if sink is not None:
+            finish()
+        yield from pa.Table.from_pylist(done, arrow).to_batches()
+
+    arrow = to_arrow_schema(StructType.fromDDL(out))
+    return rows.mapInArrow(run, out)
+
+
 def pack_raw(rows: DataFrame, *, canonical: bool = True, comments: DataFrame | None = None, limits: dict | None = None) -> DataFrame:
     """As ``pack``, of payloads that are compressed already: (archive_id, name, payload, compression_method, crc32, uncompressed_size, [flags, version_needed, options])."""
     return assemble(segments(raw_specs(rows, limits=limits), canonical=canonical), comments=comments)

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from . import operators as op
-from .functions import dos_to_timestamp, external_attributes, is_symlink, name_error, sanitize_path, timestamp_to_dos, unix_mode
+from .functions import dos_to_timestamp, external_attributes, glob, is_symlink, name_error, sanitize_path, timestamp_to_dos, unix_mode
 from .operators.write import assemble, packed_specs
 
 
@@ -181,6 +181,17 @@ def extract_contents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op.extract(packed, where=F.col("name").startswith("fr/")).select("archive_id", "path", F.md5("data").alias("md5"), "error_code")
 
 
+def filtered_listing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    table = op.entries(op.pack(_documents(spark, sf_dir)))
+    return table.where(glob(F.col("name"), "[ef][nr]/*/1*.txt") & ~glob(F.col("name"), "**/*5.txt")).select("archive_id", "name")
+
+
+def duplicate_contents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Entries of equal content across archives: an inventory joined with itself by checksum and size, as a rollup."""
+    table = op.entries(op.pack(_documents(spark, sf_dir)))
+    return table.groupBy("crc32", "uncompressed_size").agg(F.count("*").alias("n")).where("n > 1").groupBy("n").agg(F.count("*").alias("groups"))
+
+
 def _orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _table(spark, sf_dir, "orders").withColumn("archive_id", F.concat(F.lit("o"), F.floor(F.col("o_orderkey") / 256))).withColumn("name", F.col("o_orderkey").cast("string"))
 
@@ -246,7 +257,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     for f in (
         archive_inventory, entry_listing, point_lookup, entry_content_roundtrip, entry_chunks, entry_crc32, verify_report, corruption_report, forward_scan, forward_scan_zip64, forward_vs_central,
         store_layout_offsets, archive_length, archive_layout, archive_chunks, method_mix, local_header_agreement, dos_timestamps, dated_entries, unix_attributes, sanitize_paths, writer_names,
-        extract_dedup_first, extract_dedup_last, extract_duplicates, extract_budget, extract_contents, modify_overlay, modify_compact, transplant_merge, determinism_offenders, determinism_report,
+        extract_dedup_first, extract_dedup_last, extract_duplicates, extract_budget, extract_contents, filtered_listing, duplicate_contents, modify_overlay, modify_compact, transplant_merge, determinism_offenders, determinism_report,
         canonicalize_idempotent, assertion_results, iso_profile,
     )
 }
@@ -296,6 +307,8 @@ select page_id, name, case when name = '' or contains(name, '\') or starts_with(
     "extract_duplicates": f"with {_L}, r as (select *, row_number() over (partition by archive_id, path order by ordinal) k from l) select archive_id, min(ordinal) ordinal, 'ZIP_EXTRACT_DUPLICATE_PATH' error_code from r where k > 1 group by 1",
     "extract_budget": f"with {_L}, r as (select *, sum(n) over (partition by archive_id order by ordinal) s from l) select archive_id, min(ordinal) ordinal, 'ZIP_LIMIT_EXCEEDED' error_code from r where s > 1000 group by 1",
     "extract_contents": f"with {_D} select archive_id, name path, md5(t) md5, null::varchar error_code from d where starts_with(name, 'fr/')",
+    "filtered_listing": f"with {_D} select archive_id, name from d where regexp_matches(name, '^[ef][nr]/[^/]*/1[^/]*[.]txt$') and not regexp_matches(name, '5[.]txt$')",
+    "duplicate_contents": "with g as (select coalesce(text, '') t, count(*) n from documents group by 1 having count(*) > 1) select n, count(*) groups from g group by n",
     "modify_overlay": _OVERLAY,
     "modify_compact": _OVERLAY,
     "transplant_merge": f"with {_D} select 'pair-' || (substr(archive_id, 6)::bigint // 2) archive_id, name, md5(t) md5, null::varchar error_code from d",

@@ -196,3 +196,18 @@ def test_chunk_stream(spark, tmp_path):
     query.awaitTermination(240)
     got = sorted((r.archive_id, r.ordinal, r.name, bytes(r.data or b""), r.error_code) for r in spark.table("seen").collect())
     assert got == [("gone", 0, None, b"", "ZIP_STREAM_TRUNCATED"), ("x", 0, "a", b"abc" * 400, None), ("x", 1, "b", b"tail", None), ("x", 2, "c", b"q" * 90, None)]
+
+
+def test_written_files(spark, tmp_path):
+    from arcframe.functions import glob
+    from arcframe.operators.write import packed_specs
+
+    frame = spark.createDataFrame([(f"z{k % 3}", f"n{k:02}", b"x" * 50 * k) for k in range(30)], "archive_id string, name string, data binary")
+    parts = op.segments(packed_specs(frame))
+    done = op.write_archives(parts, str(tmp_path / "out")).collect()
+    packed = {r.archive_id: bytes(r.content) for r in op.pack(frame).collect()}
+    assert {r.archive_id: open(r.path, "rb").read() for r in done} == packed and all(r.length == len(packed[r.archive_id]) for r in done)
+    assert len(list((tmp_path / "out").iterdir())) == 3
+    names = spark.createDataFrame([("a/b/c.txt",), ("a/c.txt",), ("c.txt",), ("a/c1txt",), ("d.txt\n",)], "n string")
+    hits = lambda p: [r.n for r in names.where(glob(F.col("n"), p)).collect()]
+    assert hits("**/*.txt") == ["a/b/c.txt", "a/c.txt", "c.txt"] and hits("*/*.txt") == ["a/c.txt"] and hits("?.txt") == ["c.txt"] and hits("[!d]*.txt") == ["c.txt"]
