@@ -5,31 +5,80 @@ Nothing here collects links or labels to the driver, and no step needs all membe
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._common import materialize
+from ._common import materialize, release
+from ._words import mix
+
+#: Links that one task contracts at a time.
+LOCAL_LINKS = 1 << 19
 
 
 def _ranked(node: Column, salt: int) -> Column:
     return F.struct(F.xxhash64(F.lit(salt), node).alias("p"), node.alias("v"))
 
 
+def _stars(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(node, centre) links that connect what the links a-b connect: every node but the centre of each component."""
+    nodes, where = np.unique(np.concatenate([a, b]), return_inverse=True)
+    x, y = where[: len(a)], where[len(a) :]
+    order = np.argsort(mix(nodes.view(np.uint64)), kind="stable")
+    rank = np.empty(len(nodes), np.int64)
+    rank[order] = np.arange(len(nodes))
+    low = rank.copy()  # least rank known to be reachable
+    while True:
+        before = low.copy()
+        least = np.minimum(low[x], low[y])
+        np.minimum.at(low, x, least)
+        np.minimum.at(low, y, least)
+        low = np.minimum(low, low[order[low]])
+        if (low == before).all():
+            break
+    off = np.flatnonzero(low != rank)
+    return nodes[off], nodes[order[low[off]]]
+
+
+def _contracted(links: DataFrame) -> DataFrame:
+    """Links of the same components, each task's share turned into stars."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+        for batch in batches:
+            held.append(batch)
+            size += batch.num_rows
+            if size >= LOCAL_LINKS:
+                yield stars(held)
+                held, size = [], 0
+        if size:
+            yield stars(held)
+
+    def stars(held: list[pa.RecordBatch]) -> pa.RecordBatch:
+        table = pa.Table.from_batches(held)
+        a, b = _stars(table.column("a").to_numpy(), table.column("b").to_numpy())
+        return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
+
+    return links.mapInArrow(run, "a long, b long")
+
+
 def connected_components(links: DataFrame) -> DataFrame:
     """(a long, b long) links -> (node, component): the smallest node reachable, for every node with a link.
 
-    Contraction: every node points to the neighbour (or itself) of least hashed rank, links are relabelled and
-    loops dropped, until none is left; the pointers of all rounds are then chained. A random order of ranks
-    contracts chains by a constant factor a round; stars take one or two rounds.
+    Contraction: each task turns its links into stars; then every node points to the neighbour (or itself) of least
+    hashed rank, links are relabelled and loops dropped, until none is left; the pointers of all rounds are then
+    chained. A random order of ranks contracts chains by a constant factor a round; stars take one or two rounds.
     """
-    current = links.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a <> b").distinct()
+    current = links.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a <> b")
     layers: list[DataFrame] = []
     while True:
         current = materialize(current)
         if layers and current.isEmpty():
             break
+        current = _contracted(current)  # whatever a second run contracts otherwise has the same components
         salt = len(layers)
         both = current.select(F.col("a").alias("node"), F.col("b").alias("other")).unionAll(current.select("b", "a"))
         least = both.groupBy("node").agg(F.min(_ranked(F.col("other"), salt)).alias("m"))
@@ -37,7 +86,7 @@ def connected_components(links: DataFrame) -> DataFrame:
         layers.append(layer)
         left, right = layer.select(F.col("node").alias("a"), F.col("to").alias("ta")), layer.select(F.col("node").alias("b"), F.col("to").alias("tb"))
         moved = current.join(left, "a").join(right, "b").where("ta <> tb")
-        current = moved.select(F.least("ta", "tb").alias("a"), F.greatest("ta", "tb").alias("b")).distinct()
+        current = moved.select(F.least("ta", "tb").alias("a"), F.greatest("ta", "tb").alias("b"))
     chained = layers[-1]
     for layer in reversed(layers[:-1]):
         later = chained.select(F.col("node").alias("to"), F.col("to").alias("end"))
@@ -48,39 +97,112 @@ def connected_components(links: DataFrame) -> DataFrame:
     return materialize(chained.join(names, "to").select("node", "component"))
 
 
-def cluster_buckets(rows: DataFrame, verify: Callable[[DataFrame], DataFrame]) -> DataFrame:
+def _joined(found: DataFrame, links: DataFrame) -> DataFrame:
+    """Components once further links are there: those links connect old components, which is a small graph."""
+    of = lambda x: found.select(F.col("node").alias(x), F.col("component").alias("c" + x))
+    ends = links.join(of("a"), "a", "left").join(of("b"), "b", "left").select("a", "b", F.coalesce("ca", "a").alias("ca"), F.coalesce("cb", "b").alias("cb"))
+    ends = materialize(ends)
+    merged = connected_components(ends.select(F.col("ca").alias("a"), F.col("cb").alias("b")))
+    fresh = ends.select(F.col("a").alias("node"), F.col("ca").alias("component")).unionAll(ends.select("b", "cb")).where("node = component").distinct()
+    known = found.where("node = component").select("node")
+    every = found.unionAll(fresh.join(known, "node", "left_anti").select("node", "component"))
+    moved = merged.select(F.col("node").alias("component"), F.col("component").alias("now"))
+    return materialize(every.join(moved, "component", "left").select("node", F.coalesce("now", "component").alias("component")))
+
+
+def cluster_buckets(rows: DataFrame, verify: Callable[[DataFrame], DataFrame], payload: Callable[[], DataFrame], match: Callable[[pa.Table, pa.Table], tuple[np.ndarray, np.ndarray]], *, few: int = 16, block: int = 1024) -> DataFrame:
     """Components of the links that hold inside buckets.
 
-    ``rows``: (key long, node long), one row for each bucket and member. ``verify``: (a, b) pairs -> those that are links.
-    Result: (node, component) for nodes with a link. It equals testing all pairs that share a bucket, yet
-    emits few: members are first held against one pivot of their bucket; only buckets that still
-    span several components go on, first against a second pivot, then member against member of other components.
+    ``rows``: (key long, node long), one row for each bucket and member. ``verify``: (a, b) pairs -> those that are links;
+    it is called first, with every member of a shared bucket among the pairs. ``payload``: (node, ...) what a check
+    needs, for all those; ``match``: rows of payload left and right -> indices of the links between them.
+
+    Result: (node, component) for nodes with a link. It equals testing all pairs that share a bucket, yet emits
+    few: members are held against one pivot of their bucket, then, in buckets that still span several components,
+    against a second one. What then still spans several goes on without exception: in buckets of up to ``few``
+    members as pairs across components, in larger ones by blocks, in which the members outside the bucket's largest
+    component meet all others and only a spanning forest of the links found comes out.
     """
     sized = rows.groupBy("key").agg(F.count("*").alias("n"), F.min(_ranked(F.col("node"), 0)).alias("m")).where("n > 1")
-    rows = materialize(rows.join(sized.select("key", F.col("m.v").alias("pivot")), "key"))
+    rows = materialize(rows.join(sized.select("key", "n", F.col("m.v").alias("pivot")), "key"))
+    del sized
+    release(rows.sparkSession)
     tested = materialize(_pairs(rows.where("node <> pivot"), "node", "pivot"))
-    links = materialize(verify(tested))
-    found = connected_components(links)
-    for last in (False, True):
+    found = connected_components(verify(tested))
+
+    def spanning() -> tuple[DataFrame, DataFrame]:
         comp = F.coalesce("component", "node").alias("comp")
-        labelled = rows.select("key", "node").join(found, "node", "left").select("key", "node", comp)
+        labelled = rows.select("key", "n", "node").join(found, "node", "left").select("key", "n", "node", comp)
         second = F.min(F.struct(F.xxhash64(F.lit(7), "key", "node").alias("p"), F.col("node").alias("v"), F.col("comp").alias("c"))).alias("m")
-        spans = labelled.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), second).where("lo <> hi")
-        if last:
-            one = labelled.join(spans.select("key"), "key", "left_semi")
-            other = one.select("key", F.col("node").alias("other"), F.col("comp").alias("other_comp"))
-            pairs = _pairs(one.join(other, "key").where("comp < other_comp"), "node", "other")
-        else:
-            pairs = _pairs(labelled.join(spans.select("key", F.col("m.v").alias("pivot"), F.col("m.c").alias("pivot_comp")), "key").where("comp <> pivot_comp"), "node", "pivot")
-        fresh = materialize(pairs.join(tested, ["a", "b"], "left_anti"))
-        if fresh.isEmpty():
-            continue
-        more = materialize(verify(fresh))
-        tested = tested.unionAll(fresh)
-        if not more.isEmpty():
-            links = links.unionAll(more)
-            found = connected_components(links)
-    return found
+        return labelled, labelled.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), second).where("lo <> hi")
+
+    labelled, spans = spanning()
+    pairs = _pairs(labelled.join(spans.select("key", F.col("m.v").alias("pivot"), F.col("m.c").alias("pivot_comp")), "key").where("comp <> pivot_comp"), "node", "pivot")
+    fresh = materialize(pairs.join(tested, ["a", "b"], "left_anti"))
+    if not fresh.isEmpty():
+        found = _joined(found, verify(fresh))
+    labelled, spans = spanning()
+    open_rows = materialize(labelled.join(spans.select("key"), "key", "left_semi"))
+    one = open_rows.where(F.col("n") <= few)
+    other = one.select("key", F.col("node").alias("other"), F.col("comp").alias("other_comp"))
+    pairs = _pairs(one.join(other, "key").where("comp < other_comp"), "node", "other")
+    fresh = materialize(pairs.join(tested, ["a", "b"], "left_anti").join(fresh, ["a", "b"], "left_anti"))
+    links = verify(fresh) if not fresh.isEmpty() else fresh
+    large = open_rows.where(F.col("n") > few)
+    if not large.isEmpty():
+        links = links.unionAll(_block_links(large, payload(), match, block))
+    elif fresh.isEmpty():
+        return found
+    return _joined(found, links)
+
+
+def _block_links(members: DataFrame, payload: DataFrame, match: Callable, block: int) -> DataFrame:
+    """Links between components, from (key, node, comp) rows of buckets of any size."""
+    sizes = members.groupBy("key", "comp").agg(F.count("*").alias("k")).groupBy("key").agg(F.sum("k").alias("all"), F.max(F.struct("k", "comp")).alias("core"))
+    cut = lambda n: F.ceil(n / block).cast("int")
+    sizes = sizes.select("key", F.col("core.comp").alias("core"), cut(F.col("all")).alias("rights"), cut(F.col("all") - F.col("core.k")).alias("lefts"))
+    placed = members.join(sizes, "key")
+    part = lambda n: F.pmod(F.xxhash64(F.lit(3), "node"), n).cast("int")
+    upto = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
+    right = placed.select("key", upto(F.col("lefts")).alias("i"), part(F.col("rights")).alias("j"), F.lit(1).alias("side"), "node", "comp")
+    left = placed.where("comp <> core").select("key", part(F.col("lefts")).alias("i"), upto(F.col("rights")).alias("j"), F.lit(0).alias("side"), "node", "comp")
+    by = ["key", "i", "j"]
+    dealt = right.unionAll(left).join(payload, "node").repartition(*by).sortWithinPartitions(*by)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rest: pa.Table | None = None
+        for batch in batches:
+            table = pa.Table.from_batches([batch])
+            table = pa.concat_tables([rest, table]) if rest is not None else table
+            cuts = group_cuts(table, by)
+            for a, b in zip(cuts[:-2], cuts[1:-1]):
+                yield from linked(table.slice(a, b - a))
+            rest = table.slice(cuts[-2])
+        if rest is not None and rest.num_rows:
+            yield from linked(rest)
+
+    def linked(group: pa.Table) -> Iterator[pa.RecordBatch]:
+        side = group.column("side").to_numpy()
+        left, right = (group.filter(pa.array(side == k)) for k in (0, 1))
+        if not left.num_rows or not right.num_rows:
+            return
+        x, y = match(left, right)
+        keep = left.column("comp").to_numpy()[x] != right.column("comp").to_numpy()[y]
+        a, b = left.column("node").to_numpy()[x[keep]], right.column("node").to_numpy()[y[keep]]
+        if len(a):
+            a, b = _stars(a, b)
+            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
+
+    return dealt.mapInArrow(run, "a long, b long")
+
+
+def group_cuts(table: pa.Table, by: list[str]) -> list[int]:
+    """Where groups begin in sorted rows, and the end."""
+    new = np.zeros(table.num_rows, bool)
+    for c in by:
+        x = table.column(c).to_numpy()
+        new[1:] |= x[1:] != x[:-1]
+    return [0, *np.flatnonzero(new).tolist(), table.num_rows]
 
 
 def _pairs(rows: DataFrame, a: str, b: str) -> DataFrame:

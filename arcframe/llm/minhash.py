@@ -144,14 +144,33 @@ def near_duplicates(docs: DataFrame, *, text: str = "text", id_col: str = "doc_i
     def verify(pairs: DataFrame) -> DataFrame:
         if not sets:  # every member of a shared bucket is in the first pairs
             needed = pairs.select(F.col("a").alias("_row")).unionAll(pairs.select("b")).distinct()
-            texts = stored.select("_row", F.col(text).alias("t")).join(needed, "_row", "left_semi")
+            texts = stored.select("_row", F.col(text).alias("t")).join(needed.hint("merge"), "_row", "left_semi")
             sets.append(materialize(map_arrow(texts, runs, "node long, runs array<long>")))
             release(spark)
-        a, b = (sets[0].select(F.col("node").alias(x), F.col("runs").alias(f"s{x}")) for x in "ab")
+        a, b = (sets[0].select(F.col("node").alias(x), F.col("runs").alias(f"s{x}")).hint("merge") for x in "ab")  # the same plan at any size
         both = F.size(F.array_intersect("sa", "sb"))
         return pairs.join(a, "a").join(b, "b").where(both >= F.lit(threshold) * (F.size("sa") + F.size("sb") - both) - 1e-9).select("a", "b")
 
-    found = cluster_buckets(nodes.select(F.explode("keys").alias("key"), "node"), verify)
+    def match(left: pa.Table, right: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+        """Jaccard of all left with all right, by products of 0/1 rows over the runs, a slab of runs at a time."""
+        parts = [t.column("runs").combine_chunks() for t in (left, right)]
+        sizes = [p.value_lengths().to_numpy() for p in parts]
+        _, ids = np.unique(np.concatenate([p.flatten().to_numpy() for p in parts]), return_inverse=True)
+        split = np.split(ids, [int(sizes[0].sum())])
+        owners = [np.repeat(np.arange(len(n)), n) for n in sizes]
+        both = np.zeros((len(sizes[0]), len(sizes[1])), np.float32)
+        for a in range(0, int(ids.max(initial=-1)) + 1, 4096):
+            slabs = []
+            for n, i, owner in zip(sizes, split, owners, strict=True):
+                here = (i >= a) & (i < a + 4096)
+                slab = np.zeros((len(n), 4096), np.float32)
+                slab[owner[here], i[here] - a] = 1
+                slabs.append(slab)
+            both += slabs[0] @ slabs[1].T
+        union = sizes[0][:, None] + sizes[1][None, :] - both
+        return np.nonzero(both >= threshold * union - 1e-6)
+
+    found = cluster_buckets(nodes.select(F.explode("keys").alias("key"), "node"), verify, lambda: sets[0], match)
     labelled = nodes.select(*same, "head", "node").join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
     first = labelled.groupBy("component").agg(F.min("head").alias("first"))
     labelled = labelled.join(first, "component").select(*same, F.col("first.id").alias("class_id"), F.col("first.row").alias("_keeper"))

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._common import map_arrow, materialize
-from ._graph import connected_components
+from ._graph import connected_components, group_cuts
 
 
 def _agree(width: float, distance: float) -> float:
@@ -92,19 +92,20 @@ def near_vectors(rows: DataFrame, *, vec: str = "embedding", id_col: str = "vec_
     member = member.select("t", "key", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"), "part", "node")
     member = member.join(nodes.select("node", "m", "keys", "unit"), "node")
 
+    by = ["t", "key", "i", "j"]
+
     def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rest: pa.Table | None = None
         for batch in batches:
             table = pa.Table.from_batches([batch])
             table = pa.concat_tables([rest, table]) if rest is not None else table
-            cut = _cuts(table)
+            cut = group_cuts(table, by)
             if len(cut) > 2:
                 yield from _linked(table.slice(0, cut[-2]), cut[:-1], threshold)
             rest = table.slice(cut[-2])
         if rest is not None:
-            yield from _linked(rest, _cuts(rest), threshold)
+            yield from _linked(rest, group_cuts(rest, by), threshold)
 
-    by = ["t", "key", "i", "j"]
     dealt = member.repartition(*by).sortWithinPartitions(*by)
     tested = materialize(dealt.mapInArrow(blocks, "node long, links long, root long"))
     links = tested.where("links > 0").groupBy("node").agg(F.sum("links").alias("links"))
@@ -118,21 +119,12 @@ def near_vectors(rows: DataFrame, *, vec: str = "embedding", id_col: str = "vec_
     return out.select(F.col("id").alias(id_col), F.col("label").alias(label), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), "component_id", F.coalesce(F.col("id") == F.col("component_id"), F.lit(True)).alias("kept"))
 
 
-def _cuts(table: pa.Table) -> np.ndarray:
-    """Where blocks begin, and the end, in rows sorted by block."""
-    new = np.zeros(table.num_rows, bool)
-    for c in ("t", "key", "i", "j"):
-        x = table.column(c).to_numpy()
-        new[1:] |= x[1:] != x[:-1]
-    return np.concatenate(([0], np.flatnonzero(new), [table.num_rows]))
-
-
-def _linked(table: pa.Table, cuts: np.ndarray, threshold: float) -> Iterator[pa.RecordBatch]:
+def _linked(table: pa.Table, cuts: list[int], threshold: float) -> Iterator[pa.RecordBatch]:
     node, m, part, i, j, t = (table.column(c).to_numpy() for c in ("node", "m", "part", "i", "j", "t"))
     keys = np.array(table.column("keys").to_pylist(), np.int64)
     units = table.column("unit").to_pylist()
     out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-    for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+    for a, b in zip(cuts[:-1], cuts[1:], strict=True):
         if b - a < 2:
             continue
         here = np.frombuffer(b"".join(units[a:b]), np.float64).reshape(b - a, -1)
