@@ -7,11 +7,11 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._common import by_bytes, map_arrow, texts_of
+from ._words import mix
 
 _LETTERS = re.compile(r"[^\W\d_]+")
 UNDETERMINED = "und"
@@ -20,15 +20,37 @@ UNDETERMINED = "und"
 def letter_words(text: str) -> list[str]:
     """Runs of letters, in lower case (number signs that are no letters fall out)."""
     found = _LETTERS.findall(text.lower())
-    return found if text.isascii() else [w for w in found if any(map(str.isalpha, w))]
+    return found if "".join(found).isalpha() or not found else [w for w in found if any(map(str.isalpha, w))]
 
 
-def word_features(word: str) -> list[str]:
-    """The word itself (lexicon), its affixes of up to four letters, its inner letter pairs and triples, its length class."""
-    marked = f"^{word[:40]}$"
-    grams = [marked[i : i + n] for n in (2, 3) for i in range(len(marked) - n + 1)]
-    affixes = [f"<{word[:n]}" for n in (1, 2, 3, 4)] + [f">{word[-n:]}" for n in (1, 2, 3, 4)]
-    return ["=" + word, *affixes, *grams, f"#{min(len(word), 12)}"]
+def word_features(words: list[str], size: int) -> tuple[np.ndarray, np.ndarray]:
+    """(word, feature id) pairs, for all words at once; ids are hashes below ``size``, a power of two.
+
+    With ^ and $ for the ends of a word (of up to 40 letters): the word itself (lexicon), all runs of two and three
+    characters, and at both ends also those of four and five, so affixes of up to four letters.
+    """
+    marked = [f"^{w[:40]}$" for w in words]
+    codes = mix(np.frombuffer("".join(marked).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64))
+    lengths = np.array([len(m) for m in marked], np.int64)
+    starts = np.cumsum(lengths) - lengths
+    owner = np.repeat(np.arange(len(words)), lengths)
+    place = np.arange(len(codes)) - starts[owner]
+    left = lengths[owner] - place
+    owners, ids = [], []
+    with np.errstate(over="ignore"):
+        run = codes
+        for n in range(2, 6):
+            run = mix(run[: len(codes) - n + 1] + codes[n - 1 :] * np.uint64(2 * n + 1) + np.uint64(n))
+            whole = left[: len(run)] >= n
+            if n > 3:
+                whole &= (place[: len(run)] == 0) | (left[: len(run)] == n)
+            at = np.flatnonzero(whole)
+            owners.append(owner[at])
+            ids.append(run[at])
+        each = mix(codes + place.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+        owners.append(np.arange(len(words)))
+        ids.append(mix(np.add.reduceat(each, starts) + np.uint64(77)) if len(words) else codes)
+    return np.concatenate(owners), (np.concatenate(ids) & np.uint64(size - 1)).astype(np.int64)
 
 
 @dataclass
@@ -40,8 +62,10 @@ class Crf:
     transitions: np.ndarray  # (labels, labels)
     start: np.ndarray
 
-    def feature_ids(self, word: str) -> np.ndarray:
-        return np.array([xxhash.xxh32_intdigest(f) & (len(self.weights) - 1) for f in word_features(word)], np.int64)
+    def word_scores(self, words: list[str]) -> np.ndarray:
+        """(words, labels) emission scores."""
+        owner, ids = word_features(words, len(self.weights))
+        return np.stack([np.bincount(owner, self.weights[ids, k], len(words)) for k in range(len(self.labels))], axis=1).astype(np.float32)
 
     def posteriors(self, scores: np.ndarray, lengths: np.ndarray) -> np.ndarray:
         """Forward-backward over padded sequences: scores (time, sequences, labels) -> probabilities of the labels there.
@@ -87,9 +111,10 @@ def train(texts: list[str], labels: list[str], *, bits: int = 17, length: int =
     vocabulary: dict[str, int] = {}
     sequences = [np.array([vocabulary.setdefault(w, len(vocabulary)) for w in words[i]], np.int64) for i in usable]
     tags = np.array([names.index(labels[i]) for i in usable])
-    features = [crf.feature_ids(w) for w in vocabulary]
-    sizes = np.array([len(f) for f in features])
-    flat, starts = np.concatenate(features), np.concatenate(([0], np.cumsum(sizes)))
+    owner, flat = word_features(list(vocabulary), len(crf.weights))
+    flat = flat[np.argsort(owner, kind="stable")]
+    sizes = np.bincount(owner, minlength=len(vocabulary))
+    starts = np.concatenate(([0], np.cumsum(sizes)))
     square, square_moves = np.full_like(crf.weights, 1e-3), np.full_like(crf.transitions, 1e-3)
     by_tag = [np.flatnonzero(tags == k) for k in range(len(names))]
     steps = rounds * max(1, sum(min(len(s), 400) for s in sequences) // (batch * length))
@@ -191,40 +216,40 @@ def tag_documents(docs: DataFrame, crf: Crf, *, text: str = "text", cells: int =
     def make():
         crf, known = model.value, {}
         k = len(crf.labels)
+        table = np.zeros((1 << 18, k), np.float32)
 
-        def word_scores(words: list[str]) -> np.ndarray:
-            new = [w for w in set(words) if w not in known]
-            if len(known) + len(new) > 1 << 18:
+        def scores_of(words: list[list[str]]) -> list[np.ndarray]:
+            """Scores of the words of some texts; each distinct word is scored once, until the table is full."""
+            new = list(set().union(*words).difference(known))
+            if len(known) + len(new) > len(table):
                 known.clear()
-                new = list(set(words))
-            ids = [crf.feature_ids(w) for w in new]
+                new = list(set().union(*words))
+            if len(new) > len(table):
+                return [crf.word_scores(w) for w in words]
             if new:
-                starts = np.cumsum([0, *map(len, ids)])[:-1]
-                known.update(zip(new, np.add.reduceat(crf.weights[np.concatenate(ids)], starts, axis=0), strict=True))
-            return np.array(list(map(known.__getitem__, words)), np.float32).reshape(len(words), k)
+                table[len(known) : len(known) + len(new)] = crf.word_scores(new)
+                known.update(zip(new, range(len(known), len(known) + len(new)), strict=True))
+            return [table[np.fromiter(map(known.__getitem__, w), np.int64, len(w))] for w in words]
 
         def each(batch: pa.RecordBatch) -> pa.RecordBatch:
             texts = texts_of(batch, text)
-            sums, sizes = np.zeros((len(texts), k)), np.zeros(len(texts), np.int64)
-            for a, b in by_bytes([len(x) for x in texts], 8 << 20):
-                words = [letter_words(x) if k else [] for x in texts[a:b]]  # without labels nothing can be said
-                scores = [word_scores(w) for w in words]
-                order = sorted((i for i in range(b - a) if words[i]), key=lambda i: -len(words[i]))
-                at = 0
-                while at < len(order):  # texts of like length side by side, padded to the longest
-                    longest = len(words[order[at]])
-                    end = at + 1
-                    while end < len(order) and (end - at + 1) * longest <= cells and len(words[order[end]]) * 1.5 >= longest:
-                        end += 1
-                    group = order[at:end]
-                    padded = np.zeros((longest, len(group), k), np.float32)
-                    for c, i in enumerate(group):
-                        padded[: len(words[i]), c] = scores[i]
-                    lengths = np.array([len(words[i]) for i in group])
-                    rows = a + np.array(group)
-                    sums[rows] = crf.posteriors(padded, lengths).sum(axis=0)
-                    sizes[rows] = lengths
-                    at = end
+            scores: list[np.ndarray] = []
+            for a, b in by_bytes([len(x) for x in texts], 2 << 20):
+                scores += scores_of([letter_words(x) if k else [] for x in texts[a:b]])  # without labels nothing can be said
+            sizes = np.array([len(x) for x in scores], np.int64)
+            sums = np.zeros((len(texts), k))
+            order = np.argsort(-sizes, kind="stable")[: int((sizes > 0).sum())]
+            at = 0
+            while at < len(order):  # texts of like length side by side, padded to the longest
+                longest = int(sizes[order[at]])
+                fit = int(np.searchsorted(-sizes[order], -longest / 1.5, "right"))
+                group = order[at : max(at + 1, min(fit, at + max(1, cells // longest)))]
+                padded = np.zeros((longest, len(group), k), np.float32)
+                for c, i in enumerate(group):
+                    padded[: sizes[i], c] = scores[i]
+                    scores[i] = scores[i][:0]
+                sums[group] = crf.posteriors(padded, sizes[group]).sum(axis=0)
+                at += len(group)
             share = sums / np.maximum(sizes, 1)[:, None]
             best = share.argmax(axis=1) if k else np.zeros(len(texts), np.int64)
             langs = [crf.labels[j] if n and k else UNDETERMINED for j, n in zip(best, sizes, strict=True)]
