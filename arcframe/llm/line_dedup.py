@@ -6,7 +6,7 @@ import math
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._common import map_arrow, materialize, release
@@ -17,9 +17,21 @@ from ._words import WORD, Texts, mix, read_words
 BITS, PARTS = 256, 4
 
 
-def normal_text(text: Column) -> Column:
-    """Lower case, with runs of digits as one 0; words and lines stay where they are."""
-    return F.regexp_replace(F.lower(text), "[0-9]+", "0")
+_FOLD = np.arange(256, dtype=np.uint8)
+_FOLD[ord("A") : ord("Z") + 1] += 32
+_FOLD[ord("0") : ord("9") + 1] = ord("0")
+
+
+def normalized(column: pa.Array) -> pa.Array:
+    """Texts with letters of ASCII and Latin-1 in lower case and every digit as 0; bytes, words and lines stay where they are."""
+    column = column.cast(pa.large_string()).fill_null("")
+    if not len(column) or column.buffers()[2] is None:
+        return column
+    data = _FOLD[np.frombuffer(column.buffers()[2], np.uint8)]
+    after = np.flatnonzero(data[:-1] == 0xC3) + 1  # the second byte of a Latin-1 letter
+    upper = after[(data[after] >= 0x80) & (data[after] <= 0x9E) & (data[after] != 0x97)]
+    data[upper] += 32
+    return pa.LargeStringArray.from_buffers(len(column), column.buffers()[1], pa.py_buffer(data), offset=column.offset)
 
 
 def edit_distance(a: str, b: str) -> int:
@@ -63,11 +75,18 @@ def similar(a: str, b: str, threshold: float) -> bool:
 
 
 def simhash(hashes: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-    """(lines, PARTS) unsigned numbers: for each line the majority of its words' hash bits, 256 of them.
+    """(lines, PARTS) unsigned numbers: for each line the majority of the hash bits, 256 of them, of its different words.
 
-    ``hashes``: the words of all lines one after another; ``sizes``: words of each line, at least one. The bits of eight
-    words' bytes are counted in one number, at most 255 words at a time.
+    ``hashes``: the words of all lines one after another; ``sizes``: words of each line, at least one. Repeated words
+    count once, or a frequent one would make unlike lines alike. Eight bits are counted in one number, at most
+    255 words at a time.
     """
+    owner = np.repeat(np.arange(len(sizes)), sizes)
+    order = np.lexsort((hashes, owner))
+    hashes, owner = hashes[order], owner[order]
+    fresh = np.ones(len(hashes), bool)
+    fresh[1:] = (hashes[1:] != hashes[:-1]) | (owner[1:] != owner[:-1])
+    hashes, sizes = hashes[fresh], np.bincount(owner[fresh], minlength=len(sizes))
     out, at, first = np.empty((len(sizes), PARTS), np.uint64), 0, 0
     ends = np.cumsum(sizes)
     while at < len(sizes):
@@ -106,13 +125,13 @@ def line_hashes(texts: Texts) -> tuple[np.ndarray, ...]:
 
 def block_width(lines: int) -> int:
     """Bits of a block: so many that random lines rarely share one, at any number of lines."""
-    return int(min(32, max(16, math.ceil(math.log2(max(lines, 1) + 1)) + 3)))
+    return int(min(32, max(16, math.ceil(math.log2(max(lines, 1) + 1)) + 5)))
 
 
 def dedup_lines(docs: DataFrame, *, text: str = "text", id_col: str = "doc_id", threshold: float = 0.8) -> DataFrame:
     """``docs`` with ``text`` cut to the kept lines, and n_lines, n_removed: one occurrence of each group of lines stays.
 
-    Lines are split at line feeds and compared as normalised words (lower case, digits as 0, single blanks). Lines are
+    Lines are split at line feeds and compared as normalised words (lower case of ASCII and Latin-1, digits as 0, single blanks). Lines are
     linked if their 256-bit SimHashes share a block (so all within as many differing bits as there are blocks, less
     one, and most others that are near) and their edit similarity is at least ``threshold``. Of each connected group the
     first occurrence, in order of id, row and line, is kept. Equal normalised lines are one node and never paired.
@@ -128,7 +147,7 @@ def dedup_lines(docs: DataFrame, *, text: str = "text", id_col: str = "doc_id",
         def each(batch: pa.RecordBatch) -> pa.RecordBatch:
             parts = []
             for a in range(0, batch.num_rows, 256):
-                texts = read_words(batch.column(1).slice(a, 256))
+                texts = read_words(normalized(batch.column(2).slice(a, 256)))
                 first, sizes, owner, number, found = line_hashes(texts)
                 _, new = np.unique(found, return_index=True)  # one SimHash for equal lines
                 sim = np.zeros((len(found), PARTS), np.uint64)
@@ -137,8 +156,8 @@ def dedup_lines(docs: DataFrame, *, text: str = "text", id_col: str = "doc_id",
                 of = np.repeat(mine, sizes)
                 sim[mine] = simhash(texts.hashes[of], sizes[mine])
                 columns = [pa.array(np.ascontiguousarray(sim[:, p]).view(np.int64), pa.int64(), mask=~mine) for p in range(PARTS)]
-                rows = batch.column(0).slice(a, 256).take(pa.array(owner))
-                parts.append(pa.RecordBatch.from_arrays([rows, pa.array(number, pa.int32()), pa.array(found.view(np.int64)), *columns], ["_row", "line", "node", *[f"s{p}" for p in range(PARTS)]]))
+                rows, ids = (batch.column(c).slice(a, 256).take(pa.array(owner)) for c in (0, 1))
+                parts.append(pa.RecordBatch.from_arrays([rows, ids, pa.array(number, pa.int32()), pa.array(found.view(np.int64)), *columns], ["_row", "_id", "line", "node", *[f"s{p}" for p in range(PARTS)]]))
             return pa.Table.from_batches(parts).combine_chunks().to_batches()[0] if any(p.num_rows for p in parts) else parts[0]
 
         return each
@@ -150,8 +169,9 @@ def dedup_lines(docs: DataFrame, *, text: str = "text", id_col: str = "doc_id",
                 split = t.split("\n")
                 for x in needs:
                     nodes.append(x["node"])
-                    lines.append(" ".join(WORD.findall(split[x["line"]])))
-            return pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(lines, pa.string())], ["node", "words"])
+                    lines.append(split[x["line"]])
+            words = [" ".join(WORD.findall(x)) for x in normalized(pa.array(lines, pa.string())).to_pylist()]
+            return pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(words, pa.string())], ["node", "words"])
 
         return each
 
@@ -162,11 +182,10 @@ def dedup_lines(docs: DataFrame, *, text: str = "text", id_col: str = "doc_id",
 
         return each
 
-    schema = "_row long, line int, node long, " + ", ".join(f"s{p} long" for p in range(PARTS))
-    ids = stored.select("_row", F.col(id_col).alias("_id"))
-    lines = materialize(map_arrow(stored.select("_row", normal_text(F.col(text)).alias("t")), split, schema))
+    schema = f"_row long, _id {docs.schema[id_col].dataType.simpleString()}, line int, node long, " + ", ".join(f"s{p} long" for p in range(PARTS))
+    lines = materialize(map_arrow(stored.select("_row", F.col(id_col).alias("_id"), F.col(text).alias("t")), split, schema))
     place = F.struct(F.col("_id").isNull().alias("none"), F.col("_id").alias("id"), F.col("_row").alias("row"), F.col("line").alias("line"))
-    nodes = lines.join(ids, "_row").groupBy("node").agg(F.min(place).alias("first"), F.count("*").alias("n"), *[F.max(f"s{p}").alias(f"s{p}") for p in range(PARTS)])
+    nodes = lines.groupBy("node").agg(F.min(place).alias("first"), F.count("*").alias("n"), *[F.max(f"s{p}").alias(f"s{p}") for p in range(PARTS)])
     nodes = materialize(nodes)
     release(spark)
     width = block_width(nodes.count())
@@ -177,16 +196,29 @@ def dedup_lines(docs: DataFrame, *, text: str = "text", id_col: str = "doc_id",
     def verify(pairs: DataFrame) -> DataFrame:
         if not known:  # every member of a shared block is in the first pairs
             needed = pairs.select(F.col("a").alias("node")).unionAll(pairs.select("b")).distinct()
-            at = nodes.select("node", F.col("first.row").alias("_row"), F.col("first.line").alias("line")).join(needed, "node", "left_semi")
+            at = nodes.select("node", F.col("first.row").alias("_row"), F.col("first.line").alias("line")).join(needed.hint("merge"), "node", "left_semi")
             at = at.groupBy("_row").agg(F.collect_list(F.struct("node", "line")).alias("needs"))  # lines of one document
-            wanted = stored.select("_row", F.col(text).alias("t")).join(at, "_row").select(normal_text(F.col("t")).alias("t"), "needs")
+            wanted = stored.select("_row", F.col(text).alias("t")).join(at.hint("merge"), "_row").select("t", "needs")
             known.append(materialize(map_arrow(wanted, texts, "node long, words string")))
             release(spark)
-        a, b = (known[0].select(F.col("node").alias(x), F.col("words").alias(f"w{x}")) for x in "ab")
+        a, b = (known[0].select(F.col("node").alias(x), F.col("words").alias(f"w{x}")).hint("merge") for x in "ab")  # the same plan at any size
         near = F.abs(F.length("wa") - F.length("wb")) <= F.greatest(F.length("wa"), F.length("wb")) * (1 - threshold) + 1e-9
         return map_arrow(pairs.join(a, "a").join(b, "b").where(near).select("a", "b", "wa", "wb"), check, "a long, b long")
 
-    found = cluster_buckets(nodes.select(F.explode(keys).alias("key"), "node"), verify)
+    def match(left: pa.Table, right: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+        """One member of each component on the right that is similar, for each on the left."""
+        x, y = [], []
+        comps, others = right.column("comp").to_pylist(), right.column("words").to_pylist()
+        for i, (own, words) in enumerate(zip(left.column("comp").to_pylist(), left.column("words").to_pylist(), strict=True)):
+            done = {own}
+            for k, comp in enumerate(comps):
+                if comp not in done and similar(words, others[k], threshold):
+                    done.add(comp)
+                    x.append(i)
+                    y.append(k)
+        return np.array(x, np.int64), np.array(y, np.int64)
+
+    found = cluster_buckets(nodes.select(F.explode(keys).alias("key"), "node"), verify, lambda: known[0], match)
     grouped = nodes.select("node", "n", "first").join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
     heads = grouped.groupBy("component").agg(F.min("first").alias("head"), F.sum("n").alias("all")).where("all > 1")
     heads = materialize(grouped.join(heads, "component").select("node", F.col("head.row").alias("keep_row"), F.col("head.line").alias("keep_line")))
