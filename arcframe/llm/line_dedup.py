@@ -81,26 +81,29 @@ def simhash(hashes: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     count once, or a frequent one would make unlike lines alike. Eight bits are counted in one number, at most
     255 words at a time.
     """
-    owner = np.repeat(np.arange(len(sizes)), sizes)
-    order = np.lexsort((hashes, owner))
-    hashes, owner = hashes[order], owner[order]
-    fresh = np.ones(len(hashes), bool)
-    fresh[1:] = (hashes[1:] != hashes[:-1]) | (owner[1:] != owner[:-1])
-    hashes, sizes = hashes[fresh], np.bincount(owner[fresh], minlength=len(sizes))
+    owner = np.repeat(np.arange(len(sizes), dtype=np.uint64), sizes)
+    keys = np.unique(owner << np.uint64(40) | hashes >> np.uint64(24))  # 40 bits of a hash tell the words of a line apart
+    owner, hashes = (keys >> np.uint64(40)).astype(np.int64), mix(keys & np.uint64((1 << 40) - 1))
+    sizes = np.bincount(owner, minlength=len(sizes))
     out, at, first = np.empty((len(sizes), PARTS), np.uint64), 0, 0
     ends = np.cumsum(sizes)
     while at < len(sizes):
-        to = max(at + 1, int(np.searchsorted(ends, first + (1 << 17), "right")))
-        counts = np.zeros((to - at, BITS), np.int64)
-        for a in range(first, int(ends[to - 1]), 1 << 17):  # only a line that long alone takes several turns
-            b = min(a + (1 << 17), int(ends[to - 1]))
-            lines = np.searchsorted(ends, np.arange(a, b), "right") - at
+        to = max(at + 1, int(np.searchsorted(ends, first + (1 << 16), "right")))
+        counts = np.zeros((to - at, BITS), np.int32)
+        for a in range(first, int(ends[to - 1]), 1 << 16):  # only a line that long alone takes several turns
+            b = min(a + (1 << 16), int(ends[to - 1]))
+            lines = owner[a:b]
             with np.errstate(over="ignore"):
                 bits = np.unpackbits(np.stack([mix(hashes[a:b] + np.uint64(k)) for k in range(1, PARTS + 1)], axis=1).view(np.uint8), axis=1)
-            nth = np.arange(b - a) - np.searchsorted(lines, lines)
+            nth = np.arange(a, b) - np.maximum(ends[lines] - sizes[lines], a)
             cuts = np.flatnonzero(nth % 255 == 0)
             counted = np.add.reduceat(bits.view(np.uint64), cuts, axis=0).view(np.uint8)
-            np.add.at(counts, lines[cuts], counted)
+            where = lines[cuts] - at
+            once = np.flatnonzero(np.diff(where, prepend=-1))  # most lines have one part
+            counts[where[once]] += counted[once]
+            if len(once) < len(where):
+                more = np.setdiff1d(np.arange(len(where)), once)
+                np.add.at(counts, where[more], counted[more])
         out[at:to] = np.packbits(counts * 2 > sizes[at:to, None], axis=1).view(np.uint64)
         at, first = to, int(ends[to - 1])
     return out

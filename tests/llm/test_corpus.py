@@ -421,7 +421,7 @@ def plain_simhashes(lines):
     words = read_words(pa.array(lines))
     out = []
     for a, b in zip(words.bounds[:-1], words.bounds[1:]):
-        bits = np.unpackbits(np.stack([mix(np.unique(words.hashes[a:b]) + np.uint64(k)) for k in range(1, 5)], axis=1).view(np.uint8), axis=1)
+        bits = np.unpackbits(np.stack([mix(mix(np.unique(words.hashes[a:b] >> np.uint64(24))) + np.uint64(k)) for k in range(1, 5)], axis=1).view(np.uint8), axis=1)
         out.append(np.packbits(bits.sum(axis=0, dtype=np.int64) * 2 > len(set(words.hashes[a:b].tolist()))).view(np.uint64))
     return out
 
