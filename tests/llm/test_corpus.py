@@ -17,7 +17,7 @@ from arcframe.llm import _graph
 from arcframe.llm._pieces import BYTE_LEVEL, WORD_LEVEL, PieceTokens, load_tokenizer, pieces_of
 from arcframe.llm._words import WORD, join_words, mix, read_words
 from arcframe.llm.language import Crf, identify_languages, letter_words, train
-from arcframe.llm.line_dedup import block_width, dedup_lines, edit_distance, simhash, similar
+from arcframe.llm.line_dedup import block_width, dedup_lines, edit_distance, line_bands, simhash, similar
 from arcframe.llm.minhash import dart_signature, near_duplicates
 from arcframe.llm.mixing import emit_mixture, plan_mixture, source_targets
 from arcframe.llm.packing import encode_pieces, pack, plan_bins
@@ -417,6 +417,31 @@ def test_line_dedup(docs, none, spark):
     assert dedup_lines(none).count() == 0
 
 
+def test_line_recall(spark):
+    """Against all pairs by edit similarity: one or two words of ten changed; width and number of keys don't follow rows."""
+    assert len({block_width(10**k) for k in range(12)}) == 1
+    draw, lines = random.Random(18), []
+    for k in range(150):
+        line = words(2000 + k, 10)
+        lines.append(" ".join(line))
+        for at in draw.sample(range(10), 1 + k % 2):
+            line[at] = "".join(draw.choices("klmnop", k=len(line[at])))
+        lines.append(" ".join(line))
+    links = [(a, b) for a in range(len(lines)) for b in range(a) if similar(lines[a], lines[b], 0.8)]
+    want = len(set(components(range(len(lines)), links).values()))
+    assert 100 < len(links)
+    rows = dedup_lines(spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string")).collect()
+    assert sum(1 - r.n_removed for r in rows) == want
+
+
+def test_line_bands():
+    draw, hit, n = np.random.default_rng(4), 0, 3000
+    sets = mix(draw.integers(0, 1 << 63, (n, 12), np.int64).astype(np.uint64))
+    one, two = (line_bands(np.ascontiguousarray(x).ravel(), np.full(n, 10)) for x in (sets[:, :10], sets[:, 2:]))  # Jaccard 2/3
+    hit = (one == two).any(axis=1).mean()
+    assert hit > 0.985 and abs((one == two).mean() - (2 / 3) ** 5) < 0.01
+
+
 def plain_simhashes(lines):
     words = read_words(pa.array(lines))
     out = []
