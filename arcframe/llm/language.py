@@ -16,6 +16,9 @@ from ._words import mix
 _LETTERS = re.compile(r"[^\W\d_]+")
 UNDETERMINED = "und"
 
+#: Letters of a position of the chain; longer runs of letters are several.
+LONGEST = 40
+
 
 def letter_words(text: str) -> list[str]:
     """Runs of letters, in lower case (number signs that are no letters fall out)."""
@@ -23,14 +26,35 @@ def letter_words(text: str) -> list[str]:
     return found if "".join(found).isalpha() or not found else [w for w in found if any(map(str.isalpha, w))]
 
 
+def positions(words: list[str]) -> list[str]:
+    """The positions of the chain: words, but runs of more than LONGEST letters as consecutive pieces of that many.
+
+    A piece begins with ^ if the run begins there, else with ~, and ends with $ if the run ends there, else with
+    the two next letters, so that runs of two and three letters over its end count.
+    """
+    if not words or max(map(len, words)) <= LONGEST:
+        return words
+    out = []
+    for w in words:
+        if len(w) <= LONGEST:
+            out.append(w)
+            continue
+        for a in range(0, len(w), LONGEST):
+            b = a + LONGEST
+            out.append(("~" if a else "^") + (w[a:] + "$" if b >= len(w) else w[a : b + 2]))
+    return out
+
+
 def word_features(words: list[str], size: int) -> tuple[np.ndarray, np.ndarray]:
     """(word, feature id) pairs, for all words at once; ids are hashes below ``size``, a power of two.
 
-    With ^ and $ for the ends of a word (of up to 40 letters): the word itself (lexicon), all runs of two and three
-    characters, and at both ends also those of four and five, so affixes of up to four letters.
+    With ^ and $ for the ends of a word: the word itself (lexicon), all runs of two and three characters, and at both
+    ends also those of four and five, so affixes of up to four letters. ``words``: as ``positions`` gives them; a
+    piece of a longer run has affixes only where the run begins or ends.
     """
-    marked = [f"^{w[:40]}$" for w in words]
-    codes = mix(np.frombuffer("".join(marked).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64))
+    marked = [w.removeprefix("~") if w[0] in "^~" else f"^{w}$" for w in words]
+    letters = np.frombuffer("".join(marked).encode("utf-32-le", "surrogatepass"), np.uint32)
+    codes = mix(letters.astype(np.uint64))
     lengths = np.array([len(m) for m in marked], np.int64)
     starts = np.cumsum(lengths) - lengths
     owner = np.repeat(np.arange(len(words)), lengths)
@@ -43,7 +67,7 @@ def word_features(words: list[str], size: int) -> tuple[np.ndarray, np.ndarray]:
             run = mix(run[: len(codes) - n + 1] + codes[n - 1 :] * np.uint64(2 * n + 1) + np.uint64(n))
             whole = left[: len(run)] >= n
             if n > 3:
-                whole &= (place[: len(run)] == 0) | (left[: len(run)] == n)
+                whole &= (letters[: len(run)] == ord("^")) | ((left[: len(run)] == n) & (letters[n - 1 :] == ord("$")))
             at = np.flatnonzero(whole)
             owners.append(owner[at])
             ids.append(run[at])
@@ -103,7 +127,7 @@ def train(texts: list[str], labels: list[str], *, bits: int = 17, length: int =
     """
     names = sorted(set(labels))
     draw = np.random.Generator(np.random.PCG64(seed))
-    words = [letter_words(t) for t in texts]
+    words = [positions(letter_words(t)) for t in texts]
     usable = [i for i, w in enumerate(words) if w]
     crf = Crf(names, np.zeros((1 << bits, len(names)), np.float32), np.zeros((len(names), len(names)), np.float32), np.zeros(len(names), np.float32))
     if not usable or len(names) < 2:
@@ -205,7 +229,8 @@ def training_sample(docs: DataFrame, *, text: str = "text", label: str = "lang",
 def tag_documents(docs: DataFrame, crf: Crf, *, text: str = "text", cells: int = 1 << 19) -> DataFrame:
     """``docs`` with lang_pred, score and word_share (a map label -> share of the words), for every whole text.
 
-    Each word of a text is labelled by forward-backward over the whole text. lang_pred is the label with the largest sum of
+    Each word of a text is labelled by forward-backward over the whole text; a run of more than 40 letters (as in
+    scripts without blanks) counts as a word for each 40 letters or rest. lang_pred is the label with the largest sum of
     probabilities, score that sum over the number of words. ``und`` with score 0 if the text is null or has no letter. Columns
     pass through (those three are replaced); an empty table gives an empty result.
     """
@@ -235,7 +260,7 @@ def tag_documents(docs: DataFrame, crf: Crf, *, text: str = "text", cells: int =
             texts = texts_of(batch, text)
             scores: list[np.ndarray] = []
             for a, b in by_bytes([len(x) for x in texts], 2 << 20):
-                scores += scores_of([letter_words(x) if k else [] for x in texts[a:b]])  # without labels nothing can be said
+                scores += scores_of([positions(letter_words(x)) if k else [] for x in texts[a:b]])  # without labels nothing can be said
             sizes = np.array([len(x) for x in scores], np.int64)
             sums = np.zeros((len(texts), k))
             order = np.argsort(-sizes, kind="stable")[: int((sizes > 0).sum())]

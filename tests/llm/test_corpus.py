@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from arcframe.llm import _graph
 from arcframe.llm._pieces import BYTE_LEVEL, WORD_LEVEL, PieceTokens, load_tokenizer, pieces_of
 from arcframe.llm._words import WORD, join_words, mix, read_words
-from arcframe.llm.language import Crf, identify_languages, letter_words, train
+from arcframe.llm.language import Crf, identify_languages, letter_words, positions, tag_documents, train, word_features
 from arcframe.llm.line_dedup import block_width, dedup_lines, edit_distance, line_bands, simhash, similar
 from arcframe.llm.minhash import dart_signature, near_duplicates
 from arcframe.llm.mixing import emit_mixture, plan_mixture, source_targets
@@ -376,6 +376,22 @@ def test_edit_distance():
         assert edit_distance(a, b) == plain(a, b)
 
 
+def test_language_of_long_runs(spark):
+    """Every letter of a run without blanks counts, and so does a switch of language inside it."""
+    draw = random.Random(31)
+    run = lambda letters, n: "".join(draw.choices(letters, k=n))
+    a, b = "\u4e00\u4e8c\u4e09\u56db\u4e94\u516d", "\u3042\u3044\u3046\u3048\u304a\u304b"
+    crf = train([run(x, 400) for x in (a, b) for _ in range(30)], ["a"] * 30 + ["b"] * 30)
+    texts = [run(a, 50) + run(b, 950), run(b, 400) + run(a, 600), run(a, 40)]
+    rows = sorted(tag_documents(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), crf).collect())
+    assert [r.lang_pred for r in rows] == ["b", "a", "a"]
+    assert abs(rows[0].word_share["a"] - 0.05) < 0.03 and abs(rows[1].word_share["b"] - 0.4) < 0.03
+    long = "".join(chr(0x4E00 + k) for k in range(100))
+    pieces = positions(["ab", long])
+    assert "".join(p.strip("^~$")[:40] for p in pieces[1:]) == long and pieces[0] == "ab" and pieces[-1].endswith("$")
+    assert len(set(word_features(pieces[1:], 1 << 30)[1].tolist())) > 200
+
+
 def test_line_dedup(docs, none, spark):
     draw = random.Random(8)
     lines = [" ".join(words(100 + k, 30)) for k in range(25)]
