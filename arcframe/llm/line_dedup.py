@@ -6,6 +6,7 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -28,8 +29,14 @@ _FOLD[ord("A") : ord("Z") + 1] += 32
 _FOLD[ord("0") : ord("9") + 1] = ord("0")
 
 
+_DIGITS = str.maketrans("123456789", "0" * 9)
+
+
 def normalized(column: pa.Array) -> pa.Array:
-    """Texts with letters of ASCII and Latin-1 in lower case and every digit as 0; bytes, words and lines stay where they are."""
+    """Texts in lower case, as str.lower gives it, and every digit of ASCII as 0; words and lines keep their order.
+
+    Texts of ASCII and Latin-1 are folded as bytes, all at once; those with other letters one by one.
+    """
     column = column.cast(pa.large_string()).fill_null("")
     if not len(column) or column.buffers()[2] is None:
         return column
@@ -37,7 +44,14 @@ def normalized(column: pa.Array) -> pa.Array:
     after = np.flatnonzero(data[:-1] == 0xC3) + 1  # the second byte of a Latin-1 letter
     upper = after[(data[after] >= 0x80) & (data[after] <= 0x9E) & (data[after] != 0x97)]
     data[upper] += 32
-    return pa.LargeStringArray.from_buffers(len(column), column.buffers()[1], pa.py_buffer(data), offset=column.offset)
+    out = pa.LargeStringArray.from_buffers(len(column), column.buffers()[1], pa.py_buffer(data), offset=column.offset)
+    edges = np.frombuffer(column.buffers()[1], np.int64)[column.offset : column.offset + len(column) + 1]
+    beyond = np.searchsorted(np.flatnonzero(data > 0xC3), edges)
+    other = np.diff(beyond) > 0
+    if not other.any():
+        return out
+    folded = [x.lower().translate(_DIGITS) for x in column.filter(pa.array(other)).to_pylist()]
+    return pc.replace_with_mask(out, pa.array(other), pa.array(folded, pa.large_string()))
 
 
 def edit_distance(a: str, b: str) -> int:
@@ -157,7 +171,7 @@ def block_width(lines: int) -> int:
 def dedup_lines(docs: DataFrame, *, text: str = "text", id_col: str = "doc_id", threshold: float = 0.8) -> DataFrame:
     """``docs`` with ``text`` cut to the kept lines, and n_lines, n_removed: one occurrence of each group of lines stays.
 
-    Lines are split at line feeds and compared as normalised words (lower case of ASCII and Latin-1, digits as 0, single blanks). Lines are
+    Lines are split at line feeds and compared as normalised words (lower case, digits as 0, single blanks). Lines are
     linked if they are candidates and their edit similarity is at least ``threshold``. Candidates share one of 8 pairs of
     16-bit blocks of their 256-bit SimHashes (so all within 7 differing bits) or one of 36 MinHash bands of 5 of their words, at any number
     of lines. A pair whose sets of words have the Jaccard J is missed with probability (1 - J**5)**36 at most: 0.00006 at
