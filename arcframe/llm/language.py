@@ -9,6 +9,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ._common import by_bytes, map_arrow, texts_of
 from ._words import mix
@@ -200,30 +201,23 @@ def _expected(crf: Crf, scores: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return chance / chance.sum(axis=2, keepdims=True), pairs
 
 
-def training_sample(docs: DataFrame, *, text: str = "text", label: str = "lang", id_col: str = "doc_id", per_label: int = 400, most_labels: int = 50, chars: int = 4000) -> tuple[list[str], list[str]]:
-    """At most ``per_label`` labelled texts (their first ``chars`` characters) of each of the ``most_labels`` commonest labels.
+def training_sample(docs: DataFrame, *, text: str = "text", label: str = "lang", id_col: str = "doc_id", per_label: int = 400, most_rows: int = 20000, chars: int = 4000) -> tuple[list[str], list[str]]:
+    """At most ``per_label`` labelled texts (their first ``chars`` characters) of every label.
 
-    The rows of least hash are taken. Both bounds are parameters, so what reaches the driver doesn't grow with the corpus.
+    The rows of least hash are taken. With many labels there are fewer rows of each, ``most_rows`` in all but at least one
+    a label, so what reaches the driver grows with the labels at most, not with the corpus.
     """
     rows = docs.where(F.col(label).isNotNull() & F.col(text).isNotNull())
-    common = rows.groupBy(label).agg(F.count("*").alias("n")).orderBy(F.desc("n"), label).limit(most_labels).collect()
-    texts, labels = [], []
-    near = F.pmod(F.xxhash64(F.col(id_col), F.lit(17)), F.lit(1 << 40))
-    wanted = [(F.col(label) == r[0]) & (near < min(1 << 40, 4 * per_label * (1 << 40) // r[1] + 1)) for r in common]
+    common = rows.groupBy(label).agg(F.count("*").alias("n")).orderBy(F.desc("n"), label).collect()
     if not common:
-        return texts, labels
-    few = wanted[0]
-    for w in wanted[1:]:
-        few = few | w
-    drawn = rows.where(few).select(F.col(label).alias("label"), near.alias("near"), F.substring(text, 1, chars).alias("text"))
-    parts = [drawn.where(F.col("label") == r[0]).orderBy("near").limit(per_label) for r in common]
-    whole = parts[0]
-    for p in parts[1:]:
-        whole = whole.unionAll(p)
-    for r in whole.collect():
-        texts.append(r["text"])
-        labels.append(r["label"])
-    return texts, labels
+        return [], []
+    each = max(1, min(per_label, most_rows // len(common)))
+    near = F.pmod(F.xxhash64(F.col(id_col), F.lit(17)), F.lit(1 << 40))
+    few = docs.sparkSession.createDataFrame([(r[0], k, min(1 << 40, (4 * each + 32) * (1 << 40) // r[1] + 1)) for k, r in enumerate(common)], f"label {docs.schema[label].dataType.simpleString()}, rank int, below long")
+    drawn = rows.select(F.col(label).alias("label"), near.alias("near"), F.substring(text, 1, chars).alias("text")).join(F.broadcast(few), "label").where("near < below")
+    nth = F.row_number().over(Window.partitionBy("label").orderBy("near"))
+    taken = sorted(drawn.withColumn("nth", nth).where(F.col("nth") <= each).select("rank", "nth", "label", "text").collect(), key=lambda r: r[:2])
+    return [r["text"] for r in taken], [r["label"] for r in taken]
 
 
 def tag_documents(docs: DataFrame, crf: Crf, *, text: str = "text", cells: int = 1 << 19) -> DataFrame:
@@ -241,7 +235,7 @@ def tag_documents(docs: DataFrame, crf: Crf, *, text: str = "text", cells: int =
     def make():
         crf, known = model.value, {}
         k = len(crf.labels)
-        table = np.zeros((1 << 18, k), np.float32)
+        table = np.zeros((min(1 << 18, max(1 << 12, (1 << 24) // max(1, k))), k), np.float32)
 
         def scores_of(words: list[list[str]]) -> list[np.ndarray]:
             """Scores of the words of some texts; each distinct word is scored once, until the table is full."""
@@ -268,7 +262,7 @@ def tag_documents(docs: DataFrame, crf: Crf, *, text: str = "text", cells: int =
             while at < len(order):  # texts of like length side by side, padded to the longest
                 longest = int(sizes[order[at]])
                 fit = int(np.searchsorted(-sizes[order], -longest / 1.5, "right"))
-                group = order[at : max(at + 1, min(fit, at + max(1, cells // longest)))]
+                group = order[at : max(at + 1, min(fit, at + max(1, cells // (longest * max(1, k // 8)))))]
                 padded = np.zeros((longest, len(group), k), np.float32)
                 for c, i in enumerate(group):
                     padded[: sizes[i], c] = scores[i]

@@ -16,8 +16,8 @@ from pyspark.sql import functions as F
 from arcframe.llm import _graph
 from arcframe.llm._pieces import BYTE_LEVEL, WORD_LEVEL, PieceTokens, load_tokenizer, pieces_of
 from arcframe.llm._words import WORD, join_words, mix, read_words
-from arcframe.llm.language import Crf, identify_languages, letter_words, positions, tag_documents, train, word_features
-from arcframe.llm.line_dedup import block_width, dedup_lines, edit_distance, line_bands, simhash, similar
+from arcframe.llm.language import Crf, identify_languages, letter_words, positions, tag_documents, train, training_sample, word_features
+from arcframe.llm.line_dedup import block_width, dedup_lines, edit_distance, line_bands, normalized, simhash, similar
 from arcframe.llm.minhash import dart_signature, near_duplicates
 from arcframe.llm.mixing import emit_mixture, plan_mixture, source_targets
 from arcframe.llm.packing import encode_pieces, pack, plan_bins
@@ -376,6 +376,14 @@ def test_edit_distance():
         assert edit_distance(a, b) == plain(a, b)
 
 
+def test_every_label_is_learned(spark):
+    rows = [(k, f"text {k}", f"l{k % 60}") for k in range(600)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    for most, n in ((20000, 10), (120, 2), (1, 1)):
+        texts, labels = training_sample(frame, most_rows=most)
+        assert Counter(labels) == {f"l{k}": n for k in range(60)} and len(set(texts)) == len(texts)
+
+
 def test_language_of_long_runs(spark):
     """Every letter of a run without blanks counts, and so does a switch of language inside it."""
     draw = random.Random(31)
@@ -450,6 +458,16 @@ def test_line_recall(spark):
     assert sum(1 - r.n_removed for r in rows) == want
 
 
+def test_line_case():
+    """Lower case of any script, in whatever company and slice."""
+    lines = ["ABC ÀÉÞ×÷ß 129", "\u0391\u0392\u03a3 \u039f\u0394\u039f\u03a3 7", None, "", "\u041f\u0420\u0418\u0412\u0415\u0422 \u041c\u0418\u0420", "\u0141\u00d3D\u0179 \u010cESK\u00c1", "\u0130STANBUL \u0178", "\u201cQUOTED\u201d 55", "plain"]
+    want = [re.sub("[0-9]", "0", (x or "").lower()) for x in lines]
+    for kind in (pa.string(), pa.large_string()):
+        column = pa.array(lines, kind)
+        assert normalized(column).to_pylist() == want
+        assert all(normalized(column.slice(a, 3)).to_pylist() == want[a : a + 3] for a in range(len(lines)))
+
+
 def test_line_bands():
     draw, hit, n = np.random.default_rng(4), 0, 3000
     sets = mix(draw.integers(0, 1 << 63, (n, 12), np.int64).astype(np.uint64))
