@@ -102,7 +102,7 @@ def drop_repeated_passages(docs: DataFrame, *, text: str = "text", id_col: str =
 
     Anchors are windows of width - 6 words, hashed only at places of a difference cover modulo 7. Two equal windows of
     ``width`` words share an aligned anchor, so only anchors that two documents hold lead on: matches extend from them to
-    the windows of ``width`` words around them, which are compared by 128-bit hashes. Documents meet in groups of about
+    the windows of ``width`` words around them, which are compared by 64-bit hashes. Documents meet in groups of about
     ``group_bytes``, and a group sends each hash once, so a passage in a third of all documents is no hot key.
 
     Null or empty text has no words (text is then returned as it is); rows of one id are one document (they do not
