@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._common import materialize, release
+from ._common import materialize
 from ._words import mix
 
 #: Links that one task contracts at a time.
@@ -118,31 +118,32 @@ def cluster_buckets(rows: DataFrame, verify: Callable[[DataFrame], DataFrame], p
     needs, for all those; ``match``: rows of payload left and right -> indices of the links between them.
 
     Result: (node, component) for nodes with a link. It equals testing all pairs that share a bucket, yet emits
-    few: members are held against one pivot of their bucket, then, in buckets that still span several components,
-    against a second one. What then still spans several goes on without exception: in buckets of up to ``few``
-    members as pairs across components, in larger ones by blocks, in which the members outside the bucket's largest
-    component meet all others and only a spanning forest of the links found comes out.
+    few: members are held against the first node of their bucket, then, in buckets that still span several components,
+    against the first node of one of those. What then still spans several goes on without exception: in buckets of up to
+    ``few`` members as pairs across components, in larger ones by blocks, in which the members outside the bucket's
+    largest component meet all others and only a spanning forest of the links found comes out.
+
+    Buckets are counted before they are shuffled, and tables by key are joined as stored ones, so that Spark can split
+    a bucket that holds a large share of the rows.
     """
-    sized = rows.groupBy("key").agg(F.count("*").alias("n"), F.min(_ranked(F.col("node"), 0)).alias("m")).where("n > 1")
-    rows = materialize(rows.join(sized.select("key", "n", F.col("m.v").alias("pivot")), "key"))
-    del sized
-    release(rows.sparkSession)
+    sized = materialize(rows.groupBy("key").agg(F.count("*").alias("n"), F.min("node").alias("pivot")).where("n > 1"))
+    rows = materialize(rows.join(sized.hint("merge"), "key"))
     tested = materialize(_pairs(rows.where("node <> pivot"), "node", "pivot"))
     found = connected_components(verify(tested))
 
     def spanning() -> tuple[DataFrame, DataFrame]:
         comp = F.coalesce("component", "node").alias("comp")
         labelled = rows.select("key", "n", "node").join(found, "node", "left").select("key", "n", "node", comp)
-        second = F.min(F.struct(F.xxhash64(F.lit(7), "key", "node").alias("p"), F.col("node").alias("v"), F.col("comp").alias("c"))).alias("m")
-        return labelled, labelled.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), second).where("lo <> hi")
+        ends = labelled.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi")
+        return labelled, materialize(ends.select("key", "hi")).hint("merge")
 
     labelled, spans = spanning()
-    pairs = _pairs(labelled.join(spans.select("key", F.col("m.v").alias("pivot"), F.col("m.c").alias("pivot_comp")), "key").where("comp <> pivot_comp"), "node", "pivot")
+    pairs = _pairs(labelled.join(spans, "key").where("comp <> hi"), "node", "hi")  # a component's name is its first node
     fresh = materialize(pairs.join(tested, ["a", "b"], "left_anti"))
     if not fresh.isEmpty():
         found = _joined(found, verify(fresh))
     labelled, spans = spanning()
-    open_rows = materialize(labelled.join(spans.select("key"), "key", "left_semi"))
+    open_rows = materialize(labelled.join(spans, "key", "left_semi"))
     one = open_rows.where(F.col("n") <= few)
     other = one.select("key", F.col("node").alias("other"), F.col("comp").alias("other_comp"))
     pairs = _pairs(one.join(other, "key").where("comp < other_comp"), "node", "other")

@@ -41,10 +41,13 @@ def windows(hashes: np.ndarray, width: int, salt: int = 1) -> np.ndarray:
 
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
-_LONGEST = 4096
+#: Bytes that are hashed at a time; longer words are hashed one by one.
+_STRETCH = 1 << 15
+_ODD = 0xA0761D6478BD642F
 with np.errstate(over="ignore"):
     _BYTES = mix(np.arange(256, dtype=np.uint64) + np.uint64(0x51A2B3C4D5E6F708))
-    _POWERS = np.cumprod(np.full(_LONGEST, 0xA0761D6478BD642F, np.uint64), dtype=np.uint64)  # all odd
+    _POWERS = np.cumprod(np.full(_STRETCH, _ODD, np.uint64), dtype=np.uint64)
+    _BACK = np.cumprod(np.full(_STRETCH, pow(_ODD, -1, 1 << 64), np.uint64), dtype=np.uint64)  # 1 / _POWERS, modulo 2**64
 
 
 @dataclass
@@ -74,34 +77,41 @@ def read_words(column: pa.Array | pa.ChunkedArray) -> Texts:
     raw = column.buffers()[2] if len(column) else None
     data = np.frombuffer(raw, np.uint8)[edges[0] : edges[-1]] if raw is not None and edges[-1] > edges[0] else np.empty(0, np.uint8)
     edges = edges - edges[0]
-    inside = ~_SPACE[data]
-    fresh = np.ones(len(data) + 1, bool)  # a word may begin here
-    fresh[1:] = np.append(~inside[:-1], True) if len(data) else True
-    fresh[edges] = True
-    starts = np.flatnonzero(inside & fresh[:-1])
-    over = np.append(~inside, True)
-    over[edges] = True
-    stops = np.flatnonzero(over)
-    ends = stops[np.searchsorted(stops, starts, "right")]
+    inside = np.zeros(len(data) + 2, bool)  # with a place before and behind the data
+    inside[1:-1] = ~_SPACE[data]
+    change = inside[1:] != inside[:-1]  # at the first byte of a word, and just behind its last one
+    held = inside[edges] & inside[edges + 1]  # texts that meet without white space
+    if held.any():
+        meet = np.unique(edges[held])
+        change[meet] = False
+        places = np.flatnonzero(change)
+        places = np.sort(np.concatenate((places, meet, meet)), kind="stable")  # an end and a beginning
+    else:
+        places = np.flatnonzero(change)
+    starts, ends = places[::2], places[1::2]
     bounds = np.searchsorted(starts, edges)
     return Texts(data, edges, starts, ends, _hashed(data, starts, ends), bounds)
 
 
-def _hashed(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, most: int = 1 << 20) -> np.ndarray:
+def _hashed(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """A polynomial of each word's bytes, from running sums over stretches of the data that begin and end with words."""
     out = np.empty(len(starts), np.uint64)
+    sums = np.zeros(_STRETCH + 1, np.uint64)
     at = 0
     with np.errstate(over="ignore"):
         while at < len(starts):
-            to = max(at + 1, int(np.searchsorted(ends, starts[at] + most, "right")))
-            size = np.minimum(ends[at:to] - starts[at:to], _LONGEST)
-            first = np.cumsum(size) - size
-            nth = np.arange(size.sum()) - np.repeat(first, size)
-            out[at:to] = np.add.reduceat(_BYTES[data[np.repeat(starts[at:to], size) + nth]] * _POWERS[nth], first)
+            first = starts[at]
+            to = int(np.searchsorted(ends, first + _STRETCH, "right"))
+            if to <= at:  # a word longer than a stretch
+                out[at] = xxhash.xxh3_64_intdigest(data[first : ends[at]].tobytes())
+                at += 1
+                continue
+            size = int(ends[to - 1] - first)
+            np.cumsum(_BYTES[data[first : first + size]] * _POWERS[:size], out=sums[1 : size + 1])
+            a, b = starts[at:to] - first, ends[at:to] - first
+            out[at:to] = (sums[b] - sums[a]) * _BACK[a]
             at = to
-        out = mix(out + (ends - starts).astype(np.uint64))
-    for i in np.flatnonzero(ends - starts > _LONGEST):
-        out[i] = xxhash.xxh3_64_intdigest(data[starts[i] : ends[i]].tobytes())
-    return out
+        return mix(out + (ends - starts).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 
 
 def join_words(texts: Texts, keep: np.ndarray) -> pa.Array:

@@ -2,56 +2,32 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import map_arrow, materialize, release
+from ._common import by_bytes, map_arrow, materialize, unused
 from ._graph import cluster_buckets
 from ._words import WORD, Texts, mix, read_words, seeds
 
-#: Bits of a SimHash, and how many 64-bit numbers hold them.
-BITS, PARTS = 256, 4
-
-#: MinHash bands of the words of a line, and coordinates of a band.
-BANDS, ROWS = 36, 5
-
-#: Keys of lines that are grouped at a time, so that few of them are on disk.
-KEYS_AT_ONCE = 12
+#: 64-bit numbers of a SimHash, and bits of its pigeonhole blocks.
+PARTS, BLOCK = 2, 32
 
+#: MinHash bands of a line and words of each; those of lines of less than SHORT words in addition.
+BANDS, ROWS, SHORT, MORE_BANDS, MORE_ROWS = 16, 4, 10, 48, 3
 
-_FOLD = np.arange(256, dtype=np.uint8)
-_FOLD[ord("A") : ord("Z") + 1] += 32
-_FOLD[ord("0") : ord("9") + 1] = ord("0")
+#: Lines of so many words have a sketch, a byte for each MinHash coordinate, and two are compared only if this share agrees.
+LONG, AGREE = 64, 0.45
 
-
-_DIGITS = str.maketrans("123456789", "0" * 9)
+#: Weight of a word in MinHash, as a power of two, by its bytes: the shortest words are the most common ones.
+_WEIGHT = np.array([0, 0, 1, 2, 3], np.uint64)
 
 
 def normalized(column: pa.Array) -> pa.Array:
-    """Texts in lower case, as str.lower gives it, and every digit of ASCII as 0; words and lines keep their order.
-
-    Texts of ASCII and Latin-1 are folded as bytes, all at once; those with other letters one by one.
-    """
-    column = column.cast(pa.large_string()).fill_null("")
-    if not len(column) or column.buffers()[2] is None:
-        return column
-    data = _FOLD[np.frombuffer(column.buffers()[2], np.uint8)]
-    after = np.flatnonzero(data[:-1] == 0xC3) + 1  # the second byte of a Latin-1 letter
-    upper = after[(data[after] >= 0x80) & (data[after] <= 0x9E) & (data[after] != 0x97)]
-    data[upper] += 32
-    out = pa.LargeStringArray.from_buffers(len(column), column.buffers()[1], pa.py_buffer(data), offset=column.offset)
-    edges = np.frombuffer(column.buffers()[1], np.int64)[column.offset : column.offset + len(column) + 1]
-    beyond = np.searchsorted(np.flatnonzero(data > 0xC3), edges)
-    other = np.diff(beyond) > 0
-    if not other.any():
-        return out
-    folded = [x.lower().translate(_DIGITS) for x in column.filter(pa.array(other)).to_pylist()]
-    return pc.replace_with_mask(out, pa.array(other), pa.array(folded, pa.large_string()))
+    """Texts in lower case (the simple mapping of Unicode), null as empty; words and lines keep their order."""
+    return pc.utf8_lower(column.cast(pa.large_string()).fill_null(""))
 
 
 def edit_distance(a: str, b: str) -> int:
@@ -87,6 +63,89 @@ def edit_distance(a: str, b: str) -> int:
     return distance
 
 
+def edit_distances(a: list[np.ndarray], b: list[np.ndarray]) -> np.ndarray:
+    """Levenshtein distances of many pairs of code point arrays (no ``a`` empty) at once, by the same bit vectors as
+    ``edit_distance``, in numbers of 64 bits: one step of the loop treats a character of every pair."""
+    blocks = -(-max(map(len, a)) // 64)
+    n, steps = len(a), max(map(len, b))
+    size, other = (np.array([len(x) for x in side], np.int64) for side in (a, b))
+    alphabet, code = np.unique(np.concatenate(a), return_inverse=True)
+    pattern = np.full((n, 64 * blocks), len(alphabet), np.int64)
+    pattern[np.arange(64 * blocks) < size[:, None]] = code
+    where = np.zeros((len(alphabet) + 1, blocks, n), np.uint64)
+    block, pair = np.arange(blocks)[:, None], np.arange(n)[None, :]
+    cells = pattern.reshape(n, blocks, 64).T.swapaxes(0, 1)  # (block, bit, pair)
+    for bit in range(64):
+        where[cells[:, bit], block, pair] |= np.uint64(1 << bit)
+    where[len(alphabet)] = 0  # what no pattern holds
+    text = np.full((steps, n), len(alphabet), np.int64)
+    found = np.concatenate(b)
+    at = np.minimum(np.searchsorted(alphabet, found), len(alphabet) - 1)
+    text.T[np.arange(steps) < other[:, None]] = np.where(alphabet[at] == found, at, len(alphabet))
+    up, down = np.full((blocks, n), ~np.uint64(0)), np.zeros((blocks, n), np.uint64)
+    one, last = np.uint64(1), (size - 1) // 64
+    top = ((size - 1) % 64).astype(np.uint64)
+    distance = size.copy()
+    here = np.arange(n)
+    for t in range(steps):
+        rise_in, fall_in = np.full(n, one), np.zeros(n, np.uint64)
+        rises, falls = np.empty((blocks, n), np.uint64), np.empty((blocks, n), np.uint64)
+        equals = where[text[t], :, here].T
+        for k in range(blocks):
+            equal, u, d = equals[k], up[k], down[k]
+            vertical = equal | d
+            equal = equal | fall_in
+            horizontal = (((equal & u) + u) ^ u) | equal
+            rise, fall = d | ~(horizontal | u), u & horizontal
+            rises[k], falls[k] = rise, fall
+            rise, rise_in = rise << one | rise_in, rise >> np.uint64(63)
+            fall, fall_in = fall << one | fall_in, fall >> np.uint64(63)
+            up[k] = fall | ~(vertical | rise)
+            down[k] = rise & vertical
+        step = (rises[last, here] >> top & one).astype(np.int64) - (falls[last, here] >> top & one).astype(np.int64)
+        distance += np.where(t < other, step, 0)
+    return distance
+
+
+def similar_pairs(a: list[str], b: list[str], threshold: float, *, longest: int = 4096, cells: int = 16384) -> np.ndarray:
+    """``similar`` for each pair. Many of like length are compared side by side, the others one by one."""
+    out = np.zeros(len(a), bool)
+    rest: list[tuple] = []  # blocks, length, number, most, texts
+    for i, (x, y) in enumerate(zip(a, b, strict=True)):
+        if len(x) > len(y):
+            x, y = y, x
+        most = (1 - threshold) * len(y) + 1e-9
+        if len(y) - len(x) > most:
+            continue
+        p, q = (np.frombuffer(s.encode("utf-32-le", "surrogatepass"), np.uint32) for s in (x, y))
+        unlike = p != q[: len(p)]
+        k = int(unlike.argmax()) if unlike.any() else len(p)
+        p, q = p[k:], q[k:]
+        unlike = p[::-1] != q[::-1][: len(p)]
+        k = int(unlike.argmax()) if unlike.any() else len(p)
+        p, q = p[: len(p) - k], q[: len(q) - k]
+        if len(q) <= most:
+            out[i] = True
+        elif len(p) > longest:
+            out[i] = edit_distance(x, y) <= most
+        elif len(p):
+            rest.append((-(-len(p) // 64), len(q), i, most, p, q))
+    rest.sort(key=lambda r: r[:2])
+    at = 0
+    while at < len(rest):
+        to = at + 1
+        while to < len(rest) and rest[to][0] <= rest[at][0] * 1.25 and rest[to][1] <= rest[at][1] * 1.25 + 8 and (to - at) * rest[at][0] < cells:
+            to += 1
+        group = rest[at:to]
+        if len(group) >= 24 * group[-1][0]:
+            found = edit_distances([r[4] for r in group], [r[5] for r in group])
+        else:  # long numbers in Python take less steps
+            found = np.array([edit_distance(a[r[2]], b[r[2]]) for r in group])
+        out[[r[2] for r in group]] = found <= np.array([r[3] for r in group])
+        at = to
+    return out
+
+
 def similar(a: str, b: str, threshold: float) -> bool:
     """Edit similarity 1 - distance / longer length at least ``threshold``."""
     longer = max(len(a), len(b))
@@ -95,42 +154,36 @@ def similar(a: str, b: str, threshold: float) -> bool:
 
 
 def simhash(hashes: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-    """(lines, PARTS) unsigned numbers: for each line the majority of the hash bits, 256 of them, of its different words.
+    """(lines, PARTS) unsigned numbers: for each line the majority of the hash bits of its different words.
 
     ``hashes``: the words of all lines one after another; ``sizes``: words of each line, at least one. Repeated words
-    count once, or a frequent one would make unlike lines alike. Eight bits are counted in one number, at most
-    255 words at a time.
+    count once, or a frequent one would make unlike lines alike. Bits of up to 255 words are counted eight to a number.
     """
-    owner = np.repeat(np.arange(len(sizes), dtype=np.uint64), sizes)
-    keys = np.unique(owner << np.uint64(40) | hashes >> np.uint64(24))  # 40 bits of a hash tell the words of a line apart
-    owner, hashes = (keys >> np.uint64(40)).astype(np.int64), mix(keys & np.uint64((1 << 40) - 1))
-    sizes = np.bincount(owner, minlength=len(sizes))
-    out, at, first = np.empty((len(sizes), PARTS), np.uint64), 0, 0
-    ends = np.cumsum(sizes)
+    out, most = np.empty((len(sizes), PARTS), np.uint64), 1 << 15
+    ends, at = np.cumsum(sizes), 0
     while at < len(sizes):
-        to = max(at + 1, int(np.searchsorted(ends, first + (1 << 16), "right")))
-        counts = np.zeros((to - at, BITS), np.int32)
-        for a in range(first, int(ends[to - 1]), 1 << 16):  # only a line that long alone takes several turns
-            b = min(a + (1 << 16), int(ends[to - 1]))
-            lines = owner[a:b]
+        first = int(ends[at] - sizes[at])
+        to = max(at + 1, int(np.searchsorted(ends, first + most, "right")))
+        owner = np.repeat(np.arange(to - at, dtype=np.uint64), sizes[at:to])
+        words = np.unique(owner << np.uint64(40) | hashes[first : ends[to - 1]] >> np.uint64(24))
+        owner, words = (words >> np.uint64(40)).astype(np.int64), words & np.uint64((1 << 40) - 1)
+        begins = np.searchsorted(owner, np.arange(to - at + 1))
+        counts = np.zeros((to - at, 64 * PARTS), np.int32)
+        for a in range(0, len(words), most):  # only a line that long alone takes several turns
+            here, lines = words[a : a + most], owner[a : a + most]
             with np.errstate(over="ignore"):
-                bits = np.unpackbits(np.stack([mix(hashes[a:b] + np.uint64(k)) for k in range(1, PARTS + 1)], axis=1).view(np.uint8), axis=1)
-            nth = np.arange(a, b) - np.maximum(ends[lines] - sizes[lines], a)
-            cuts = np.flatnonzero(nth % 255 == 0)
+                bits = np.unpackbits(np.stack([mix(here * np.uint64(2 * k + 1) + np.uint64(k)) for k in range(1, PARTS + 1)], axis=1).view(np.uint8), axis=1)
+            cuts = np.flatnonzero((np.arange(len(here)) - np.maximum(begins[lines] - a, 0)) % 255 == 0)
             counted = np.add.reduceat(bits.view(np.uint64), cuts, axis=0).view(np.uint8)
-            where = lines[cuts] - at
-            once = np.flatnonzero(np.diff(where, prepend=-1))  # most lines have one part
-            counts[where[once]] += counted[once]
-            if len(once) < len(where):
-                more = np.setdiff1d(np.arange(len(where)), once)
-                np.add.at(counts, where[more], counted[more])
-        out[at:to] = np.packbits(counts * 2 > sizes[at:to, None], axis=1).view(np.uint64)
-        at, first = to, int(ends[to - 1])
+            new = np.flatnonzero(np.diff(lines[cuts], prepend=-1))
+            counts[lines[cuts[new]]] += np.add.reduceat(counted, new, axis=0, dtype=np.int32) if len(new) < len(cuts) else counted
+        out[at:to] = np.packbits(counts * 2 > np.diff(begins)[:, None], axis=1).view(np.uint64)
+        at = to
     return out
 
 
 def line_hashes(texts: Texts) -> tuple[np.ndarray, ...]:
-    """(first word, words, text, number in the text, hash) of each line that has a word."""
+    """(first word, words, text, number in the text, two hashes) of each line that has a word."""
     feeds = np.flatnonzero(texts.data == 0x0A)
     line = np.searchsorted(feeds, texts.starts)  # numbered over all texts
     owner = texts.owner
@@ -142,147 +195,181 @@ def line_hashes(texts: Texts) -> tuple[np.ndarray, ...]:
     nth = np.arange(len(line)) - np.repeat(first, sizes)
     with np.errstate(over="ignore"):
         each = mix(texts.hashes + nth.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
-        found = mix(np.add.reduceat(each, first) + sizes.astype(np.uint64)) if len(first) else np.empty(0, np.uint64)
-    return first, sizes, owner[first], number, found
+        one = mix(np.add.reduceat(each, first) + sizes.astype(np.uint64)) if len(first) else np.empty(0, np.uint64)
+        two = np.add.reduceat(mix(each ^ texts.hashes), first) if len(first) else one
+    return first, sizes, owner[first], number, one, two
 
 
-def line_bands(hashes: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-    """(lines, BANDS) numbers of 32 bits: two lines agree in each with the ROWS-th power of the Jaccard of their words.
+def line_bands(hashes: np.ndarray, lengths: np.ndarray, sizes: np.ndarray, bands: int, rows: int) -> tuple[np.ndarray, np.ndarray]:
+    """(lines, bands) keys, in each of which two lines agree with the ``rows``-th power of the weighted Jaccard of their words,
+    and (lines, bands * rows) bytes, each of which agrees with that Jaccard (and by chance, in 1 of 256).
 
-    ``hashes`` and ``sizes`` as for ``simhash``.
+    ``hashes`` and ``sizes`` as for ``simhash``, ``lengths``: bytes of each word. A word of four bytes or more weighs
+    eight times one of a byte, so that few bands consist of the commonest words alone.
     """
     first = np.cumsum(sizes) - sizes
-    out = np.empty((len(sizes), BANDS), np.uint64)
+    shift = _WEIGHT[np.minimum(lengths, len(_WEIGHT) - 1)]
+    out = np.empty((len(sizes), bands), np.uint64)
+    sketch = np.empty((len(sizes), bands * rows), np.uint8)
     if len(sizes):
         with np.errstate(over="ignore"):
-            for k, band in enumerate(seeds(BANDS * ROWS, 8).reshape(BANDS, ROWS)):
-                key = np.zeros(len(sizes), np.uint64)
-                for c in band:
-                    key = mix(key + np.minimum.reduceat(hashes * c, first))
-                out[:, k] = key >> np.uint64(32)
+            for k, band in enumerate(seeds(bands * rows, 8 + rows).reshape(bands, rows)):
+                key = np.full(len(sizes), k * 8 + rows, np.uint64)
+                for j, c in enumerate(band):
+                    least = mix(np.minimum.reduceat(hashes * c >> shift, first))
+                    sketch[:, k * rows + j] = least >> np.uint64(56)
+                    key = mix(key + least)
+                out[:, k] = key
+    return out, sketch
+
+
+def line_keys(hashes: np.ndarray, lengths: np.ndarray, sizes: np.ndarray) -> tuple[pa.Array, pa.Array]:
+    """For each line the keys under which it meets others (blocks of its SimHash, MinHash bands), and a long line's sketch."""
+    whole = simhash(hashes, sizes)
+    blocks = whole.view(np.uint32).astype(np.uint64)  # 32 bits each
+    with np.errstate(over="ignore"):
+        blocks = mix(blocks + (np.arange(1, blocks.shape[1] + 1, dtype=np.uint64) << np.uint64(40)))
+    bands, sketch = line_bands(hashes, lengths, sizes, BANDS, ROWS)
+    table = np.concatenate([blocks, bands], axis=1)
+    short = sizes < SHORT
+    of = np.repeat(short, sizes)
+    more, _ = line_bands(hashes[of], lengths[of], sizes[short], MORE_BANDS, MORE_ROWS)
+    width = np.where(short, table.shape[1] + MORE_BANDS, table.shape[1])
+    ends = np.cumsum(width)
+    out = np.empty(int(width.sum()), np.uint64)
+    each = (ends - width)[:, None] + np.arange(table.shape[1])
+    out[each] = table
+    out[(ends - MORE_BANDS)[short][:, None] + np.arange(MORE_BANDS)] = more
+    keys = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], ends)), pa.int32()), pa.array(out.view(np.int64)))
+    sketches = pa.array([x.tobytes() if n >= LONG else None for x, n in zip(sketch, sizes, strict=True)], pa.binary())
+    return keys, sketches
+
+
+def alike(left: pa.Array, right: pa.Array) -> np.ndarray:
+    """Whether AGREE of two sketches agree, for each pair of them; null is like all."""
+    out = np.ones(len(left), bool)
+    both = np.flatnonzero(pc.and_(left.is_valid(), right.is_valid()).to_numpy(zero_copy_only=False))
+    if len(both):
+        a, b = (np.frombuffer(b"".join(x.take(pa.array(both)).to_pylist()), np.uint8).reshape(len(both), -1) for x in (left, right))
+        out[both] = (a == b).sum(axis=1) >= AGREE * a.shape[1]
     return out
 
 
-def block_width(lines: int) -> int:
-    """Bits of a SimHash block: the same at any number of lines, so that growth takes no pair away. Two blocks make a key."""
-    return 16
-
-
 def dedup_lines(docs: DataFrame, *, text: str = "text", id_col: str = "doc_id", threshold: float = 0.8) -> DataFrame:
     """``docs`` with ``text`` cut to the kept lines, and n_lines, n_removed: one occurrence of each group of lines stays.
 
-    Lines are split at line feeds and compared as normalised words (lower case, digits as 0, single blanks). Lines are
-    linked if they are candidates and their edit similarity is at least ``threshold``. Candidates share one of 8 pairs of
-    16-bit blocks of their 256-bit SimHashes (so all within 7 differing bits) or one of 36 MinHash bands of 5 of their words, at any number
-    of lines. A pair whose sets of words have the Jaccard J is missed with probability (1 - J**5)**36 at most: 0.00006 at
-    3/4, 0.006 at 2/3 (a fifth of the words changed), 0.05 at 0.6, 0.32 at 1/2. So a pair at ``threshold`` whose edits
-    are spread over most of its words, or that has few words, may be missed. Of each connected group the
-    first occurrence, in order of id, row and line, is kept. Equal normalised lines are one node and never paired.
+    Lines are split at line feeds and compared as normalised words (lower case, single blanks). Lines are
+    linked if they are candidates and their edit similarity is at least ``threshold``. Candidates share one of the four
+    32-bit blocks of their 128-bit SimHashes (so all within 3 differing bits), or one of 16 MinHash bands of 4 of their words,
+    or, if both have less than 10 words, one of 48 bands of 3, at any number of lines. A pair whose sets of words have the
+    (weighted) Jaccard J is missed with probability (1 - J**4)**16 at most: 0.002 at 3/4, 0.03 at 2/3 (a fifth of the
+    words changed), 0.10 at 0.6; if short, with (1 - J**3)**48 too: 0.002 at 1/2, 0.02 at 3/7, 0.16 at 1/3. Two lines of 64
+    words or more are compared if also 45 % of their 64 MinHash coordinates agree (at 2/3 all but one in 10,000
+    pairs). So a pair at ``threshold`` whose edits are spread over most of its words may be missed. Of each connected
+    group the first occurrence, in order of id, row and line, is kept. Equal normalised lines are one node (told apart
+    by 128 bits) and never paired.
 
     Lines without a word are no candidates and stay. Null text stays null (no lines); null ids come last; rows of one
-    id are documents of their own. n_lines counts lines with a word. A line that a third of all rows hold meets
-    its group by a join that Spark can split. Columns pass through; an empty table gives an empty result.
+    id are documents of their own. n_lines counts lines with a word. A line that a third of all rows hold is counted
+    before it is shuffled. A text is held whole in its task, about 20 bytes a byte; comparing two lines takes time
+    as the product of their lengths / 64. Columns pass through (n_lines and n_removed are replaced); an empty table gives
+    an empty result.
     """
-    spark = docs.sparkSession
-    names = [f"s{p}" for p in range(PARTS)] + [f"m{p}" for p in range(BANDS // 2)]  # two bands in a number
-    stored = materialize(docs.drop("n_lines", "n_removed").withColumn("_row", F.monotonically_increasing_id()))
+    row, lines_of, gone_of = unused(docs, "_row", "_lines", "_gone")
+    stored = materialize(docs.drop("n_lines", "n_removed").withColumn(row, F.monotonically_increasing_id()))
 
     def split():
         def each(batch: pa.RecordBatch) -> pa.RecordBatch:
-            parts = []
-            for a in range(0, batch.num_rows, 256):
-                texts = read_words(normalized(batch.column(2).slice(a, 256)))
-                first, sizes, owner, number, found = line_hashes(texts)
-                _, new = np.unique(found, return_index=True)  # one SimHash for equal lines
-                sim = np.zeros((len(found), len(names)), np.uint64)
-                mine = np.zeros(len(found), bool)
+            parts, column = [], batch.column(2).cast(pa.large_string())
+            for a, b in by_bytes((pc.binary_length(column).fill_null(0).to_numpy() + 64).tolist(), 1 << 20):
+                texts = read_words(normalized(column.slice(a, b - a)))
+                first, sizes, owner, number, one, two = line_hashes(texts)
+                _, new = np.unique(one, return_index=True)  # keys once for equal lines
+                mine = np.zeros(len(one), bool)
                 mine[new] = True
                 of = np.repeat(mine, sizes)
-                sim[mine, :PARTS] = simhash(texts.hashes[of], sizes[mine])
-                bands = line_bands(texts.hashes[of], sizes[mine])
-                sim[mine, PARTS:] = bands[:, ::2] << np.uint64(32) | bands[:, 1::2]
-                columns = [pa.array(np.ascontiguousarray(sim[:, p]).view(np.int64), pa.int64(), mask=~mine) for p in range(len(names))]
-                rows, ids = (batch.column(c).slice(a, 256).take(pa.array(owner)) for c in (0, 1))
-                parts.append(pa.RecordBatch.from_arrays([rows, ids, pa.array(number, pa.int32()), pa.array(found.view(np.int64)), *columns], ["_row", "_id", "line", "node", *names]))
+                found = line_keys(texts.hashes[of], (texts.ends - texts.starts)[of], sizes[mine])
+                place = pa.array(np.where(mine, np.cumsum(mine) - 1, 0), mask=~mine)
+                keys, sketch = (x.take(place) for x in found)
+                rows, ids = (batch.column(c).slice(a, b - a).take(pa.array(owner)) for c in (0, 1))
+                parts.append(pa.RecordBatch.from_arrays([rows, ids, pa.array(number, pa.int32()), pa.array(one.view(np.int64)), pa.array(two.view(np.int64)), keys, sketch], ["row", "id", "line", "one", "two", "keys", "sketch"]))
             return pa.Table.from_batches(parts).combine_chunks().to_batches()[0] if any(p.num_rows for p in parts) else parts[0]
 
         return each
 
     def texts():
         def each(batch: pa.RecordBatch) -> pa.RecordBatch:
-            nodes, lines = [], []
+            nodes, lines, sketches = [], [], []
             for t, needs in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                split = t.split("\n")
+                found = t.split("\n")
                 for x in needs:
                     nodes.append(x["node"])
-                    lines.append(split[x["line"]])
+                    lines.append(found[x["line"]])
+                    sketches.append(x["sketch"])
             words = [" ".join(WORD.findall(x)) for x in normalized(pa.array(lines, pa.string())).to_pylist()]
-            return pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(words, pa.string())], ["node", "words"])
+            return pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(words, pa.string()), pa.array([len(x) for x in words], pa.int32()), pa.array(sketches, pa.binary())], ["node", "words", "size", "sketch"])
+
+        return each
+
+    def sift():
+        def each(batch: pa.RecordBatch) -> pa.RecordBatch:
+            return batch.select([0, 1]).filter(pa.array(alike(batch.column(2), batch.column(3))))
 
         return each
 
     def check():
         def each(batch: pa.RecordBatch) -> pa.RecordBatch:
-            a, b = batch.column(2).to_pylist(), batch.column(3).to_pylist()
-            return batch.select([0, 1]).filter(pa.array([similar(x, y, threshold) for x, y in zip(a, b, strict=True)]))
+            keep = similar_pairs(batch.column(2).to_pylist(), batch.column(3).to_pylist(), threshold)
+            return batch.select([0, 1]).filter(pa.array(keep))
 
         return each
 
-    schema = f"_row long, _id {docs.schema[id_col].dataType.simpleString()}, line int, node long, " + ", ".join(f"{c} long" for c in names)
-    lines = materialize(map_arrow(stored.select("_row", F.col(id_col).alias("_id"), F.col(text).alias("t")), split, schema))
-    place = F.struct(F.col("_id").isNull().alias("none"), F.col("_id").alias("id"), F.col("_row").alias("row"), F.col("line").alias("line"))
-    nodes = lines.groupBy("node").agg(F.min(place).alias("first"), F.count("*").alias("n"), *[F.max(c).alias(c) for c in names])
+    schema = f"row long, id {docs.schema[id_col].dataType.simpleString()}, line int, one long, two long, keys array<long>, sketch binary"
+    lines = map_arrow(stored.select(row, F.col(id_col).alias("id"), F.col(text).alias("t")), split, schema)
+    lines = materialize(lines.withColumn("at", F.monotonically_increasing_id()))
+    place = F.struct(F.col("id").isNull().alias("none"), F.col("id").alias("id"), F.col("row").alias("row"), F.col("line").alias("line"))
+    nodes = lines.groupBy("one", "two").agg(F.min(place).alias("first"), F.min("at").alias("node"), F.count("*").alias("n"), F.first("keys", True).alias("keys"), F.first("sketch", True).alias("sketch"))
     nodes = materialize(nodes)
-    release(spark)
-    width = block_width(0)
-    blocks = [F.shiftrightunsigned(f"s{p}", 64 - width * (k + 1)).bitwiseAND(F.lit((1 << width) - 1)) for p in range(PARTS) for k in range(64 // width)]
-    bands = [x for p in range(BANDS // 2) for x in (F.shiftrightunsigned(f"m{p}", 32), F.col(f"m{p}").bitwiseAND(F.lit((1 << 32) - 1)))]
-    pairs = [F.shiftleft(a, width) + b for a, b in zip(blocks[::2], blocks[1::2], strict=True)]
-    keys = [b + F.lit(i << 32) for i, b in enumerate(pairs + bands)]
     known: list[DataFrame] = []
 
     def verify(pairs: DataFrame) -> DataFrame:
-        if not known:  # every member of a shared block is in the first pairs
+        if not known:  # every member of a shared bucket is in the first pairs
             needed = pairs.select(F.col("a").alias("node")).unionAll(pairs.select("b")).distinct()
-            at = nodes.select("node", F.col("first.row").alias("_row"), F.col("first.line").alias("line")).join(needed.hint("merge"), "node", "left_semi")
-            at = at.groupBy("_row").agg(F.collect_list(F.struct("node", "line")).alias("needs"))  # lines of one document
-            wanted = stored.select("_row", F.col(text).alias("t")).join(at.hint("merge"), "_row").select("t", "needs")
-            known.append(materialize(map_arrow(wanted, texts, "node long, words string")))
-            release(spark)
-        a, b = (known[0].select(F.col("node").alias(x), F.col("words").alias(f"w{x}")).hint("merge") for x in "ab")  # the same plan at any size
-        near = F.abs(F.length("wa") - F.length("wb")) <= F.greatest(F.length("wa"), F.length("wb")) * (1 - threshold) + 1e-9
-        return map_arrow(pairs.join(a, "a").join(b, "b").where(near).select("a", "b", "wa", "wb"), check, "a long, b long")
+            at = nodes.select("node", "sketch", F.col("first.row").alias(row), F.col("first.line").alias("line")).join(needed.hint("merge"), "node", "left_semi")
+            at = at.groupBy(row).agg(F.collect_list(F.struct("node", "line", "sketch")).alias("needs"))  # lines of one document
+            wanted = stored.select(row, F.col(text).alias("t")).join(at.hint("merge"), row).select("t", "needs")
+            known.append(materialize(map_arrow(wanted, texts, "node long, words string, size int, sketch binary")))
+        of = lambda x, c: known[0].select(F.col("node").alias(x), F.col(c).alias(c + x), F.col("size").alias(f"size{x}")).hint("merge")  # noqa: E731, the same plan at any size
+        near = F.abs(F.col("sizea") - F.col("sizeb")) <= F.greatest("sizea", "sizeb") * (1 - threshold) + 1e-9
+        sketched = pairs.join(of("a", "sketch"), "a").join(of("b", "sketch"), "b").where(near)
+        sifted = materialize(map_arrow(sketched.select("a", "b", "sketcha", "sketchb"), sift, "a long, b long"))
+        worded = sifted.join(of("a", "words"), "a").join(of("b", "words"), "b")
+        return map_arrow(worded.select("a", "b", "wordsa", "wordsb"), check, "a long, b long")
 
     def match(left: pa.Table, right: pa.Table) -> tuple[np.ndarray, np.ndarray]:
-        """One member of each component on the right that is similar, for each on the left."""
+        """Members of other components on the right that are similar, for each on the left; one of a component is enough."""
         x, y = [], []
-        comps, others = right.column("comp").to_pylist(), right.column("words").to_pylist()
+        comps, others, sizes = right.column("comp").to_numpy(), right.column("words").to_pylist(), right.column("size").to_numpy()
+        sketches = [t.column("sketch").combine_chunks() for t in (left, right)]
         for i, (own, words) in enumerate(zip(left.column("comp").to_pylist(), left.column("words").to_pylist(), strict=True)):
-            done = {own}
-            for k, comp in enumerate(comps):
-                if comp not in done and similar(words, others[k], threshold):
-                    done.add(comp)
-                    x.append(i)
-                    y.append(k)
+            near = np.abs(sizes - len(words)) <= np.maximum(sizes, len(words)) * (1 - threshold) + 1e-9
+            some = np.flatnonzero(near & (comps != own))
+            some = some[alike(sketches[0].take(pa.array(np.full(len(some), i))), sketches[1].take(pa.array(some)))]
+            some = some[similar_pairs([words] * len(some), [others[k] for k in some], threshold)]
+            some = some[np.unique(comps[some], return_index=True)[1]]
+            x += [i] * len(some)
+            y += some.tolist()
         return np.array(x, np.int64), np.array(y, np.int64)
 
-    shared: list[DataFrame] = []
-    for k in range(0, len(keys), KEYS_AT_ONCE):
-        rows = nodes.select(F.explode(F.array(*keys[k : k + KEYS_AT_ONCE])).alias("key"), "node")
-        several = rows.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
-        shared.append(materialize(rows.join(several, "key", "left_semi")))
-        del rows, several
-        release(spark)
-    found = cluster_buckets(reduce(DataFrame.unionAll, shared), verify, lambda: known[0], match)
-    grouped = nodes.select("node", "n", "first").join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    found = cluster_buckets(nodes.select(F.explode("keys").alias("key"), "node"), verify, lambda: known[0], match)
+    grouped = nodes.select("one", "two", "node", "n", "first").join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
     heads = grouped.groupBy("component").agg(F.min("first").alias("head"), F.sum("n").alias("all")).where("all > 1")
-    heads = materialize(grouped.join(heads, "component").select("node", F.col("head.row").alias("keep_row"), F.col("head.line").alias("keep_line")))
-    gone = lines.select("_row", "line", "node").join(heads, "node").where("_row <> keep_row or line <> keep_line")
-    gone = materialize(gone.groupBy("_row").agg(F.collect_list("line").alias("_gone")))  # lines of one document
-    release(spark)
-    counts = lines.groupBy("_row").agg(F.count("*").alias("n_lines"))
-    out = stored.join(counts.join(gone, "_row", "left"), "_row", "left")
-    out = out.withColumn("_lines", F.when(F.col("_gone").isNotNull(), F.split(text, "\n")))
-    kept = F.transform(F.array_except(F.sequence(F.lit(0), F.size("_lines") - 1), F.col("_gone")), lambda i: F.get(F.col("_lines"), i))
-    out = out.withColumn(text, F.when(F.col("_gone").isNull(), F.col(text)).otherwise(F.array_join(kept, "\n")))
-    return out.withColumn("n_removed", F.when(F.col("_gone").isNull(), 0).otherwise(F.size("_gone")).cast("long")).withColumn("n_lines", F.coalesce("n_lines", F.lit(0)).cast("long")).drop("_row", "_gone", "_lines")
+    heads = materialize(grouped.join(heads, "component").select("one", "two", F.col("head.row").alias("keep_row"), F.col("head.line").alias("keep_line")))
+    gone = lines.select("row", "line", "one", "two").join(heads, ["one", "two"]).where("row <> keep_row or line <> keep_line")
+    gone = gone.groupBy(F.col("row").alias(row)).agg(F.collect_list("line").alias(gone_of))  # lines of one document
+    counts = lines.groupBy(F.col("row").alias(row)).agg(F.count("*").alias("n_lines"))
+    found = materialize(counts.join(gone, row, "left"))
+    out = stored.join(found, row, "left").withColumn(lines_of, F.when(F.col(gone_of).isNotNull(), F.split(text, "\n")))
+    kept = F.transform(F.array_except(F.sequence(F.lit(0), F.size(lines_of) - 1), F.col(gone_of)), lambda i: F.get(F.col(lines_of), i))
+    out = out.withColumn(text, F.when(F.col(gone_of).isNull(), F.col(text)).otherwise(F.array_join(kept, "\n")))
+    return out.withColumn("n_removed", F.when(F.col(gone_of).isNull(), 0).otherwise(F.size(gone_of)).cast("long")).withColumn("n_lines", F.coalesce("n_lines", F.lit(0)).cast("long")).drop(row, gone_of, lines_of)
