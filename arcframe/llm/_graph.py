@@ -102,6 +102,8 @@ def _joined(found: DataFrame, links: DataFrame) -> DataFrame:
     of = lambda x: found.select(F.col("node").alias(x), F.col("component").alias("c" + x))
     ends = links.join(of("a"), "a", "left").join(of("b"), "b", "left").select("a", "b", F.coalesce("ca", "a").alias("ca"), F.coalesce("cb", "b").alias("cb"))
     ends = materialize(ends)
+    if ends.isEmpty():
+        return found
     merged = connected_components(ends.select(F.col("ca").alias("a"), F.col("cb").alias("b")))
     fresh = ends.select(F.col("a").alias("node"), F.col("ca").alias("component")).unionAll(ends.select("b", "cb")).where("node = component").distinct()
     known = found.where("node = component").select("node")
@@ -110,6 +112,45 @@ def _joined(found: DataFrame, links: DataFrame) -> DataFrame:
     return materialize(every.join(moved, "component", "left").select("node", F.coalesce("now", "component").alias("component")))
 
 
+#: A bucket with this share of the probed rows is dealt over all tasks.
+HOT_SHARE = 1 / 4096
+
+
+def shared_buckets(rows: Callable[[np.ndarray], DataFrame], probe: DataFrame) -> DataFrame:
+    """The (key, node) rows, each once, of keys with several nodes; stored.
+
+    ``probe``: (key, ...) rows of a sample of the nodes, in which keys that hold a large share of the rows stand out;
+    ``rows``: those keys (at most 1 / HOT_SHARE) -> (key long, node long, hot boolean) of all nodes, ``hot`` for rows of
+    such keys. Rows are dealt by key, sorted and read once; those of hot keys are dealt by node and all kept, so no
+    task needs all rows of a key. The sample only decides how rows are dealt.
+    """
+    probe = materialize(probe.groupBy("key").agg(F.count("*").alias("n")))
+    least = max(64, int((probe.agg(F.sum("n")).first()[0] or 0) * HOT_SHARE))
+    hot = np.array(sorted(r[0] for r in probe.where(F.col("n") >= least).select("key").collect()), np.int64)  # a bounded number
+
+    def several(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: tuple[np.ndarray, ...] | None = None  # the last row, and whether it is out
+        for batch in batches:
+            key, node, out = (batch.column(c).to_numpy(zero_copy_only=False) for c in (0, 1, 2))
+            if held is not None:
+                key, node, out = (np.concatenate((x, y)) for x, y in zip(held[:3], (key, node, out), strict=True))
+            new = np.ones(len(key), bool)
+            new[1:] = (key[1:] != key[:-1]) | (node[1:] != node[:-1])
+            key, node, out = key[new], node[new], out[new]
+            company = key[1:] == key[:-1]
+            keep = out.copy()
+            keep[1:] |= company
+            keep[:-1] |= company
+            last = keep[-1:].copy()
+            if held is not None and held[3][0]:
+                keep[0], last = False, last | (len(key) == 1)
+            yield pa.RecordBatch.from_arrays([pa.array(key[keep]), pa.array(node[keep])], ["key", "node"])
+            held = key[-1:], node[-1:], out[-1:], last
+
+    dealt = rows(hot).repartition(F.when(F.col("hot"), F.col("node")).otherwise(F.col("key"))).sortWithinPartitions("key", "node")
+    return materialize(dealt.mapInArrow(several, "key long, node long"))
+
+
 def cluster_buckets(rows: DataFrame, verify: Callable[[DataFrame], DataFrame], payload: Callable[[], DataFrame], match: Callable[[pa.Table, pa.Table], tuple[np.ndarray, np.ndarray]], *, few: int = 16, block: int = 1024) -> DataFrame:
     """Components of the links that hold inside buckets.
 

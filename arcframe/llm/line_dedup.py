@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -9,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._common import by_bytes, map_arrow, materialize, unused
-from ._graph import cluster_buckets
+from ._graph import cluster_buckets, shared_buckets
 from ._words import WORD, Texts, mix, read_words, seeds
 
 #: 64-bit numbers of a SimHash, and bits of its pigeonhole blocks.
@@ -223,26 +225,28 @@ def line_bands(hashes: np.ndarray, lengths: np.ndarray, sizes: np.ndarray, bands
     return out, sketch
 
 
-def line_keys(hashes: np.ndarray, lengths: np.ndarray, sizes: np.ndarray) -> tuple[pa.Array, pa.Array]:
-    """For each line the keys under which it meets others (blocks of its SimHash, MinHash bands), and a long line's sketch."""
-    whole = simhash(hashes, sizes)
-    blocks = whole.view(np.uint32).astype(np.uint64)  # 32 bits each
+def line_keys(hashes: np.ndarray, lengths: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The keys under which lines meet others (blocks of their SimHashes, MinHash bands), and the line of each key."""
+    blocks = simhash(hashes, sizes).view(np.uint32).astype(np.uint64)  # 32 bits each
     with np.errstate(over="ignore"):
         blocks = mix(blocks + (np.arange(1, blocks.shape[1] + 1, dtype=np.uint64) << np.uint64(40)))
-    bands, sketch = line_bands(hashes, lengths, sizes, BANDS, ROWS)
-    table = np.concatenate([blocks, bands], axis=1)
+    table = np.concatenate([blocks, line_bands(hashes, lengths, sizes, BANDS, ROWS)[0]], axis=1)
     short = sizes < SHORT
     of = np.repeat(short, sizes)
     more, _ = line_bands(hashes[of], lengths[of], sizes[short], MORE_BANDS, MORE_ROWS)
-    width = np.where(short, table.shape[1] + MORE_BANDS, table.shape[1])
-    ends = np.cumsum(width)
-    out = np.empty(int(width.sum()), np.uint64)
-    each = (ends - width)[:, None] + np.arange(table.shape[1])
-    out[each] = table
-    out[(ends - MORE_BANDS)[short][:, None] + np.arange(MORE_BANDS)] = more
-    keys = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], ends)), pa.int32()), pa.array(out.view(np.int64)))
-    sketches = pa.array([x.tobytes() if n >= LONG else None for x, n in zip(sketch, sizes, strict=True)], pa.binary())
-    return keys, sketches
+    keys = np.concatenate([table.ravel(), more.ravel()])
+    return keys, np.concatenate([np.repeat(np.arange(len(sizes)), table.shape[1]), np.repeat(np.flatnonzero(short), MORE_BANDS)])
+
+
+def sketches(lines: list[str]) -> pa.Array:
+    """For each line of LONG words or more a byte for each MinHash coordinate, for others null."""
+    found = read_words(pa.array(lines, pa.large_string()))
+    sizes = np.diff(found.bounds)
+    long = sizes >= LONG
+    of = np.repeat(long, sizes)
+    out = np.full(len(lines), None, object)
+    out[long] = [x.tobytes() for x in line_bands(found.hashes[of], (found.ends - found.starts)[of], sizes[long], BANDS, ROWS)[1]]
+    return pa.array(out, pa.binary())
 
 
 def alike(left: pa.Array, right: pa.Array) -> np.ndarray:
@@ -266,8 +270,8 @@ def dedup_lines(docs: DataFrame, *, text: str = "text", id_col: str = "doc_id",
     words changed), 0.10 at 0.6; if short, with (1 - J**3)**48 too: 0.002 at 1/2, 0.02 at 3/7, 0.16 at 1/3. Two lines of 64
     words or more are compared if also 45 % of their 64 MinHash coordinates agree (at 2/3 all but one in 10,000
     pairs). So a pair at ``threshold`` whose edits are spread over most of its words may be missed. Of each connected
-    group the first occurrence, in order of id, row and line, is kept. Equal normalised lines are one node (told apart
-    by 128 bits) and never paired.
+    group the first occurrence, in order of id, row and line, is kept. Equal normalised lines (by 128 bits of hash) are one
+    node and never paired.
 
     Lines without a word are no candidates and stay. Null text stays null (no lines); null ids come last; rows of one
     id are documents of their own. n_lines counts lines with a word. A line that a third of all rows hold is counted
@@ -278,36 +282,62 @@ def dedup_lines(docs: DataFrame, *, text: str = "text", id_col: str = "doc_id",
     row, lines_of, gone_of = unused(docs, "_row", "_lines", "_gone")
     stored = materialize(docs.drop("n_lines", "n_removed").withColumn(row, F.monotonically_increasing_id()))
 
+    def slices(column: pa.Array) -> Iterator[tuple[int, Texts, tuple[np.ndarray, ...]]]:
+        """(first row, words, lines) of stretches of the texts, a MiB or one text each."""
+        column = column.cast(pa.large_string())
+        for a, b in by_bytes((pc.binary_length(column).fill_null(0).to_numpy() + 64).tolist(), 1 << 20):
+            texts = read_words(normalized(column.slice(a, b - a)))
+            yield a, texts, line_hashes(texts)
+
     def split():
         def each(batch: pa.RecordBatch) -> pa.RecordBatch:
-            parts, column = [], batch.column(2).cast(pa.large_string())
-            for a, b in by_bytes((pc.binary_length(column).fill_null(0).to_numpy() + 64).tolist(), 1 << 20):
-                texts = read_words(normalized(column.slice(a, b - a)))
-                first, sizes, owner, number, one, two = line_hashes(texts)
-                _, new = np.unique(one, return_index=True)  # keys once for equal lines
-                mine = np.zeros(len(one), bool)
-                mine[new] = True
-                of = np.repeat(mine, sizes)
-                found = line_keys(texts.hashes[of], (texts.ends - texts.starts)[of], sizes[mine])
-                place = pa.array(np.where(mine, np.cumsum(mine) - 1, 0), mask=~mine)
-                keys, sketch = (x.take(place) for x in found)
-                rows, ids = (batch.column(c).slice(a, b - a).take(pa.array(owner)) for c in (0, 1))
-                parts.append(pa.RecordBatch.from_arrays([rows, ids, pa.array(number, pa.int32()), pa.array(one.view(np.int64)), pa.array(two.view(np.int64)), keys, sketch], ["row", "id", "line", "one", "two", "keys", "sketch"]))
-            return pa.Table.from_batches(parts).combine_chunks().to_batches()[0] if any(p.num_rows for p in parts) else parts[0]
+            out = [[], [], [], []]
+            for a, _, (_, _, owner, number, one, two) in slices(batch.column(2)):
+                for held, x in zip(out, (owner + a, number.astype(np.int32), one.view(np.int64), two.view(np.int64)), strict=True):
+                    held.append(x)
+            owner, number, one, two = (pa.array(np.concatenate(x)) for x in out)
+            return pa.RecordBatch.from_arrays([batch.column(0).take(owner), batch.column(1).take(owner), number, one, two], ["row", "id", "line", "one", "two"])
 
         return each
 
+    def keys(probe: bool, hot: np.ndarray):
+        """(key, node, hot) of each line that is new to its task; as a probe, the keys of one distinct line in 64."""
+
+        def make():
+            seen = np.empty(0, np.uint64)
+
+            def each(batch: pa.RecordBatch) -> pa.RecordBatch:
+                nonlocal seen
+                found = [np.empty(0, np.uint64)], [np.empty(0, np.uint64)]
+                for _, texts, (_, sizes, _, _, one, _) in slices(batch.column(0)):
+                    fresh, at = np.unique(one, return_index=True)
+                    new = (fresh & np.uint64(63) == 0 if probe else np.ones(len(fresh), bool)) & ~np.isin(fresh, seen, assume_unique=True)
+                    seen = np.union1d(seen if len(seen) < 1 << 21 else seen[:0], fresh[new])
+                    mine = np.zeros(len(one), bool)
+                    mine[at[new]] = True
+                    of = np.repeat(mine, sizes)
+                    key, line = line_keys(texts.hashes[of], (texts.ends - texts.starts)[of], sizes[mine])
+                    found[0].append(key)
+                    found[1].append(one[mine][line])
+                key, node = (np.concatenate(x) for x in found)
+                return pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(node.view(np.int64)), pa.array(np.isin(key.view(np.int64), hot))], ["key", "node", "hot"])
+
+            return each
+
+        return map_arrow(stored.select(F.col(text).alias("t")), make, "key long, node long, hot boolean")
+
     def texts():
         def each(batch: pa.RecordBatch) -> pa.RecordBatch:
-            nodes, lines, sketches = [], [], []
+            nodes, lines, twos = [], [], []
             for t, needs in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 found = t.split("\n")
                 for x in needs:
                     nodes.append(x["node"])
+                    twos.append(x["two"])
                     lines.append(found[x["line"]])
-                    sketches.append(x["sketch"])
             words = [" ".join(WORD.findall(x)) for x in normalized(pa.array(lines, pa.string())).to_pylist()]
-            return pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(words, pa.string()), pa.array([len(x) for x in words], pa.int32()), pa.array(sketches, pa.binary())], ["node", "words", "size", "sketch"])
+            columns = [pa.array(nodes, pa.int64()), pa.array(twos, pa.int64()), pa.array(words, pa.string()), pa.array([len(x) for x in words], pa.int32()), sketches(words)]
+            return pa.RecordBatch.from_arrays(columns, ["node", "two", "words", "size", "sketch"])
 
         return each
 
@@ -324,21 +354,19 @@ def dedup_lines(docs: DataFrame, *, text: str = "text", id_col: str = "doc_id",
 
         return each
 
-    schema = f"row long, id {docs.schema[id_col].dataType.simpleString()}, line int, one long, two long, keys array<long>, sketch binary"
-    lines = map_arrow(stored.select(row, F.col(id_col).alias("id"), F.col(text).alias("t")), split, schema)
-    lines = materialize(lines.withColumn("at", F.monotonically_increasing_id()))
-    place = F.struct(F.col("id").isNull().alias("none"), F.col("id").alias("id"), F.col("row").alias("row"), F.col("line").alias("line"))
-    nodes = lines.groupBy("one", "two").agg(F.min(place).alias("first"), F.min("at").alias("node"), F.count("*").alias("n"), F.first("keys", True).alias("keys"), F.first("sketch", True).alias("sketch"))
-    nodes = materialize(nodes)
+    lines = map_arrow(stored.select(row, F.col(id_col).alias("id"), F.col(text).alias("t")), split, f"row long, id {docs.schema[id_col].dataType.simpleString()}, line int, one long, two long")
+    lines = materialize(lines)
+    shared = shared_buckets(lambda hot: keys(False, hot), keys(True, np.empty(0, np.int64)))
     known: list[DataFrame] = []
 
     def verify(pairs: DataFrame) -> DataFrame:
         if not known:  # every member of a shared bucket is in the first pairs
-            needed = pairs.select(F.col("a").alias("node")).unionAll(pairs.select("b")).distinct()
-            at = nodes.select("node", "sketch", F.col("first.row").alias(row), F.col("first.line").alias("line")).join(needed.hint("merge"), "node", "left_semi")
-            at = at.groupBy(row).agg(F.collect_list(F.struct("node", "line", "sketch")).alias("needs"))  # lines of one document
+            needed = pairs.select(F.col("a").alias("one")).unionAll(pairs.select("b")).distinct()
+            # Of different lines with one hash the least stands for it; the others only match their equals.
+            at = lines.select("one", "two", "row", "line").join(needed.hint("merge"), "one", "left_semi").groupBy("one").agg(F.min(F.struct("two", "row", "line")).alias("x"))
+            at = at.groupBy(F.col("x.row").alias(row)).agg(F.collect_list(F.struct(F.col("one").alias("node"), "x.two", "x.line")).alias("needs"))  # lines of one document
             wanted = stored.select(row, F.col(text).alias("t")).join(at.hint("merge"), row).select("t", "needs")
-            known.append(materialize(map_arrow(wanted, texts, "node long, words string, size int, sketch binary")))
+            known.append(materialize(map_arrow(wanted, texts, "node long, two long, words string, size int, sketch binary")))
         of = lambda x, c: known[0].select(F.col("node").alias(x), F.col(c).alias(c + x), F.col("size").alias(f"size{x}")).hint("merge")  # noqa: E731, the same plan at any size
         near = F.abs(F.col("sizea") - F.col("sizeb")) <= F.greatest("sizea", "sizeb") * (1 - threshold) + 1e-9
         sketched = pairs.join(of("a", "sketch"), "a").join(of("b", "sketch"), "b").where(near)
@@ -361,12 +389,15 @@ def dedup_lines(docs: DataFrame, *, text: str = "text", id_col: str = "doc_id",
             y += some.tolist()
         return np.array(x, np.int64), np.array(y, np.int64)
 
-    found = cluster_buckets(nodes.select(F.explode("keys").alias("key"), "node"), verify, lambda: known[0], match)
-    grouped = nodes.select("one", "two", "node", "n", "first").join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    heads = grouped.groupBy("component").agg(F.min("first").alias("head"), F.sum("n").alias("all")).where("all > 1")
-    heads = materialize(grouped.join(heads, "component").select("one", "two", F.col("head.row").alias("keep_row"), F.col("head.line").alias("keep_line")))
-    gone = lines.select("row", "line", "one", "two").join(heads, ["one", "two"]).where("row <> keep_row or line <> keep_line")
-    gone = gone.groupBy(F.col("row").alias(row)).agg(F.collect_list("line").alias(gone_of))  # lines of one document
+    found = cluster_buckets(shared, verify, lambda: known[0], match)
+    linked = known[0].select(F.col("node").alias("one"), "two").join(found.withColumnRenamed("node", "one"), "one")
+    equal = lines.groupBy("one", "two").agg(F.count("*").alias("n")).where("n > 1").select("one", "two")
+    members = materialize(equal.join(linked, ["one", "two"], "full_outer").withColumn("component", F.coalesce("component", F.xxhash64("one", "two"))))
+    place = F.struct(F.col("id").isNull().alias("none"), F.col("id").alias("id"), F.col("row").alias("row"), F.col("line").alias("line"))
+    held = materialize(lines.join(members.hint("merge"), ["one", "two"]).select("component", place.alias("place")))
+    heads = materialize(held.groupBy("component").agg(F.min("place").alias("head")))
+    gone = held.join(heads.hint("merge"), "component").where("place <> head")
+    gone = gone.groupBy(F.col("place.row").alias(row)).agg(F.collect_list("place.line").alias(gone_of))  # lines of one document
     counts = lines.groupBy(F.col("row").alias(row)).agg(F.count("*").alias("n_lines"))
     found = materialize(counts.join(gone, row, "left"))
     out = stored.join(found, row, "left").withColumn(lines_of, F.when(F.col(gone_of).isNotNull(), F.split(text, "\n")))

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ._common import by_bytes, map_arrow, materialize, texts_of
+from ._common import by_bytes, map_arrow, materialize, texts_of, unused
 from ._pieces import WORD_LEVEL, PieceTokens, load_tokenizer, pieces_of
 
 
@@ -159,9 +159,11 @@ def pack(items: DataFrame, *, length: str = "length", order: list[str], capacity
     Lengths must be 0..capacity and not null. Only the histogram of lengths (at most capacity + 1 rows) reaches the driver; what
     each task gets of the plan is bounded by the number of different lengths too. Items are numbered within
     their length by ``order`` (ties: any order, the lengths are equal), in hashed buckets so that a length that holds a third of all
-    items is dealt over many tasks. Extra columns pass through; an empty table gives an empty result.
+    items is dealt over many tasks. Extra columns pass through (sequence_id and offset are replaced); an empty table gives an
+    empty result.
     """
-    items = materialize(items)
+    items = materialize(items.drop("sequence_id", "offset"))
+    in_bucket, n_before, n_here, rank_name = unused(items, "_bucket", "_before", "_n", "_rank")
     histogram = {r[0]: r[1] for r in items.groupBy(length).count().collect()}
     bins, _ = plan_bins(histogram, capacity)
     total = sum(histogram.values())
@@ -177,29 +179,28 @@ def pack(items: DataFrame, *, length: str = "length", order: list[str], capacity
             at += x
         first += n
     table = {x: tuple(np.array(c, np.int64) for c in zip(*r, strict=True)) for x, r in runs.items()}
-    bucket = F.pmod(F.xxhash64(*order), F.lit(buckets)).alias("_bucket")
-    dealt = items.select("*", bucket)
-    sizes = dealt.groupBy(length, "_bucket").agg(F.count("*").alias("_n"))
-    before = F.sum("_n").over(Window.partitionBy(length).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1))
-    sizes = sizes.select(length, "_bucket", F.coalesce(before, F.lit(0)).alias("_before"))
-    rank = F.row_number().over(Window.partitionBy(length, "_bucket").orderBy(*order))
-    ranked = dealt.withColumn("_rank", rank).join(sizes, [length, "_bucket"]).withColumn("_rank", F.col("_rank") + F.col("_before") - 1)
+    dealt = items.withColumn(in_bucket, F.pmod(F.xxhash64(*order), F.lit(buckets)))
+    sizes = dealt.groupBy(length, in_bucket).agg(F.count("*").alias(n_here))
+    before = F.sum(n_here).over(Window.partitionBy(length).orderBy(in_bucket).rowsBetween(Window.unboundedPreceding, -1))
+    sizes = sizes.select(length, in_bucket, F.coalesce(before, F.lit(0)).alias(n_before))
+    rank = F.row_number().over(Window.partitionBy(length, in_bucket).orderBy(*order))
+    ranked = dealt.withColumn(rank_name, rank).join(sizes, [length, in_bucket]).withColumn(rank_name, F.col(rank_name) + F.col(n_before) - 1)
 
     def make():
         def each(batch: pa.RecordBatch) -> pa.RecordBatch:
             get = lambda c: batch.column(batch.schema.get_field_index(c)).to_numpy(zero_copy_only=False)
-            sizes, ranks = get(length), get("_rank")
+            sizes, ranks = get(length), get(rank_name)
             seq, off = np.zeros(len(ranks), np.int64), np.zeros(len(ranks), np.int64)
             for x in np.unique(sizes):
                 here = np.flatnonzero(sizes == x)
                 start, bin_, at = table[int(x)]
                 k = np.searchsorted(start, ranks[here], "right") - 1
                 seq[here], off[here] = bin_[k] + ranks[here] - start[k], at[k]
-            keep = [batch.column(i) for i, n in enumerate(batch.schema.names) if n != "_rank"]
-            return pa.RecordBatch.from_arrays([*keep, pa.array(seq), pa.array(off)], [*[n for n in batch.schema.names if n != "_rank"], "sequence_id", "offset"])
+            keep = [batch.column(i) for i, n in enumerate(batch.schema.names) if n != rank_name]
+            return pa.RecordBatch.from_arrays([*keep, pa.array(seq), pa.array(off)], [*[n for n in batch.schema.names if n != rank_name], "sequence_id", "offset"])
 
         return each
 
     names = [f.name for f in items.schema]
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in items.schema) + ", sequence_id long, offset long"
-    return map_arrow(ranked.select(*names, "_rank"), make, schema)
+    return map_arrow(ranked.select(*[F.col(f"`{n}`") for n in names], rank_name), make, schema)

@@ -6,43 +6,51 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ._common import materialize
+from ._common import materialize, unused
 
 
-def assign_shards(rows: DataFrame, *, shards: int = 24, stratum: str = "source", order: list[str], seed: str = "shard", rows_per_bucket: int = 200) -> DataFrame:
+def ranked(rows: DataFrame, order: list, name: str) -> DataFrame:
+    """``rows``, stored, with their place (from 0) in ``order``, over all of them.
+
+    Rows are dealt by ranges of ``order``, so no value of a column, however frequent, falls into one task; a row's place is
+    its number within its range plus the sizes of the ranges before, of which there are as many as tasks.
+    """
+    at, part, n, before = unused(rows, "_at", "_part", "_n", "_before")
+    placed = rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn(at, F.monotonically_increasing_id())
+    placed = materialize(placed).withColumn(part, F.shiftright(at, 33))  # the upper bits are the partition
+    sizes = placed.groupBy(part).agg(F.count("*").alias(n))
+    first = F.coalesce(F.sum(n).over(Window.orderBy(part).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    sizes = sizes.select(part, first.alias(before))
+    number = F.col(at).bitwiseAND(F.lit((1 << 33) - 1)) + F.col(before)
+    return placed.join(F.broadcast(sizes), part).withColumn(name, number).drop(at, part, before)
+
+
+def assign_shards(rows: DataFrame, *, shards: int = 24, stratum: str = "source", order: list[str], seed: str = "shard") -> DataFrame:
     """``rows`` with shard (0..shards-1) and slot (gapless from 0): row counts of shards differ by one at most.
 
     Within each stratum rows are ranked by a seeded hash of ``order[0]`` (then ``order``), the strata are interleaved by
-    (rank - 1/2) / rows of the stratum, and that order is cut into equal parts. Ranks are built from counts of hash
-    buckets, so a stratum with a third of all rows is dealt over many tasks. Null is a stratum of its own; a null or
-    repeated id is ordered by the further columns (rows equal in all of them are interchangeable); an empty table gives
-    an empty result. Columns pass through, so project before if they are wide.
+    (rank - 1/2) / rows of the stratum, and that order is cut into equal parts. Both orders are laid by ranges, so a stratum
+    with a third of all rows, or any number of strata of one row, is dealt over all tasks. Null is a stratum of its own; a
+    null or repeated id is ordered by the further columns (rows equal in all of them are interchangeable); texts are not
+    read; an empty table gives an empty result. Columns pass through (shard and slot are replaced), so project before if
+    they are wide.
     """
+    rows = rows.drop("shard", "slot")
+    key, none, label, rank, size, first, frac, place = unused(rows, "_key", "_none", "_name", "_rank", "_size", "_first", "_frac", "_place")
+    seeded = F.md5(F.concat_ws(":", F.lit(seed), F.coalesce(F.col(order[0]).cast("string"), F.lit(""))))
+    keyed = rows.withColumns({key: seeded, none: F.col(stratum).isNull(), label: F.coalesce(F.col(stratum).cast("string"), F.lit(""))})
     total = rows.count()
-    buckets = int(min(1 << 16, max(64, total // rows_per_bucket)))
-    key = F.md5(F.concat_ws(":", F.lit(seed), F.coalesce(F.col(order[0]).cast("string"), F.lit(""))))
-    part = F.floor(F.conv(F.substring("_key", 1, 4), 16, 10).cast("long") * buckets / F.lit(1 << 16))
-    keyed = rows.withColumns({"_key": key}).withColumns({"_part": part, "_none": F.col(stratum).isNull(), "_name": F.coalesce(F.col(stratum).cast("string"), F.lit(""))})
-    group = ["_none", "_name"]
-    sizes = keyed.groupBy(*group, "_part").agg(F.count("*").alias("_n"))
-    whole = Window.partitionBy(*group)
-    before = F.sum("_n").over(whole.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1))
-    sizes = sizes.select(*group, "_part", F.coalesce(before, F.lit(0)).alias("_before"), F.sum("_n").over(whole).alias("_all"))
-    rank = F.row_number().over(Window.partitionBy(*group, "_part").orderBy("_key", *order))
-    ranked = keyed.withColumn("_rank", rank).join(sizes, [*group, "_part"])
-    frac = (F.col("_rank") + F.col("_before") - F.lit(0.5)) / F.col("_all")
-    ranked = materialize(ranked.withColumn("_frac", frac).withColumn("_cut", F.least(F.floor(F.col("_frac") * buckets), F.lit(buckets - 1))).drop("_part", "_rank", "_before", "_all"))
-    cuts = ranked.groupBy("_cut").agg(F.count("*").alias("_n"))  # at most `buckets` rows, about equal
-    upto = F.sum("_n").over(Window.orderBy("_cut").rowsBetween(Window.unboundedPreceding, -1))
-    cuts = cuts.select("_cut", F.coalesce(upto, F.lit(0)).alias("_upto"))
-    place = F.row_number().over(Window.partitionBy("_cut").orderBy("_frac", *group, "_key", *order))
-    placed = ranked.withColumn("_place", place).join(cuts, "_cut").withColumn("_place", F.col("_place") + F.col("_upto") - 1)
+    inner = ranked(keyed, [none, label, key, *order], rank)
+    strata = materialize(inner.groupBy(none, label).agg(F.count("*").alias(size), F.min(rank).alias(first)))
+    inner = inner.join(strata, [none, label])
+    inner = inner.withColumn(frac, (F.col(rank) - F.col(first) + F.lit(0.5)) / F.col(size)).drop(rank, size, first)
+    placed = ranked(inner, [frac, none, label, key, *order], place)
     each, more = divmod(total, shards)  # the first `more` shards have one row more
     head = more * (each + 1)
     div = lambda a, b: F.floor(a / F.lit(max(1, b)))
-    shard = F.when(F.col("_place") < head, div(F.col("_place"), each + 1)).otherwise(more + div(F.col("_place") - head, each)).cast("int")
-    first = F.col("shard") * each + F.least(F.col("shard"), F.lit(more))
-    return placed.withColumn("shard", shard).withColumn("slot", F.col("_place") - first).drop("_cut", "_none", "_name", "_key", "_frac", "_place", "_upto")
+    shard = F.when(F.col(place) < head, div(F.col(place), each + 1)).otherwise(more + div(F.col(place) - head, each)).cast("int")
+    start = F.col("shard") * each + F.least(F.col("shard"), F.lit(more))
+    return placed.withColumn("shard", shard).withColumn("slot", F.col(place) - start).drop(none, label, key, frac, place)
 
 
 def write_shards(rows: DataFrame, path: str, **options) -> None:
