@@ -20,10 +20,11 @@ PARTS, BLOCK = 2, 32
 #: MinHash bands of a line and words of each; those of lines of less than SHORT words in addition.
 BANDS, ROWS, SHORT, MORE_BANDS, MORE_ROWS = 16, 4, 10, 48, 3
 
-#: Lines of so many words have a sketch, a byte for each MinHash coordinate, and two are compared only if this share agrees.
-LONG, AGREE = 64, 0.45
+#: Lines of SHORT words or more have a sketch, a byte for each MinHash coordinate. Two are compared only if this share of
+#: them agrees, or, if both have LONG words, the larger one.
+AGREE, LONG, LONG_AGREE = 0.3, 64, 0.45
 
-#: Weight of a word in MinHash, as a power of two, by its bytes: the shortest words are the most common ones.
+#: Weight of a word, as a power of two, by its bytes: the shortest words are the most common ones.
 _WEIGHT = np.array([0, 0, 1, 2, 3], np.uint64)
 
 
@@ -155,31 +156,36 @@ def similar(a: str, b: str, threshold: float) -> bool:
     return abs(len(a) - len(b)) <= most and edit_distance(a, b) <= most
 
 
-def simhash(hashes: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-    """(lines, PARTS) unsigned numbers: for each line the majority of the hash bits of its different words.
+def simhash(hashes: np.ndarray, lengths: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """(lines, PARTS) unsigned numbers: for each line the weighted majority of the hash bits of its different words.
 
-    ``hashes``: the words of all lines one after another; ``sizes``: words of each line, at least one. Repeated words
-    count once, or a frequent one would make unlike lines alike. Bits of up to 255 words are counted eight to a number.
+    ``hashes`` and ``lengths`` (bytes): the words of all lines one after another; ``sizes``: words of each line, at least
+    one. Repeated words count once, or a frequent one would make unlike lines alike. Bits are counted eight to a number,
+    those of up to 31 words (of weight 8 at most) at a time.
     """
     out, most = np.empty((len(sizes), PARTS), np.uint64), 1 << 15
     ends, at = np.cumsum(sizes), 0
+    weight = _WEIGHT[np.minimum(lengths, len(_WEIGHT) - 1)]
     while at < len(sizes):
         first = int(ends[at] - sizes[at])
         to = max(at + 1, int(np.searchsorted(ends, first + most, "right")))
         owner = np.repeat(np.arange(to - at, dtype=np.uint64), sizes[at:to])
-        words = np.unique(owner << np.uint64(40) | hashes[first : ends[to - 1]] >> np.uint64(24))
-        owner, words = (words >> np.uint64(40)).astype(np.int64), words & np.uint64((1 << 40) - 1)
+        words = np.unique(owner << np.uint64(42) | (hashes[first : ends[to - 1]] >> np.uint64(22) & ~np.uint64(3)) | weight[first : ends[to - 1]])
+        owner, words = (words >> np.uint64(42)).astype(np.int64), words & np.uint64((1 << 42) - 1)
+        each = np.uint8(1) << (words & np.uint64(3)).astype(np.uint8)
         begins = np.searchsorted(owner, np.arange(to - at + 1))
         counts = np.zeros((to - at, 64 * PARTS), np.int32)
         for a in range(0, len(words), most):  # only a line that long alone takes several turns
             here, lines = words[a : a + most], owner[a : a + most]
             with np.errstate(over="ignore"):
                 bits = np.unpackbits(np.stack([mix(here * np.uint64(2 * k + 1) + np.uint64(k)) for k in range(1, PARTS + 1)], axis=1).view(np.uint8), axis=1)
-            cuts = np.flatnonzero((np.arange(len(here)) - np.maximum(begins[lines] - a, 0)) % 255 == 0)
+            bits *= each[a : a + most, None]
+            cuts = np.flatnonzero((np.arange(len(here)) - np.maximum(begins[lines] - a, 0)) % 31 == 0)
             counted = np.add.reduceat(bits.view(np.uint64), cuts, axis=0).view(np.uint8)
             new = np.flatnonzero(np.diff(lines[cuts], prepend=-1))
             counts[lines[cuts[new]]] += np.add.reduceat(counted, new, axis=0, dtype=np.int32) if len(new) < len(cuts) else counted
-        out[at:to] = np.packbits(counts * 2 > np.diff(begins)[:, None], axis=1).view(np.uint64)
+        whole = np.bincount(owner, each, minlength=to - at)
+        out[at:to] = np.packbits(counts * 2 > whole[:, None], axis=1).view(np.uint64)
         at = to
     return out
 
@@ -227,7 +233,7 @@ def line_bands(hashes: np.ndarray, lengths: np.ndarray, sizes: np.ndarray, bands
 
 def line_keys(hashes: np.ndarray, lengths: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The keys under which lines meet others (blocks of their SimHashes, MinHash bands), and the line of each key."""
-    blocks = simhash(hashes, sizes).view(np.uint32).astype(np.uint64)  # 32 bits each
+    blocks = simhash(hashes, lengths, sizes).view(np.uint32).astype(np.uint64)  # 32 bits each
     with np.errstate(over="ignore"):
         blocks = mix(blocks + (np.arange(1, blocks.shape[1] + 1, dtype=np.uint64) << np.uint64(40)))
     table = np.concatenate([blocks, line_bands(hashes, lengths, sizes, BANDS, ROWS)[0]], axis=1)
@@ -239,23 +245,25 @@ def line_keys(hashes: np.ndarray, lengths: np.ndarray, sizes: np.ndarray) -> tup
 
 
 def sketches(lines: list[str]) -> pa.Array:
-    """For each line of LONG words or more a byte for each MinHash coordinate, for others null."""
+    """For each line of SHORT words or more whether it is LONG and a byte for each MinHash coordinate, for others null."""
     found = read_words(pa.array(lines, pa.large_string()))
     sizes = np.diff(found.bounds)
-    long = sizes >= LONG
-    of = np.repeat(long, sizes)
+    mine = sizes >= SHORT
+    of = np.repeat(mine, sizes)
+    table = line_bands(found.hashes[of], (found.ends - found.starts)[of], sizes[mine], BANDS, ROWS)[1]
     out = np.full(len(lines), None, object)
-    out[long] = [x.tobytes() for x in line_bands(found.hashes[of], (found.ends - found.starts)[of], sizes[long], BANDS, ROWS)[1]]
+    out[mine] = [x.tobytes() for x in np.concatenate([(sizes[mine] >= LONG)[:, None].astype(np.uint8), table], axis=1)]
     return pa.array(out, pa.binary())
 
 
 def alike(left: pa.Array, right: pa.Array) -> np.ndarray:
-    """Whether AGREE of two sketches agree, for each pair of them; null is like all."""
+    """Whether enough of two sketches agrees, for each pair of them; null is like all."""
     out = np.ones(len(left), bool)
     both = np.flatnonzero(pc.and_(left.is_valid(), right.is_valid()).to_numpy(zero_copy_only=False))
     if len(both):
         a, b = (np.frombuffer(b"".join(x.take(pa.array(both)).to_pylist()), np.uint8).reshape(len(both), -1) for x in (left, right))
-        out[both] = (a == b).sum(axis=1) >= AGREE * a.shape[1]
+        least = np.where(a[:, 0] & b[:, 0] == 1, LONG_AGREE, AGREE)
+        out[both] = (a[:, 1:] == b[:, 1:]).mean(axis=1) >= least
     return out
 
 
@@ -267,9 +275,9 @@ def dedup_lines(docs: DataFrame, *, text: str = "text", id_col: str = "doc_id",
     32-bit blocks of their 128-bit SimHashes (so all within 3 differing bits), or one of 16 MinHash bands of 4 of their words,
     or, if both have less than 10 words, one of 48 bands of 3, at any number of lines. A pair whose sets of words have the
     (weighted) Jaccard J is missed with probability (1 - J**4)**16 at most: 0.002 at 3/4, 0.03 at 2/3 (a fifth of the
-    words changed), 0.10 at 0.6; if short, with (1 - J**3)**48 too: 0.002 at 1/2, 0.02 at 3/7, 0.16 at 1/3. Two lines of 64
-    words or more are compared if also 45 % of their 64 MinHash coordinates agree (at 2/3 all but one in 10,000
-    pairs). So a pair at ``threshold`` whose edits are spread over most of its words may be missed. Of each connected
+    words changed), 0.10 at 0.6; if short, with (1 - J**3)**48 too: 0.002 at 1/2, 0.02 at 3/7, 0.16 at 1/3. Two lines of 10
+    words or more are compared if also 30 % of their 64 MinHash coordinates agree, of 64 words or more if 45 % do (at
+    J = 1/2, and 2/3 if long, all but one pair in 1,000). So a pair at ``threshold`` whose edits are spread over most of its words may be missed. Of each connected
     group the first occurrence, in order of id, row and line, is kept. Equal normalised lines (by 128 bits of hash) are one
     node and never paired.
 
@@ -375,19 +383,20 @@ def dedup_lines(docs: DataFrame, *, text: str = "text", id_col: str = "doc_id",
         return map_arrow(worded.select("a", "b", "wordsa", "wordsb"), check, "a long, b long")
 
     def match(left: pa.Table, right: pa.Table) -> tuple[np.ndarray, np.ndarray]:
-        """Members of other components on the right that are similar, for each on the left; one of a component is enough."""
-        x, y = [], []
-        comps, others, sizes = right.column("comp").to_numpy(), right.column("words").to_pylist(), right.column("size").to_numpy()
-        sketches = [t.column("sketch").combine_chunks() for t in (left, right)]
-        for i, (own, words) in enumerate(zip(left.column("comp").to_pylist(), left.column("words").to_pylist(), strict=True)):
-            near = np.abs(sizes - len(words)) <= np.maximum(sizes, len(words)) * (1 - threshold) + 1e-9
-            some = np.flatnonzero(near & (comps != own))
-            some = some[alike(sketches[0].take(pa.array(np.full(len(some), i))), sketches[1].take(pa.array(some)))]
-            some = some[similar_pairs([words] * len(some), [others[k] for k in some], threshold)]
-            some = some[np.unique(comps[some], return_index=True)[1]]
-            x += [i] * len(some)
-            y += some.tolist()
-        return np.array(x, np.int64), np.array(y, np.int64)
+        """Members of other components on the right that are similar, for those on the left."""
+        x, y = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+        comps, sizes, marks = ([t.column(c).combine_chunks() for t in (left, right)] for c in ("comp", "size", "sketch"))
+        words = [t.column("words").to_pylist() for t in (left, right)]
+        (mine, others), (n, m) = ([a.to_numpy() for a in pair] for pair in (comps, sizes))
+        for a in range(0, len(mine), 16):
+            near = np.abs(n[a : a + 16, None] - m) <= np.maximum(n[a : a + 16, None], m) * (1 - threshold) + 1e-9
+            i, j = np.nonzero(near & (mine[a : a + 16, None] != others))
+            ok = alike(marks[0].take(pa.array(i + a)), marks[1].take(pa.array(j)))
+            i, j = i[ok] + a, j[ok]
+            ok = similar_pairs([words[0][k] for k in i], [words[1][k] for k in j], threshold)
+            x.append(i[ok])
+            y.append(j[ok])
+        return np.concatenate(x), np.concatenate(y)
 
     found = cluster_buckets(shared, verify, lambda: known[0], match)
     linked = known[0].select(F.col("node").alias("one"), "two").join(found.withColumnRenamed("node", "one"), "one")

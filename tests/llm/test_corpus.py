@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from arcframe.llm import _graph
 from arcframe.llm._pieces import BYTE_LEVEL, WORD_LEVEL, PieceTokens, load_tokenizer, pieces_of
 from arcframe.llm._words import WORD, join_words, mix, read_words
-from arcframe.llm.language import Crf, identify_languages, letter_words, positions, tag_documents, train, training_sample, word_features
+from arcframe.llm.language import Crf, identify_languages, letter_words, positions, stretches, tag_documents, train, training_sample, word_features
 from arcframe.llm.line_dedup import alike, dedup_lines, edit_distance, edit_distances, line_bands, line_keys, normalized, simhash, similar, similar_pairs, sketches
 from arcframe.llm.minhash import dart_signature, near_duplicates
 from arcframe.llm.mixing import emit_mixture, plan_mixture, source_targets
@@ -238,6 +238,38 @@ def test_pieces_encode_as_whole_texts(name, pattern):
             assert [i for p in pieces for i in known[p]] == want.ids
 
 
+@pytest.mark.parametrize(("name", "pattern"), [(BYTE_BPE, BYTE_LEVEL), (WORD_BPE, WORD_LEVEL)])
+def test_every_letter_before_every_symbol(name, pattern):
+    """All letters that end a run, before all that may follow, as the library reads them."""
+    known = PieceTokens(load_tokenizer(tokenizer_path(name)), list, limit=1 << 18)
+    follow = [chr(c) for c in range(32, 127)] + ["\n", "é", "\u0307", ""]
+    for letter in [*"AZaz", *map(chr, range(0xC0, 0x250))]:
+        texts = [f"ab{letter}{x}{letter}{x}c" for x in follow]
+        cut = [pieces_of(x, pattern, known.special) for x in texts]
+        known.learn([p for pieces in cut for p in pieces])
+        for pieces, want in zip(cut, known.tokenizer.encode_batch(texts, add_special_tokens=False), strict=True):
+            assert [i for p in pieces for i in known[p]] == want.ids, (letter, pieces)
+
+
+def test_clashing_columns(spark):
+    """Columns named as the results or as helpers: results replace, helpers make room."""
+    rows = spark.createDataFrame([(k, 7, "x", 1.5, "h", "r", 9) for k in range(30)], "doc_id long, length int, offset string, sequence_id double, _bucket string, _rank string, _n int")
+    got = pack(rows, order=["doc_id"], capacity=14).collect()
+    assert len(got) == 30 and len({r.sequence_id for r in got}) == 15 and {(r.offset, r._bucket, r._rank, r._n) for r in got} == {(0, "h", "r", 9), (7, "h", "r", 9)}
+    rows = spark.createDataFrame([(k, "s", "a", 1, 2, "k", 0.5) for k in range(30)], "doc_id long, source string, shard string, slot int, _at int, _key string, _frac double")
+    got = assign_shards(rows, shards=3, order=["doc_id"]).collect()
+    assert sorted((r.shard, r.slot) for r in got) == [(s, k) for s in range(3) for k in range(10)] and {(r._at, r._key, r._frac) for r in got} == {(2, "k", 0.5)}
+    rows = spark.createDataFrame([(k, "ein text von hier", "de", "x", 1, True) for k in range(30)], "doc_id long, text string, lang string, lang_pred string, score int, held_out boolean")
+    assert {(r.lang_pred, r.lang) for r in identify_languages(rows).collect()} == {("de", "de")}
+
+
+def test_shards_of_single_rows(spark):
+    """Thousands of sources of one row share one fraction and are still dealt evenly, in the order of the strata."""
+    rows = spark.range(3000).select(F.col("id").alias("doc_id"), F.concat(F.lit("s"), F.lpad(F.col("id").cast("string"), 5, "0")).alias("source"))
+    got = sorted((r.shard, r.slot, r.doc_id) for r in assign_shards(rows, shards=7, order=["doc_id"]).collect())
+    assert [d for *_, d in got] == list(range(3000)) and {n for n in Counter(s for s, *_ in got).values()} == {428, 429}
+
+
 def test_token_counts(docs, none):
     tokenizer = load_tokenizer(tokenizer_path(BYTE_BPE))
     for batch in (4 << 20, 1000):
@@ -377,6 +409,23 @@ def test_edit_distance():
         assert edit_distance(a, b) == plain(a, b)
 
 
+def test_long_texts_by_stretches(spark):
+    """A text read in stretches gets what it gets whole; a word beyond 40 letters counts to its end."""
+    draw = random.Random(6)
+    kinds = {"en": "the of and ing tion".split(), "de": "der und sch keit ung".split()}
+    text = lambda lang, n: " ".join("".join(draw.choices(kinds[lang], k=2)) for _ in range(n))
+    crf = train([text(["en", "de"][k % 2], 50) for k in range(60)], [["en", "de"][k % 2] for k in range(60)], rounds=2)
+    assert crf.start.any()
+    long = " ".join(text(["en", "de", "en"][k % 3], draw.randint(3, 200)) for k in range(300)) + "\n 12 ... \n" + text("de", 9)
+    frame = spark.createDataFrame([(0, long), (1, text("de", 30)), (2, "!" * 5000), (3, "tion" * 500)], "doc_id long, text string")
+    whole, cut = ({r.doc_id: r for r in tag_documents(frame, crf, stretch=n).collect()} for n in (1 << 21, 700))
+    assert len(long) > 50000
+    for k in range(4):
+        assert whole[k].lang_pred == cut[k].lang_pred and abs(whole[k].score - cut[k].score) < 1e-4
+    assert [whole[k].lang_pred for k in range(4)] == ["en", "de", "und", "en"]
+    assert "".join(long[a:b] for a, b in stretches(long, 700)) == long
+
+
 def test_every_label_is_learned(spark):
     rows = [(k, f"text {k}", f"l{k % 60}") for k in range(600)]
     frame = spark.createDataFrame(rows, "doc_id long, text string, lang string")
@@ -530,20 +579,20 @@ def test_line_bands():
     assert (one == two).any(axis=1).mean() > 0.95 and abs((one == two).mean() - (2 / 3) ** 4) < 0.01 and abs((a == b).mean() - 2 / 3) < 0.01
 
 
-def plain_simhashes(lines):
-    found = read_words(pa.array(lines))
-    out = []
-    for a, b in zip(found.bounds[:-1], found.bounds[1:]):
-        each = np.unique(found.hashes[a:b] >> np.uint64(24))
-        bits = np.concatenate([np.unpackbits(mix(each * np.uint64(2 * k + 1) + np.uint64(k)).view(np.uint8).reshape(-1, 8), axis=1) for k in (1, 2)], axis=1)
-        out.append(np.packbits(bits.sum(axis=0, dtype=np.int64) * 2 > len(each)).view(np.uint64))
-    return out
-
-
 def test_simhash():
-    lines = [" ".join(words(k, n)) for k, n in enumerate((1, 3, 600, 2, 300000, 255, 256, 7))]
+    lines = [" ".join(words(k, n)) for k, n in enumerate((1, 3, 600, 2, 300000, 255, 256, 7, 31, 32))] + ["a a a of of other words", "| " * 300 + "table of things"]
     found = read_words(pa.array(lines))
-    assert (simhash(found.hashes, np.diff(found.bounds)) == np.array(plain_simhashes(lines))).all()
+    got = simhash(found.hashes, found.ends - found.starts, np.diff(found.bounds))
+    for k, line in enumerate(lines):
+        counts, whole = np.zeros(128, np.int64), 0
+        for word, h in {w: h for w, h in zip(line.split(), found.hashes[found.bounds[k] :].tolist())}.items():
+            power = min(len(word), 4) - 1
+            h, weight = (h >> 22) & ((1 << 42) - 4) | power, 1 << power
+            bits = np.concatenate([np.unpackbits(mix(np.array([h * (2 * j + 1) + j & (1 << 64) - 1], np.uint64)).view(np.uint8)) for j in (1, 2)])
+            counts += weight * bits.astype(np.int64)
+            whole += weight
+        assert (np.packbits(counts * 2 > whole).view(np.uint64) == got[k]).all()
+    assert bin(int(got[-1][0] ^ got[-2][0])).count("1") > 16
 
 
 def test_words():
@@ -586,11 +635,16 @@ def test_substrings(docs, none, size):
 
 
 def test_quality(docs, none):
+    docs = docs.unionAll(docs.where("doc_id = 14")).unionAll(docs.where("doc_id = 14"))  # one document, however often
     rows = quality_table(docs, max_docs=2).collect()
     source = docs.collect()
-    held = Counter()
-    for r in source:
-        held.update({(r.source, " ".join(line.lower().split())) for line in (r.text or "").split("\n") if split(line)})
+    holders = defaultdict(set)
+    for k, r in enumerate(source):
+        for line in (r.text or "").split("\n"):
+            if split(line):
+                holders[(r.source, " ".join(line.lower().split()))].add((r.doc_id, k if r.doc_id is None else None))
+    held = {x: len(ids) for x, ids in holders.items()}
+    assert max(Counter((r.source, x) for r in source for x in (r.text or "").split("\n") if split(x)).values()) > 2
     want = Counter()
     for r in source:
         text, w = r.text or "", split(r.text)
