@@ -15,7 +15,7 @@ from arcframe.kernel.codecs import get_codec, register_codec
 from arcframe.sources import read_archives, register
 from arcframe.streaming import chunked_entries
 
-from .raw_zip import raw_zip
+from arcframe.kernel.crafted import raw_zip
 
 TWO = [{"name": "a.txt", "data": b"hello hello hello hello", "method": 8}, {"name": "b/c.bin", "data": bytes(range(256)) * 9}]
 

@@ -15,7 +15,7 @@ from arcframe.kernel import codecs, forward, reader, writer
 from arcframe.operators.forward import forward_rows
 from arcframe.vocabulary import DEFAULT_LIMITS, DIAGNOSTICS, ERROR_CODES, ZipFault, enforce, resolve_limits
 
-from .raw_zip import deflate, raw_zip
+from arcframe.kernel.crafted import deflate, raw_zip
 
 TWO = [{"name": "a.txt", "data": b"hello hello hello hello", "method": 8}, {"name": "b/c.bin", "data": bytes(range(256)) * 9}]
 
