@@ -112,65 +112,120 @@ def _joined(found: DataFrame, links: DataFrame) -> DataFrame:
     return materialize(every.join(moved, "component", "left").select("node", F.coalesce("now", "component").alias("component")))
 
 
-#: A bucket with this share of the probed rows is dealt over all tasks.
+#: A key with this share of the probed rows is dealt over all parts; at most 1 / HOT_SHARE keys have it.
 HOT_SHARE = 1 / 4096
+#: (key, node) pairs of a part, and parts that one step deals to.
+PART_PAIRS, FAN_OUT = 3 << 20, 4096
 
 
-def shared_buckets(rows: Callable[[np.ndarray], DataFrame], probe: DataFrame) -> DataFrame:
-    """The (key, node) rows, each once, of keys with several nodes; stored.
+def parts_for(pairs: float) -> int:
+    """In how many parts so many pairs are dealt, a power of two; fine parts are cut out of coarse ones."""
+    return 1 << max(6, int(np.ceil(np.log2(max(1.0, pairs / PART_PAIRS)))))
 
-    ``probe``: (key, ...) rows of a sample of the nodes, in which keys that hold a large share of the rows stand out;
-    ``rows``: those keys (at most 1 / HOT_SHARE) -> (key long, node long, hot boolean) of all nodes, ``hot`` for rows of
-    such keys. Rows are dealt by key, sorted and read once; those of hot keys are dealt by node and all kept, so no
-    task needs all rows of a key. The sample only decides how rows are dealt.
+
+def deal_pairs(key: np.ndarray, node: np.ndarray, hot: np.ndarray, parts: int) -> pa.RecordBatch:
+    """(part, packed) rows: the pairs of each part, keys before nodes. A pair goes by its key, that of a hot key by its node."""
+    part = (mix(np.where(np.isin(key, hot), node, key).view(np.uint64)) & np.uint64(parts - 1)).astype(np.uint16 if parts <= 1 << 16 else np.int64)
+    order = np.argsort(part, kind="stable")
+    key, node, part = key[order], node[order], part[order]
+    cuts = np.append(np.flatnonzero(np.diff(part, prepend=-1 if part.dtype == np.int64 else part[:1] ^ 1)), len(part)) if len(part) else np.zeros(1, np.int64)
+    packed = [key[a:b].tobytes() + node[a:b].tobytes() for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+    return pa.RecordBatch.from_arrays([pa.array(part[cuts[:-1]].astype(np.int64)), pa.array(packed, pa.binary())], ["part", "packed"])
+
+
+def _unpacked(held: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    both = [np.frombuffer(x, np.int64) for x in held]
+    return np.concatenate([x[: len(x) // 2] for x in both]), np.concatenate([x[len(x) // 2 :] for x in both])
+
+
+def _by_part(batches: Iterator[pa.RecordBatch], most: int | None = None) -> Iterator[list[bytes]]:
+    """The packed rows of each part in turn, of rows sorted by part; or any rows, of about ``most`` bytes together."""
+    held, size, now = [], 0, None
+    for batch in batches:
+        for part, packed in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            if held and (part != now if most is None else size >= most):
+                yield held
+                held, size = [], 0
+            held.append(packed)
+            size, now = size + len(packed), part
+    if held:
+        yield held
+
+
+def shared_buckets(deal: Callable[[np.ndarray, int], DataFrame], probe: DataFrame, share: float) -> DataFrame:
+    """The (key, node) pairs, each once, of keys with several nodes; stored.
+
+    ``probe``: (key, ...) rows of about a ``share`` of all pairs; it tells how many pairs there are and which keys hold a large
+    part of them. ``deal``: hot keys and a number of parts -> (part, packed) rows, as ``deal_pairs`` makes them, of
+    all pairs. Equal keys meet in one part, each of which is sorted in one task; pairs of hot keys are spread by
+    their nodes and all kept, so no task needs all pairs of a key. The probe only decides how pairs are dealt.
+    Beyond FAN_OUT parts pairs are dealt twice, first to coarse parts, so that packed rows stay large at any size.
     """
-    probe = materialize(probe.groupBy("key").agg(F.count("*").alias("n")))
-    least = max(64, int((probe.agg(F.sum("n")).first()[0] or 0) * HOT_SHARE))
-    hot = np.array(sorted(r[0] for r in probe.where(F.col("n") >= least).select("key").collect()), np.int64)  # a bounded number
+    counted = materialize(probe.groupBy("key").agg(F.count("*").alias("n")))
+    total = counted.agg(F.sum("n")).first()[0] or 0
+    least = max(64, int(total * HOT_SHARE))
+    hot = np.array(sorted(r[0] for r in counted.where(F.col("n") >= least).select("key").collect()), np.int64)  # a bounded number
+    parts = parts_for(total / share)
+
+    def finer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for held in _by_part(batches, 64 << 20):
+            yield deal_pairs(*_unpacked(held), hot, parts)
 
     def several(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: tuple[np.ndarray, ...] | None = None  # the last row, and whether it is out
-        for batch in batches:
-            key, node, out = (batch.column(c).to_numpy(zero_copy_only=False) for c in (0, 1, 2))
-            if held is not None:
-                key, node, out = (np.concatenate((x, y)) for x, y in zip(held[:3], (key, node, out), strict=True))
+        for held in _by_part(batches):
+            key, node = _unpacked(held)
+            order = np.argsort(key, kind="stable")
+            key, node = key[order], node[order]
+            again = key[1:] == key[:-1]
+            keep = np.isin(key, hot)
+            keep[1:] |= again
+            keep[:-1] |= again
+            key, node = key[keep], node[keep]  # few are left
+            order = np.lexsort((node, key))
+            key, node = key[order], node[order]
             new = np.ones(len(key), bool)
             new[1:] = (key[1:] != key[:-1]) | (node[1:] != node[:-1])
-            key, node, out = key[new], node[new], out[new]
-            company = key[1:] == key[:-1]
-            keep = out.copy()
-            keep[1:] |= company
-            keep[:-1] |= company
-            last = keep[-1:].copy()
-            if held is not None and held[3][0]:
-                keep[0], last = False, last | (len(key) == 1)
+            key, node = key[new], node[new]
+            again = key[1:] == key[:-1]
+            keep = np.isin(key, hot)
+            keep[1:] |= again
+            keep[:-1] |= again
             yield pa.RecordBatch.from_arrays([pa.array(key[keep]), pa.array(node[keep])], ["key", "node"])
-            held = key[-1:], node[-1:], out[-1:], last
 
-    dealt = rows(hot).repartition(F.when(F.col("hot"), F.col("node")).otherwise(F.col("key"))).sortWithinPartitions("key", "node")
-    return materialize(dealt.mapInArrow(several, "key long, node long"))
+    dealt = deal(hot, min(parts, FAN_OUT))
+    if parts > FAN_OUT:
+        dealt = dealt.repartition("part").mapInArrow(finer, "part long, packed binary")
+    return materialize(dealt.repartition("part").sortWithinPartitions("part").mapInArrow(several, "key long, node long"))
 
 
-def cluster_buckets(rows: DataFrame, verify: Callable[[DataFrame], DataFrame], payload: Callable[[], DataFrame], match: Callable[[pa.Table, pa.Table], tuple[np.ndarray, np.ndarray]], *, few: int = 16, block: int = 1024) -> DataFrame:
+def cluster_buckets(rows: DataFrame, verify: Callable[[DataFrame], DataFrame], payload: Callable[[DataFrame], DataFrame], match: Callable[[pa.Table, pa.Table], tuple[np.ndarray, np.ndarray]], *, few: int = 16, block: int = 1024) -> DataFrame:
     """Components of the links that hold inside buckets.
 
-    ``rows``: (key long, node long), one row for each bucket and member. ``verify``: (a, b) pairs -> those that are links;
-    it is called first, with every member of a shared bucket among the pairs. ``payload``: (node, ...) what a check
-    needs, for all those; ``match``: rows of payload left and right -> indices of the links between them.
+    ``rows``: (key long, node long), one row for each bucket and member. ``payload``: (node) rows, every member of a bucket
+    of several -> (node, ...) what a check needs, for all those; it is called once, before ``verify``: (a, b) pairs -> those
+    that are links. ``match``: rows of payload left and right -> indices of the links between them.
 
     Result: (node, component) for nodes with a link. It equals testing all pairs that share a bucket, yet emits
-    few: members are held against the first node of their bucket, then, in buckets that still span several components,
-    against the first node of one of those. What then still spans several goes on without exception: in buckets of up to
-    ``few`` members as pairs across components, in larger ones by blocks, in which the members outside the bucket's
-    largest component meet all others and only a spanning forest of the links found comes out.
+    few. Every member is held against the first node of one of its buckets, then, where that left them in different
+    components, of its other buckets, then, in buckets that still span several components, against the first node of one of
+    those. What then still spans several goes on without exception: in buckets of up to ``few`` members as pairs across
+    components, in larger ones by blocks, in which the members outside the bucket's largest component meet all others and
+    only a spanning forest of the links found comes out.
 
     Buckets are counted before they are shuffled, and tables by key are joined as stored ones, so that Spark can split
     a bucket that holds a large share of the rows.
     """
     sized = materialize(rows.groupBy("key").agg(F.count("*").alias("n"), F.min("node").alias("pivot")).where("n > 1"))
     rows = materialize(rows.join(sized.hint("merge"), "key"))
+    held = payload(rows.select("node").distinct())
     tested = materialize(_pairs(rows.where("node <> pivot"), "node", "pivot"))
-    found = connected_components(verify(tested))
+    one = tested.groupBy("b").agg(F.min("a").alias("a")).select("a", "b")
+    found = connected_components(verify(one))
+    ends = lambda x: found.select(F.col("node").alias(x), F.col("component").alias("c" + x))
+    apart = tested.join(ends("a"), "a", "left").join(ends("b"), "b", "left").where(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b")
+    apart = materialize(apart.join(one, ["a", "b"], "left_anti"))
+    if not apart.isEmpty():
+        found = _joined(found, verify(apart))
 
     def spanning() -> tuple[DataFrame, DataFrame]:
         comp = F.coalesce("component", "node").alias("comp")
@@ -192,7 +247,7 @@ def cluster_buckets(rows: DataFrame, verify: Callable[[DataFrame], DataFrame], p
     links = verify(fresh) if not fresh.isEmpty() else fresh
     large = open_rows.where(F.col("n") > few)
     if not large.isEmpty():
-        links = links.unionAll(_block_links(large, payload(), match, block))
+        links = links.unionAll(_block_links(large, held, match, block))
     elif fresh.isEmpty():
         return found
     return _joined(found, links)

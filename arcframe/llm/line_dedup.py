@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -11,8 +11,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._common import by_bytes, map_arrow, materialize, unused
-from ._graph import cluster_buckets, shared_buckets
-from ._words import WORD, Texts, mix, read_words, seeds
+from ._graph import cluster_buckets, deal_pairs, shared_buckets
+from ._words import Texts, join_words, mix, read_words, seeds
 
 #: 64-bit numbers of a SimHash, and bits of its pigeonhole blocks.
 PARTS, BLOCK = 2, 32
@@ -24,6 +24,9 @@ BANDS, ROWS, SHORT, MORE_BANDS, MORE_ROWS = 16, 4, 10, 48, 3
 #: them agrees, or, if both have LONG words, the larger one.
 AGREE, LONG, LONG_AGREE = 0.3, 64, 0.45
 
+#: Of so many documents one is probed for keys that many lines have.
+PROBE = 64
+
 #: Weight of a word, as a power of two, by its bytes: the shortest words are the most common ones.
 _WEIGHT = np.array([0, 0, 1, 2, 3], np.uint64)
 
@@ -244,29 +247,33 @@ def line_keys(hashes: np.ndarray, lengths: np.ndarray, sizes: np.ndarray) -> tup
     return keys, np.concatenate([np.repeat(np.arange(len(sizes)), table.shape[1]), np.repeat(np.flatnonzero(short), MORE_BANDS)])
 
 
-def sketches(lines: list[str]) -> pa.Array:
+def sketches(lines: Texts) -> pa.Array:
     """For each line of SHORT words or more whether it is LONG and a byte for each MinHash coordinate, for others null."""
-    found = read_words(pa.array(lines, pa.large_string()))
-    sizes = np.diff(found.bounds)
+    sizes = np.diff(lines.bounds)
     mine = sizes >= SHORT
     of = np.repeat(mine, sizes)
-    table = line_bands(found.hashes[of], (found.ends - found.starts)[of], sizes[mine], BANDS, ROWS)[1]
-    out = np.full(len(lines), None, object)
-    out[mine] = [x.tobytes() for x in np.concatenate([(sizes[mine] >= LONG)[:, None].astype(np.uint8), table], axis=1)]
-    return pa.array(out, pa.binary())
-
-
-def alike(left: pa.Array, right: pa.Array) -> np.ndarray:
-    """Whether enough of two sketches agrees, for each pair of them; null is like all."""
-    out = np.ones(len(left), bool)
-    both = np.flatnonzero(pc.and_(left.is_valid(), right.is_valid()).to_numpy(zero_copy_only=False))
-    if len(both):
-        a, b = (np.frombuffer(b"".join(x.take(pa.array(both)).to_pylist()), np.uint8).reshape(len(both), -1) for x in (left, right))
-        least = np.where(a[:, 0] & b[:, 0] == 1, LONG_AGREE, AGREE)
-        out[both] = (a[:, 1:] == b[:, 1:]).mean(axis=1) >= least
+    table = line_bands(lines.hashes[of], (lines.ends - lines.starts)[of], sizes[mine], BANDS, ROWS)[1]
+    table = np.concatenate([(sizes[mine] >= LONG)[:, None].astype(np.uint8), table], axis=1)
+    offsets = np.concatenate(([0], np.cumsum(mine))) * table.shape[1]
+    whole = pa.Array.from_buffers(pa.binary(), len(sizes), [None, pa.py_buffer(offsets.astype(np.int32).tobytes()), pa.py_buffer(table.tobytes())])
+    return pc.if_else(pa.array(mine), whole, pa.scalar(None, pa.binary()))
+
+
+def sketch_table(column: pa.Array) -> np.ndarray:
+    """Sketches as rows of bytes; null is a row of which the first byte is 2."""
+    out = np.zeros((len(column), 1 + BANDS * ROWS), np.uint8)
+    mine = column.is_valid().to_numpy(zero_copy_only=False)
+    out[:, 0] = 2
+    out[mine] = np.frombuffer(b"".join(column.filter(pa.array(mine)).to_pylist()), np.uint8).reshape(-1, out.shape[1])
     return out
 
 
+def alike(left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """Whether enough of two sketches (rows of sketch_table) agrees, for each pair of them; null is like all."""
+    least = np.where(left[:, 0] & right[:, 0] == 1, LONG_AGREE, AGREE) * (left.shape[1] - 1)
+    return ((left[:, 1:] == right[:, 1:]).sum(axis=1) >= least) | (left[:, 0] == 2) | (right[:, 0] == 2)
+
+
 def dedup_lines(docs: DataFrame, *, text: str = "text", id_col: str = "doc_id", threshold: float = 0.8) -> DataFrame:
     """``docs`` with ``text`` cut to the kept lines, and n_lines, n_removed: one occurrence of each group of lines stays.
 
@@ -287,7 +294,7 @@ def dedup_lines(docs: DataFrame, *, text: str = "text", id_col: str = "doc_id",
     as the product of their lengths / 64. Columns pass through (n_lines and n_removed are replaced); an empty table gives
     an empty result.
     """
-    row, lines_of, gone_of = unused(docs, "_row", "_lines", "_gone")
+    row, gone_of = unused(docs, "_row", "_gone")
     stored = materialize(docs.drop("n_lines", "n_removed").withColumn(row, F.monotonically_increasing_id()))
 
     def slices(column: pa.Array) -> Iterator[tuple[int, Texts, tuple[np.ndarray, ...]]]:
@@ -308,8 +315,8 @@ def dedup_lines(docs: DataFrame, *, text: str = "text", id_col: str = "doc_id",
 
         return each
 
-    def keys(probe: bool, hot: np.ndarray):
-        """(key, node, hot) of each line that is new to its task; as a probe, the keys of one distinct line in 64."""
+    def keyed(rows: DataFrame, out: Callable[[np.ndarray, np.ndarray], pa.RecordBatch], schema: str) -> DataFrame:
+        """What ``out`` makes of the keys and nodes of the lines of a batch that are new to their task."""
 
         def make():
             seen = np.empty(0, np.uint64)
@@ -319,7 +326,7 @@ def dedup_lines(docs: DataFrame, *, text: str = "text", id_col: str = "doc_id",
                 found = [np.empty(0, np.uint64)], [np.empty(0, np.uint64)]
                 for _, texts, (_, sizes, _, _, one, _) in slices(batch.column(0)):
                     fresh, at = np.unique(one, return_index=True)
-                    new = (fresh & np.uint64(63) == 0 if probe else np.ones(len(fresh), bool)) & ~np.isin(fresh, seen, assume_unique=True)
+                    new = ~np.isin(fresh, seen, assume_unique=True)
                     seen = np.union1d(seen if len(seen) < 1 << 21 else seen[:0], fresh[new])
                     mine = np.zeros(len(one), bool)
                     mine[at[new]] = True
@@ -327,12 +334,14 @@ def dedup_lines(docs: DataFrame, *, text: str = "text", id_col: str = "doc_id",
                     key, line = line_keys(texts.hashes[of], (texts.ends - texts.starts)[of], sizes[mine])
                     found[0].append(key)
                     found[1].append(one[mine][line])
-                key, node = (np.concatenate(x) for x in found)
-                return pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(node.view(np.int64)), pa.array(np.isin(key.view(np.int64), hot))], ["key", "node", "hot"])
+                return out(*(np.concatenate(x).view(np.int64) for x in found))
 
             return each
 
-        return map_arrow(stored.select(F.col(text).alias("t")), make, "key long, node long, hot boolean")
+        return map_arrow(rows.select(F.col(text).alias("t")), make, schema)
+
+    def deal(hot: np.ndarray, parts: int) -> DataFrame:
+        return keyed(stored, lambda key, node: deal_pairs(key, node, hot, parts), "part long, packed binary")
 
     def texts():
         def each(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -343,15 +352,16 @@ def dedup_lines(docs: DataFrame, *, text: str = "text", id_col: str = "doc_id",
                     nodes.append(x["node"])
                     twos.append(x["two"])
                     lines.append(found[x["line"]])
-            words = [" ".join(WORD.findall(x)) for x in normalized(pa.array(lines, pa.string())).to_pylist()]
-            columns = [pa.array(nodes, pa.int64()), pa.array(twos, pa.int64()), pa.array(words, pa.string()), pa.array([len(x) for x in words], pa.int32()), sketches(words)]
+            words = read_words(normalized(pa.array(lines, pa.large_string())))
+            joined = join_words(words, np.ones(len(words.hashes), bool))
+            columns = [pa.array(nodes, pa.int64()), pa.array(twos, pa.int64()), joined, pc.utf8_length(joined).cast(pa.int32()), sketches(words)]
             return pa.RecordBatch.from_arrays(columns, ["node", "two", "words", "size", "sketch"])
 
         return each
 
     def sift():
         def each(batch: pa.RecordBatch) -> pa.RecordBatch:
-            return batch.select([0, 1]).filter(pa.array(alike(batch.column(2), batch.column(3))))
+            return batch.select([0, 1]).filter(pa.array(alike(sketch_table(batch.column(2)), sketch_table(batch.column(3)))))
 
         return each
 
@@ -364,17 +374,20 @@ def dedup_lines(docs: DataFrame, *, text: str = "text", id_col: str = "doc_id",
 
     lines = map_arrow(stored.select(row, F.col(id_col).alias("id"), F.col(text).alias("t")), split, f"row long, id {docs.schema[id_col].dataType.simpleString()}, line int, one long, two long")
     lines = materialize(lines)
-    shared = shared_buckets(lambda hot: keys(False, hot), keys(True, np.empty(0, np.int64)))
+    probe = keyed(stored.where(F.pmod(F.xxhash64(row), F.lit(PROBE)) == 0), lambda key, node: pa.RecordBatch.from_arrays([pa.array(key)], ["key"]), "key long")
+    shared = shared_buckets(deal, probe, 1 / PROBE)
     known: list[DataFrame] = []
 
+    def payload(members: DataFrame) -> DataFrame:
+        # Of different lines with one hash the least stands for it; the others only match their equals.
+        needed = members.withColumnRenamed("node", "one").hint("merge")
+        at = lines.select("one", "two", "row", "line").join(needed, "one", "left_semi").groupBy("one").agg(F.min(F.struct("two", "row", "line")).alias("x"))
+        at = at.groupBy(F.col("x.row").alias(row)).agg(F.collect_list(F.struct(F.col("one").alias("node"), "x.two", "x.line")).alias("needs"))  # lines of one document
+        wanted = stored.select(row, F.col(text).alias("t")).join(at.hint("merge"), row).select("t", "needs")
+        known.append(materialize(map_arrow(wanted, texts, "node long, two long, words string, size int, sketch binary")))
+        return known[0]
+
     def verify(pairs: DataFrame) -> DataFrame:
-        if not known:  # every member of a shared bucket is in the first pairs
-            needed = pairs.select(F.col("a").alias("one")).unionAll(pairs.select("b")).distinct()
-            # Of different lines with one hash the least stands for it; the others only match their equals.
-            at = lines.select("one", "two", "row", "line").join(needed.hint("merge"), "one", "left_semi").groupBy("one").agg(F.min(F.struct("two", "row", "line")).alias("x"))
-            at = at.groupBy(F.col("x.row").alias(row)).agg(F.collect_list(F.struct(F.col("one").alias("node"), "x.two", "x.line")).alias("needs"))  # lines of one document
-            wanted = stored.select(row, F.col(text).alias("t")).join(at.hint("merge"), row).select("t", "needs")
-            known.append(materialize(map_arrow(wanted, texts, "node long, two long, words string, size int, sketch binary")))
         of = lambda x, c: known[0].select(F.col("node").alias(x), F.col(c).alias(c + x), F.col("size").alias(f"size{x}")).hint("merge")  # noqa: E731, the same plan at any size
         near = F.abs(F.col("sizea") - F.col("sizeb")) <= F.greatest("sizea", "sizeb") * (1 - threshold) + 1e-9
         sketched = pairs.join(of("a", "sketch"), "a").join(of("b", "sketch"), "b").where(near)
@@ -386,19 +399,19 @@ def dedup_lines(docs: DataFrame, *, text: str = "text", id_col: str = "doc_id",
         """Members of other components on the right that are similar, for those on the left."""
         x, y = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
         comps, sizes, marks = ([t.column(c).combine_chunks() for t in (left, right)] for c in ("comp", "size", "sketch"))
-        words = [t.column("words").to_pylist() for t in (left, right)]
+        words, marks = [t.column("words").to_pylist() for t in (left, right)], [sketch_table(x) for x in marks]
         (mine, others), (n, m) = ([a.to_numpy() for a in pair] for pair in (comps, sizes))
         for a in range(0, len(mine), 16):
             near = np.abs(n[a : a + 16, None] - m) <= np.maximum(n[a : a + 16, None], m) * (1 - threshold) + 1e-9
             i, j = np.nonzero(near & (mine[a : a + 16, None] != others))
-            ok = alike(marks[0].take(pa.array(i + a)), marks[1].take(pa.array(j)))
+            ok = alike(marks[0][i + a], marks[1][j])
             i, j = i[ok] + a, j[ok]
             ok = similar_pairs([words[0][k] for k in i], [words[1][k] for k in j], threshold)
             x.append(i[ok])
             y.append(j[ok])
         return np.concatenate(x), np.concatenate(y)
 
-    found = cluster_buckets(shared, verify, lambda: known[0], match)
+    found = cluster_buckets(shared, verify, payload, match)
     linked = known[0].select(F.col("node").alias("one"), "two").join(found.withColumnRenamed("node", "one"), "one")
     equal = lines.groupBy("one", "two").agg(F.count("*").alias("n")).where("n > 1").select("one", "two")
     members = materialize(equal.join(linked, ["one", "two"], "full_outer").withColumn("component", F.coalesce("component", F.xxhash64("one", "two"))))
@@ -409,7 +422,10 @@ def dedup_lines(docs: DataFrame, *, text: str = "text", id_col: str = "doc_id",
     gone = gone.groupBy(F.col("place.row").alias(row)).agg(F.collect_list("place.line").alias(gone_of))  # lines of one document
     counts = lines.groupBy(F.col("row").alias(row)).agg(F.count("*").alias("n_lines"))
     found = materialize(counts.join(gone, row, "left"))
-    out = stored.join(found, row, "left").withColumn(lines_of, F.when(F.col(gone_of).isNotNull(), F.split(text, "\n")))
-    kept = F.transform(F.array_except(F.sequence(F.lit(0), F.size(lines_of) - 1), F.col(gone_of)), lambda i: F.get(F.col(lines_of), i))
-    out = out.withColumn(text, F.when(F.col(gone_of).isNull(), F.col(text)).otherwise(F.array_join(kept, "\n")))
-    return out.withColumn("n_removed", F.when(F.col(gone_of).isNull(), 0).otherwise(F.size(gone_of)).cast("long")).withColumn("n_lines", F.coalesce("n_lines", F.lit(0)).cast("long")).drop(row, gone_of, lines_of)
+    out = stored.join(found, row, "left")
+    left = F.array_except(F.sequence(F.lit(0), F.size(F.split(text, "\n")) - 1), F.col(gone_of))
+    # A one-element array binds the lines to a name, so that the text is split once and not for each line.
+    kept = F.get(F.transform(F.array(F.split(text, "\n")), lambda lines: F.array_join(F.transform(left, lambda i: F.get(lines, i)), "\n")), F.lit(0))
+    out = out.withColumn(text, F.when(F.col(gone_of).isNull(), F.col(text)).otherwise(kept))
+    removed = F.when(F.col(gone_of).isNull(), 0).otherwise(F.size(gone_of)).cast("long")
+    return out.withColumn("n_removed", removed).withColumn("n_lines", F.coalesce("n_lines", F.lit(0)).cast("long")).drop(row, gone_of)

@@ -141,11 +141,13 @@ def near_duplicates(docs: DataFrame, *, text: str = "text", id_col: str = "doc_i
     nodes = materialize(nodes.withColumn("node", F.col("head.row")))
     sets: list[DataFrame] = []
 
+    def payload(members: DataFrame) -> DataFrame:
+        needed = members.select(F.col("node").alias("_row")).hint("merge")
+        texts = stored.select("_row", F.col(text).alias("t")).join(needed, "_row", "left_semi")
+        sets.append(materialize(map_arrow(texts, runs, "node long, runs array<long>")))
+        return sets[0]
+
     def verify(pairs: DataFrame) -> DataFrame:
-        if not sets:  # every member of a shared bucket is in the first pairs
-            needed = pairs.select(F.col("a").alias("_row")).unionAll(pairs.select("b")).distinct()
-            texts = stored.select("_row", F.col(text).alias("t")).join(needed.hint("merge"), "_row", "left_semi")
-            sets.append(materialize(map_arrow(texts, runs, "node long, runs array<long>")))
         a, b = (sets[0].select(F.col("node").alias(x), F.col("runs").alias(f"s{x}")).hint("merge") for x in "ab")  # the same plan at any size
         both = F.size(F.array_intersect("sa", "sb"))
         return pairs.join(a, "a").join(b, "b").where(both >= F.lit(threshold) * (F.size("sa") + F.size("sb") - both) - 1e-9).select("a", "b")
@@ -169,7 +171,7 @@ def near_duplicates(docs: DataFrame, *, text: str = "text", id_col: str = "doc_i
         union = sizes[0][:, None] + sizes[1][None, :] - both
         return np.nonzero(both >= threshold * union - 1e-6)
 
-    found = cluster_buckets(nodes.select(F.explode("keys").alias("key"), "node"), verify, lambda: sets[0], match)
+    found = cluster_buckets(nodes.select(F.explode("keys").alias("key"), "node"), verify, payload, match)
     labelled = nodes.select(*same, "head", "node").join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
     first = labelled.groupBy("component").agg(F.min("head").alias("first"))
     labelled = labelled.join(first, "component").select(*same, F.col("first.id").alias("class_id"), F.col("first.row").alias("_keeper"))

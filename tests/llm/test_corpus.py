@@ -18,7 +18,7 @@ from arcframe.llm import _graph
 from arcframe.llm._pieces import BYTE_LEVEL, WORD_LEVEL, PieceTokens, load_tokenizer, pieces_of
 from arcframe.llm._words import WORD, join_words, mix, read_words
 from arcframe.llm.language import Crf, identify_languages, letter_words, positions, stretches, tag_documents, train, training_sample, word_features
-from arcframe.llm.line_dedup import alike, dedup_lines, edit_distance, edit_distances, line_bands, line_keys, normalized, simhash, similar, similar_pairs, sketches
+from arcframe.llm.line_dedup import alike, dedup_lines, edit_distance, edit_distances, line_bands, line_keys, normalized, simhash, similar, similar_pairs, sketch_table, sketches
 from arcframe.llm.minhash import dart_signature, near_duplicates
 from arcframe.llm.mixing import emit_mixture, plan_mixture, source_targets
 from arcframe.llm.packing import encode_pieces, pack, plan_bins
@@ -113,10 +113,33 @@ def test_buckets_lose_no_link(spark, few, block):
         return np.nonzero(np.abs(left.column("v").to_numpy()[:, None] - right.column("v").to_numpy()[None, :]) < 0.008)
 
     frame = spark.createDataFrame(rows, "key long, node long")
-    got = {r.node: r.component for r in _graph.cluster_buckets(frame, verify, lambda: table, match, few=few, block=block).collect()}
+    got = {r.node: r.component for r in _graph.cluster_buckets(frame, verify, lambda members: table, match, few=few, block=block).collect()}
     assert {k: got.get(k, k) for k in place} == want
 
 
+@pytest.mark.parametrize(("hot_share", "part", "fan"), [(1, 3 << 20, 4096), (0.0, 40, 4096), (0.0, 40, 64)])
+def test_shared_buckets(spark, monkeypatch, hot_share, part, fan):
+    """Pairs of keys with one node go, over any parts and steps, and hot keys lose none."""
+    for name, value in (("HOT_SHARE", hot_share), ("PART_PAIRS", part), ("FAN_OUT", fan)):
+        monkeypatch.setattr(_graph, name, value)
+    draw = random.Random(12)
+    rows = [(int(draw.paretovariate(0.4)) % 3000, draw.randint(0, 60)) for _ in range(6000)]
+    table = spark.createDataFrame(rows, "key long, node long").repartition(3)
+    hots = []
+
+    def deal(hot, parts):
+        hots.append(set(hot.tolist()))
+        return table.mapInArrow(lambda batches: (_graph.deal_pairs(b.column(0).to_numpy(), b.column(1).to_numpy(), hot, parts) for b in batches), "part long, packed binary")
+
+    got = _graph.shared_buckets(deal, table, 1.0).collect()
+    nodes = defaultdict(set)
+    for key, node in rows:
+        nodes[key].add(node)
+    want = {(k, v) for k, held in nodes.items() if len(held) > 1 or k in hots[0] for v in held}
+    assert sorted((r.key, r.node) for r in got) == sorted(want) and bool(hots[0]) == (hot_share == 0)
+    assert _graph.parts_for(1e13 * 20) > 4096
+
+
 def test_minhash(docs, none):
     rows = near_duplicates(docs).collect()
     assert len(rows) == docs.count()
@@ -525,7 +548,7 @@ def test_line_recall(kind, low, high):
         found = read_words(pa.array(lines))
         keys, line = line_keys(found.hashes, found.ends - found.starts, np.diff(found.bounds))
         sides.append([set(keys[line == k].tolist()) for k in range(len(pairs))])
-    near = alike(*(sketches(list(lines)) for lines in zip(*pairs, strict=True)))
+    near = alike(*(sketch_table(sketches(read_words(pa.array(lines)))) for lines in zip(*pairs, strict=True)))
     assert np.mean([bool(a & b) and ok for a, b, ok in zip(*sides, near, strict=True)]) >= 0.9
 
 
