@@ -8,7 +8,8 @@ from collections.abc import Callable
 
 import numpy as np
 
-_LATIN = "A-Za-zÀ-ÖØ-öø-ɏ"
+#: Letters that stay one letter in lower case, so without U+0130, which becomes a letter and a mark.
+_LATIN = "A-Za-zÀ-ÖØ-öø-\u012f\u0131-ɏ"
 #: ASCII symbols but for the apostrophe (contractions) and the less-than sign (special strings begin with it).
 _SYMBOLS = r"!-&(-/:;=-@\[-`{-~"
 _RUN = rf"[{_LATIN}]++(?=[\x00-\x7f]|\Z)| ?[{_SYMBOLS}]++(?=[\sA-Za-z0-9]|\Z)| ?\S+"
