@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 from dataclasses import dataclass
 
 import numpy as np
@@ -15,6 +16,7 @@ from ._common import by_bytes, map_arrow, texts_of
 from ._words import mix
 
 _LETTERS = re.compile(r"[^\W\d_]+")
+_GAP = re.compile(r"\s|[\W\d_](?=\W)")
 UNDETERMINED = "und"
 
 #: Letters of a position of the chain; longer runs of letters are several.
@@ -99,17 +101,9 @@ class Crf:
         """
         steps, n, k = scores.shape
         live = np.arange(steps)[:, None] < lengths[None, :]
-        emit = np.exp(scores - scores.max(axis=2, keepdims=True))
-        move = np.exp(self.transitions - self.transitions.max())
-        fore = np.empty((steps, n, k), scores.dtype)
-        now = emit[0] * np.exp(self.start - self.start.max())
-        fore[0] = now = now / now.sum(axis=1, keepdims=True)
-        for t in range(1, steps):
-            now = (now @ move) * emit[t]
-            now /= now.sum(axis=1, keepdims=True)
-            fore[t] = now
+        fore = self.forward(scores)
+        emit, turn = np.exp(scores - scores.max(axis=2, keepdims=True)), self._moves().T.copy()
         back = np.ones((n, k), scores.dtype)
-        turn = np.ascontiguousarray(move.T)
         for t in range(steps - 2, -1, -1):
             step = (back * emit[t + 1]) @ turn
             step /= step.sum(axis=1, keepdims=True)
@@ -119,6 +113,57 @@ class Crf:
         fore[~live] = 0
         return fore
 
+    def _moves(self) -> np.ndarray:
+        return np.exp(self.transitions - self.transitions.max())
+
+    def forward(self, scores: np.ndarray, before: np.ndarray | None = None) -> np.ndarray:
+        """Chances of the labels given the words so far; ``before``: those at the word before the first one, if there is one."""
+        emit, move = np.exp(scores - scores.max(axis=2, keepdims=True)), self._moves()
+        fore = np.empty(scores.shape, scores.dtype)
+        now = np.exp(self.start - self.start.max()) if before is None else before @ move
+        for t in range(len(scores)):
+            now = (now if not t else now @ move) * emit[t]
+            now /= now.sum(axis=1, keepdims=True)
+            fore[t] = now
+        return fore
+
+    def sums(self, parts: Callable[[int], np.ndarray], many: int) -> tuple[np.ndarray, int]:
+        """Sums of the probabilities of the labels over one long sequence, and its words, a part of it in memory at a time.
+
+        ``parts(i)``: the scores (words, labels) of the i-th of ``many`` parts. Forward over all parts, of which only the
+        last state is kept, then backward, each part's forward states made anew from the state before it.
+        """
+        states: list[np.ndarray | None] = [None]
+        for i in range(many):
+            scores = parts(i)
+            states.append(self.forward(scores[:, None], states[-1])[-1] if len(scores) else states[-1])
+        turn, total, words = self._moves().T.copy(), np.zeros(len(self.labels)), 0
+        back = np.ones((1, len(self.labels)), self.transitions.dtype)  # what the words behind a part say about its last one
+        for i in range(many - 1, -1, -1):
+            scores = parts(i)[:, None]
+            if not len(scores):
+                continue
+            fore, emit = self.forward(scores, states[i]), np.exp(scores - scores.max(axis=2, keepdims=True))
+            for t in range(len(scores) - 1, -1, -1):
+                fore[t] *= back
+                back = (back * emit[t]) @ turn
+                back /= back.sum(axis=1, keepdims=True)
+            fore /= fore.sum(axis=2, keepdims=True)
+            total += fore.sum(axis=(0, 1), dtype=np.float64)
+            words += len(scores)
+        return total, words
+
+
+def stretches(text: str, most: int) -> list[tuple[int, int]]:
+    """(begin, end) of stretches of about ``most`` characters that begin and end with words."""
+    cuts = [0]
+    while cuts[-1] + most < len(text):
+        gap = _GAP.search(text, cuts[-1] + most)
+        if gap is None:
+            break
+        cuts.append(gap.end())
+    return list(zip(cuts, [*cuts[1:], len(text)], strict=True))
+
 
 def train(texts: list[str], labels: list[str], *, bits: int = 17, length: int = 48, rounds: int = 4, batch: int = 64, rate: float = 0.3, seed: int = 5) -> Crf:
     """Fit by gradient ascent (AdaGrad) on the likelihood of word labels.
@@ -140,7 +185,7 @@ def train(texts: list[str], labels: list[str], *, bits: int = 17, length: int =
     flat = flat[np.argsort(owner, kind="stable")]
     sizes = np.bincount(owner, minlength=len(vocabulary))
     starts = np.concatenate(([0], np.cumsum(sizes)))
-    square, square_moves = np.full_like(crf.weights, 1e-3), np.full_like(crf.transitions, 1e-3)
+    square, square_moves, square_start = np.full_like(crf.weights, 1e-3), np.full_like(crf.transitions, 1e-3), np.full_like(crf.start, 1e-3)
     by_tag = [np.flatnonzero(tags == k) for k in range(len(names))]
     steps = rounds * max(1, sum(min(len(s), 400) for s in sequences) // (batch * length))
     for _ in range(steps):
@@ -177,6 +222,9 @@ def train(texts: list[str], labels: list[str], *, bits: int = 17, length: int =
         moves = (seen - pairs) / batch
         square_moves += moves**2
         crf.transitions += rate * moves / np.sqrt(square_moves)
+        begin = (np.bincount(gold[0], minlength=len(names)) - chance[0].sum(axis=0)).astype(np.float32) / batch
+        square_start += begin**2
+        crf.start += rate * begin / np.sqrt(square_start)
     return crf
 
 
@@ -186,7 +234,8 @@ def _expected(crf: Crf, scores: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     emit = np.exp(scores - scores.max(axis=2, keepdims=True))
     move = np.exp(crf.transitions - crf.transitions.max())
     fore, back = np.empty_like(emit), np.ones_like(emit)
-    fore[0] = emit[0] / emit[0].sum(axis=1, keepdims=True)
+    fore[0] = emit[0] * np.exp(crf.start - crf.start.max())
+    fore[0] /= fore[0].sum(axis=1, keepdims=True)
     for t in range(1, steps):
         x = (fore[t - 1] @ move) * emit[t]
         fore[t] = x / x.sum(axis=1, keepdims=True)
@@ -201,11 +250,12 @@ def _expected(crf: Crf, scores: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return chance / chance.sum(axis=2, keepdims=True), pairs
 
 
-def training_sample(docs: DataFrame, *, text: str = "text", label: str = "lang", id_col: str = "doc_id", per_label: int = 400, most_rows: int = 20000, chars: int = 4000) -> tuple[list[str], list[str]]:
-    """At most ``per_label`` labelled texts (their first ``chars`` characters) of every label.
+def training_sample(docs: DataFrame, *, text: str = "text", label: str = "lang", id_col: str = "doc_id", per_label: int = 400, most_rows: int = 20000, most_chars: int = 64 << 20) -> tuple[list[str], list[str]]:
+    """At most ``per_label`` labelled texts of every label, whole ones.
 
-    The rows of least hash are taken. With many labels there are fewer rows of each, ``most_rows`` in all but at least one
-    a label, so what reaches the driver grows with the labels at most, not with the corpus.
+    The rows of least hash are taken, of equal hashes by id and text. With many labels there are fewer rows of each,
+    ``most_rows`` in all but at least one a label; and a row is taken only if the texts of its label up to it have no more than
+    the label's share of ``most_chars`` characters. So what reaches the driver is bounded but for the number of labels.
     """
     rows = docs.where(F.col(label).isNotNull() & F.col(text).isNotNull())
     common = rows.groupBy(label).agg(F.count("*").alias("n")).orderBy(F.desc("n"), label).collect()
@@ -214,18 +264,22 @@ def training_sample(docs: DataFrame, *, text: str = "text", label: str = "lang",
     each = max(1, min(per_label, most_rows // len(common)))
     near = F.pmod(F.xxhash64(F.col(id_col), F.lit(17)), F.lit(1 << 40))
     few = docs.sparkSession.createDataFrame([(r[0], k, min(1 << 40, (4 * each + 32) * (1 << 40) // r[1] + 1)) for k, r in enumerate(common)], f"label {docs.schema[label].dataType.simpleString()}, rank int, below long")
-    drawn = rows.select(F.col(label).alias("label"), near.alias("near"), F.substring(text, 1, chars).alias("text")).join(F.broadcast(few), "label").where("near < below")
-    nth = F.row_number().over(Window.partitionBy("label").orderBy("near"))
-    taken = sorted(drawn.withColumn("nth", nth).where(F.col("nth") <= each).select("rank", "nth", "label", "text").collect(), key=lambda r: r[:2])
+    drawn = rows.select(F.col(label).alias("label"), near.alias("near"), F.col(id_col).alias("id"), F.length(text).alias("size"), F.col(text).alias("text")).join(F.broadcast(few), "label").where("near < below").where(F.col("size") <= most_chars // len(common))
+    order = Window.partitionBy("label").orderBy("near", "id", "text")
+    drawn = drawn.withColumns({"nth": F.row_number().over(order), "so_far": F.sum("size").over(order.rowsBetween(Window.unboundedPreceding, 0))})
+    kept = drawn.where((F.col("nth") <= each) & (F.col("so_far") <= most_chars // len(common)))
+    taken = sorted(kept.select("rank", "nth", "label", "text").collect(), key=lambda r: r[:2])
     return [r["text"] for r in taken], [r["label"] for r in taken]
 
 
-def tag_documents(docs: DataFrame, crf: Crf, *, text: str = "text", cells: int = 1 << 19) -> DataFrame:
+def tag_documents(docs: DataFrame, crf: Crf, *, text: str = "text", cells: int = 1 << 19, stretch: int = 1 << 21) -> DataFrame:
     """``docs`` with lang_pred, score and word_share (a map label -> share of the words), for every whole text.
 
     Each word of a text is labelled by forward-backward over the whole text; a run of more than 40 letters (as in
     scripts without blanks) counts as a word for each 40 letters or rest. lang_pred is the label with the largest sum of
-    probabilities, score that sum over the number of words. ``und`` with score 0 if the text is null or has no letter. Columns
+    probabilities (of equal ones the first in order), score that sum over the number of words. ``und`` with score 0 if the
+    text is null or has no letter. A text of more than ``stretch`` characters is read in stretches of about that many, twice
+    (see ``Crf.sums``), so memory doesn't follow its length; the result is the same. Columns
     pass through (those three are replaced); an empty table gives an empty result.
     """
     model = docs.sparkSession.sparkContext.broadcast(crf)  # its size follows from its parameters
@@ -254,10 +308,16 @@ def tag_documents(docs: DataFrame, crf: Crf, *, text: str = "text", cells: int =
             texts = texts_of(batch, text)
             scores: list[np.ndarray] = []
             for a, b in by_bytes([len(x) for x in texts], 2 << 20):
-                scores += scores_of([positions(letter_words(x)) if k else [] for x in texts[a:b]])  # without labels nothing can be said
+                scores += scores_of([positions(letter_words(x)) if k and len(x) <= stretch else [] for x in texts[a:b]])  # without labels nothing can be said
             sizes = np.array([len(x) for x in scores], np.int64)
             sums = np.zeros((len(texts), k))
-            order = np.argsort(-sizes, kind="stable")[: int((sizes > 0).sum())]
+            for i in (i for i, x in enumerate(texts) if k and len(x) > stretch):
+                spans = stretches(texts[i], stretch)
+                part = lambda j, x=texts[i], spans=spans: scores_of([positions(letter_words(x[slice(*spans[j])]))])[0]
+                sums[i], sizes[i] = crf.sums(part, len(spans))
+                scores[i] = None
+            order = np.argsort(-sizes, kind="stable")
+            order = np.array([i for i in order if sizes[i] and scores[i] is not None], np.int64)
             at = 0
             while at < len(order):  # texts of like length side by side, padded to the longest
                 longest = int(sizes[order[at]])
