@@ -10,9 +10,11 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import FloatType
 
 from ._common import map_arrow, materialize
 from ._graph import connected_components, group_cuts
+from ._words import mix, seeds
 
 
 def _agree(width: float, distance: float) -> float:
@@ -34,55 +36,66 @@ def near_vectors(rows: DataFrame, *, vec: str = "embedding", id_col: str = "vec_
 
     Two vectors of one (non-null) label and dimension are linked if their cosine in double precision is at least
     ``threshold``. Unit vectors are hashed by quantised Gaussian projections into several tables; rows in one bucket are
-    compared exactly, in blocks of at most ``block`` by ``block``, and a pair is counted in the first table where it meets.
+    compared exactly, in blocks of at most ``block`` by ``block``, and a pair is counted in the first table where it meets
+    (by 32 bits of each bucket's hash, so that tables' names take little room beside a vector).
     n_links counts all other rows linked directly; component_id is the smallest id reachable; kept: id = component_id.
 
     Null vectors or labels, zero vectors and those with a null, infinite or NaN component link with nothing. Equal vectors
     are one node with a count. A bucket's pairs are tested but never emitted: a block returns counts and a spanning
-    forest of its links. Repeated ids are rows of their own. Other columns are not read; an empty table gives an empty result.
+    forest of its links. Repeated ids are rows of their own; ids
+    may be of any type that has an order. Other columns are not read; an empty table gives an empty result.
     """
-    spark = rows.sparkSession
-    base = materialize(rows.select(F.monotonically_increasing_id().alias("_row"), F.col(id_col).cast("long").alias("id"), F.col(label).alias("label"), F.col(vec).cast("array<double>").alias("v")))
+    base = materialize(rows.select(F.monotonically_increasing_id().alias("_row"), F.col(id_col).alias("id"), F.col(label).alias("label"), F.col(vec).alias("v")))
     sizes = base.groupBy("label", F.size("v").alias("d")).agg(F.count("*").alias("n"))
     largest = sizes.where("label is not null").agg(F.max("n")).first()[0] or 1
     per, tables = hash_plan(largest, threshold, width=width, miss=miss)
+    exact = np.dtype("<f4") if base.schema["v"].dataType.elementType == FloatType() else np.dtype("<f8")  # what a component is sent as
 
     def hash_rows():
         planes: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+        odd, salts = seeds(per, 7), seeds(tables, 8)
 
         def each(batch: pa.RecordBatch) -> pa.RecordBatch:
-            keep, one, two, keys, units = [], [], [], [], []
-            for i, (name, v) in enumerate(zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)):
-                if name is None or not v or None in v:
-                    continue
-                x = np.array(v, np.float64)
-                norm = math.sqrt(float(x @ x))
-                if not math.isfinite(norm) or norm == 0:
-                    if not np.isfinite(x).all() or not x.any():
-                        continue
-                    x = x / np.abs(x).max()  # very large or small components
-                    norm = math.sqrt(float(x @ x))
-                if len(v) not in planes:
-                    draw = np.random.Generator(np.random.PCG64([seed, len(v)]))
-                    planes[len(v)] = draw.standard_normal((tables * per, len(v))), draw.uniform(0, width, tables * per)
-                a, b = planes[len(v)]
-                unit = x / norm
-                cells = np.floor((a @ unit + b) / width).astype("<i4").reshape(tables, per)
-                tag = repr((name, len(v))).encode()
-                keys.append([xxhash.xxh3_64_intdigest(c.tobytes() + tag, t) - (1 << 63) for t, c in enumerate(cells)])
-                same = xxhash.xxh3_128_intdigest((x + 0.0).tobytes() + tag)
-                keep.append(i)
-                one.append((same >> 64) - (1 << 63))
-                two.append((same & (1 << 64) - 1) - (1 << 63))
-                units.append(unit.tobytes())
-            return pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(keep, pa.int64())), pa.array(one, pa.int64()), pa.array(two, pa.int64()), pa.array(keys, pa.list_(pa.int64())), pa.array(units, pa.binary())], ["_row", "one", "two", "keys", "unit"])
+            names, lists = batch.column(1).to_pylist(), batch.column(2)
+            values = lists.values.cast(pa.float64()).to_numpy(zero_copy_only=False)  # a null component is NaN
+            starts = lists.offsets.to_numpy()[:-1]
+            lengths = lists.value_lengths().fill_null(0).to_numpy()
+            named = np.array([x is not None for x in names], bool)
+            out = [[], [], [], [], []]
+            for d in np.unique(lengths[lengths > 0]).tolist():
+                if d not in planes:
+                    draw = np.random.Generator(np.random.PCG64([seed, d]))
+                    planes[d] = draw.standard_normal((tables * per, d)).T.copy(), draw.uniform(0, width, tables * per)
+                some = np.flatnonzero((lengths == d) & named)
+                for first in range(0, len(some), 256):
+                    at = some[first : first + 256]
+                    raw = values[starts[at][:, None] + np.arange(d)]
+                    fine = np.isfinite(raw).all(axis=1) & raw.any(axis=1)
+                    at, raw = at[fine], raw[fine]
+                    a, b = planes[d]
+                    cells = np.floor((unit_rows(raw) @ a + b) / width).astype(np.int64).view(np.uint64).reshape(len(at), tables, per)
+                    tags = [repr((names[i], d)).encode() for i in at]
+                    with np.errstate(over="ignore"):
+                        own = np.array([xxhash.xxh3_64_intdigest(x) for x in tags], np.uint64)
+                        keys = mix((cells * odd).sum(axis=2, dtype=np.uint64) + salts + own[:, None])
+                    same = [xxhash.xxh3_128_intdigest(x.tobytes() + tag) for x, tag in zip(raw + 0.0, tags, strict=True)]
+                    out[0].append(at)
+                    out[1] += [(x >> 64) - (1 << 63) for x in same]
+                    out[2] += [(x & (1 << 64) - 1) - (1 << 63) for x in same]
+                    out[3].append(keys.view(np.int64))
+                    out[4] += [x.tobytes() for x in raw.astype(exact)]
+            at = np.concatenate([np.empty(0, np.int64), *out[0]])
+            flat = np.concatenate([np.empty((0, tables), np.int64), *out[3]])
+            keys = pa.ListArray.from_arrays(pa.array(np.arange(len(at) + 1) * tables, pa.int32()), pa.array(flat.ravel()))
+            marks = [x.tobytes() for x in (flat & 0xFFFFFFFF).astype("<u4")]
+            return pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at)), pa.array(out[1], pa.int64()), pa.array(out[2], pa.int64()), keys, pa.array(marks, pa.binary()), pa.array(out[4], pa.binary())], ["_row", "one", "two", "keys", "marks", "vector"])
 
         return each
 
-    hashed = map_arrow(base.select("_row", F.col("label").cast("string"), "v"), hash_rows, "_row long, one long, two long, keys array<long>, unit binary")
+    hashed = map_arrow(base.select("_row", F.col("label").cast("string"), "v"), hash_rows, "_row long, one long, two long, keys array<long>, marks binary, vector binary")
     hashed = materialize(hashed)
     same = ["one", "two"]
-    nodes = hashed.groupBy(*same).agg(F.min("_row").alias("node"), F.count("*").alias("m"), F.first("keys").alias("keys"), F.first("unit").alias("unit"))
+    nodes = hashed.groupBy(*same).agg(F.min("_row").alias("node"), F.count("*").alias("m"), F.first("keys").alias("keys"), F.first("marks").alias("marks"), F.first("vector").alias("vector"))
     nodes = materialize(nodes)
     cells = nodes.select("node", F.posexplode("keys").alias("t", "key"))
     many = cells.groupBy("t", "key").agg(F.count("*").alias("n")).where("n > 1").withColumn("parts", F.ceil(F.col("n") / block).cast("int"))
@@ -90,7 +103,7 @@ def near_vectors(rows: DataFrame, *, vec: str = "embedding", id_col: str = "vec_
     # Each member meets every part of its bucket once: block (i, j) with i <= j holds parts i and j.
     member = member.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     member = member.select("t", "key", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"), "part", "node")
-    member = member.join(nodes.select("node", "m", "keys", "unit"), "node")
+    member = member.join(nodes.select("node", "m", "marks", "vector"), "node")
 
     by = ["t", "key", "i", "j"]
 
@@ -101,10 +114,10 @@ def near_vectors(rows: DataFrame, *, vec: str = "embedding", id_col: str = "vec_
             table = pa.concat_tables([rest, table]) if rest is not None else table
             cut = group_cuts(table, by)
             if len(cut) > 2:
-                yield from _linked(table.slice(0, cut[-2]), cut[:-1], threshold)
+                yield from _linked(table.slice(0, cut[-2]), cut[:-1], threshold, exact)
             rest = table.slice(cut[-2])
         if rest is not None:
-            yield from _linked(rest, group_cuts(rest, by), threshold)
+            yield from _linked(rest, group_cuts(rest, by), threshold, exact)
 
     dealt = member.repartition(*by).sortWithinPartitions(*by)
     tested = materialize(dealt.mapInArrow(blocks, "node long, links long, root long"))
@@ -119,15 +132,26 @@ def near_vectors(rows: DataFrame, *, vec: str = "embedding", id_col: str = "vec_
     return out.select(F.col("id").alias(id_col), F.col("label").alias(label), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), "component_id", F.coalesce(F.col("id") == F.col("component_id"), F.lit(True)).alias("kept"))
 
 
-def _linked(table: pa.Table, cuts: list[int], threshold: float) -> Iterator[pa.RecordBatch]:
+def unit_rows(raw: np.ndarray) -> np.ndarray:
+    """Rows of length one, in double precision; none is zero."""
+    x = raw.astype(np.float64)
+    square = np.einsum("ij,ij->i", x, x)
+    wild = ~np.isfinite(square) | (square < 1e-280)
+    if wild.any():  # very large or small components
+        x[wild] /= np.abs(x[wild]).max(axis=1, keepdims=True)
+        square[wild] = np.einsum("ij,ij->i", x[wild], x[wild])
+    return x / np.sqrt(square)[:, None]
+
+
+def _linked(table: pa.Table, cuts: list[int], threshold: float, exact: np.dtype) -> Iterator[pa.RecordBatch]:
     node, m, part, i, j, t = (table.column(c).to_numpy() for c in ("node", "m", "part", "i", "j", "t"))
-    keys = np.array(table.column("keys").to_pylist(), np.int64)
-    units = table.column("unit").to_pylist()
+    marks, vectors = table.column("marks").to_pylist(), table.column("vector").to_pylist()
     out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
     for a, b in zip(cuts[:-1], cuts[1:], strict=True):
         if b - a < 2:
             continue
-        here = np.frombuffer(b"".join(units[a:b]), np.float64).reshape(b - a, -1)
+        here = unit_rows(np.frombuffer(b"".join(vectors[a:b]), exact).reshape(b - a, -1))
+        keys = np.frombuffer(b"".join(marks[a:b]), np.uint32).reshape(b - a, -1)
         left = np.arange(b - a) if i[a] == j[a] else np.flatnonzero(part[a:b] == i[a])
         right = left if i[a] == j[a] else np.flatnonzero(part[a:b] == j[a])
         x, y = np.nonzero(here[left] @ here[right].T >= threshold)
@@ -136,7 +160,7 @@ def _linked(table: pa.Table, cuts: list[int], threshold: float) -> Iterator[pa.R
             x, y = x[x < y], y[x < y]
         keep = np.empty(len(x), bool)
         for k in range(0, len(x), 1 << 14):  # is this the first table where the two meet?
-            keep[k : k + (1 << 14)] = np.argmax(keys[a + x[k : k + (1 << 14)]] == keys[a + y[k : k + (1 << 14)]], axis=1) == t[a]
+            keep[k : k + (1 << 14)] = np.argmax(keys[x[k : k + (1 << 14)]] == keys[y[k : k + (1 << 14)]], axis=1) == t[a]
         x, y = x[keep], y[keep]
         if not len(x):
             continue
