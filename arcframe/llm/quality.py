@@ -48,10 +48,11 @@ def repeated_words(runs: Column, width: int) -> Column:
 def quality_table(docs: DataFrame, *, text: str = "text", id_col: str = "doc_id", host: str = "source", max_docs: int = 20, min_kept: float = 0.5, min_words: int = 20, repeat_width: int = 8) -> DataFrame:
     """Counts and the verdict for every document; one row for each row of ``docs``.
 
-    A line (split at line feeds, normalised) is boilerplate of its host if more than ``max_docs`` rows of that host
-    hold it. Such lines go; a document that keeps less than ``min_kept`` of its words is depleted and not kept.
+    A line (split at line feeds, normalised) is boilerplate of its host if more than ``max_docs`` documents of that host
+    hold it; rows of one id are one document there, rows of null id documents of their own. Such lines go; a document that keeps less than ``min_kept`` of its words is depleted and not kept.
     ``base_failed``: under ``min_words`` words, or over 30 % of them in repeated runs. Null or empty text has no words and
-    fails; null is a host of its own; repeated rows count as documents of their own. All lines of all documents are counted;
+    fails; null is a host of its own. A text's words and lines are arrays of one row (some 20 bytes a word), so a task needs room for
+    its longest text. All lines of all documents are counted;
     a line or host that a third of all rows share is counted before it is shuffled.
     """
     t = F.coalesce(F.col(text), F.lit(""))
@@ -76,8 +77,11 @@ def quality_table(docs: DataFrame, *, text: str = "text", id_col: str = "doc_id"
         F.transform("_lines", lambda x: F.struct(F.xxhash64(x).alias("h"), blanks(x))).alias("_lines"),
         F.monotonically_increasing_id().alias("_row"),  # fixed from here on, as the table is stored
     ))
-    each = base.select("_row", "_host", F.explode("_lines").alias("x")).groupBy("_row", "_host", F.col("x.h").alias("h")).agg(F.sum("x.n").alias("words"), F.count("*").alias("lines"))
-    common = each.groupBy("_host", "h").agg(F.count("*").alias("docs")).where(F.col("docs") > max_docs).select(F.col("_host").alias("_h"), F.col("h").alias("_l"))
+    lone = F.when(F.col(id_col).isNull(), F.col("_row")).alias("_lone")
+    lines = base.select("_row", F.col(id_col).alias("_id"), lone, "_host", F.explode("_lines").alias("x")).select("_row", "_id", "_lone", "_host", F.col("x.h").alias("h"), F.col("x.n").alias("n"))
+    each = lines.repartition("_host", "h", "_id", "_lone").groupBy("_host", "h", "_id", "_lone", "_row").agg(F.sum("n").alias("words"), F.count("*").alias("lines"))
+    common = each.groupBy("_host", "h", "_id", "_lone").agg(F.lit(1).alias("one")).groupBy("_host", "h").agg(F.count("*").alias("docs")).where(F.col("docs") > max_docs)
+    common = common.select(F.col("_host").alias("_h"), F.col("h").alias("_l"))
     hit = each.join(common, F.col("_host").eqNullSafe(F.col("_h")) & (F.col("h") == F.col("_l")), "left_semi")
     gone = hit.groupBy("_row").agg(F.sum("words").alias("gone_words"), F.sum("lines").alias("gone_lines"))
     failed = (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
