@@ -45,7 +45,8 @@ def plan_mixture(docs: DataFrame, *, text: str = "text", id_col: str = "doc_id",
     The rate of a source is target / size of the source. A document is taken floor(rate) times, and once more if its
     seeded hash in [0, 1) is below the fraction; never more than ``ceiling`` times. Null text has size 0, a null source is a
     source of its own, documents of a source without words are not taken. The draw follows from the id, so reruns agree
-    and repeated rows are drawn alike. Needed columns only are read; ``carry`` is passed through as _row.
+    and repeated rows are drawn alike; an empty table gives an empty result. Targets are laid over one row a source in one
+    task. Needed columns only are read; ``carry`` is passed through as _row.
     """
     sized = docs.select(id_col, F.col(source), n_words(F.col(text)).alias("size"), *([] if carry is None else [carry.alias("_row")]))
     sized = materialize(sized) if carry is None else sized  # with wide rows, counting again is cheaper than storing them

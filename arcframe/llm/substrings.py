@@ -6,6 +6,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 
 from ._common import materialize
 from ._words import join_words, mix, read_words, windows
@@ -105,13 +106,15 @@ def drop_repeated_passages(docs: DataFrame, *, text: str = "text", id_col: str =
     the windows of ``width`` words around them, which are compared by 64-bit hashes. Documents meet in groups of about
     ``group_bytes``, and a group sends each hash once, so a passage in a third of all documents is no hot key.
 
-    Null or empty text has no words (text is then returned as it is); rows of one id are one document (they do not
+    Ids are integers. Null or empty text has no words (text is then returned as it is); the texts of a group are held whole
+    in a task; rows of one id are one document (they do not
     remove each other's words); rows of null id neither remove nor lose words; an empty table gives an empty result;
     other columns are not read.
     """
     if width <= PERIOD:
         raise ValueError("width must be over 7")
-    spark = docs.sparkSession
+    if not isinstance(docs.schema[id_col].dataType, IntegralType):
+        raise TypeError(f"{id_col} must be of an integer type: ids are sent as 64-bit numbers")
     id_kind = docs.schema[id_col].dataType.simpleString()
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text).alias("text"))
     total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
