@@ -1,4 +1,4 @@
-"""Archives laid out by hand, with lies where they are wanted; it imports nothing of the package."""
+"""Archives laid out by hand, with lies where they are wanted, to test readers with; it uses nothing else of the package."""
 
 from __future__ import annotations
 
@@ -12,12 +12,12 @@ def deflate(data: bytes) -> bytes:
 
 
 def raw_zip(entries: list[dict], *, comment: bytes = b"", prepend: bytes = b"", append: bytes = b"", zip64: bool = False, drop_record: bool = False, **lies: int) -> bytes:
-    """Entries: name, data and optional method, flags, time, date, extra_local, extra_central, comment, attributes, made_by, descriptor, and *_lie values."""
+    """Entries: name, data and optional payload, method, flags, time, date, extra_local, extra_central, comment, attributes, made_by, descriptor, and *_lie values."""
     body, directory = bytearray(prepend), bytearray()
     for e in entries:
         name = e["name"] if isinstance(e["name"], bytes) else e["name"].encode()
         data, method, flags = e.get("data", b""), e.get("method", 0), e.get("flags", 0)
-        payload = bytearray(deflate(data) if method == 8 else data)
+        payload = bytearray(e["payload"] if "payload" in e else deflate(data) if method == 8 else data)
         if "corrupt_at" in e:
             payload[e["corrupt_at"]] ^= 0xFF
         crc, csize, usize = e.get("crc_lie", zlib.crc32(data)), e.get("csize_lie", len(payload)), e.get("usize_lie", len(data))

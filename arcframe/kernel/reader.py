@@ -364,10 +364,24 @@ class Archive:
         check_entry(e, local, self.layout, self.source.size, self.limits, self.diagnose)
         return local
 
-    def payload(self, e: dict) -> bytes:
+    def check_extents(self) -> None:
+        """The first entry that reaches into another, into the directory or past the file is a fault."""
+        for e in self.entries:
+            local = self.local(e)
+            end = local["data_start"] + e["compressed_size"] + (12 if local["flags"] & DESCRIPTOR else 0)
+            if end > self.source.size:
+                raise ZipFault("ZIP_RECORD_TRUNCATED", "past the file", e["name"])
+            if e["local_header_offset"] >= self.layout.cd_offset or e["shared_offset"] or end > e["next_boundary"]:
+                raise ZipFault("ZIP_ENTRY_OVERLAP", "overlap", e["name"])
+
+    def payload_extent(self, e: dict) -> tuple[int, int]:
+        """Where a checked entry's payload begins, and its length."""
         local = self.checked(e)
         enforce(self.limits, "max_entry_compressed_size", e["compressed_size"], f"entry {e['name']!r} compressed size")
-        return self.source.read(local["data_start"], e["compressed_size"])
+        return local["data_start"], e["compressed_size"]
+
+    def payload(self, e: dict) -> bytes:
+        return self.source.read(*self.payload_extent(e))
 
     def read(self, e: dict, verify_crc: bool = True) -> bytes:
         if e["flags"] & (ENCRYPTED | STRONG):

@@ -20,7 +20,11 @@ def _selected(archives: DataFrame, where: Column | None, limits: dict | None) ->
     """The archives with the ordinals that ``where`` selects (a condition on entry columns), others dropped."""
     if where is None:
         return archives, ()
-    wanted = entries(archives, limits=limits).where(where).groupBy("archive_id").agg(F.collect_list("ordinal").alias("_wanted"))
+    return _of(archives, entries(archives, limits=limits).where(where))
+
+
+def _of(archives: DataFrame, chosen: DataFrame) -> tuple[DataFrame, tuple[str, ...]]:
+    wanted = chosen.groupBy("archive_id").agg(F.collect_list("ordinal").alias("_wanted"))
     return archives.join(wanted, "archive_id"), ("_wanted",)
 
 
@@ -29,13 +33,14 @@ def _each(archive, row: dict) -> Iterator[dict]:
     return (e for e in archive.entries if wanted is None or e["ordinal"] in wanted)
 
 
-def read_entries(archives: DataFrame, *, where: Column | None = None, names: list[str] | None = None, verify_crc: bool = True, limits: dict | None = None, mode: str = "report") -> DataFrame:
+def read_entries(archives: DataFrame, *, where: Column | None = None, names: list[str] | None = None, ordinals: DataFrame | None = None, verify_crc: bool = True, limits: dict | None = None, mode: str = "report") -> DataFrame:
     """(archive_id, ordinal, name, data, error_code): contents of selected entries, only those are decoded.
 
-    ``names`` selects inside the kernel; ``where`` is any condition on entry columns and is applied before decoding.
+    ``names`` selects inside the kernel; ``where`` is any condition on entry columns and is applied before decoding, and
+    ``ordinals`` is such a selection made before: (archive_id, ordinal) rows, archives without one are not opened.
     """
     start = opened(limits)
-    archives, carry = _selected(archives, where, limits)
+    archives, carry = _selected(archives, where, limits) if ordinals is None else _of(archives, ordinals)
     few = None if names is None else frozenset(names)
 
     def kernel(source, row: dict) -> Iterator[dict]:
@@ -68,15 +73,26 @@ def entry_chunks(archives: DataFrame, *, where: Column | None = None, size: int
     return read.select("archive_id", "ordinal", "name", F.posexplode_outer(cut).alias("chunk_no", "data"), "error_code")
 
 
-def raw_payloads(archives: DataFrame, *, where: Column | None = None, limits: dict | None = None, verify: bool = False) -> DataFrame:
-    """Entry columns with the stored payload, undecoded, after the header checks; ``verify`` decodes it to check it too."""
+def raw_payloads(archives: DataFrame, *, where: Column | None = None, limits: dict | None = None, verify: bool = False, whole: bool = False) -> DataFrame:
+    """Entry columns with the stored payload, undecoded, after the header checks; ``verify`` decodes it to check it too.
+
+    An archive that doesn't open has one row, with its error_code only. ``whole``: so has one of which an entry fails
+    the header checks, and none of its payloads is given.
+    """
     start = opened(limits)
     archives, carry = _selected(archives, where, limits)
     codecs = codec_table()
 
     def kernel(source, row: dict) -> Iterator[dict]:
-        archive = start(source)
-        for e in _each(archive, row):
+        try:
+            archive = start(source)
+            found = list(_each(archive, row))
+            for e in found if whole else ():
+                archive.payload_extent(e)
+        except ZipFault as fault:
+            yield {"error_code": fault.code}
+            return
+        for e in found:
             data, code = None, None
             try:
                 data = archive.payload(e)
@@ -89,18 +105,26 @@ def raw_payloads(archives: DataFrame, *, where: Column | None = None, limits: di
     return with_derived(per_archive(archives, kernel, f"{RAW_ENTRY}, data binary, error_code string", *carry))
 
 
-def audit(archives: DataFrame, *, decode: bool = True, limits: dict | None = None) -> DataFrame:
+def audit(archives: DataFrame, *, decode: bool = True, limits: dict | None = None, verdict: bool = False) -> DataFrame:
     """Every entry beside its local header and, with ``decode``, the size and CRC-32 that its payload gives.
 
-    Facts only; the checks over them are columns (see ``functions.checks``).
+    Facts only; the checks over them are columns (see ``functions.checks``). ``verdict`` adds a row without an ordinal for each
+    archive, whose header_error is what keeps the whole archive from being read, or null.
     """
     start = opened(limits)
 
     def kernel(source, row: dict) -> Iterator[dict]:
+        archive, fault = None, None
         try:
             archive = start(source)
             found = archive.entries
-        except ZipFault:
+            if verdict:
+                archive.check_extents()
+        except ZipFault as error:
+            fault = error
+        if verdict:
+            yield {"header_error": fault.code if fault else None}
+        if fault:
             return
         for e in found:
             out = {**e, "cd_offset": archive.layout.cd_offset, "file_length": source.size, "local": None, "header_error": None, "decode_error": None}
@@ -128,9 +152,11 @@ def audit(archives: DataFrame, *, decode: bool = True, limits: dict | None = Non
 
 def verify_entries(archives: DataFrame, *, limits: dict | None = None) -> DataFrame:
     """(archive_id, ordinal, name, ok, crc_match, size_match, local_header_match, skipped, error_code)."""
-    bounds = limits or {}
-    facts = audit(archives, limits=limits)
-    error = F.coalesce(F.when(F.col("local").isNull(), F.col("header_error")), declared_size_error(bounds), extent_error(), cross_check_error())
+    return _verified(audit(archives, limits=limits), limits)
+
+
+def _verified(facts: DataFrame, limits: dict | None) -> DataFrame:
+    error = F.coalesce(F.when(F.col("local").isNull(), F.col("header_error")), declared_size_error(limits or {}), extent_error(), cross_check_error())
     skipped = F.when(is_encrypted(), "encrypted").when(F.col("decodable").isNull(), "unsupported-method").when(~F.col("decodable"), "stream-only-codec")
     checked = facts.withColumns({"_error": error, "skipped": skipped})
     yes = lambda c: F.coalesce(c, F.lit(False)) & F.col("skipped").isNull()
@@ -143,13 +169,15 @@ def verify_entries(archives: DataFrame, *, limits: dict | None = None) -> DataFr
 
 
 def verify_archives(archives: DataFrame, *, limits: dict | None = None) -> DataFrame:
-    """(archive_id, ok, error_code, entry_count, failed): entries that are sound or rightly skipped make an archive ok."""
-    from .scan import diagnostics
+    """(archive_id, ok, error_code, entry_count, failed): entries that are sound or rightly skipped make an archive ok.
 
+    One pass over the archives: the kernel gives each a row of its own beside those of its entries.
+    """
+    each = _verified(audit(archives, limits=limits, verdict=True), limits)
+    entry = F.col("ordinal").isNotNull()
     fine = F.col("ok") | (F.col("skipped").isin("encrypted", "stream-only-codec") & F.col("local_header_match"))
-    each = verify_entries(archives, limits=limits).groupBy("archive_id").agg(F.count("*").alias("n"), F.count_if(~F.coalesce(fine, F.lit(False))).alias("bad"))
-    errors = diagnostics(archives, limits=limits, validate="extent").where("severity = 'error'").select("archive_id", "code")
-    out = archives.select("archive_id").join(each, "archive_id", "left").join(errors, "archive_id", "left")
-    n = F.when(F.col("code").isNull(), F.coalesce("n", F.lit(0))).otherwise(0)
-    bad = F.when(F.col("code").isNull(), F.coalesce("bad", F.lit(0))).otherwise(0)
-    return out.select("archive_id", (F.col("code").isNull() & (bad == 0)).alias("ok"), F.col("code").alias("error_code"), n.alias("entry_count"), bad.alias("failed"))
+    code = F.max(F.when(~entry, F.col("error_code"))).alias("error_code")
+    found = each.groupBy("archive_id").agg(code, F.count_if(entry).alias("n"), F.count_if(entry & ~F.coalesce(fine, F.lit(False))).alias("bad"))
+    whole = F.col("error_code").isNull()
+    n, bad = (F.when(whole, F.col(c)).otherwise(0) for c in ("n", "bad"))
+    return found.select("archive_id", (whole & (bad == 0)).alias("ok"), "error_code", n.alias("entry_count"), bad.alias("failed"))

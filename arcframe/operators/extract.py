@@ -44,12 +44,12 @@ def extraction_plan(table: DataFrame, *, where: Column | None = None, reject_sym
 
 
 def extract(archives: DataFrame, *, chunk: int | None = None, limits: dict | None = None, **options) -> DataFrame:
-    """(archive_id, ordinal, path, position, [chunk_no,] data, error_code); nothing is written anywhere."""
+    """(archive_id, ordinal, path, position, [chunk_no,] data, error_code); nothing is written anywhere.
+
+    Only entries that the plan lets out are decoded.
+    """
     plan = extraction_plan(entries(archives, limits=limits), limits=limits, **options)
-    fine = plan.where("error_code is null")
-    wanted = fine.groupBy("archive_id").agg(F.collect_set("ordinal").alias("_ordinals"))
-    chosen = archives.join(wanted.select("archive_id"), "archive_id", "left_semi")
-    read = read_entries(chosen, limits=limits).drop("name").withColumnRenamed("error_code", "read_error")
+    read = read_entries(archives, ordinals=plan.where("error_code is null"), limits=limits).drop("name").withColumnRenamed("error_code", "read_error")
     out = plan.join(read, ["archive_id", "ordinal"], "left").withColumn("error_code", F.coalesce("error_code", "read_error")).drop("read_error")
     if chunk is None:
         return out

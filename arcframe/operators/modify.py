@@ -147,13 +147,13 @@ def canonicalize(archives: DataFrame, *, date: Column | None = None, keep_commen
     """(archive_id, content) in canonical form, without recompression; doing it again changes nothing.
 
     Names in UTF-8 and in order of their bytes, one pinned date, no extra fields (but those of encrypted entries), no
-    comments unless kept, attributes kept unless reset. Archives with an entry that fails its checks have no row.
+    comments unless kept, attributes kept unless reset. Archives that don't open or have an entry that fails its header
+    checks have no row.
     """
-    found = raw_payloads(archives, limits=limits)
-    broken = found.where("error_code is not null").select("archive_id").distinct()
+    found = raw_payloads(archives, limits=limits, whole=True)
     dos = timestamp_to_dos(F.lit(None).cast("timestamp_ntz") if date is None else date)
     none = F.array().cast("array<struct<id: int, data: binary>>")
-    rows = found.join(broken, "archive_id", "left_anti").select(
+    rows = found.where("error_code is null").select(
         "archive_id", F.lit(None).cast("long").alias("seq"), "name", F.col("data").alias("payload"), "compression_method", "crc32", "uncompressed_size", "flags",
         dos["date"].alias("dos_date"), dos["time"].alias("dos_time"), (F.lit(None).cast("long") if reset_attributes else F.col("external_attributes")).alias("external_attributes"),
         F.lit(MADE_BY).alias("version_made_by"), F.when(F.col("is_encrypted"), F.filter("extra_fields", lambda x: x["id"] != 1)).otherwise(none).alias("extra"), "is_directory",

@@ -19,19 +19,24 @@ SPEC = "raw_name binary, method_id int, payload binary, crc long, csize long, us
 _FIELDS = [x.split()[0] for x in SPEC.split(", ")]
 
 
-def _map(df: DataFrame, new: str, kernel, drop: tuple[str, ...] = ()) -> DataFrame:
-    """Columns of ``df`` (but ``drop``) and ``new`` ones that ``kernel(row)`` gives for each row."""
+def _map(df: DataFrame, new: str, kernel, uses: list[str], drop: tuple[str, ...] = ()) -> DataFrame:
+    """Columns of ``df`` (but ``drop``) and ``new`` ones that ``kernel(row)`` gives; only the columns it ``uses`` become Python objects."""
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import StructType
 
-    full = StructType([f for f in df.schema if f.name not in drop and f.name not in StructType.fromDDL(new).names] + list(StructType.fromDDL(new)))
-    arrow = to_arrow_schema(full)
+    made = StructType.fromDDL(new)
+    full = StructType([f for f in df.schema if f.name not in drop and f.name not in made.names] + list(made))
+    arrow, added = to_arrow_schema(full), to_arrow_schema(made)
 
     def run(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in stream:
-            for at in range(0, batch.num_rows, 512):
-                rows = [{**r, **kernel(r)} for r in batch.slice(at, 512).to_pylist()]
-                yield from pa.Table.from_pylist([{f: r.get(f) for f in arrow.names} for r in rows], arrow).to_batches()
+            at = {name: k for k, name in enumerate(batch.schema.names)}
+            for first in range(0, batch.num_rows, 512):
+                part = batch.slice(first, 512)
+                rows = [kernel(r) for r in part.select([at[c] for c in uses]).to_pylist()]
+                fresh = pa.Table.from_pylist(rows, added)
+                columns = [fresh.column(f.name).combine_chunks() if f.name in added.names else part.column(at[f.name]).cast(f.type) for f in arrow]
+                yield pa.RecordBatch.from_arrays(columns, schema=arrow)
 
     return df.mapInArrow(run, full)
 
@@ -63,19 +68,24 @@ def packed_specs(rows: DataFrame, *, limits: dict | None = None) -> DataFrame:
         }
 
     keep = fine.select("archive_id", "seq", "name", "raw_name", "data", "method", "level", "layout", "extra", "comment", "dos_date", "dos_time", "external")
-    return _map(keep, "method_id int, payload binary, crc long, csize long, usize long, flags int, internal int, made_by int, needed int, extra_block binary, comment binary", kernel, ("data", "method", "level", "extra"))
+    return _map(keep, "method_id int, payload binary, crc long, csize long, usize long, flags int, internal int, made_by int, needed int, extra_block binary, comment binary", kernel, ["data", "method", "level", "layout", "extra", "comment"], ("data", "method", "level", "extra"))
 
 
 def segments(specs: DataFrame, *, canonical: bool = True) -> DataFrame:
     """(archive_id, position, offset, local, payload, trail, central): the bytes of each entry and where they go."""
 
-    def sized(r: dict) -> dict:
+    hidden, wide, most = F.col("layout") != "buffered", F.col("layout") == "descriptor64", 0xFFFFFFFE
+    large = wide | (~hidden & (F.greatest("csize", "usize") > most))
+    head = 30 + F.octet_length("raw_name") + F.octet_length("extra_block") + F.when(large, 20).otherwise(0)
+    length = head + F.octet_length("payload") + F.when(wide, 24).when(hidden, 16).otherwise(0)
+    rows = planned(specs.select("archive_id", "seq", "name", *_FIELDS).withColumn("seg_length", length.cast("long")), canonical=canonical)
+
+    def records(r: dict) -> dict:
         e = _spec(r)
-        return {"local": writer.local_header(e), "trail": writer.descriptor(e)}
+        return {"local": writer.local_header(e), "trail": writer.descriptor(e), "central": writer.central_header(e, r["offset"])}
 
-    rows = _map(specs.select("archive_id", "seq", "name", *_FIELDS), "local binary, trail binary", sized)
-    rows = planned(rows.withColumn("seg_length", (F.octet_length("local") + F.octet_length("payload") + F.octet_length("trail")).cast("long")), canonical=canonical)
-    return _map(rows, "central binary", lambda r: {"central": writer.central_header(_spec(r), r["offset"])}).select("archive_id", "position", "offset", "local", "payload", "trail", "central")
+    uses = [c for c in _FIELDS if c != "payload"] + ["offset"]
+    return _map(rows, "local binary, trail binary, central binary", records, uses).select("archive_id", "position", "offset", "local", "payload", "trail", "central")
 
 
 def _spec(r: dict) -> dict:
@@ -113,12 +123,23 @@ def pack(rows: DataFrame, *, canonical: bool = True, comments: DataFrame | None
     return assemble(segments(packed_specs(rows, limits=limits), canonical=canonical), comments=comments)
 
 
+def file_name(archive_id: object) -> str:
+    """A name in the target folder for any archive_id: a plain one as it is, others (paths, dots in front, null) by their hash."""
+    import hashlib
+    import re
+
+    text = "" if archive_id is None else str(archive_id)
+    if re.fullmatch(r"[A-Za-z0-9_-][A-Za-z0-9._-]{0,99}", text) and not re.fullmatch("[0-9a-f]{64}", text):
+        return f"{text}.zip"
+    return f"{hashlib.sha256((b'' if archive_id is None else b'=') + text.encode()).hexdigest()}.zip"
+
+
 def write_archives(parts: DataFrame, folder: str, *, chunk: int = 1 << 20) -> DataFrame:
     """Write ``segments`` rows to one file an archive below ``folder``, piece by piece; (archive_id, path, length) when it is run.
 
     No task ever holds an archive: its rows come sorted, payloads are passed on as they come, and only the directory is
-    kept to the end. A file takes its name when it is complete, so a repeated task leaves no half one. ``folder`` is
-    a place that all executors share, of any file system that Arrow knows.
+    kept to the end. A file takes its name when it is complete, so a repeated task leaves no half one; it is archive_id if
+    that is a plain file name, else a hash of it (see ``file_name``), never a place outside of ``folder``. ``folder`` is a place that all executors share, of any file system that Arrow knows.
     """
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import StructType
@@ -140,7 +161,7 @@ def write_archives(parts: DataFrame, folder: str, *, chunk: int = 1 << 20) -> Da
             end = writer.trailer(n, len(tail), size)
             sink.write(tail + end)
             sink.close()
-            final = f"{root}/{now}.zip"
+            final = f"{root}/{file_name(now)}"
             system.move(part, final)
             done.append({"archive_id": now, "path": final, "length": size + len(tail) + len(end)})
 

@@ -133,7 +133,11 @@ def unix_attributes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("p_partkey", "attributes", unix_mode(F.lit(0x032D), F.col("attributes")).alias("back"), is_symlink(F.col("attributes")).alias("link"))
 
 
-_HOSTILE = ["../../../etc/passwd", "..\\..\\x.dll", "/etc/cron.d/evil", "C:\\x.exe", "C:/x.exe", "\\\\host\\share", "good/../../escape.txt", "desktop.ini:hidden", "aux", "aux.txt", "dir/CON", "CONX", "COM10", "a//b/./c", "", ".", "com1.tar.gz", "aux.d/x"]
+#: For each rule of the path gate a name that breaks it, or just not.
+_HOSTILE = [
+    "..", "a/../b", "logs\\..\\..\\boot.ini", "/abs/path", "\\rooted", "D:notes", "z:/deep/file", "//server/x", "pic.png:zone", "a/b:c", "nul", "PRN.log", "sub/Com5", "lpt9.a.b", "con.d/readme",
+    "lpt0", "console", "com", "nul_", "x///y/./z", "", "./.", "/", "...", "sp ace/ok.txt",
+]
 
 
 def _names(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -98,9 +98,9 @@ def test_extraction(spark):
 
 
 def test_functions(spark):
-    names = ["../../../etc/passwd", "..\\..\\x", "/etc/x", "C:\\x", "C:/x", "\\\\h\\s", "g/../../e", "n\0b", "d.ini:s", "aux\n", "CONX", "COM10", "com1.x", "a//./b", "", "."]
+    names = ["..", "a/../b", "/abs", "D:notes", "z:/deep", "//host/x", "logs\\..\\boot", "n\0b", "pic.png:zone", "aux\n", "console", "lpt0", "lpt9.a", "a//./b", "", "."]
     got = [r.p for r in spark.createDataFrame([(n,) for n in names], "n string").select(sanitize_path(F.col("n")).alias("p")).collect()]
-    assert got == [None] * 9 + ["aux\n", "CONX", "COM10", None, "a/b", None, None]
+    assert got == [None] * 9 + ["aux\n", "console", "lpt0", None, "a/b", None, None]
     high = spark.createDataFrame([(bytes(range(1, 256)),)], "b binary").select(cp437_to_string(F.col("b"))).first()[0]
     assert high == bytes(range(1, 256)).decode("cp437")
     row = spark.sql("select 22992 d, 65535 t").select(dos_to_timestamp(F.col("d"), F.col("t")).alias("x"), dos_to_timestamp(F.lit(0), F.lit(0)).alias("z")).first()
@@ -211,3 +211,33 @@ def test_written_files(spark, tmp_path):
     names = spark.createDataFrame([("a/b/c.txt",), ("a/c.txt",), ("c.txt",), ("a/c1txt",), ("d.txt\n",)], "n string")
     hits = lambda p: [r.n for r in names.where(glob(F.col("n"), p)).collect()]
     assert hits("**/*.txt") == ["a/b/c.txt", "a/c.txt", "c.txt"] and hits("*/*.txt") == ["a/c.txt"] and hits("?.txt") == ["c.txt"] and hits("[!d]*.txt") == ["c.txt"]
+
+
+def test_file_names(spark, tmp_path):
+    """No archive_id is written outside of the folder, and no two to one file."""
+    from arcframe.operators.write import file_name, packed_specs
+
+    ids = ["plain-1.x", "../up", "a/b", ".hidden", "file:/tmp/z", "C:\\x", "nul\0", "", "é", "0" * 64, None]
+    frame = spark.createDataFrame([(k, "n", b"x") for k in ids], "archive_id string, name string, data binary")
+    done = op.write_archives(op.segments(packed_specs(frame)), str(tmp_path / "out")).collect()
+    assert len(done) == len(ids) and sorted(p.name for p in (tmp_path / "out").iterdir()) == sorted(file_name(k) for k in ids)
+    assert file_name("plain-1.x") == "plain-1.x.zip" and [p.name for p in tmp_path.iterdir()] == ["out"]
+
+
+def test_only_wanted_entries_are_decoded(spark):
+    """A broken payload that the filter leaves out does no harm, and what isn't asked for isn't read."""
+    from arcframe.operators.content import read_entries
+
+    cases = table(spark, x=raw_zip([{**TWO[1], "name": "bad", "corrupt_at": 3}, TWO[0], {"name": "more", "data": b"m"}]))
+    out = op.extract(cases, where=F.col("name") == "a.txt").collect()
+    assert [(r.path, r.error_code) for r in out] == [("a.txt", None)]
+    wanted = spark.createDataFrame([("x", 2)], "archive_id string, ordinal int")
+    assert [(r.ordinal, bytes(r.data)) for r in read_entries(cases, ordinals=wanted).collect()] == [(2, b"m")]
+
+
+def test_archives_that_do_not_open(hostile):
+    """They are rows with a code, or missing where only whole archives come out; no job fails."""
+    for found, column in ((op.raw_payloads(hostile), "error_code"), (op.transplant(hostile), "error"), (op.read_entries(hostile), "error_code")):
+        assert [(r[column], r.name) for r in found.where("archive_id = 'junk'").collect()] == [("ZIP_EOCD_NOT_FOUND", None)]
+    kept = {r.archive_id for r in op.canonicalize(hostile.where("archive_id <> 'twice'")).collect()}
+    assert kept == {"good", "corrupt", "locked", "method"}
