@@ -36,8 +36,8 @@ def normalized(column: pa.Array) -> pa.Array:
     return pc.utf8_lower(column.cast(pa.large_string()).fill_null(""))
 
 
-def edit_distance(a: str, b: str) -> int:
-    """Levenshtein distance, bit-parallel over arbitrarily long strings."""
+def edit_distance(a: str, b: str, most: float | None = None) -> int:
+    """Levenshtein distance, bit-parallel over arbitrarily long strings; if it is over ``most``, some number over that."""
     if len(a) > len(b):
         a, b = b, a
     n = 0
@@ -56,7 +56,10 @@ def edit_distance(a: str, b: str) -> int:
         where[c] = where.get(c, 0) | 1 << i
     full, top = (1 << len(a)) - 1, 1 << (len(a) - 1)
     up, down, distance = full, 0, len(a)
-    for c in b:
+    most = len(a) + len(b) if most is None else most
+    for left, c in zip(range(len(b), 0, -1), b):
+        if distance - left > most:  # it falls by one a character at most
+            return distance - left
         equal = where.get(c, 0)
         vertical = equal | down
         horizontal = (((equal & up) + up) ^ up) | equal
@@ -69,9 +72,10 @@ def edit_distance(a: str, b: str) -> int:
     return distance
 
 
-def edit_distances(a: list[np.ndarray], b: list[np.ndarray]) -> np.ndarray:
+def edit_distances(a: list[np.ndarray], b: list[np.ndarray], most: np.ndarray | None = None) -> np.ndarray:
     """Levenshtein distances of many pairs of code point arrays (no ``a`` empty) at once, by the same bit vectors as
-    ``edit_distance``, in numbers of 64 bits: one step of the loop treats a character of every pair."""
+    ``edit_distance``, in numbers of 64 bits: one step of the loop treats a character of every pair. Once all are
+    certain to be over ``most`` the rest is not read."""
     blocks = -(-max(map(len, a)) // 64)
     n, steps = len(a), max(map(len, b))
     size, other = (np.array([len(x) for x in side], np.int64) for side in (a, b))
@@ -110,6 +114,8 @@ def edit_distances(a: list[np.ndarray], b: list[np.ndarray]) -> np.ndarray:
             down[k] = rise & vertical
         step = (rises[last, here] >> top & one).astype(np.int64) - (falls[last, here] >> top & one).astype(np.int64)
         distance += np.where(t < other, step, 0)
+        if most is not None and t % 16 == 0 and (distance - np.maximum(other - t - 1, 0) > most).all():
+            break
     return distance
 
 
@@ -133,7 +139,7 @@ def similar_pairs(a: list[str], b: list[str], threshold: float, *, longest: int
         if len(q) <= most:
             out[i] = True
         elif len(p) > longest:
-            out[i] = edit_distance(x, y) <= most
+            out[i] = edit_distance(x, y, most) <= most
         elif len(p):
             rest.append((-(-len(p) // 64), len(q), i, most, p, q))
     rest.sort(key=lambda r: r[:2])
@@ -144,9 +150,9 @@ def similar_pairs(a: list[str], b: list[str], threshold: float, *, longest: int
             to += 1
         group = rest[at:to]
         if len(group) >= 24 * group[-1][0]:
-            found = edit_distances([r[4] for r in group], [r[5] for r in group])
+            found = edit_distances([r[4] for r in group], [r[5] for r in group], np.array([r[3] for r in group]))
         else:  # long numbers in Python take less steps
-            found = np.array([edit_distance(a[r[2]], b[r[2]]) for r in group])
+            found = np.array([edit_distance(a[r[2]], b[r[2]], r[3]) for r in group])
         out[[r[2] for r in group]] = found <= np.array([r[3] for r in group])
         at = to
     return out
@@ -156,7 +162,7 @@ def similar(a: str, b: str, threshold: float) -> bool:
     """Edit similarity 1 - distance / longer length at least ``threshold``."""
     longer = max(len(a), len(b))
     most = (1 - threshold) * longer + 1e-9
-    return abs(len(a) - len(b)) <= most and edit_distance(a, b) <= most
+    return abs(len(a) - len(b)) <= most and edit_distance(a, b, most) <= most
 
 
 def simhash(hashes: np.ndarray, lengths: np.ndarray, sizes: np.ndarray) -> np.ndarray:
@@ -248,28 +254,22 @@ def line_keys(hashes: np.ndarray, lengths: np.ndarray, sizes: np.ndarray) -> tup
 
 
 def sketches(lines: Texts) -> pa.Array:
-    """For each line of SHORT words or more whether it is LONG and a byte for each MinHash coordinate, for others null."""
+    """For each line 32 bits of each of its band keys, whether it is short, middling or LONG (2, 0, 1), and a byte for each coordinate."""
     sizes = np.diff(lines.bounds)
-    mine = sizes >= SHORT
-    of = np.repeat(mine, sizes)
-    table = line_bands(lines.hashes[of], (lines.ends - lines.starts)[of], sizes[mine], BANDS, ROWS)[1]
-    table = np.concatenate([(sizes[mine] >= LONG)[:, None].astype(np.uint8), table], axis=1)
-    offsets = np.concatenate(([0], np.cumsum(mine))) * table.shape[1]
-    whole = pa.Array.from_buffers(pa.binary(), len(sizes), [None, pa.py_buffer(offsets.astype(np.int32).tobytes()), pa.py_buffer(table.tobytes())])
-    return pc.if_else(pa.array(mine), whole, pa.scalar(None, pa.binary()))
-
-
-def sketch_table(column: pa.Array) -> np.ndarray:
-    """Sketches as rows of bytes; null is a row of which the first byte is 2."""
-    out = np.zeros((len(column), 1 + BANDS * ROWS), np.uint8)
-    mine = column.is_valid().to_numpy(zero_copy_only=False)
-    out[:, 0] = 2
-    out[mine] = np.frombuffer(b"".join(column.filter(pa.array(mine)).to_pylist()), np.uint8).reshape(-1, out.shape[1])
-    return out
+    keys, table = line_bands(lines.hashes, lines.ends - lines.starts, sizes, BANDS, ROWS)
+    kind = np.where(sizes >= LONG, 1, np.where(sizes >= SHORT, 0, 2)).astype(np.uint8)
+    whole = np.concatenate([(keys & np.uint64(0xFFFFFFFF)).astype("<u4").view(np.uint8).reshape(len(sizes), -1), kind[:, None], table], axis=1)
+    return pa.FixedSizeBinaryArray.from_buffers(pa.binary(whole.shape[1]), len(sizes), [None, pa.py_buffer(np.ascontiguousarray(whole).tobytes())]).cast(pa.binary())
+
+
+def sketch_table(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(lines, BANDS) marks of bands, and rows of the other bytes."""
+    whole = np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(len(column), 4 * BANDS + 1 + BANDS * ROWS)
+    return np.ascontiguousarray(whole[:, : 4 * BANDS]).view("<u4"), whole[:, 4 * BANDS :]
 
 
 def alike(left: np.ndarray, right: np.ndarray) -> np.ndarray:
-    """Whether enough of two sketches (rows of sketch_table) agrees, for each pair of them; null is like all."""
+    """Whether enough of the coordinates agrees, for each pair of such rows; of short lines always."""
     least = np.where(left[:, 0] & right[:, 0] == 1, LONG_AGREE, AGREE) * (left.shape[1] - 1)
     return ((left[:, 1:] == right[:, 1:]).sum(axis=1) >= least) | (left[:, 0] == 2) | (right[:, 0] == 2)
 
@@ -345,23 +345,21 @@ def dedup_lines(docs: DataFrame, *, text: str = "text", id_col: str = "doc_id",
 
     def texts():
         def each(batch: pa.RecordBatch) -> pa.RecordBatch:
-            nodes, lines, twos = [], [], []
-            for t, needs in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                found = t.split("\n")
-                for x in needs:
-                    nodes.append(x["node"])
-                    twos.append(x["two"])
-                    lines.append(found[x["line"]])
-            words = read_words(normalized(pa.array(lines, pa.large_string())))
+            needs = batch.column(1)
+            which = pc.list_parent_indices(needs).to_numpy()
+            node, two, line = (x.to_numpy() for x in needs.flatten().flatten())
+            found = pc.split_pattern(batch.column(0).cast(pa.large_string()), "\n")
+            lines = found.flatten().take(pa.array(found.offsets.to_numpy()[which] - found.offsets.to_numpy()[0] + line))
+            words = read_words(normalized(lines))
             joined = join_words(words, np.ones(len(words.hashes), bool))
-            columns = [pa.array(nodes, pa.int64()), pa.array(twos, pa.int64()), joined, pc.utf8_length(joined).cast(pa.int32()), sketches(words)]
+            columns = [pa.array(node), pa.array(two), joined, pc.utf8_length(joined).cast(pa.int32()), sketches(words)]
             return pa.RecordBatch.from_arrays(columns, ["node", "two", "words", "size", "sketch"])
 
         return each
 
     def sift():
         def each(batch: pa.RecordBatch) -> pa.RecordBatch:
-            return batch.select([0, 1]).filter(pa.array(alike(sketch_table(batch.column(2)), sketch_table(batch.column(3)))))
+            return batch.select([0, 1]).filter(pa.array(alike(sketch_table(batch.column(2))[1], sketch_table(batch.column(3))[1])))
 
         return each
 
@@ -396,16 +394,22 @@ def dedup_lines(docs: DataFrame, *, text: str = "text", id_col: str = "doc_id",
         return map_arrow(worded.select("a", "b", "wordsa", "wordsb"), check, "a long, b long")
 
     def match(left: pa.Table, right: pa.Table) -> tuple[np.ndarray, np.ndarray]:
-        """Members of other components on the right that are similar, for those on the left."""
+        """Members of other components on the right that are similar, for those on the left; a pair that shares several
+        bands is compared in the bucket of the first."""
         x, y = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
-        comps, sizes, marks = ([t.column(c).combine_chunks() for t in (left, right)] for c in ("comp", "size", "sketch"))
-        words, marks = [t.column("words").to_pylist() for t in (left, right)], [sketch_table(x) for x in marks]
-        (mine, others), (n, m) = ([a.to_numpy() for a in pair] for pair in (comps, sizes))
-        for a in range(0, len(mine), 16):
-            near = np.abs(n[a : a + 16, None] - m) <= np.maximum(n[a : a + 16, None], m) * (1 - threshold) + 1e-9
-            i, j = np.nonzero(near & (mine[a : a + 16, None] != others))
-            ok = alike(marks[0][i + a], marks[1][j])
-            i, j = i[ok] + a, j[ok]
+        (mine, others), (n, m) = ([t.column(c).to_numpy() for t in (left, right)] for c in ("comp", "size"))
+        (bands, marks), (bands_too, marks_too) = (sketch_table(t.column("sketch").combine_chunks()) for t in (left, right))
+        words = [t.column("words").to_pylist() for t in (left, right)]
+        here = np.uint32(left.column("key")[0].as_py() & 0xFFFFFFFF)
+        for a in range(0, len(mine), 64):
+            near = np.abs(n[a : a + 64, None] - m) <= np.maximum(n[a : a + 64, None], m) * (1 - threshold) + 1e-9
+            i, j = np.nonzero(near & (mine[a : a + 64, None] != others))
+            i += a
+            ok = alike(marks[i], marks_too[j])
+            i, j = i[ok], j[ok]
+            same = bands[i] == bands_too[j]
+            ok = ~same.any(axis=1) | (bands[i, same.argmax(axis=1)] == here)
+            i, j = i[ok], j[ok]
             ok = similar_pairs([words[0][k] for k in i], [words[1][k] for k in j], threshold)
             x.append(i[ok])
             y.append(j[ok])

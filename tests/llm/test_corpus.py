@@ -548,7 +548,7 @@ def test_line_recall(kind, low, high):
         found = read_words(pa.array(lines))
         keys, line = line_keys(found.hashes, found.ends - found.starts, np.diff(found.bounds))
         sides.append([set(keys[line == k].tolist()) for k in range(len(pairs))])
-    near = alike(*(sketch_table(sketches(read_words(pa.array(lines)))) for lines in zip(*pairs, strict=True)))
+    near = alike(*(sketch_table(sketches(read_words(pa.array(lines))))[1] for lines in zip(*pairs, strict=True)))
     assert np.mean([bool(a & b) and ok for a, b, ok in zip(*sides, near, strict=True)]) >= 0.9
 
 
@@ -573,6 +573,12 @@ def test_edit_distances():
         texts[1][k] = texts[0][k][: draw.randint(1, 200)] + "zz" + texts[0][k][draw.randint(0, 9) :]
     codes = [[np.frombuffer(x.encode("utf-32-le"), np.uint32) for x in side] for side in texts]
     assert edit_distances(*codes).tolist() == [edit_distance(a, b) for a, b in zip(*texts, strict=True)]
+    for most in (3, 40):
+        want = [edit_distance(a, b) for a, b in zip(*texts, strict=True)]
+        assert [min(edit_distance(a, b, most), most + 1) for a, b in zip(*texts, strict=True)] == [min(x, most + 1) for x in want]
+        for k in range(0, 400, 50):
+            side = [x[k : k + 50] for x in codes]
+            assert [min(x, most + 1) for x in edit_distances(*side, np.full(50, most)).tolist()] == [min(x, most + 1) for x in want[k : k + 50]]
     for cells in (1, 1 << 14):
         assert similar_pairs(*texts, 0.6, cells=cells).tolist() == [similar(a, b, 0.6) for a, b in zip(*texts, strict=True)]
     assert similar_pairs(["", "", "a"], ["", "a", "a"], 0.8).tolist() == [True, False, True]
