@@ -33,7 +33,7 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op1_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = near_duplicates(documents(spark, sf_dir).select("doc_id", "text"), width=5, threshold=0.8)
+    found = near_duplicates(documents(spark, sf_dir).select("doc_id", "text"), width=5, threshold=0.8, weights="count")
     return found.select("doc_id", "class_id", "kept", "n_shingles")
 
 
@@ -100,8 +100,21 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 _WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
 
 ORACLE_SQL: dict[str, str] = {
+    "op1_minhash": rf"""
+with recursive d as (select doc_id, {_WORDS} w from documents),
+g as (select doc_id, unnest(list_transform(range(1, greatest(len(w) - 3, 2)), lambda i: md5(array_to_string(w[i:i + 4], ' ')))) s from d where len(w) > 0),
+c as (select doc_id, s, count(*) n from g group by all),
+z as (select doc_id, sum(n) total, count(*) n_shingles from c group by all),
+m as (select a.doc_id a, b.doc_id b, sum(least(a.n, b.n)) common from c a join c b using (s) where a.doc_id <> b.doc_id group by all),
+l as (select a, b from m join z x on x.doc_id = a join z y on y.doc_id = b where common >= 0.8 * (x.total + y.total - common) - 1e-9),
+r as (select doc_id a, doc_id b from d union select r.a, l.b from r join l on r.b = l.a),
+k as (select a doc_id, min(b) class_id from r group by all)
+select doc_id, class_id, doc_id = class_id kept, coalesce(n_shingles, 0)::bigint n_shingles from k left join z using (doc_id)""",
     "op4_sharding": r"""
-with n as (select count(*) n from documents),
+with steps as (select list(v order by i) t from (select i, list_reduce(list_prepend(i, [0, 0, 0, 0, 0, 0, 0, 0]::bigint[]), lambda v, z: case when v & 1 = 1 then xor(v >> 1, 3988292384) else v >> 1 end) v from (select unnest(range(256)) i))),
+bytes as (select doc_id, hex(encode(coalesce(text, ''))) h from documents),
+crcs as (select doc_id, xor(list_reduce(list_prepend(4294967295::bigint, list_transform(range(length(h) // 2), lambda i: ('0x' || substr(h, (2 * i + 1)::bigint, 2))::bigint)), lambda c, x: xor(c >> 8, t[(xor(c, x) & 255) + 1])), 4294967295)::bigint crc from bytes, steps),
+n as (select count(*) n from documents),
 keyed as (select doc_id, source, octet_length(encode(coalesce(text, ''))) + 8 size, md5('shard:' || coalesce(doc_id::varchar, '')) k from documents),
 placed as (select *, (row_number() over (partition by source order by k, doc_id) - 0.5::double) / count(*) over (partition by source) frac from keyed),
 ordered as (select *, row_number() over (order by frac, source is null, source, k, doc_id) - 1 p from placed),
@@ -157,4 +170,3 @@ a as (select d.doc_id, len(d.w)::bigint n_words, length(array_to_string(d.w, '')
 select *, n_words < 20 or 100 * n_repeat_words > 30 * n_words base_failed,
   not (n_words < 20 or 100 * n_repeat_words > 30 * n_words) and n_words - n_removed_words >= 0.5 * n_words kept from a""",
 }
-del ORACLE_SQL["op4_sharding"]  # CRC-32 has no SQL function; tests hold the placement against plain Python
