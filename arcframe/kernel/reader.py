@@ -374,6 +374,22 @@ class Archive:
             if e["local_header_offset"] >= self.layout.cd_offset or e["shared_offset"] or end > e["next_boundary"]:
                 raise ZipFault("ZIP_ENTRY_OVERLAP", "overlap", e["name"])
 
+    def descriptor_forms(self, e: dict, local: dict) -> dict[str, int]:
+        """Lengths of the descriptors of 32-bit ("narrow") and 64-bit ("wide") sizes, behind the payload, that state the directory's values."""
+        at = local["data_start"] + e["compressed_size"]
+        head = self.source.read(at, min(24, self.source.size - at)) if at <= self.source.size else b""
+        want, found = (e["crc32"], e["compressed_size"], e["uncompressed_size"]), {}
+        for form, layout in (("narrow", "<3L"), ("wide", "<LQQ")):
+            for skip in (4, 0):
+                size = skip + struct.calcsize(layout)
+                if len(head) >= size and (not skip or head[:4] == b"PK\x07\x08") and struct.unpack_from(layout, head, skip) == want:
+                    found.setdefault(form, size)
+        return found
+
+    def record_mark(self, at: int) -> bytes:
+        """The four bytes there, less at the end of the file."""
+        return self.source.read(at, max(0, min(4, self.source.size - at)))
+
     def payload_extent(self, e: dict) -> tuple[int, int]:
         """Where a checked entry's payload begins, and its length."""
         local = self.checked(e)

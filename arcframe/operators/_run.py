@@ -44,8 +44,12 @@ def per_archive(archives: DataFrame, kernel: Callable[[object, dict], Iterator[d
                 for row in (batch.slice(k, 1).to_pylist()[0] for k in range(batch.num_rows)):
                     source = row.pop(held)
                     source = Bytes(b"" if source is None else bytes(source)) if held == "content" else open_range(source)
-                    for out in kernel(source, row):
-                        yield {"archive_id": row["archive_id"], **out}
+                    try:
+                        for out in kernel(source, row):
+                            yield {"archive_id": row["archive_id"], **out}
+                    finally:
+                        if held == "path":
+                            source.close()
 
         yield from batches(rows(), arrow)
 

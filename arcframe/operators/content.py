@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 
 from ..functions import cross_check_error, declared_size_error, extent_error, is_encrypted
 from ..kernel.codecs import codec_table
-from ..kernel.reader import chunks, decode_payload
-from ..vocabulary import ZipFault
+from ..kernel.reader import decode_payload, split_extra
+from ..vocabulary import DESCRIPTOR, ZipFault
 from ._run import per_archive
 from .scan import LOCAL, RAW_ENTRY, entries, opened, with_derived
 
@@ -108,7 +108,8 @@ def raw_payloads(archives: DataFrame, *, where: Column | None = None, limits: di
 def audit(archives: DataFrame, *, decode: bool = True, limits: dict | None = None, verdict: bool = False) -> DataFrame:
     """Every entry beside its local header and, with ``decode``, the size and CRC-32 that its payload gives.
 
-    Facts only; the checks over them are columns (see ``functions.checks``). ``verdict`` adds a row without an ordinal for each
+    Facts only; the checks over them are columns (see ``functions.checks``). ``descriptor``: right, width, none, or null for an
+    entry that has none; ``before_directory`` and ``behind_directory``: what begins there. ``verdict`` adds a row without an ordinal for each
     archive, whose header_error is what keeps the whole archive from being read, or null.
     """
     start = opened(limits)
@@ -126,8 +127,10 @@ def audit(archives: DataFrame, *, decode: bool = True, limits: dict | None = Non
             yield {"header_error": fault.code if fault else None}
         if fault:
             return
+        layout, last = archive.layout, max((e["local_header_offset"] for e in found), default=None)
+        signed = archive.record_mark(layout.cd_offset + layout.cd_size)
         for e in found:
-            out = {**e, "cd_offset": archive.layout.cd_offset, "file_length": source.size, "local": None, "header_error": None, "decode_error": None}
+            out = {**e, "cd_offset": layout.cd_offset, "file_length": source.size, "local": None, "header_error": None, "decode_error": None, "behind_directory": signed}
             codec = archive.codecs.get(e["compression_method"])
             out["decodable"] = None if codec is None else hasattr(codec, "decompress")
             try:
@@ -138,6 +141,13 @@ def audit(archives: DataFrame, *, decode: bool = True, limits: dict | None = Non
                     out["local"] = archive.local(e)
                 except ZipFault:
                     pass
+            if local := out["local"]:
+                forms = archive.descriptor_forms(e, local) if local["flags"] & DESCRIPTOR else {}
+                wide = any(i == 1 for i, _ in split_extra(local["extra"])[0])
+                out["descriptor"] = None if not local["flags"] & DESCRIPTOR else "right" if ("wide" if wide else "narrow") in forms else "width" if forms else "none"
+                end = local["data_start"] + e["compressed_size"] + max(forms.values(), default=0)
+                if e["local_header_offset"] == last and end + 4 <= layout.cd_offset:
+                    out["before_directory"] = archive.record_mark(end)
             if decode and not out["header_error"] and not e["flags"] & 0x41 and out["decodable"]:
                 try:
                     data = decode_payload(e, archive.payload(e), archive.codecs)
@@ -146,7 +156,7 @@ def audit(archives: DataFrame, *, decode: bool = True, limits: dict | None = Non
                     out["decode_error"] = fault.code
             yield out
 
-    facts = f"cd_offset long, file_length long, local {LOCAL}, header_error string, decodable boolean, actual_size long, actual_crc long, decode_error string"
+    facts = f"cd_offset long, file_length long, local {LOCAL}, header_error string, decodable boolean, actual_size long, actual_crc long, decode_error string, descriptor string, before_directory binary, behind_directory binary"
     return with_derived(per_archive(archives, kernel, f"{RAW_ENTRY}, {facts}"))
 
 

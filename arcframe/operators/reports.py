@@ -78,9 +78,10 @@ def iso_findings(archives: DataFrame) -> DataFrame:
     """(archive_id, ordinal, finding): departures from the document container profile and from well-formedness.
 
     Versions up to 4.5, store and deflate only, no encryption, no forbidden flags, UTF-8 flagged names beyond ASCII, a single
-    volume, and directory, local headers and extents that agree.
+    volume, no signature or encryption records around the directory, and directory, local headers, data descriptors (of the
+    width that the local header says) and extents that agree. Nothing is decoded.
     """
-    facts, local = audit(archives), F.col("local")
+    facts, local = audit(archives, decode=False), F.col("local")
     ascii_only = ~F.hex("raw_name").rlike("^(..)*[89A-F]")
     tests = {
         "ISO-4.4.3": (F.col("version_needed") > 45) | (local["version_needed"] > 45),
@@ -93,7 +94,10 @@ def iso_findings(archives: DataFrame) -> DataFrame:
         "WF/LFH-NAME-MISMATCH": local["name"] != F.col("raw_name"),
         "WF/LFH-SIZE-MISMATCH": (local["flags"].bitwiseAND(8) == 0) & ((local["compressed_size"] != F.col("compressed_size")) | (local["uncompressed_size"] != F.col("uncompressed_size"))) & (local["compressed_size"] != 0xFFFFFFFF),
         "WF/LFH-CRC-MISMATCH": (local["flags"].bitwiseAND(8) == 0) & (local["crc32"] != F.col("crc32")),
-        "ISO-4.3.10": local["flags"].bitwiseAND(8) != F.col("flags").bitwiseAND(8),
+        "WF/DESCRIPTOR-WIDTH": F.col("descriptor") == "width",
+        "WF/DESCRIPTOR-MISMATCH": F.col("descriptor") == "none",
+        "ISO-4.3.10": F.col("before_directory") == F.lit(b"PK\x06\x08"),
+        "ISO-4.3.13": (F.col("behind_directory") == F.lit(b"PK\x05\x05")) & (F.col("ordinal") == 0),
         "WF/ENTRY-OVERLAP": F.col("shared_offset") | (local["data_start"] + F.col("compressed_size") > F.col("next_boundary")),
     }
     found = F.array(*[F.struct(F.lit(k).alias("finding"), F.coalesce(v, F.lit(False)).alias("hit")) for k, v in tests.items()])
@@ -102,5 +106,5 @@ def iso_findings(archives: DataFrame) -> DataFrame:
         "ZIP_EOCD_NOT_FOUND": "WF/EOCD-NOT-FOUND", "ZIP_ZIP64_LOCATOR_MISSING": "WF/ZIP64-LOCATOR", "ZIP_ZIP64_EOCD_MISPLACED": "WF/ZIP64-EOCD", "ZIP_UNSUPPORTED_MULTI_DISK": "ISO-4.3.3",
         "ZIP_EOCD_INCONSISTENT": "WF/CD-OFFSET", "ZIP_CD_INCONSISTENT": "WF/CD-COUNT", "ZIP_RECORD_TRUNCATED": "WF/CD-SIZE", "ZIP_SIGNATURE_MISMATCH": "WF/CD-COUNT", "ZIP_ZIP64_CONTRADICTION": "WF/ZIP64-EOCD",
     }.items() for x in pair])
-    whole = diagnostics(archives).where("severity = 'error'").select("archive_id", F.lit(None).cast("int").alias("ordinal"), F.coalesce(F.try_element_at(codes, F.col("code")), "code").alias("finding"))
+    whole = diagnostics(archives).where("severity = 'error'").select("archive_id", F.lit(None).cast("int").alias("ordinal"), F.when(F.col("message").contains("on this disk"), "ISO-4.4.1.5").otherwise(F.coalesce(F.try_element_at(codes, F.col("code")), "code")).alias("finding"))
     return each.unionByName(whole)

@@ -90,7 +90,7 @@ def local_headers(archives: DataFrame, *, limits: dict | None = None) -> DataFra
 
 
 def diagnostics(archives: DataFrame, *, limits: dict | None = None, validate: str | None = None, strict: bool = False) -> DataFrame:
-    """(archive_id, seq, code, severity, entry_name): what opening remarks, and the error that ends it as severity "error".
+    """(archive_id, seq, code, severity, entry_name, message): what opening remarks, and the error that ends it as severity "error".
 
     ``validate="extent"`` also parses local headers and checks extents, ``"eager"`` cross-checks them too.
     ``strict`` turns the first remark into ZIP_STRICT_DIAGNOSTIC.
@@ -119,9 +119,9 @@ def diagnostics(archives: DataFrame, *, limits: dict | None = None, validate: st
                 return
             seq += 1
         if fault:
-            yield {"seq": seq, "code": fault.code, "severity": "error", "entry_name": fault.entry}
+            yield {"seq": seq, "code": fault.code, "severity": "error", "entry_name": fault.entry, "message": fault.message}
 
-    return per_archive(archives, kernel, "seq int, code string, severity string, entry_name string")
+    return per_archive(archives, kernel, "seq int, code string, severity string, entry_name string, message string")
 
 
 def point_lookup(table: DataFrame, name: str | Column) -> DataFrame:

@@ -18,6 +18,9 @@ from . import operators as op
 from .functions import encryption_scheme, extended_timestamps, ratio
 from .kernel.codecs import register_codec
 from .kernel.crafted import deflate, raw_zip
+from .operators.write import packed_specs
+from .session import shared_folder
+from .sources import read_archives, register
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -270,6 +273,28 @@ def trust_conflicts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op.trust_differences(made).select("archive_id", "directory_name", "stream_name", "differs")
 
 
+def profile_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Departures from the container profile, one or two in each shape."""
+    zip64 = struct.pack("<2HQQ", 1, 16, 0, 0)
+    shapes = [
+        {}, {"method": 12}, {"flags": 1}, {"flags": 0x2000}, {"descriptor": "signed"}, {"descriptor": "signed64"}, {"descriptor": "signless", "d_crc_lie": 7}, {"lfh_name_lie": b"z"}, {"lfh_crc_lie": 7},
+        {"descriptor": "signed64", "extra_local": zip64}, {"name": b"\x81"}, {"lfh_method_lie": 8},
+    ]
+
+    def make(r: dict) -> bytes:
+        k = r["id"] % 14
+        if k < 12:
+            return raw_zip([{"name": "a", "data": r["data"] + b"x", **shapes[k]}])
+        if k == 12:  # an archive extra-data record before the directory
+            inner = raw_zip([{"name": "a", "data": r["data"]}])
+            at = inner.rindex(b"PK\1\2")
+            return inner[:at] + b"PK\6\x08\0\0\0\0" + inner[at:-6] + struct.pack("<L", at + 8) + inner[-2:]
+        whole = raw_zip([{"name": "a", "data": r["data"]}])
+        return whole[:-14] + struct.pack("<2H", 2, 1) + whole[-10:]  # more entries on this disk than in all
+
+    return op.iso_findings(crafted(_documents(spark, sf_dir), make)).select("archive_id", "finding")
+
+
 # Writing and changing.
 
 
@@ -324,11 +349,40 @@ def entry_page(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op.entries(made).where("uncompressed_size > 1000").orderBy("archive_id", "ordinal").offset(40).limit(20).select("archive_id", "name", "uncompressed_size")
 
 
+# Files.
+
+
+def _files(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, str]:
+    """What is written to one file for each conversation, and the folder."""
+    folder = shared_folder(spark)
+    chats = _table(spark, sf_dir, "conversations").select(F.concat(F.lit("c"), F.col("conv_id")).alias("archive_id"), F.concat(F.lit("t"), F.lpad(F.col("turn").cast("string"), 6, "0")).alias("name"), F.encode("text", "UTF-8").alias("data"))
+    return op.write_archives(op.segments(packed_specs(chats)), folder), folder
+
+
+def ranged_reads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Archives written as files and read by ranges: every content, and the length of the file it lies in."""
+    written, folder = _files(spark, sf_dir)
+    written = written.select("archive_id", F.element_at(F.split("path", "/"), -1).alias("file"), "length").collect()  # one small row a file
+    lengths = spark.createDataFrame([tuple(r) for r in written], "archive_id string, file string, length long")
+    found = op.read_entries(read_archives(spark, folder, ranged=True)).select(F.element_at(F.split("archive_id", "/"), -1).alias("file"), "name", F.md5("data").alias("md5"), "error_code")
+    sizes = op.layout(read_archives(spark, folder, ranged=True)).select(F.element_at(F.split("archive_id", "/"), -1).alias("file"), "file_length")
+    return found.join(sizes, "file").join(lengths, "file").select("archive_id", "name", "md5", "error_code", (F.col("length") == F.col("file_length")).alias("whole"))
+
+
+def source_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The data source over a folder: names go down to the reader, contents come by ranges."""
+    written, folder = _files(spark, sf_dir)
+    written.write.format("noop").mode("overwrite").save()
+    register(spark)
+    found = spark.read.format("arcframe").option("data", "true").load(folder).where("name in ('t000000', 't000001')")
+    return found.select(F.regexp_extract("archive_id", "([^/]+)[.]zip$", 1).alias("archive_id"), "name", "uncompressed_size", F.md5("data").alias("md5"), "error_code")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         open_refusals, refused_archives, canonical_survivors, open_diagnostics, strict_diagnostics, hostile_verdicts, extra_fields, legacy_names, encrypted_entries, duplicate_lookup, broken_contents, declared_limits, declared_ratios,
-        custom_codec, extract_tree, extract_refusals, extract_streamed, forward_buffered, forward_refusals, trust_conflicts, plan_refusals, archive_comments, dead_bytes_report, encrypted_copies, edit_refusals, entry_page,
+        custom_codec, extract_tree, extract_refusals, extract_streamed, forward_buffered, forward_refusals, trust_conflicts, profile_findings, plan_refusals, archive_comments, dead_bytes_report, encrypted_copies, edit_refusals, entry_page, ranged_reads, source_filters,
     )
 }
 
@@ -366,6 +420,8 @@ select archive_id, ordinal::int ordinal, value, repeats from l join o using (arc
     "forward_refusals": f"""with {_D}, x as (select *, id % 6 k from d) select archive_id, 0 ordinal, case when k in (2, 3, 4) then 'a' end as name, {_case('id', ['ZIP_UNSUPPORTED_CD_LESS_DESCRIPTOR', 'ZIP_UNSUPPORTED_CD_LESS_DESCRIPTOR', 'ZIP_UNSUPPORTED_ENCRYPTION', 'ZIP_UNSUPPORTED_METHOD', None, 'ZIP_CRC_MISMATCH'])} error_code from x
 union all select archive_id, 1, 'b', null from x where k in (2, 3, 4)""",
     "trust_conflicts": f"with {_D} select archive_id, 'a' directory_name, {_case('id', ['a', 'z', 'a/b'])} stream_name, 'name' differs from d where id % 3 > 0",
+    "profile_findings": f"""with {_D}, f as (select archive_id, unnest(case id % 14 when 1 then ['ISO-4.4.5'] when 2 then ['ISO-4.3.8', 'ISO-4.4.4'] when 3 then ['ISO-4.4.4'] when 5 then ['WF/DESCRIPTOR-WIDTH'] when 6 then ['WF/DESCRIPTOR-MISMATCH']
+  when 7 then ['WF/LFH-NAME-MISMATCH'] when 8 then ['WF/LFH-CRC-MISMATCH'] when 10 then ['ISO-NOTE-1'] when 11 then ['WF/LFH-METHOD-MISMATCH'] when 12 then ['ISO-4.3.10'] when 13 then ['ISO-4.4.1.5'] else [] end) finding from d) select * from f""",
     "plan_refusals": """with p as (select *, p_partkey % 7 k, p_partkey // 50 g from part), c as (select *, count(*) filter (where k = 3) over (partition by g) same from p)
 select p_partkey seq, case k when 1 then 'ZIP_INVALID_ENTRY_NAME' when 2 then case when count(*) over (partition by g, k) > 1 then 'ZIP_DUPLICATE_ENTRY_NAME' else 'ZIP_LIMIT_EXCEEDED' end when 3 then case when same > 1 then 'ZIP_DUPLICATE_ENTRY_NAME' end
   when 4 then 'ZIP_INVALID_OPTION' when 5 then 'ZIP_INVALID_OPTION' when 6 then 'ZIP_LIMIT_EXCEEDED' end error_code from c""",
@@ -373,5 +429,7 @@ select p_partkey seq, case k when 1 then 'ZIP_INVALID_ENTRY_NAME' when 2 then ca
     "dead_bytes_report": f"with {_D} select archive_id, 'ZIP_DEAD_BYTES_RATIO' code from d where id % 4 = 0",
     "encrypted_copies": f"with {_D}, e as (select *, unnest([0, 1]) o from d) select archive_id, o::int ordinal, ['open', 'sealed'][o + 1] as name, o = 1 is_encrypted, md5(case o when 0 then 'o' else t end) md5, null::varchar error_code from e",
     "edit_refusals": f"with {_D} select archive_id, {_case('id', ['ZIP_ENTRY_EXISTS', 'ZIP_ENTRY_NOT_FOUND', 'ZIP_ENTRY_EXISTS', None])} error_code, id % 4 = 3 written from d",
+    "ranged_reads": "select 'c' || conv_id archive_id, 't' || lpad(turn::varchar, 6, '0') as name, md5(text) md5, null::varchar error_code, true whole from conversations",
+    "source_filters": "select 'c' || conv_id archive_id, 't' || lpad(turn::varchar, 6, '0') as name, octet_length(encode(text))::bigint uncompressed_size, md5(text) md5, null::varchar error_code from conversations where turn < 2",
     "entry_page": f"with {_D} select archive_id, 'first' as name, n::bigint uncompressed_size from d where n > 1000 order by encode(archive_id) limit 20 offset 40",
 }

@@ -15,3 +15,20 @@ def reach_workers(spark: SparkSession) -> SparkSession:
     if here not in known.split(os.pathsep):
         env["PYTHONPATH"] = os.pathsep.join(filter(None, [here, known]))
     return spark
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """A new folder below spark.checkpoint.dir, which driver and executors share; for a local master without one, a temporary folder."""
+    import tempfile
+    import uuid
+
+    at = spark.conf.get("spark.checkpoint.dir", None)
+    if not at:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        at = f"file://{tempfile.mkdtemp(prefix='arcframe-')}"
+        spark.conf.set("spark.checkpoint.dir", at)
+    folder = f"{at.rstrip('/')}/arcframe-{uuid.uuid4().hex}"
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(path)
+    return folder

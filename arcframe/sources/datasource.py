@@ -12,7 +12,7 @@ from pyspark.sql.types import StructType
 from ..kernel.codecs import codec_table
 from ..kernel.reader import Archive
 from ..vocabulary import ZipFault, resolve_limits
-from .ranges import open_range
+from .ranges import list_files, open_range
 
 ENTRY = "archive_id string, ordinal int, name string, compression_method int, compressed_size long, uncompressed_size long, crc32 long, local_header_offset long, flags int, data binary, error_code string"
 
@@ -52,8 +52,16 @@ class ArchiveReader(DataSourceReader):
     def _rows(self, path: str) -> Iterator[dict]:
         columns = [f.name for f in self.arrow]
         empty = dict.fromkeys(columns) | {"archive_id": path}
+        source = open_range(path)
         try:
-            archive = Archive(open_range(path), resolve_limits(), codecs=self.codecs)
+            yield from self._entries(source, empty)
+        finally:
+            source.close()
+
+    def _entries(self, source: object, empty: dict) -> Iterator[dict]:
+        columns = list(empty)
+        try:
+            archive = Archive(source, resolve_limits(), codecs=self.codecs)
             found = archive.entries
         except ZipFault as fault:
             yield empty | {"error_code": fault.code}
@@ -71,7 +79,7 @@ class ArchiveReader(DataSourceReader):
 
 
 class ArchiveSource(DataSource):
-    """Options: path (files, separated by commas), data ("true" reads contents)."""
+    """Options: path (files, folders, patterns, separated by commas), pattern (of files in folders, *.zip), data ("true" reads contents)."""
 
     @classmethod
     def name(cls) -> str:
@@ -81,7 +89,7 @@ class ArchiveSource(DataSource):
         return ENTRY
 
     def reader(self, schema: StructType) -> ArchiveReader:
-        paths = [p for p in self.options.get("path", "").split(",") if p]
+        paths = [f for p in self.options.get("path", "").split(",") if p for f in list_files(p, self.options.get("pattern", "*.zip"))]
         return ArchiveReader(paths, self.options.get("data", "false").lower() == "true", schema)
 
 
