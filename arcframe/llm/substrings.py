@@ -104,7 +104,7 @@ def drop_repeated_passages(docs: DataFrame, *, text: str = "text", id_col: str =
     Anchors are windows of width - 6 words, hashed only at places of a difference cover modulo 7. Two equal windows of
     ``width`` words share an aligned anchor, so only anchors that two documents hold lead on: matches extend from them to
     the windows of ``width`` words around them, which are compared by 64-bit hashes. Documents meet in groups of about
-    ``group_bytes``, and a group sends each hash once, so a passage in a third of all documents is no hot key.
+    ``group_bytes`` (beyond 32 GiB more, by the root of the input, up to 16 times that), and a group sends each hash once, so a passage in a third of all documents is no hot key.
 
     Ids are integers. Null or empty text has no words (text is then returned as it is); the texts of a group are held whole
     in a task; rows of one id are one document (they do not
@@ -118,6 +118,8 @@ def drop_repeated_passages(docs: DataFrame, *, text: str = "text", id_col: str =
     id_kind = docs.schema[id_col].dataType.simpleString()
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text).alias("text"))
     total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    # With every group sending to every bucket, both must grow with the root of the input for messages to stay large.
+    group_bytes = int(group_bytes * min(16.0, max(1.0, (total / (32 << 30)) ** 0.5)))
     groups, buckets = max(16, total // group_bytes), max(16, total // (4 * group_bytes))
     rows = rows.withColumn("g", F.pmod(F.xxhash64("id", F.when(F.col("id").isNull(), F.col("text"))), F.lit(groups)))
 
