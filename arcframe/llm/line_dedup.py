@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import bisect
+from collections import Counter
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -72,6 +74,31 @@ def edit_distance(a: str, b: str, most: float | None = None) -> int:
     return distance
 
 
+def anchored_distance(a: str, b: str) -> int | None:
+    """A number that the Levenshtein distance doesn't exceed: words that both have once, as far as they come in one order,
+    stay, and what lies between is compared piece by piece. None if little would be saved."""
+    sides = [x.split(" ") for x in (a, b)]
+    counts = [Counter(x) for x in sides]
+    where = {w: k for k, w in enumerate(sides[1]) if counts[1][w] == 1}
+    pairs = [(k, where[w]) for k, w in enumerate(sides[0]) if counts[0][w] == 1 and w in where]
+    tails: list[int] = []  # the last place in b of the best run of each length, and what came before each pair
+    ends, before = [], []
+    for n, (_, j) in enumerate(pairs):
+        at = bisect.bisect_left(tails, j)
+        tails[at : at + 1], ends[at : at + 1] = [j], [n]
+        before.append(ends[at - 1] if at else -1)
+    kept, n = [], ends[-1] if ends else -1
+    while n >= 0:
+        kept.append(pairs[n])
+        n = before[n]
+    kept = [(-1, -1), *reversed(kept), (len(sides[0]), len(sides[1]))]
+    gaps = [(" ".join(sides[0][i + 1 : k]), " ".join(sides[1][j + 1 : m])) for (i, j), (k, m) in zip(kept, kept[1:])]
+    if sum(len(x) * len(y) for x, y in gaps) * 3 > len(a) * len(b):
+        return None
+    # Where words were put in or left out on one side only, a blank goes with them.
+    return sum(edit_distance(x, y) + (not x) + (not y) if bool(x) != bool(y) else edit_distance(x, y) for x, y in gaps if x != y)
+
+
 def edit_distances(a: list[np.ndarray], b: list[np.ndarray], most: np.ndarray | None = None) -> np.ndarray:
     """Levenshtein distances of many pairs of code point arrays (no ``a`` empty) at once, by the same bit vectors as
     ``edit_distance``, in numbers of 64 bits: one step of the loop treats a character of every pair. Once all are
@@ -119,8 +146,9 @@ def edit_distances(a: list[np.ndarray], b: list[np.ndarray], most: np.ndarray |
     return distance
 
 
-def similar_pairs(a: list[str], b: list[str], threshold: float, *, longest: int = 4096, cells: int = 16384) -> np.ndarray:
-    """``similar`` for each pair. Many of like length are compared side by side, the others one by one."""
+def similar_pairs(a: list[str], b: list[str], threshold: float, *, longest: int = 1024, cells: int = 16384) -> np.ndarray:
+    """``similar`` for each pair. Many of like length are compared side by side, the others one by one, long
+    ones first between the words that both have once."""
     out = np.zeros(len(a), bool)
     rest: list[tuple] = []  # blocks, length, number, most, texts
     for i, (x, y) in enumerate(zip(a, b, strict=True)):
@@ -139,7 +167,8 @@ def similar_pairs(a: list[str], b: list[str], threshold: float, *, longest: int
         if len(q) <= most:
             out[i] = True
         elif len(p) > longest:
-            out[i] = edit_distance(x, y, most) <= most
+            bound = anchored_distance(x, y)
+            out[i] = bound is not None and bound <= most or edit_distance(x, y, most) <= most
         elif len(p):
             rest.append((-(-len(p) // 64), len(q), i, most, p, q))
     rest.sort(key=lambda r: r[:2])

@@ -18,7 +18,7 @@ from arcframe.llm import _graph
 from arcframe.llm._pieces import BYTE_LEVEL, WORD_LEVEL, PieceTokens, load_tokenizer, pieces_of
 from arcframe.llm._words import WORD, join_words, mix, read_words
 from arcframe.llm.language import Crf, identify_languages, letter_words, positions, stretches, tag_documents, train, training_sample, word_features
-from arcframe.llm.line_dedup import alike, dedup_lines, edit_distance, edit_distances, line_bands, line_keys, normalized, simhash, similar, similar_pairs, sketch_table, sketches
+from arcframe.llm.line_dedup import alike, anchored_distance, dedup_lines, edit_distance, edit_distances, line_bands, line_keys, normalized, simhash, similar, similar_pairs, sketch_table, sketches
 from arcframe.llm.minhash import dart_signature, near_duplicates
 from arcframe.llm.mixing import emit_mixture, plan_mixture, source_targets
 from arcframe.llm.packing import encode_pieces, pack, plan_bins
@@ -584,6 +584,24 @@ def test_edit_distances():
     assert similar_pairs(["", "", "a"], ["", "a", "a"], 0.8).tolist() == [True, False, True]
 
 
+def test_anchored_distance():
+    """Never below the distance, and near it for near lines."""
+    draw = random.Random(21)
+    for k in range(150):
+        a = words(k, draw.randint(1, 120))
+        b = list(a)
+        for _ in range(draw.randint(0, 12)):
+            at = draw.randrange(len(b) + 1)
+            b[at : at + draw.randint(0, 2)] = words(draw.randint(0, 10**6), draw.randint(0, 2))
+        a, b = " ".join(a), " ".join(b)
+        bound, want = anchored_distance(a, b), edit_distance(a, b)
+        assert bound is None or want <= bound <= 2 * want + 4
+    long = words(5, 3000)
+    other = [*long[:700], "new", *long[702:2000], *long[2010:]]
+    bound = anchored_distance(" ".join(long), " ".join(other))
+    assert edit_distance(" ".join(long), " ".join(other)) <= bound < 120
+
+
 def test_line_clashing_columns(spark):
     frame = spark.createDataFrame([(1, "a b c d\nx y", 5, "p", 1.0, "q")], "doc_id long, text string, _row int, _lines string, n_lines double, _gone string")
     got = dedup_lines(frame.union(frame)).collect()
