@@ -208,7 +208,9 @@ def simhash(hashes: np.ndarray, lengths: np.ndarray, sizes: np.ndarray) -> np.nd
         first = int(ends[at] - sizes[at])
         to = max(at + 1, int(np.searchsorted(ends, first + most, "right")))
         owner = np.repeat(np.arange(to - at, dtype=np.uint64), sizes[at:to])
-        words = np.unique(owner << np.uint64(42) | (hashes[first : ends[to - 1]] >> np.uint64(22) & ~np.uint64(3)) | weight[first : ends[to - 1]])
+        words = owner << np.uint64(42) | (hashes[first : ends[to - 1]] >> np.uint64(22) & ~np.uint64(3)) | weight[first : ends[to - 1]]
+        words.sort()
+        words = words[np.append(True, words[1:] != words[:-1])]
         owner, words = (words >> np.uint64(42)).astype(np.int64), words & np.uint64((1 << 42) - 1)
         each = np.uint8(1) << (words & np.uint64(3)).astype(np.uint8)
         begins = np.searchsorted(owner, np.arange(to - at + 1))
@@ -355,8 +357,9 @@ def dedup_lines(docs: DataFrame, *, text: str = "text", id_col: str = "doc_id",
                 found = [np.empty(0, np.uint64)], [np.empty(0, np.uint64)]
                 for _, texts, (_, sizes, _, _, one, _) in slices(batch.column(0)):
                     fresh, at = np.unique(one, return_index=True)
-                    new = ~np.isin(fresh, seen, assume_unique=True)
-                    seen = np.union1d(seen if len(seen) < 1 << 21 else seen[:0], fresh[new])
+                    place = np.searchsorted(seen, fresh)
+                    new = (place == len(seen)) | (np.append(seen, np.uint64(0))[place] != fresh)
+                    seen = np.sort(np.concatenate((seen if len(seen) < 1 << 21 else seen[:0], fresh[new])))
                     mine = np.zeros(len(one), bool)
                     mine[at[new]] = True
                     of = np.repeat(mine, sizes)
