@@ -149,6 +149,8 @@ def edit_distances(a: list[np.ndarray], b: list[np.ndarray], most: np.ndarray |
 def similar_pairs(a: list[str], b: list[str], threshold: float, *, longest: int = 1024, cells: int = 16384) -> np.ndarray:
     """``similar`` for each pair. Many of like length are compared side by side, the others one by one, long
     ones first between the words that both have once."""
+    if len(a) > 4096:
+        return np.concatenate([similar_pairs(a[k : k + 4096], b[k : k + 4096], threshold, longest=longest, cells=cells) for k in range(0, len(a), 4096)])
     out = np.zeros(len(a), bool)
     rest: list[tuple] = []  # blocks, length, number, most, texts
     for i, (x, y) in enumerate(zip(a, b, strict=True)):
@@ -377,15 +379,18 @@ def dedup_lines(docs: DataFrame, *, text: str = "text", id_col: str = "doc_id",
 
     def texts():
         def each(batch: pa.RecordBatch) -> pa.RecordBatch:
-            needs = batch.column(1)
-            which = pc.list_parent_indices(needs).to_numpy()
-            node, two, line = (x.to_numpy() for x in needs.flatten().flatten())
-            found = pc.split_pattern(batch.column(0).cast(pa.large_string()), "\n")
-            lines = found.flatten().take(pa.array(found.offsets.to_numpy()[which] - found.offsets.to_numpy()[0] + line))
-            words = read_words(normalized(lines))
-            joined = join_words(words, np.ones(len(words.hashes), bool))
-            columns = [pa.array(node), pa.array(two), joined, pc.utf8_length(joined).cast(pa.int32()), sketches(words)]
-            return pa.RecordBatch.from_arrays(columns, ["node", "two", "words", "size", "sketch"])
+            parts, names = [], ["node", "two", "words", "size", "sketch"]
+            column = batch.column(0).cast(pa.large_string())
+            for a, b in by_bytes((pc.binary_length(column).to_numpy() + 64).tolist(), 1 << 20):
+                needs, found = batch.column(1).slice(a, b - a), pc.split_pattern(column.slice(a, b - a), "\n")
+                which = pc.list_parent_indices(needs).to_numpy()
+                node, two, line = (x.to_numpy() for x in needs.flatten().flatten())
+                first = found.offsets.to_numpy()
+                words = read_words(normalized(found.flatten().take(pa.array(first[which] - first[0] + line))))
+                joined = join_words(words, np.ones(len(words.hashes), bool))
+                columns = [pa.array(node), pa.array(two), joined, pc.utf8_length(joined).cast(pa.int32()), sketches(words)]
+                parts.append(pa.RecordBatch.from_arrays(columns, names))
+            return pa.Table.from_batches(parts).combine_chunks().to_batches()[0]
 
         return each
 
