@@ -253,8 +253,117 @@ def cluster_buckets(rows: DataFrame, verify: Callable[[DataFrame], DataFrame], p
     return _joined(found, links)
 
 
-def _block_links(members: DataFrame, payload: DataFrame, match: Callable, block: int) -> DataFrame:
-    """Links between components, from (key, node, comp) rows of buckets of any size."""
+def cluster_sieved(rows: DataFrame, payload: Callable[[DataFrame], DataFrame], sieve: Callable[[pa.Table], Callable[[np.ndarray, np.ndarray], np.ndarray]], verify: Callable[[DataFrame], DataFrame], match: Callable[[pa.Table, pa.Table], tuple[np.ndarray, np.ndarray]], *, marks: list[str], most: int = 1024, block: int = 8192) -> DataFrame:
+    """Components of the links that hold inside buckets, as ``cluster_buckets``, where few bytes tell most pairs apart.
+
+    ``payload``: as there, but its columns ``marks`` are the few bytes. ``sieve``: rows with those columns -> a test of pairs of
+    their indices, true for all that can be links. ``verify``: (a, b) pairs -> those that are links. ``match``: rows of payload with
+    ``key`` and ``comp``, left and right -> indices of links that connect what all links between them connect.
+
+    All pairs of a bucket are sieved where it is sorted, so what is shuffled are marks of members and pairs that passed. If these
+    are many for the bucket's size, each member is paired with the first one only, the links found are merged, and then
+    every pair that passes between two components is verified; where these are many still, they are matched in place, by blocks, and
+    a forest of the links comes out. Buckets of over ``most`` members start with pairs of members and their first node
+    instead, and are then sieved by blocks. No pair between components is left out.
+    """
+    held = payload(rows.select("node").distinct())
+    of = held.select("node", *marks).hint("merge")
+    sized = materialize(rows.groupBy("key").agg(F.count("*").alias("n"), F.min("node").alias("pivot")).where(F.col("n") > most))
+    small = rows.join(sized, "key", "left_anti") if (large := not sized.isEmpty()) else rows
+    first = materialize(_sieved(small.join(of, "node").select("key", "node", *marks), sieve))
+    pairs = first.where("wide is null").select("a", "b")
+    if large:
+        rows_of_large = materialize(rows.join(sized, "key"))
+        pairs = pairs.unionAll(rows_of_large.where("node <> pivot").select(F.least("node", "pivot").alias("a"), F.greatest("node", "pivot").alias("b")))
+    tested = materialize(pairs.distinct())
+    found = connected_components(verify(tested))
+    comp = F.coalesce("component", "node").alias("comp")
+    wide = small.join(first.where("wide is not null").select(F.col("wide").alias("key")), "key", "left_semi")
+    labelled = wide.join(found, "node", "left").select("key", "node", comp)
+    rest = _sieved(labelled.join(of, "node").select("key", "node", "comp", *marks), sieve, across=True)
+    if large:
+        labelled = rows_of_large.join(found, "node", "left").select("key", "node", comp)
+
+        def passing(left: pa.Table, right: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+            test, n, m = sieve(pa.concat_tables([left, right])), left.num_rows, right.num_rows
+            mine, others = left.column("comp").to_numpy(), right.column("comp").to_numpy()
+            x, y = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+            step = max(1, SIEVED // m)
+            for a in range(0, n, step):
+                i, j = np.nonzero(mine[a : a + step, None] != others)
+                ok = test(i + a, j + n)
+                x.append(i[ok] + a)
+                y.append(j[ok])
+                if sum(map(len, x)) > DENSE * (n + m):
+                    break
+            return np.concatenate(x), np.concatenate(y)
+
+        rest = rest.unionAll(_block_links(labelled, held.select("node", *marks), passing, block, whole=True))
+    rest = materialize(rest)
+    pairs = materialize(rest.where("wide is null").select("a", "b").distinct().join(tested, ["a", "b"], "left_anti"))
+    links = verify(pairs) if not pairs.isEmpty() else pairs
+    wide = rest.where("wide is not null").select(F.col("wide").alias("key"))
+    if not wide.isEmpty():
+        labelled = rows.join(wide, "key", "left_semi").join(found, "node", "left").select("key", "node", comp)
+        links = links.unionAll(_block_links(materialize(labelled), held, match, 1024))
+    return _joined(found, links)
+
+
+#: Pairs that are sieved at a time, and how many that pass, for each of its members, make a bucket wide.
+SIEVED, DENSE = 1 << 18, 2
+
+
+def _sieved(rows: DataFrame, sieve: Callable, across: bool = False) -> DataFrame:
+    """(a, b, wide) rows from (key, node, ...) rows: pairs that pass, and as ``wide`` the keys of which not all are there.
+
+    ``across``: only pairs of different ``comp``, and none of a wide key.
+    """
+
+    def pairs(table: pa.Table, cuts: np.ndarray) -> Iterator[pa.RecordBatch]:
+        test, node, key = sieve(table), table.column("node").to_numpy(), table.column("key").to_numpy()
+        comp = table.column("comp").to_numpy() if across else None
+        begins, sizes = cuts[:-1], np.diff(cuts)
+        for n in np.unique(sizes[sizes > 1]):
+            groups, (left, right) = begins[sizes == n], np.triu_indices(n, 1)
+            step = max(1, SIEVED // len(left))
+            for k in range(0, len(groups), step):
+                here = groups[k : k + step]
+                i, j = (here[:, None] + left).ravel(), (here[:, None] + right).ravel()
+                of = np.repeat(np.arange(len(here)), len(left))
+                ok = np.flatnonzero(comp[i] != comp[j]) if across else slice(None)
+                i, j, of = i[ok], j[ok], of[ok]
+                ok = test(i, j)
+                i, j, of = i[ok], j[ok], of[ok]
+                wide = np.bincount(of, minlength=len(here)) > DENSE * n
+                once = ~wide[of]
+                if not across:
+                    once[np.unique(j, return_index=True)[1]] = True  # pairs come by their left members
+                yield _pair_rows(node[i[once]], node[j[once]], key[here[wide]])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rest: pa.Table | None = None
+        for batch in batches:
+            table = pa.Table.from_batches([batch])
+            table = pa.concat_tables([rest, table]) if rest is not None else table
+            cuts = group_cuts(table, ["key"])
+            if len(cuts) > 2:
+                yield from pairs(table.slice(0, cuts[-2]).combine_chunks(), np.array(cuts[:-1]))
+            rest = table.slice(cuts[-2])
+        if rest is not None and rest.num_rows:
+            yield from pairs(rest.combine_chunks(), np.array([0, rest.num_rows]))
+
+    return rows.repartition("key").sortWithinPartitions("key", "node").mapInArrow(run, "a long, b long, wide long")
+
+
+def _pair_rows(x: np.ndarray, y: np.ndarray, wide: np.ndarray) -> pa.RecordBatch:
+    """(a, b, wide) rows: pairs in order, then keys."""
+    none = lambda n: pa.nulls(n, pa.int64())
+    ends = [pa.concat_arrays([pa.array(end), none(len(wide))]) for end in (np.minimum(x, y), np.maximum(x, y))]
+    return pa.RecordBatch.from_arrays([*ends, pa.concat_arrays([none(len(x)), pa.array(wide)])], ["a", "b", "wide"])
+
+
+def _block_links(members: DataFrame, payload: DataFrame, match: Callable, block: int, *, whole: bool = False) -> DataFrame:
+    """Links between components, from (key, node, comp) rows of buckets of any size: a forest of them, or (``whole``) as ``_sieved`` gives them."""
     sizes = members.groupBy("key", "comp").agg(F.count("*").alias("k")).groupBy("key").agg(F.sum("k").alias("all"), F.max(F.struct("k", "comp")).alias("core"))
     cut = lambda n: F.ceil(n / block).cast("int")
     sizes = sizes.select("key", F.col("core.comp").alias("core"), cut(F.col("all")).alias("rights"), cut(F.col("all") - F.col("core.k")).alias("lefts"))
@@ -286,11 +395,14 @@ def _block_links(members: DataFrame, payload: DataFrame, match: Callable, block:
         x, y = match(left, right)
         keep = left.column("comp").to_numpy()[x] != right.column("comp").to_numpy()[y]
         a, b = left.column("node").to_numpy()[x[keep]], right.column("node").to_numpy()[y[keep]]
-        if len(a):
+        if whole:
+            wide = len(a) > DENSE * group.num_rows
+            yield _pair_rows(*((a[:0], b[:0]) if wide else (a, b)), group.column("key").to_numpy()[:wide])
+        elif len(a):
             a, b = _stars(a, b)
             yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
 
-    return dealt.mapInArrow(run, "a long, b long")
+    return dealt.mapInArrow(run, "a long, b long" + ", wide long" * whole)
 
 
 def group_cuts(table: pa.Table, by: list[str]) -> list[int]:

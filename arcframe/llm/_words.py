@@ -122,9 +122,9 @@ def join_words(texts: Texts, keep: np.ndarray) -> pa.Array:
     last[owner] = kept  # the later one stays
     gap = kept[last[owner] != kept]
     mask = np.zeros(len(texts.data) + 1, np.int8)
-    np.add.at(mask, texts.starts[kept], 1)
-    np.add.at(mask, texts.ends[kept], -1)
-    mask = np.cumsum(mask[:-1], dtype=np.int8).astype(bool)
+    mask[texts.starts[kept]] = 1
+    mask[texts.ends[kept]] -= 1  # ends differ from one another, and so do starts
+    mask = np.cumsum(mask[:-1], dtype=np.int8).view(bool)
     data = texts.data.copy()
     data[texts.ends[gap]] = 0x20
     mask[texts.ends[gap]] = True

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._common import by_bytes, map_arrow, materialize, unused
-from ._graph import cluster_buckets, deal_pairs, shared_buckets
+from ._graph import cluster_sieved, deal_pairs, shared_buckets
 from ._words import Texts, join_words, mix, read_words, seeds
 
 #: 64-bit numbers of a SimHash, and bits of its pigeonhole blocks.
@@ -26,12 +26,18 @@ BANDS, ROWS, SHORT, MORE_BANDS, MORE_ROWS = 16, 4, 10, 48, 3
 #: them agrees, or, if both have LONG words, the larger one.
 AGREE, LONG, LONG_AGREE = 0.3, 64, 0.45
 
+#: Lines of less words than this carry counts of their characters, so many.
+COUNTED, COUNTS = 20, 96
+
 #: Of so many documents one is probed for keys that many lines have.
 PROBE = 64
 
 #: Weight of a word, as a power of two, by its bytes: the shortest words are the most common ones.
 _WEIGHT = np.array([0, 0, 1, 2, 3], np.uint64)
 
+#: All but the top bit of each byte.
+_LOW = np.uint64(0x7F7F7F7F7F7F7F7F)
+
 
 def normalized(column: pa.Array) -> pa.Array:
     """Texts in lower case (the simple mapping of Unicode), null as empty; words and lines keep their order."""
@@ -146,11 +152,11 @@ def edit_distances(a: list[np.ndarray], b: list[np.ndarray], most: np.ndarray |
     return distance
 
 
-def similar_pairs(a: list[str], b: list[str], threshold: float, *, longest: int = 1024, cells: int = 16384) -> np.ndarray:
-    """``similar`` for each pair. Many of like length are compared side by side, the others one by one, long
-    ones first between the words that both have once."""
+def similar_pairs(a: list[str], b: list[str], threshold: float, *, longest: int = 1024, cells: int = 16384, anchored: int = 64) -> np.ndarray:
+    """``similar`` for each pair. What equal ends leave is first compared between the words that both have once, if it is over ``anchored``
+    characters; where that doesn't settle it, many of like length are compared side by side, the others one by one."""
     if len(a) > 4096:
-        return np.concatenate([similar_pairs(a[k : k + 4096], b[k : k + 4096], threshold, longest=longest, cells=cells) for k in range(0, len(a), 4096)])
+        return np.concatenate([similar_pairs(a[k : k + 4096], b[k : k + 4096], threshold, longest=longest, cells=cells, anchored=anchored) for k in range(0, len(a), 4096)])
     out = np.zeros(len(a), bool)
     rest: list[tuple] = []  # blocks, length, number, most, texts
     for i, (x, y) in enumerate(zip(a, b, strict=True)):
@@ -162,15 +168,18 @@ def similar_pairs(a: list[str], b: list[str], threshold: float, *, longest: int
         p, q = (np.frombuffer(s.encode("utf-32-le", "surrogatepass"), np.uint32) for s in (x, y))
         unlike = p != q[: len(p)]
         k = int(unlike.argmax()) if unlike.any() else len(p)
-        p, q = p[k:], q[k:]
+        p, q, x, y = p[k:], q[k:], x[k:], y[k:]
         unlike = p[::-1] != q[::-1][: len(p)]
         k = int(unlike.argmax()) if unlike.any() else len(p)
-        p, q = p[: len(p) - k], q[: len(q) - k]
+        p, q, x, y = p[: len(p) - k], q[: len(q) - k], x[: len(x) - k], y[: len(y) - k]
         if len(q) <= most:
             out[i] = True
+            continue
+        bound = anchored_distance(x, y) if len(p) > anchored else None
+        if bound is not None and bound <= most:
+            out[i] = True
         elif len(p) > longest:
-            bound = anchored_distance(x, y)
-            out[i] = bound is not None and bound <= most or edit_distance(x, y, most) <= most
+            out[i] = edit_distance(x, y, most) <= most
         elif len(p):
             rest.append((-(-len(p) // 64), len(q), i, most, p, q))
     rest.sort(key=lambda r: r[:2])
@@ -286,25 +295,109 @@ def line_keys(hashes: np.ndarray, lengths: np.ndarray, sizes: np.ndarray) -> tup
     return keys, np.concatenate([np.repeat(np.arange(len(sizes)), table.shape[1]), np.repeat(np.flatnonzero(short), MORE_BANDS)])
 
 
-def sketches(lines: Texts) -> pa.Array:
-    """For each line 32 bits of each of its band keys, whether it is short, middling or LONG (2, 0, 1), and a byte for each coordinate."""
+def sketches(lines: Texts, joined: pa.Array | None = None) -> pa.Array:
+    """For each line whether it is short, middling or LONG (2, 0, 1), and a byte for each coordinate of its bands; of lines of less than
+    COUNTED words also how often ``joined`` (if given) has each of 64 kinds of character pairs and 32 of characters."""
     sizes = np.diff(lines.bounds)
-    keys, table = line_bands(lines.hashes, lines.ends - lines.starts, sizes, BANDS, ROWS)
+    _, table = line_bands(lines.hashes, lines.ends - lines.starts, sizes, BANDS, ROWS)
     kind = np.where(sizes >= LONG, 1, np.where(sizes >= SHORT, 0, 2)).astype(np.uint8)
-    whole = np.concatenate([(keys & np.uint64(0xFFFFFFFF)).astype("<u4").view(np.uint8).reshape(len(sizes), -1), kind[:, None], table], axis=1)
-    return pa.FixedSizeBinaryArray.from_buffers(pa.binary(whole.shape[1]), len(sizes), [None, pa.py_buffer(np.ascontiguousarray(whole).tobytes())]).cast(pa.binary())
+    whole = np.zeros((len(sizes), 1 + BANDS * ROWS + COUNTS), np.uint8)
+    whole[:, 0], whole[:, 1 : 1 + BANDS * ROWS] = kind, table
+    few = np.flatnonzero(sizes < COUNTED) if joined is not None else np.empty(0, np.int64)
+    if len(few):
+        whole[few, 1 + BANDS * ROWS :] = character_counts(joined.take(pa.array(few)))
+    width = np.full(len(sizes), whole.shape[1] - COUNTS)
+    width[few] += COUNTS
+    data = whole[np.arange(whole.shape[1]) < width[:, None]]
+    edges = np.append(0, np.cumsum(width)).astype(np.int32)
+    return pa.BinaryArray.from_buffers(pa.binary(), len(sizes), [None, pa.py_buffer(edges.tobytes()), pa.py_buffer(data.tobytes())])
+
+
+def band_marks(lines: Texts) -> pa.Array:
+    """For each line 32 bits of each of its band keys, first those that all lines have."""
+    sizes, lengths = np.diff(lines.bounds), lines.ends - lines.starts
+    short = sizes < SHORT
+    of = np.repeat(short, sizes)
+    every, more = line_bands(lines.hashes, lengths, sizes, BANDS, ROWS)[0], line_bands(lines.hashes[of], lengths[of], sizes[short], MORE_BANDS, MORE_ROWS)[0]
+    whole = np.zeros((len(sizes), BANDS + MORE_BANDS), "<u4")
+    whole[:, :BANDS] = every & np.uint64(0xFFFFFFFF)
+    whole[short, BANDS:] = more & np.uint64(0xFFFFFFFF)
+    width = np.where(short, BANDS + MORE_BANDS, BANDS)
+    edges = np.append(0, np.cumsum(4 * width)).astype(np.int32)
+    return pa.BinaryArray.from_buffers(pa.binary(), len(sizes), [None, pa.py_buffer(edges.tobytes()), pa.py_buffer(whole[np.arange(whole.shape[1]) < width[:, None]].tobytes())])
+
+
+def mark_table(column: pa.Array, none: int) -> np.ndarray:
+    """(lines, BANDS + MORE_BANDS) marks of bands, ``none`` where a line has none."""
+    out = np.full((len(column), BANDS + MORE_BANDS), none, np.int64)
+    for k, x in enumerate(column.to_pylist()):
+        out[k, : len(x) // 4] = np.frombuffer(x, "<u4")
+    return out
+
+
+def character_counts(lines: pa.Array) -> np.ndarray:
+    """(lines, COUNTS) bytes: how often (255 at most) each of 64 kinds of two consecutive characters occurs, and each of 32 of characters."""
+    texts = lines.to_pylist()
+    sizes = np.array([len(x) for x in texts], np.int64)
+    code = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+    owner = np.repeat(np.arange(len(texts)), sizes)
+    with np.errstate(over="ignore"):
+        pair = (mix(code[:-1] << np.uint64(32) | code[1:]) & np.uint64(63)).astype(np.int64)
+    same = owner[1:] == owner[:-1]
+    pairs = np.bincount(owner[1:][same] * 64 + pair[same], minlength=64 * len(texts)).reshape(-1, 64)
+    ones = np.bincount(owner * 32 + (code & np.uint64(31)).astype(np.int64), minlength=32 * len(texts)).reshape(-1, 32)
+    return np.minimum(np.concatenate([pairs, ones], axis=1), 255).astype(np.uint8)
 
 
 def sketch_table(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """(lines, BANDS) marks of bands, and rows of the other bytes."""
-    whole = np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(len(column), 4 * BANDS + 1 + BANDS * ROWS)
-    return np.ascontiguousarray(whole[:, : 4 * BANDS]).view("<u4"), whole[:, 4 * BANDS :]
+    """(lines, COUNTS) of counts as 16-bit numbers (-1: none) and rows of the other bytes."""
+    edges = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1] if len(column) else np.zeros(1, np.int32)
+    data = np.frombuffer(column.buffers()[2], np.uint8) if len(column) else np.empty(0, np.uint8)
+    size = 1 + BANDS * ROWS
+    counts = np.full((len(column), COUNTS), -1, np.int16)
+    few = np.flatnonzero(np.diff(edges) > size)
+    counts[few] = data[edges[few, None] + np.arange(size, size + COUNTS)]
+    return counts, data[edges[:-1, None] + np.arange(size)]
 
 
 def alike(left: np.ndarray, right: np.ndarray) -> np.ndarray:
     """Whether enough of the coordinates agrees, for each pair of such rows; of short lines always."""
     least = np.where(left[:, 0] & right[:, 0] == 1, LONG_AGREE, AGREE) * (left.shape[1] - 1)
-    return ((left[:, 1:] == right[:, 1:]).sum(axis=1) >= least) | (left[:, 0] == 2) | (right[:, 0] == 2)
+    unlike = np.ascontiguousarray(left[:, 1:]).view(np.uint64) ^ np.ascontiguousarray(right[:, 1:]).view(np.uint64)
+    unlike = (unlike & _LOW) + _LOW | unlike  # the top bit of each byte: whether it has any
+    same = left.shape[1] - 1 - np.bitwise_count(unlike & ~_LOW).sum(axis=1)
+    return (same >= least) | (left[:, 0] == 2) | (right[:, 0] == 2)
+
+
+def line_sieve(table: pa.Table, threshold: float) -> Callable[[np.ndarray, np.ndarray], np.ndarray]:
+    """Which pairs of rows (size, sketch) go on to be compared: lengths must allow it, ``alike`` must hold, and characters that few
+    edits can have left. An edit changes four counts of pairs and one character on either side at most."""
+    size = table.column("size").to_numpy()
+    counts, rows = sketch_table(table.column("sketch").combine_chunks())
+    kind, words, counted = rows[:, 0], np.ascontiguousarray(rows[:, 1:]).view(np.uint64), counts[:, 0] >= 0
+
+    def test(i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        most = np.maximum(size[i], size[j]) * (1 - threshold) + 1e-9
+        at = np.flatnonzero(np.abs(size[i] - size[j]) <= most)
+        p, q = i[at], j[at]
+        unlike = words[p] ^ words[q]
+        unlike = (unlike & _LOW) + _LOW | unlike
+        same = 8 * words.shape[1] - np.bitwise_count(unlike & ~_LOW).sum(axis=1)
+        ok = (same >= np.where(kind[p] & kind[q] == 1, LONG_AGREE, AGREE) * (8 * words.shape[1])) | (kind[p] == 2) | (kind[q] == 2)
+        at = at[ok]
+        few = np.flatnonzero(counted[i[at]] & counted[j[at]])
+        gone = np.zeros(len(at), bool)
+        for a in range(0, len(few), 4096):
+            here = few[a : a + 4096]
+            apart = counts[i[at[here]]] - counts[j[at[here]]]
+            pairs, ones = np.abs(apart[:, :64]).sum(axis=1), apart[:, 64:]
+            ones = np.maximum(np.maximum(ones, 0).sum(axis=1), np.maximum(-ones, 0).sum(axis=1))
+            gone[here] = (pairs > 4 * most[at[here]]) | (ones > most[at[here]])
+        out = np.zeros(len(i), bool)
+        out[at[~gone]] = True
+        return out
+
+    return test
 
 
 def dedup_lines(docs: DataFrame, *, text: str = "text", id_col: str = "doc_id", threshold: float = 0.8) -> DataFrame:
@@ -379,7 +472,7 @@ def dedup_lines(docs: DataFrame, *, text: str = "text", id_col: str = "doc_id",
 
     def texts():
         def each(batch: pa.RecordBatch) -> pa.RecordBatch:
-            parts, names = [], ["node", "two", "words", "size", "sketch"]
+            parts, names = [], ["node", "two", "words", "size", "sketch", "bands"]
             column = batch.column(0).cast(pa.large_string())
             for a, b in by_bytes((pc.binary_length(column).to_numpy() + 64).tolist(), 1 << 20):
                 needs, found = batch.column(1).slice(a, b - a), pc.split_pattern(column.slice(a, b - a), "\n")
@@ -388,18 +481,12 @@ def dedup_lines(docs: DataFrame, *, text: str = "text", id_col: str = "doc_id",
                 first = found.offsets.to_numpy()
                 words = read_words(normalized(found.flatten().take(pa.array(first[which] - first[0] + line))))
                 joined = join_words(words, np.ones(len(words.hashes), bool))
-                columns = [pa.array(node), pa.array(two), joined, pc.utf8_length(joined).cast(pa.int32()), sketches(words)]
+                columns = [pa.array(node), pa.array(two), joined, pc.utf8_length(joined).cast(pa.int32()), sketches(words, joined), band_marks(words)]
                 parts.append(pa.RecordBatch.from_arrays(columns, names))
             return pa.Table.from_batches(parts).combine_chunks().to_batches()[0]
 
         return each
 
-    def sift():
-        def each(batch: pa.RecordBatch) -> pa.RecordBatch:
-            return batch.select([0, 1]).filter(pa.array(alike(sketch_table(batch.column(2))[1], sketch_table(batch.column(3))[1])))
-
-        return each
-
     def check():
         def each(batch: pa.RecordBatch) -> pa.RecordBatch:
             keep = similar_pairs(batch.column(2).to_pylist(), batch.column(3).to_pylist(), threshold)
@@ -419,40 +506,39 @@ def dedup_lines(docs: DataFrame, *, text: str = "text", id_col: str = "doc_id",
         at = lines.select("one", "two", "row", "line").join(needed, "one", "left_semi").groupBy("one").agg(F.min(F.struct("two", "row", "line")).alias("x"))
         at = at.groupBy(F.col("x.row").alias(row)).agg(F.collect_list(F.struct(F.col("one").alias("node"), "x.two", "x.line")).alias("needs"))  # lines of one document
         wanted = stored.select(row, F.col(text).alias("t")).join(at.hint("merge"), row).select("t", "needs")
-        known.append(materialize(map_arrow(wanted, texts, "node long, two long, words string, size int, sketch binary")))
+        known.append(materialize(map_arrow(wanted, texts, "node long, two long, words string, size int, sketch binary, bands binary")))
         return known[0]
 
     def verify(pairs: DataFrame) -> DataFrame:
-        of = lambda x, c: known[0].select(F.col("node").alias(x), F.col(c).alias(c + x), F.col("size").alias(f"size{x}")).hint("merge")  # noqa: E731, the same plan at any size
-        near = F.abs(F.col("sizea") - F.col("sizeb")) <= F.greatest("sizea", "sizeb") * (1 - threshold) + 1e-9
-        sketched = pairs.join(of("a", "sketch"), "a").join(of("b", "sketch"), "b").where(near)
-        sifted = materialize(map_arrow(sketched.select("a", "b", "sketcha", "sketchb"), sift, "a long, b long"))
-        worded = sifted.join(of("a", "words"), "a").join(of("b", "words"), "b")
-        return map_arrow(worded.select("a", "b", "wordsa", "wordsb"), check, "a long, b long")
+        a, b = (known[0].select(F.col("node").alias(x), F.col("words").alias(f"words{x}")).hint("merge") for x in "ab")  # the same plan at any size
+        return map_arrow(pairs.join(a, "a").join(b, "b").select("a", "b", "wordsa", "wordsb"), check, "a long, b long")
 
     def match(left: pa.Table, right: pa.Table) -> tuple[np.ndarray, np.ndarray]:
-        """Members of other components on the right that are similar, for those on the left; a pair that shares several
-        bands is compared in the bucket of the first."""
-        x, y = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
-        (mine, others), (n, m) = ([t.column(c).to_numpy() for t in (left, right)] for c in ("comp", "size"))
-        (bands, marks), (bands_too, marks_too) = (sketch_table(t.column("sketch").combine_chunks()) for t in (left, right))
+        """Similar lines of different components, for those on the left; a pair that shares several bands is compared in the bucket of
+        the first, and none that the links found here connect already."""
+        test, n, m = line_sieve(pa.concat_tables([left, right]), threshold), left.num_rows, right.num_rows
+        names, now = np.unique(np.concatenate([t.column("comp").to_numpy() for t in (left, right)]), return_inverse=True)
+        bands = [mark_table(t.column("bands").combine_chunks(), -k) for k, t in enumerate((left, right), 1)]
         words = [t.column("words").to_pylist() for t in (left, right)]
-        here = np.uint32(left.column("key")[0].as_py() & 0xFFFFFFFF)
-        for a in range(0, len(mine), 64):
-            near = np.abs(n[a : a + 64, None] - m) <= np.maximum(n[a : a + 64, None], m) * (1 - threshold) + 1e-9
-            i, j = np.nonzero(near & (mine[a : a + 64, None] != others))
+        here = left.column("key")[0].as_py() & 0xFFFFFFFF
+        x, y, label = [np.empty(0, np.int64)], [np.empty(0, np.int64)], np.arange(len(names))
+        for a in range(0, n, 64):
+            i, j = np.nonzero(label[now[a : min(a + 64, n)], None] != label[now[n:]])
             i += a
-            ok = alike(marks[i], marks_too[j])
+            ok = test(i, j + n)
             i, j = i[ok], j[ok]
-            same = bands[i] == bands_too[j]
-            ok = ~same.any(axis=1) | (bands[i, same.argmax(axis=1)] == here)
+            same = bands[0][i] == bands[1][j]
+            ok = ~same.any(axis=1) | (bands[0][i, same.argmax(axis=1)] == here)
             i, j = i[ok], j[ok]
             ok = similar_pairs([words[0][k] for k in i], [words[1][k] for k in j], threshold)
-            x.append(i[ok])
-            y.append(j[ok])
-        return np.concatenate(x), np.concatenate(y)
-
-    found = cluster_buckets(shared, verify, payload, match)
+            for p, q in zip(i[ok], j[ok], strict=True):
+                if (one := label[now[p]]) != (other := label[now[n + q]]):
+                    label[label == other] = one
+                    x.append([p])
+                    y.append([q])
+        return np.concatenate(x).astype(np.int64), np.concatenate(y).astype(np.int64)
+
+    found = cluster_sieved(shared, payload, lambda table: line_sieve(table, threshold), verify, match, marks=["size", "sketch"])
     linked = known[0].select(F.col("node").alias("one"), "two").join(found.withColumnRenamed("node", "one"), "one")
     equal = lines.groupBy("one", "two").agg(F.count("*").alias("n")).where("n > 1").select("one", "two")
     members = materialize(equal.join(linked, ["one", "two"], "full_outer").withColumn("component", F.coalesce("component", F.xxhash64("one", "two"))))
@@ -463,7 +549,7 @@ def dedup_lines(docs: DataFrame, *, text: str = "text", id_col: str = "doc_id",
     gone = gone.groupBy(F.col("place.row").alias(row)).agg(F.collect_list("place.line").alias(gone_of))  # lines of one document
     counts = lines.groupBy(F.col("row").alias(row)).agg(F.count("*").alias("n_lines"))
     found = materialize(counts.join(gone, row, "left"))
-    out = stored.join(found, row, "left")
+    out = stored.join(found.hint("merge"), row, "left")  # the same plan at any size
     left = F.array_except(F.sequence(F.lit(0), F.size(F.split(text, "\n")) - 1), F.col(gone_of))
     # A one-element array binds the lines to a name, so that the text is split once and not for each line.
     kept = F.get(F.transform(F.array(F.split(text, "\n")), lambda lines: F.array_join(F.transform(left, lambda i: F.get(lines, i)), "\n")), F.lit(0))

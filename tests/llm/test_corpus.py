@@ -18,7 +18,7 @@ from arcframe.llm import _graph
 from arcframe.llm._pieces import BYTE_LEVEL, WORD_LEVEL, PieceTokens, load_tokenizer, pieces_of
 from arcframe.llm._words import WORD, join_words, mix, read_words
 from arcframe.llm.language import Crf, identify_languages, letter_words, positions, stretches, tag_documents, train, training_sample, word_features
-from arcframe.llm.line_dedup import alike, anchored_distance, dedup_lines, edit_distance, edit_distances, line_bands, line_keys, normalized, simhash, similar, similar_pairs, sketch_table, sketches
+from arcframe.llm.line_dedup import alike, anchored_distance, dedup_lines, edit_distance, edit_distances, line_bands, line_keys, line_sieve, normalized, simhash, similar, similar_pairs, sketch_table, sketches
 from arcframe.llm.minhash import dart_signature, near_duplicates
 from arcframe.llm.mixing import emit_mixture, plan_mixture, source_targets
 from arcframe.llm.packing import encode_pieces, pack, plan_bins
@@ -117,6 +117,41 @@ def test_buckets_lose_no_link(spark, few, block):
     assert {k: got.get(k, k) for k in place} == want
 
 
+@pytest.mark.parametrize(("most", "dense"), [(1024, 2), (1024, 0), (10, 2)])
+def test_sieved_buckets_lose_no_link(spark, monkeypatch, most, dense):
+    """Pairs that are no links are told apart in their bucket; the components are those of all pairs."""
+    monkeypatch.setattr(_graph, "DENSE", dense)
+    draw = random.Random(6)
+    place = {k: draw.random() for k in range(150)}
+    rows = [(b, k) for k in place for b in range(3) if b != k % 3 or k % 2] + [(9 + k % 20, k) for k in place]
+    held = defaultdict(set)
+    for key, k in rows:
+        held[key].add(k)
+    shared = {(a, b) for x in held.values() for a in x for b in x if a < b}
+    want = components(place, [(a, b) for a, b in shared if abs(place[a] - place[b]) < 0.008])
+    table = spark.createDataFrame([(k, v, v) for k, v in place.items()], "node long, v double, w double")
+    verified = []
+
+    def verify(pairs):
+        verified.extend((r.a, r.b) for r in pairs.collect())
+        a, b = (table.select(F.col("node").alias(x), F.col("v").alias("v" + x)) for x in "ab")
+        return pairs.join(a, "a").join(b, "b").where("abs(va - vb) < 0.008").select("a", "b")
+
+    def sieve(found):
+        w = found.column("w").to_numpy()
+        return lambda i, j: np.abs(w[i] - w[j]) < 0.02
+
+    def match(left, right):
+        return np.nonzero(np.abs(left.column("v").to_numpy()[:, None] - right.column("v").to_numpy()[None, :]) < 0.008)
+
+    frame = spark.createDataFrame(rows, "key long, node long")
+    got = {r.node: r.component for r in _graph.cluster_sieved(frame, lambda members: table, sieve, verify, match, marks=["w"], most=most, block=16).collect()}
+    assert {k: got.get(k, k) for k in place} == want
+    assert len(verified) == len(set(verified)) and set(verified) <= shared
+    if most == 1024:
+        assert all(abs(place[a] - place[b]) < 0.02 for a, b in verified)
+
+
 @pytest.mark.parametrize(("hot_share", "part", "fan"), [(1, 3 << 20, 4096), (0.0, 40, 4096), (0.0, 40, 64)])
 def test_shared_buckets(spark, monkeypatch, hot_share, part, fan):
     """Pairs of keys with one node go, over any parts and steps, and hot keys lose none."""
@@ -552,6 +587,23 @@ def test_line_recall(kind, low, high):
     assert np.mean([bool(a & b) and ok for a, b, ok in zip(*sides, near, strict=True)]) >= 0.9
 
 
+@pytest.mark.parametrize(("low", "high"), [(2, 9), (8, 22), (60, 90)])
+def test_line_sieve_passes_what_is_similar(low, high):
+    """The characters of two lines never rule out a pair at the threshold; of unlike short lines they rule out most."""
+    draw = random.Random(high)
+    sides = list(zip(*[edited(draw, ("word", "characters")[k % 2], low, high) for k in range(600)], strict=True))
+    sides[1] = [*sides[1][:300], *sides[0][301:], sides[0][300]]  # half of them with a line of others
+    lines = pa.array([x for side in sides for x in side])
+    found = read_words(lines)
+    table = pa.table({"size": [len(x) for x in lines.to_pylist()], "sketch": sketches(found, lines)})
+    i, j = np.arange(600), np.arange(600, 1200)
+    passed = line_sieve(table, 0.8)(i, j)
+    alone = pa.table({"size": table.column("size"), "sketch": sketches(found)})  # without the characters
+    true = np.array([similar(a, b, 0.8) for a, b in zip(*sides, strict=True)])
+    assert (passed[true] == line_sieve(alone, 0.8)(i, j)[true]).all() and true.sum() > 200
+    assert passed[~true].mean() < 0.3
+
+
 def test_line_query_recall(spark):
     """The whole operator against all pairs by another engine, alone and among thousands of other lines."""
     draw = random.Random(18)
