@@ -45,7 +45,7 @@ class PieceTokens(dict):
     """piece -> ``keep(ids)``. Unknown pieces are encoded in batches, many to a text, with a special token between.
 
     A special token ends what stands before it for every step of an encoder, so each piece is encoded as if alone.
-    Pieces that may hold a special string are encoded one by one. The table starts anew when it is full.
+    Pieces that may hold a special string are encoded one by one. A full table starts anew with those of its pieces that are wanted just then.
     """
 
     def __init__(self, tokenizer, keep: Callable[[np.ndarray], object], limit: int = 1 << 19):
@@ -56,19 +56,21 @@ class PieceTokens(dict):
 
     def learn(self, pieces: list[str]) -> None:
         """Make sure that all given pieces are in the table; at most some 2**19 at a call."""
-        new = set(pieces).difference(self)
+        wanted = set(pieces)
+        new = wanted.difference(self)
         if len(self) + len(new) > self.limit:
+            held = {p: self[p] for p in wanted.difference(new)}  # the frequent ones among them
             self.clear()
-            new = set(pieces)
+            self.update(held)
         lone = [p for p in new if "<|" in p or not p or len(p) > 4096]
         many = list(new.difference(lone))
         texts = [self.separator.join(many[i : i + 512]) for i in range(0, len(many), 512)]
         for k, found in enumerate(self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)):
-            ids = np.array(found.ids, np.uint32)
+            ids = np.array(found.ids, "<u4")
             cuts = np.flatnonzero(ids == self.separator_id)
             starts = np.concatenate(([0], cuts + 1)).tolist()
             ends = [*cuts.tolist(), len(ids)]
             for piece, a, b in zip(many[512 * k : 512 * k + 512], starts, ends, strict=True):
                 self[piece] = self.keep(ids[a:b])
         for piece, found in zip(lone, self.tokenizer.encode_batch_fast(lone, add_special_tokens=False), strict=True):
-            self[piece] = self.keep(np.array(found.ids, np.uint32))
+            self[piece] = self.keep(np.array(found.ids, "<u4"))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import bisect
+import functools
 import zlib
 
 import numpy as np
@@ -15,6 +16,12 @@ from ._common import by_bytes, map_arrow, materialize, texts_of, unused
 from ._pieces import WORD_LEVEL, PieceTokens, load_tokenizer, pieces_of
 
 
+@functools.lru_cache(1)
+def piece_ids(tokenizer_path: str) -> PieceTokens:
+    """Pieces as little-endian unsigned 32-bit ids; a Python worker keeps the tokenizer and the table from one task to the next."""
+    return PieceTokens(load_tokenizer(tokenizer_path), np.ndarray.tobytes)
+
+
 def encode_pieces(docs: DataFrame, tokenizer_path: str, *, capacity: int = 2048, end_id: int = 0, text: str = "text", id_col: str = "doc_id", with_ids: bool = True, batch_bytes: int = 4 << 20) -> DataFrame:
     """Token ids of every whole text, cut into pieces of at most ``capacity``.
 
@@ -25,7 +32,7 @@ def encode_pieces(docs: DataFrame, tokenizer_path: str, *, capacity: int = 2048,
     end = int(end_id).to_bytes(4, "little")
 
     def make():
-        known = PieceTokens(load_tokenizer(tokenizer_path), lambda ids: ids.astype("<u4").tobytes())
+        known = piece_ids(tokenizer_path)
         step = 4 * capacity
 
         def each(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -34,14 +41,15 @@ def encode_pieces(docs: DataFrame, tokenizer_path: str, *, capacity: int = 2048,
             for a, b in by_bytes([len(x) for x in texts], batch_bytes):
                 split = [pieces_of(x, WORD_LEVEL, known.special) for x in texts[a:b]]
                 if b - a > 1:
-                    known.learn([p for pieces in split for p in pieces])
+                    known.learn(set().union(*split))
                 for row, pieces in enumerate(split, a):
                     ids = []
                     for i in range(0, len(pieces), 1 << 18):
                         if b - a == 1:
                             known.learn(pieces[i : i + (1 << 18)])
                         ids += map(known.__getitem__, pieces[i : i + (1 << 18)])
-                    whole = b"".join([*ids, end])
+                    ids.append(end)
+                    whole = b"".join(ids)
                     for k in range(0, len(whole), step):
                         rows.append(row)
                         piece.append(k // step)

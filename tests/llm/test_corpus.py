@@ -21,7 +21,7 @@ from arcframe.llm.language import Crf, identify_languages, letter_words, positio
 from arcframe.llm.line_dedup import alike, anchored_distance, dedup_lines, edit_distance, edit_distances, line_bands, line_keys, line_sieve, normalized, simhash, similar, similar_pairs, sketch_table, sketches
 from arcframe.llm.minhash import dart_signature, near_duplicates
 from arcframe.llm.mixing import emit_mixture, plan_mixture, source_targets
-from arcframe.llm.packing import encode_pieces, pack, plan_bins
+from arcframe.llm.packing import encode_pieces, pack, piece_ids, plan_bins
 from arcframe.llm.quality import quality_table
 from arcframe.llm.queries import BYTE_BPE, ORACLE_SQL, QUERIES, WORD_BPE, tokenizer_path
 from arcframe.llm.sharding import assign_shards, write_shards
@@ -296,6 +296,17 @@ def test_pieces_encode_as_whole_texts(name, pattern):
             assert [i for p in pieces for i in known[p]] == want.ids
 
 
+def test_pieces_are_encoded_once():
+    """A full table keeps what is wanted again, and a worker its tokenizer and table."""
+    path, calls = tokenizer_path(WORD_BPE), []
+    known = PieceTokens(load_tokenizer(path), lambda ids: calls.append(1) or ids.tobytes(), limit=3)
+    known.learn(["one", "two"])
+    known.learn(["one", "three", "four"])
+    assert len(calls) == 4 and set(known) == {"one", "three", "four"}
+    assert np.frombuffer(known["four"], "<u4").tolist() == known.tokenizer.encode("four", add_special_tokens=False).ids
+    assert piece_ids(path) is piece_ids(path)
+
+
 @pytest.mark.parametrize(("name", "pattern"), [(BYTE_BPE, BYTE_LEVEL), (WORD_BPE, WORD_LEVEL)])
 def test_every_letter_before_every_symbol(name, pattern):
     """All letters that end a run, before all that may follow, as the library reads them."""
