@@ -7,6 +7,7 @@ import random
 import re
 import zlib
 from collections import Counter, defaultdict
+from types import SimpleNamespace
 
 import duckdb
 import numpy as np
@@ -307,6 +308,23 @@ def test_pieces_are_encoded_once():
     assert piece_ids(path) is piece_ids(path)
 
 
+def test_words_are_encoded_with_blanks_between():
+    """Words of Latin letters need no special token between; those of a text whose words can't be told apart get one."""
+    known = PieceTokens(load_tokenizer(tokenizer_path(WORD_BPE)), np.ndarray.tobytes)
+    words, others = ["Anblewh", "été", "a", "ſǅŉß", "x" * 3000], ["don't", "3a", "ά", ".", "x" * 5000, "<|endoftext|>"]
+    alone = {x: known.tokenizer.encode(x, add_special_tokens=False).ids for x in [*words, *others]}
+    inner, seen = known.tokenizer, []
+    known.tokenizer = SimpleNamespace(encode_batch_fast=lambda texts, **k: seen.extend(texts) or inner.encode_batch_fast(texts, **k))
+    for last in (known.last, known.last & False):
+        known.clear()
+        known.last = last
+        known.learn([*words, *others])
+        assert {x: np.frombuffer(ids, "<u4").tolist() for x, ids in known.items()} == alone
+    first = seen[0]
+    assert sorted(first.split(" ")) == sorted(words) and known.separator not in first
+    assert PieceTokens(load_tokenizer(tokenizer_path(BYTE_BPE)), len).last is None
+
+
 @pytest.mark.parametrize(("name", "pattern"), [(BYTE_BPE, BYTE_LEVEL), (WORD_BPE, WORD_LEVEL)])
 def test_every_letter_before_every_symbol(name, pattern):
     """All letters that end a run, before all that may follow, as the library reads them."""
