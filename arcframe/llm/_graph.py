@@ -267,10 +267,10 @@ def cluster_sieved(rows: DataFrame, payload: Callable[[DataFrame], DataFrame], s
     instead, and are then sieved by blocks. No pair between components is left out.
     """
     held = payload(rows.select("node").distinct())
-    of = held.select("node", *marks).hint("merge")
+    of = held.select("node", *marks)
     sized = materialize(rows.groupBy("key").agg(F.count("*").alias("n"), F.min("node").alias("pivot")).where(F.col("n") > most))
     small = rows.join(sized, "key", "left_anti") if (large := not sized.isEmpty()) else rows
-    first = materialize(_sieved(small.join(of, "node").select("key", "node", *marks), sieve))
+    first = materialize(_sieved(small.join(of.hint("merge"), "node").select("key", "node", *marks), sieve))
     pairs = first.where("wide is null").select("a", "b")
     if large:
         rows_of_large = materialize(rows.join(sized, "key"))
@@ -279,10 +279,10 @@ def cluster_sieved(rows: DataFrame, payload: Callable[[DataFrame], DataFrame], s
     found = connected_components(verify(tested))
     comp = F.coalesce("component", "node").alias("comp")
     wide = small.join(first.where("wide is not null").select(F.col("wide").alias("key")), "key", "left_semi")
-    labelled = wide.join(found, "node", "left").select("key", "node", comp)
-    rest = _sieved(labelled.join(of, "node").select("key", "node", "comp", *marks), sieve, across=True)
+    labelled = materialize(wide.join(found, "node", "left").select("key", "node", comp))
+    rest = _sieved(labelled.join(marked(of, labelled), "node").select("key", "node", "comp", *marks), sieve, across=True)
     if large:
-        labelled = rows_of_large.join(found, "node", "left").select("key", "node", comp)
+        labelled = materialize(rows_of_large.join(found, "node", "left").select("key", "node", comp))
 
         def passing(left: pa.Table, right: pa.Table) -> tuple[np.ndarray, np.ndarray]:
             test, n, m = sieve(pa.concat_tables([left, right])), left.num_rows, right.num_rows
@@ -298,17 +298,29 @@ def cluster_sieved(rows: DataFrame, payload: Callable[[DataFrame], DataFrame], s
                     break
             return np.concatenate(x), np.concatenate(y)
 
-        rest = rest.unionAll(_block_links(labelled, held.select("node", *marks), passing, block, whole=True))
+        rest = rest.unionAll(_block_links(labelled, marked(of, labelled), passing, block, whole=True))
     rest = materialize(rest)
     pairs = materialize(rest.where("wide is null").select("a", "b").distinct().join(tested, ["a", "b"], "left_anti"))
     links = verify(pairs) if not pairs.isEmpty() else pairs
     wide = rest.where("wide is not null").select(F.col("wide").alias("key"))
     if not wide.isEmpty():
-        labelled = rows.join(wide, "key", "left_semi").join(found, "node", "left").select("key", "node", comp)
-        links = links.unionAll(_block_links(materialize(labelled), held, match, 1024))
+        labelled = materialize(rows.join(wide, "key", "left_semi").join(found, "node", "left").select("key", "node", comp))
+        links = links.unionAll(_block_links(labelled, marked(held, labelled), match, 256))
     return _joined(found, links)
 
 
+#: Bits that tell which rows may be needed, 64 in a row of a broadcast table.
+MARKED = 1 << 23
+
+
+def marked(rows: DataFrame, nodes: DataFrame) -> DataFrame:
+    """``rows`` with a node of ``nodes``, and a few others: by a table of bits of a bounded size, so that the rest isn't shuffled."""
+    at = F.pmod(F.xxhash64(F.lit(5), "node"), F.lit(MARKED))
+    cell, place = F.shiftright(at, 6).alias("_cell"), F.pmod(at, F.lit(64)).cast("int")
+    bits = nodes.select(cell, place.alias("_place")).groupBy("_cell").agg(F.expr("bit_or(shiftleft(1L, _place))").alias("_bits"))
+    return rows.withColumns({"_cell": cell, "_place": place}).join(F.broadcast(bits), "_cell").where(F.getbit("_bits", "_place") == 1).select(*rows.columns)
+
+
 #: Pairs that are sieved at a time, and how many that pass, for each of its members, make a bucket wide.
 SIEVED, DENSE = 1 << 18, 2
 
@@ -373,7 +385,8 @@ def _block_links(members: DataFrame, payload: DataFrame, match: Callable, block:
     right = placed.select("key", upto(F.col("lefts")).alias("i"), part(F.col("rights")).alias("j"), F.lit(1).alias("side"), "node", "comp")
     left = placed.where("comp <> core").select("key", part(F.col("lefts")).alias("i"), upto(F.col("rights")).alias("j"), F.lit(0).alias("side"), "node", "comp")
     by = ["key", "i", "j"]
-    dealt = right.unionAll(left).join(payload, "node").repartition(*by).sortWithinPartitions(*by)
+    tasks = int(members.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # said here, or Spark joins them by bytes, of which a block has few for its time
+    dealt = right.unionAll(left).join(payload, "node").repartition(tasks, *by).sortWithinPartitions(*by)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rest: pa.Table | None = None

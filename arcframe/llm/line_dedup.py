@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import bisect
+import itertools
 from collections import Counter
 from collections.abc import Callable, Iterator
 
@@ -13,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._common import by_bytes, map_arrow, materialize, unused
-from ._graph import cluster_sieved, deal_pairs, shared_buckets
+from ._graph import cluster_sieved, deal_pairs, marked, shared_buckets
 from ._words import Texts, join_words, mix, read_words, seeds
 
 #: 64-bit numbers of a SimHash, and bits of its pigeonhole blocks.
@@ -32,6 +33,9 @@ COUNTED, COUNTS = 20, 96
 #: Of so many documents one is probed for keys that many lines have.
 PROBE = 64
 
+#: Keys that a task deals at a time, and pairs that it sieves at a time.
+DEALT, SIEVE_STEP = 1 << 20, 1 << 15
+
 #: Weight of a word, as a power of two, by its bytes: the shortest words are the most common ones.
 _WEIGHT = np.array([0, 0, 1, 2, 3], np.uint64)
 
@@ -65,9 +69,12 @@ def edit_distance(a: str, b: str, most: float | None = None) -> int:
     full, top = (1 << len(a)) - 1, 1 << (len(a) - 1)
     up, down, distance = full, 0, len(a)
     most = len(a) + len(b) if most is None else most
+    every = 64 if len(a) <= 1024 else 256
     for left, c in zip(range(len(b), 0, -1), b):
         if distance - left > most:  # it falls by one a character at most
             return distance - left
+        if left % every == 0 and left < len(b) and len(a) > 64 and _least(up, down, len(a), len(b) - left, left) > most:
+            return int(most) + 1
         equal = where.get(c, 0)
         vertical = equal | down
         horizontal = (((equal & up) + up) ^ up) | equal
@@ -80,9 +87,17 @@ def edit_distance(a: str, b: str, most: float | None = None) -> int:
     return distance
 
 
-def anchored_distance(a: str, b: str) -> int | None:
+def _least(up: int, down: int, rows: int, read: int, left: int) -> int:
+    """What a distance is at least, by the bit vectors after some characters: each row's own and what lengths add to it."""
+    bits = [np.unpackbits(np.frombuffer(x.to_bytes(-(-rows // 8), "little"), np.uint8), count=rows, bitorder="little").view(np.int8) for x in (up, down)]
+    low = np.append(0, np.cumsum(bits[0] - bits[1], dtype=np.int64)) + read
+    return int((low + np.abs(np.arange(rows, -1, -1) - left)).min())
+
+
+def anchored_distance(a: str, b: str, most: float | None = None) -> int | None:
     """A number that the Levenshtein distance doesn't exceed: words that both have once, as far as they come in one order,
-    stay, and what lies between is compared piece by piece. None if little would be saved."""
+    stay, and what lies between is compared piece by piece. None if little would be saved, or if it is over ``most`` (or so much
+    lies between that it hardly can be less)."""
     sides = [x.split(" ") for x in (a, b)]
     counts = [Counter(x) for x in sides]
     where = {w: k for k, w in enumerate(sides[1]) if counts[1][w] == 1}
@@ -101,14 +116,23 @@ def anchored_distance(a: str, b: str) -> int | None:
     gaps = [(" ".join(sides[0][i + 1 : k]), " ".join(sides[1][j + 1 : m])) for (i, j), (k, m) in zip(kept, kept[1:])]
     if sum(len(x) * len(y) for x, y in gaps) * 3 > len(a) * len(b):
         return None
-    # Where words were put in or left out on one side only, a blank goes with them.
-    return sum(edit_distance(x, y) + (not x) + (not y) if bool(x) != bool(y) else edit_distance(x, y) for x, y in gaps if x != y)
+    gaps = [(x, y) for x, y in gaps if x != y]
+    if most is not None and sum(max(len(x), len(y)) for x, y in gaps) > 2 * most:
+        return None
+    total = 0
+    for x, y in gaps:
+        # Where words were put in or left out on one side only, a blank goes with them.
+        total += edit_distance(x, y, None if most is None else most - total) + (bool(x) != bool(y))
+        if most is not None and total > most:
+            return None
+    return total
 
 
 def edit_distances(a: list[np.ndarray], b: list[np.ndarray], most: np.ndarray | None = None) -> np.ndarray:
     """Levenshtein distances of many pairs of code point arrays (no ``a`` empty) at once, by the same bit vectors as
-    ``edit_distance``, in numbers of 64 bits: one step of the loop treats a character of every pair. Once all are
-    certain to be over ``most`` the rest is not read."""
+    ``edit_distance``, in numbers of 64 bits: one step of the loop treats a character of every pair. Of distances over
+    ``most`` only that is told: rows that are further than that from the diagonal are not read, and a pair
+    goes once no row can lead to so few."""
     blocks = -(-max(map(len, a)) // 64)
     n, steps = len(a), max(map(len, b))
     size, other = (np.array([len(x) for x in side], np.int64) for side in (a, b))
@@ -126,30 +150,56 @@ def edit_distances(a: list[np.ndarray], b: list[np.ndarray], most: np.ndarray |
     at = np.minimum(np.searchsorted(alphabet, found), len(alphabet) - 1)
     text.T[np.arange(steps) < other[:, None]] = np.where(alphabet[at] == found, at, len(alphabet))
     up, down = np.full((blocks, n), ~np.uint64(0)), np.zeros((blocks, n), np.uint64)
-    one, last = np.uint64(1), (size - 1) // 64
-    top = ((size - 1) % 64).astype(np.uint64)
-    distance = size.copy()
-    here = np.arange(n)
-    for t in range(steps):
-        rise_in, fall_in = np.full(n, one), np.zeros(n, np.uint64)
-        rises, falls = np.empty((blocks, n), np.uint64), np.empty((blocks, n), np.uint64)
-        equals = where[text[t], :, here].T
-        for k in range(blocks):
-            equal, u, d = equals[k], up[k], down[k]
+    one = np.uint64(1)
+    bound = size + other if most is None else most
+    band = steps + 64 * blocks if most is None else int(most.max())
+    out = np.maximum(bound, 0) + 1
+    here = np.arange(n)  # the pairs that are left
+    top, base = 0, np.zeros(n, np.int64)  # the first block that is read, and the distance in the row above it
+    for t in range(1, steps + 1):
+        while top < min(blocks, (t - band - 1) // 64):
+            base += np.bitwise_count(up[top]).astype(np.int64) - np.bitwise_count(down[top])
+            top += 1
+        end = min(blocks, (t + band - 1) // 64 + 1)
+        if end <= top:  # all patterns lie above
+            break
+        rise_in, fall_in = np.full(len(here), one), np.zeros(len(here), np.uint64)
+        equals = where[text[t - 1], top:end, np.arange(len(here))].T
+        for k in range(top, end):
+            equal, u, d = equals[k - top], up[k], down[k]
             vertical = equal | d
             equal = equal | fall_in
             horizontal = (((equal & u) + u) ^ u) | equal
             rise, fall = d | ~(horizontal | u), u & horizontal
-            rises[k], falls[k] = rise, fall
             rise, rise_in = rise << one | rise_in, rise >> np.uint64(63)
             fall, fall_in = fall << one | fall_in, fall >> np.uint64(63)
             up[k] = fall | ~(vertical | rise)
             down[k] = rise & vertical
-        step = (rises[last, here] >> top & one).astype(np.int64) - (falls[last, here] >> top & one).astype(np.int64)
-        distance += np.where(t < other, step, 0)
-        if most is not None and t % 16 == 0 and (distance - np.maximum(other - t - 1, 0) > most).all():
+        base += 1
+        done = other[here] == t
+        if done.any():
+            rows = np.clip(size[here[done]] - 64 * np.arange(top, end)[:, None], 0, 64)
+            mask = np.where(rows == 64, ~np.uint64(0), (one << (rows % 64).astype(np.uint64)) - one)
+            last = base[done] + (np.bitwise_count(up[top:end, done] & mask).astype(np.int64) - np.bitwise_count(down[top:end, done] & mask)).sum(axis=0)
+            inside = size[here[done]] >= 64 * top
+            out[here[done][inside]] = last[inside]
+        elif t % 64 or most is None:
+            continue
+        left = other[here] > t
+        if t % 64 == 0 and most is not None:  # no path comes from a row that is too far from both ends
+            bits = [np.unpackbits(np.ascontiguousarray(x[top:end].T).view(np.uint8), axis=1, bitorder="little").view(np.int8) for x in (up, down)]
+            low = np.cumsum(bits[0] - bits[1], axis=1, dtype=np.int32)
+            row = np.arange(64 * top + 1, 64 * end + 1, dtype=np.int32)
+            after = size[here, None].astype(np.int32) - row
+            low += np.where(after < 0, 1 << 30, np.abs(after - (other[here, None] - t).astype(np.int32)))
+            least = np.minimum(low.min(axis=1), np.abs(size[here] - 64 * top - other[here] + t)) + base
+            left &= least <= bound[here]
+        if not left.any():
             break
-    return distance
+        if left.sum() > len(here) * 0.8:
+            continue
+        here, base, up, down, where, text = here[left], base[left], up[:, left], down[:, left], where[:, :, left], text[:, left]
+    return out
 
 
 def similar_pairs(a: list[str], b: list[str], threshold: float, *, longest: int = 1024, cells: int = 16384, anchored: int = 64) -> np.ndarray:
@@ -175,8 +225,7 @@ def similar_pairs(a: list[str], b: list[str], threshold: float, *, longest: int
         if len(q) <= most:
             out[i] = True
             continue
-        bound = anchored_distance(x, y) if len(p) > anchored else None
-        if bound is not None and bound <= most:
+        if len(p) > anchored and anchored_distance(x, y, most) is not None:
             out[i] = True
         elif len(p) > longest:
             out[i] = edit_distance(x, y, most) <= most
@@ -377,6 +426,8 @@ def line_sieve(table: pa.Table, threshold: float) -> Callable[[np.ndarray, np.nd
     kind, words, counted = rows[:, 0], np.ascontiguousarray(rows[:, 1:]).view(np.uint64), counts[:, 0] >= 0
 
     def test(i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        if len(i) > SIEVE_STEP:
+            return np.concatenate([test(i[k : k + SIEVE_STEP], j[k : k + SIEVE_STEP]) for k in range(0, len(i), SIEVE_STEP)])
         most = np.maximum(size[i], size[j]) * (1 - threshold) + 1e-9
         at = np.flatnonzero(np.abs(size[i] - size[j]) <= most)
         p, q = i[at], j[at]
@@ -444,12 +495,10 @@ def dedup_lines(docs: DataFrame, *, text: str = "text", id_col: str = "doc_id",
     def keyed(rows: DataFrame, out: Callable[[np.ndarray, np.ndarray], pa.RecordBatch], schema: str) -> DataFrame:
         """What ``out`` makes of the keys and nodes of the lines of a batch that are new to their task."""
 
-        def make():
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             seen = np.empty(0, np.uint64)
-
-            def each(batch: pa.RecordBatch) -> pa.RecordBatch:
-                nonlocal seen
-                found = [np.empty(0, np.uint64)], [np.empty(0, np.uint64)]
+            found, size = ([], []), 0
+            for batch in batches:
                 for _, texts, (_, sizes, _, _, one, _) in slices(batch.column(0)):
                     fresh, at = np.unique(one, return_index=True)
                     place = np.searchsorted(seen, fresh)
@@ -461,11 +510,14 @@ def dedup_lines(docs: DataFrame, *, text: str = "text", id_col: str = "doc_id",
                     key, line = line_keys(texts.hashes[of], (texts.ends - texts.starts)[of], sizes[mine])
                     found[0].append(key)
                     found[1].append(one[mine][line])
-                return out(*(np.concatenate(x).view(np.int64) for x in found))
-
-            return each
+                    size += len(key)
+                    if size >= DEALT:
+                        yield out(*(np.concatenate(x).view(np.int64) for x in found))
+                        found, size = ([], []), 0
+            if size:
+                yield out(*(np.concatenate(x).view(np.int64) for x in found))
 
-        return map_arrow(rows.select(F.col(text).alias("t")), make, schema)
+        return rows.select(F.col(text).alias("t")).mapInArrow(run, schema)
 
     def deal(hot: np.ndarray, parts: int) -> DataFrame:
         return keyed(stored, lambda key, node: deal_pairs(key, node, hot, parts), "part long, packed binary")
@@ -499,6 +551,7 @@ def dedup_lines(docs: DataFrame, *, text: str = "text", id_col: str = "doc_id",
     probe = keyed(stored.where(F.pmod(F.xxhash64(row), F.lit(PROBE)) == 0), lambda key, node: pa.RecordBatch.from_arrays([pa.array(key)], ["key"]), "key long")
     shared = shared_buckets(deal, probe, 1 / PROBE)
     known: list[DataFrame] = []
+    rounds = itertools.count()
 
     def payload(members: DataFrame) -> DataFrame:
         # Of different lines with one hash the least stands for it; the others only match their equals.
@@ -510,7 +563,9 @@ def dedup_lines(docs: DataFrame, *, text: str = "text", id_col: str = "doc_id",
         return known[0]
 
     def verify(pairs: DataFrame) -> DataFrame:
-        a, b = (known[0].select(F.col("node").alias(x), F.col("words").alias(f"words{x}")).hint("merge") for x in "ab")  # the same plan at any size
+        # After the first round few pairs are left.
+        held = marked(known[0], pairs.select(F.explode(F.array("a", "b")).alias("node"))) if next(rounds) else known[0]
+        a, b = (held.select(F.col("node").alias(x), F.col("words").alias(f"words{x}")).hint("merge") for x in "ab")  # the same plan at any size
         return map_arrow(pairs.join(a, "a").join(b, "b").select("a", "b", "wordsa", "wordsb"), check, "a long, b long")
 
     def match(left: pa.Table, right: pa.Table) -> tuple[np.ndarray, np.ndarray]:

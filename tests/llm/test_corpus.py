@@ -153,6 +153,26 @@ def test_sieved_buckets_lose_no_link(spark, monkeypatch, most, dense):
         assert all(abs(place[a] - place[b]) < 0.02 for a, b in verified)
 
 
+def test_marked_rows(spark, monkeypatch):
+    """Every row that is needed stays, and of the others about as many as bits are set."""
+    rows, nodes = spark.range(-4000, 4000).select(F.col("id").alias("node"), F.col("id").cast("string").alias("x")), spark.range(-50, 50).select(F.col("id").alias("node"))
+    for bits, most in ((1 << 16, 150), (64, 8000)):
+        monkeypatch.setattr(_graph, "MARKED", bits)
+        got = _graph.marked(rows, nodes.unionAll(nodes))
+        assert got.columns == rows.columns
+        found = [r.node for r in got.collect()]
+        assert len(found) == len(set(found)) <= most and set(range(-50, 50)) <= set(found)
+    assert _graph.marked(rows, nodes.limit(0)).count() == 0
+
+
+def test_blocks_are_dealt_by_number(spark):
+    """Blocks of few bytes take long, so they are not joined into one task by their bytes."""
+    members = spark.range(400).select((F.col("id") % 20).alias("key"), F.col("id").alias("node"), F.col("id").alias("comp"))
+    dealt = _graph._block_links(members, members.select("node"), lambda left, right: (np.zeros(1, np.int64), np.zeros(1, np.int64)), 5)
+    found = dealt.withColumn("task", F.spark_partition_id()).select("task").distinct().count()
+    assert found >= int(spark.conf.get("spark.sql.shuffle.partitions")) // 2
+
+
 @pytest.mark.parametrize(("hot_share", "part", "fan"), [(1, 3 << 20, 4096), (0.0, 40, 4096), (0.0, 40, 64)])
 def test_shared_buckets(spark, monkeypatch, hot_share, part, fan):
     """Pairs of keys with one node go, over any parts and steps, and hot keys lose none."""
@@ -665,6 +685,51 @@ def test_edit_distances():
     assert similar_pairs(["", "", "a"], ["", "a", "a"], 0.8).tolist() == [True, False, True]
 
 
+def test_edit_distances_of_long_lines():
+    """Lines of one vocabulary: no distance up to the bound is lost, and what is over it is told without reading the whole."""
+    draw = random.Random(8)
+    base = [" ".join(words(draw.randint(0, 40), draw.choice([30, 90, 110]))) for _ in range(40)]
+    pairs = []
+    for k in range(1200):
+        x = draw.choice(base)
+        if k % 3 == 0:
+            y = draw.choice(base)
+        elif k % 3 == 1:
+            parts = x.split(" ")
+            draw.shuffle(parts)
+            y = " ".join(parts)
+        else:
+            cut, edits = list(x), draw.choice([0, 5, 80, 125, 180])
+            for _ in range(edits):
+                cut[draw.randrange(len(cut))] = draw.choice("abc ")
+            for _ in range(draw.choice([0, 60])):
+                cut.insert(draw.choice([0, len(cut) // 2]), "q")
+            y = "".join(cut)
+        pairs.append((x, y) if len(x) <= len(y) else (y, x))
+    exact = [edit_distance(x, y) for x, y in pairs]
+    codes = [[np.frombuffer(x.encode("utf-32-le"), np.uint32) for x in side] for side in zip(*pairs, strict=True)]
+    assert edit_distances(*codes).tolist() == exact
+    most = np.array([0.2 * len(y) for _, y in pairs])
+    want = [d <= m for d, m in zip(exact, most, strict=True)]
+    assert 150 < sum(want) < 1000
+    assert (edit_distances(*codes, most) <= most).tolist() == want
+    assert [edit_distance(x, y, m) <= m for (x, y), m in zip(pairs, most, strict=True)] == want
+    assert similar_pairs(*map(list, zip(*pairs, strict=True)), 0.8).tolist() == want
+
+    class Read(str):
+        def __iter__(self):
+            for c in str.__iter__(self):
+                seen.append(c)
+                yield c
+
+        def __getitem__(self, at):
+            return Read(str.__getitem__(self, at))
+
+    seen = []
+    x, y = ("".join(draw.choices("abcdefghij ", k=2000)) for _ in range(2))
+    assert edit_distance(x, Read(y), 400) > 400 and len(seen) < 1500
+
+
 def test_anchored_distance():
     """Never below the distance, and near it for near lines."""
     draw = random.Random(21)
