@@ -177,5 +177,5 @@ def near_duplicates(docs: DataFrame, *, text: str = "text", id_col: str = "doc_i
     labelled = labelled.join(first, "component").select(*same, F.col("first.id").alias("class_id"), F.col("first.row").alias("_keeper"))
     verdict = sketches.select("_row", *same).join(labelled, same, "left")
     verdict = verdict.select("_row", "class_id", F.coalesce(F.col("_keeper") == F.col("_row"), F.lit(True)).alias("kept"), F.col("n").alias("n_shingles"), F.col("_keeper").isNull().alias("_alone"))
-    out = stored.join(materialize(verdict), "_row")
+    out = stored.join(materialize(verdict).hint("merge"), "_row")  # the same plan at any size
     return out.withColumn("class_id", F.when(F.col("_alone"), F.col(id_col)).otherwise(F.col("class_id"))).drop("_row", "_alone")

@@ -19,7 +19,7 @@ from ._pieces import WORD_LEVEL, PieceTokens, load_tokenizer, pieces_of
 @functools.lru_cache(1)
 def piece_ids(tokenizer_path: str) -> PieceTokens:
     """Pieces as little-endian unsigned 32-bit ids; a Python worker keeps the tokenizer and the table from one task to the next."""
-    return PieceTokens(load_tokenizer(tokenizer_path), np.ndarray.tobytes)
+    return PieceTokens(load_tokenizer(tokenizer_path), np.ndarray.tobytes, limit=1 << 18)
 
 
 def encode_pieces(docs: DataFrame, tokenizer_path: str, *, capacity: int = 2048, end_id: int = 0, text: str = "text", id_col: str = "doc_id", with_ids: bool = True, batch_bytes: int = 4 << 20) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import random
 import re
+import tracemalloc
 import zlib
 from collections import Counter, defaultdict
 from types import SimpleNamespace
@@ -667,6 +668,18 @@ def test_line_query_recall(spark):
     assert found[0] == found[1] and len(lines) - groups >= len(found[0]) >= 0.9 * (len(lines) - groups)
 
 
+def test_sieving_takes_little_memory():
+    """Pairs of a whole bucket are sieved by stretches: memory doesn't grow with the square of its size."""
+    lines = pa.array([" ".join(words(k, 12)) for k in range(1100)])
+    table = pa.table({"size": pa.array([len(x) for x in lines.to_pylist()], pa.int32()), "sketch": sketches(read_words(lines), lines)})
+    test, (i, j) = line_sieve(table, 0.8), np.triu_indices(1100, 1)
+    tracemalloc.start()
+    found = test(i, j)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 32 << 20 and found.tolist() == [x for k in range(0, len(i), 20000) for x in test(i[k : k + 20000], j[k : k + 20000]).tolist()]
+
+
 def test_edit_distances():
     draw = random.Random(3)
     texts = [["".join(draw.choices("abcé\U0001f600 ", k=draw.choice([1, 5, 63, 64, 65, 130, 200]))) for _ in range(400)] for _ in range(2)]
