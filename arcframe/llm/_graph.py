@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._common import materialize
+from ._common import in_arrow, materialize
 from ._words import mix
 
 #: Links that one task contracts at a time.
@@ -62,7 +62,7 @@ def _contracted(links: DataFrame) -> DataFrame:
         a, b = _stars(table.column("a").to_numpy(), table.column("b").to_numpy())
         return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
 
-    return links.mapInArrow(run, "a long, b long")
+    return in_arrow(links, run, "a long, b long")
 
 
 def connected_components(links: DataFrame) -> DataFrame:
@@ -115,12 +115,12 @@ def _joined(found: DataFrame, links: DataFrame) -> DataFrame:
 #: A key with this share of the probed rows is dealt over all parts; at most 1 / HOT_SHARE keys have it.
 HOT_SHARE = 1 / 4096
 #: (key, node) pairs of a part, and parts that one step deals to.
-PART_PAIRS, FAN_OUT = 3 << 20, 4096
+PART_PAIRS, FAN_OUT = 1 << 20, 4096
 
 
 def parts_for(pairs: float) -> int:
     """In how many parts so many pairs are dealt, a power of two; fine parts are cut out of coarse ones."""
-    return 1 << max(6, int(np.ceil(np.log2(max(1.0, pairs / PART_PAIRS)))))
+    return 1 << max(8, int(np.ceil(np.log2(max(1.0, pairs / PART_PAIRS)))))
 
 
 def deal_pairs(key: np.ndarray, node: np.ndarray, hot: np.ndarray, parts: int) -> pa.RecordBatch:
@@ -194,8 +194,8 @@ def shared_buckets(deal: Callable[[np.ndarray, int], DataFrame], probe: DataFram
 
     dealt = deal(hot, min(parts, FAN_OUT))
     if parts > FAN_OUT:
-        dealt = dealt.repartition("part").mapInArrow(finer, "part long, packed binary")
-    return materialize(dealt.repartition("part").sortWithinPartitions("part").mapInArrow(several, "key long, node long"))
+        dealt = in_arrow(dealt.repartition("part"), finer, "part long, packed binary")
+    return materialize(in_arrow(dealt.repartition("part").sortWithinPartitions("part"), several, "key long, node long"))
 
 
 def cluster_buckets(rows: DataFrame, verify: Callable[[DataFrame], DataFrame], payload: Callable[[DataFrame], DataFrame], match: Callable[[pa.Table, pa.Table], tuple[np.ndarray, np.ndarray]], *, few: int = 16, block: int = 1024) -> DataFrame:
@@ -364,7 +364,7 @@ def _sieved(rows: DataFrame, sieve: Callable, across: bool = False) -> DataFrame
         if rest is not None and rest.num_rows:
             yield from pairs(rest.combine_chunks(), np.array([0, rest.num_rows]))
 
-    return rows.repartition("key").sortWithinPartitions("key", "node").mapInArrow(run, "a long, b long, wide long")
+    return in_arrow(rows.repartition("key").sortWithinPartitions("key", "node"), run, "a long, b long, wide long")
 
 
 def _pair_rows(x: np.ndarray, y: np.ndarray, wide: np.ndarray) -> pa.RecordBatch:
@@ -415,7 +415,7 @@ def _block_links(members: DataFrame, payload: DataFrame, match: Callable, block:
             a, b = _stars(a, b)
             yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
 
-    return dealt.mapInArrow(run, "a long, b long" + ", wide long" * whole)
+    return in_arrow(dealt, run, "a long, b long" + ", wide long" * whole)
 
 
 def group_cuts(table: pa.Table, by: list[str]) -> list[int]:

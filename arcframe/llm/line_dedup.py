@@ -13,7 +13,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import by_bytes, map_arrow, materialize, unused
+from ._common import by_bytes, in_arrow, map_arrow, materialize, unused
 from ._graph import cluster_sieved, deal_pairs, marked, shared_buckets
 from ._words import Texts, join_words, mix, read_words, seeds
 
@@ -517,7 +517,7 @@ def dedup_lines(docs: DataFrame, *, text: str = "text", id_col: str = "doc_id",
             if size:
                 yield out(*(np.concatenate(x).view(np.int64) for x in found))
 
-        return rows.select(F.col(text).alias("t")).mapInArrow(run, schema)
+        return in_arrow(rows.select(F.col(text).alias("t")), run, schema)
 
     def deal(hot: np.ndarray, parts: int) -> DataFrame:
         return keyed(stored, lambda key, node: deal_pairs(key, node, hot, parts), "part long, packed binary")

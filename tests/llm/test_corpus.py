@@ -17,6 +17,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from arcframe.llm import _graph
+from arcframe.llm._common import in_arrow
 from arcframe.llm._pieces import BYTE_LEVEL, WORD_LEVEL, PieceTokens, load_tokenizer, pieces_of
 from arcframe.llm._words import WORD, join_words, mix, read_words
 from arcframe.llm.language import Crf, identify_languages, letter_words, positions, stretches, tag_documents, train, training_sample, word_features
@@ -668,6 +669,28 @@ def test_line_query_recall(spark):
     assert found[0] == found[1] and len(lines) - groups >= len(found[0]) >= 0.9 * (len(lines) - groups)
 
 
+def test_tasks_give_memory_back(spark):
+    """A worker that stays holds little of what its last task had."""
+
+    def held(batches):
+        import psutil
+
+        for _ in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([psutil.Process().memory_info().rss >> 20])], ["mb"])
+
+    def small(batches):
+        for batch in batches:
+            parts = [b"x" * (50_000 + k) for k in range(4000)]  # below the size that the system gives on its own
+            last = parts[-1]
+            del parts
+            yield batch.slice(0, len(last) and 1)
+
+    one = spark.range(1, numPartitions=1)
+    before = one.mapInArrow(held, "mb long").first().mb
+    assert in_arrow(one, small, "id long").count() == 1
+    assert one.mapInArrow(held, "mb long").first().mb < before + 100
+
+
 def test_sieving_takes_little_memory():
     """Pairs of a whole bucket are sieved by stretches: memory doesn't grow with the square of its size."""
     lines = pa.array([" ".join(words(k, 12)) for k in range(1100)])
