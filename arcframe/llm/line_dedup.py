@@ -27,6 +27,9 @@ BANDS, ROWS, SHORT, MORE_BANDS, MORE_ROWS = 16, 4, 10, 48, 3
 #: them agrees, or, if both have LONG words, the larger one.
 AGREE, LONG, LONG_AGREE = 0.3, 64, 0.45
 
+#: Words whose MinHash coordinates are made at a time, or one line's.
+BAND_WORDS = 1 << 14
+
 #: Lines of less words than this carry counts of their characters, so many.
 COUNTED, COUNTS = 20, 96
 
@@ -36,6 +39,12 @@ PROBE = 64
 #: Keys that a task deals at a time, and pairs that it sieves at a time.
 DEALT, SIEVE_STEP = 1 << 20, 1 << 15
 
+#: From so many pairs on distances are found side by side.
+SIDE_BY_SIDE = 20
+
+#: So many pairs of a bucket are compared together, if no row has more.
+TOGETHER = 1024
+
 #: Weight of a word, as a power of two, by its bytes: the shortest words are the most common ones.
 _WEIGHT = np.array([0, 0, 1, 2, 3], np.uint64)
 
@@ -94,34 +103,46 @@ def _least(up: int, down: int, rows: int, read: int, left: int) -> int:
     return int((low + np.abs(np.arange(rows, -1, -1) - left)).min())
 
 
-def anchored_distance(a: str, b: str, most: float | None = None) -> int | None:
+def anchored_distance(a: str, b: str, most: float | None = None, *, exact: bool = True) -> int | None:
     """A number that the Levenshtein distance doesn't exceed: words that both have once, as far as they come in one order,
-    stay, and what lies between is compared piece by piece. None if little would be saved, or if it is over ``most`` (or so much
-    lies between that it hardly can be less)."""
+    stay, and what lies between is compared piece by piece, but only if to replace it whole takes over ``most``. None if little would be
+    saved, or if it is over ``most`` (or so much lies between that it hardly can be less); without ``exact`` pieces are not compared."""
     sides = [x.split(" ") for x in (a, b)]
     counts = [Counter(x) for x in sides]
+    if most is not None:  # what lies between at least: a word that stays takes two blanks with it at most
+        common = counts[0].keys() & counts[1].keys()
+        if max(len(a), len(b)) - sum(map(len, common)) - 2 * len(common) > most * (1 + exact):
+            return None
     where = {w: k for k, w in enumerate(sides[1]) if counts[1][w] == 1}
-    pairs = [(k, where[w]) for k, w in enumerate(sides[0]) if counts[0][w] == 1 and w in where]
-    tails: list[int] = []  # the last place in b of the best run of each length, and what came before each pair
-    ends, before = [], []
-    for n, (_, j) in enumerate(pairs):
-        at = bisect.bisect_left(tails, j)
-        tails[at : at + 1], ends[at : at + 1] = [j], [n]
-        before.append(ends[at - 1] if at else -1)
-    kept, n = [], ends[-1] if ends else -1
-    while n >= 0:
-        kept.append(pairs[n])
-        n = before[n]
-    kept = [(-1, -1), *reversed(kept), (len(sides[0]), len(sides[1]))]
-    gaps = [(" ".join(sides[0][i + 1 : k]), " ".join(sides[1][j + 1 : m])) for (i, j), (k, m) in zip(kept, kept[1:])]
-    if sum(len(x) * len(y) for x, y in gaps) * 3 > len(a) * len(b):
-        return None
+    pairs = [(k, where[w]) for k, w in enumerate(sides[0]) if w in where and counts[0][w] == 1]
+    rises = [j for _, j in pairs]
+    if rises != sorted(rises):
+        tails: list[int] = []  # the last place in b of the best run of each length, and what came before each pair
+        ends, before = [], []
+        for n, j in enumerate(rises):
+            at = bisect.bisect_left(tails, j)
+            tails[at : at + 1], ends[at : at + 1] = [j], [n]
+            before.append(ends[at - 1] if at else -1)
+        kept, n = [], ends[-1]
+        while n >= 0:
+            kept.append(pairs[n])
+            n = before[n]
+        pairs = kept[::-1]
+    gaps, i, j = [], 0, 0
+    for k, m in [*pairs, (len(sides[0]), len(sides[1]))]:
+        if i < k or j < m:
+            gaps.append((" ".join(sides[0][i:k]), " ".join(sides[1][j:m])))
+        i, j = k + 1, m + 1
     gaps = [(x, y) for x, y in gaps if x != y]
-    if most is not None and sum(max(len(x), len(y)) for x, y in gaps) > 2 * most:
+    # Where words were put in or left out on one side only, a blank goes with them.
+    if most is not None and (total := sum([max(len(x), len(y)) + (bool(x) != bool(y)) for x, y in gaps])) <= most:
+        return total
+    if not exact or sum([len(x) * len(y) for x, y in gaps]) * 3 > len(a) * len(b):
+        return None
+    if most is not None and sum([max(len(x), len(y)) for x, y in gaps]) > 2 * most:
         return None
     total = 0
     for x, y in gaps:
-        # Where words were put in or left out on one side only, a blank goes with them.
         total += edit_distance(x, y, None if most is None else most - total) + (bool(x) != bool(y))
         if most is not None and total > most:
             return None
@@ -130,91 +151,137 @@ def anchored_distance(a: str, b: str, most: float | None = None) -> int | None:
 
 def edit_distances(a: list[np.ndarray], b: list[np.ndarray], most: np.ndarray | None = None) -> np.ndarray:
     """Levenshtein distances of many pairs of code point arrays (no ``a`` empty) at once, by the same bit vectors as
-    ``edit_distance``, in numbers of 64 bits: one step of the loop treats a character of every pair. Of distances over
-    ``most`` only that is told: rows that are further than that from the diagonal are not read, and a pair
-    goes once no row can lead to so few."""
-    blocks = -(-max(map(len, a)) // 64)
-    n, steps = len(a), max(map(len, b))
+    ``edit_distance``, in numbers of 64 bits: cells, one or several to a pair, of which each is a character behind the one above it, so
+    that one step of the loop treats all cells of all pairs of whatever length. Of distances over ``most`` only that is told: cells
+    that lie too far above the diagonal go, and a pair once no row can lead to so few."""
+    n = len(a)
     size, other = (np.array([len(x) for x in side], np.int64) for side in (a, b))
-    alphabet, code = np.unique(np.concatenate(a), return_inverse=True)
-    pattern = np.full((n, 64 * blocks), len(alphabet), np.int64)
-    pattern[np.arange(64 * blocks) < size[:, None]] = code
-    where = np.zeros((len(alphabet) + 1, blocks, n), np.uint64)
-    block, pair = np.arange(blocks)[:, None], np.arange(n)[None, :]
-    cells = pattern.reshape(n, blocks, 64).T.swapaxes(0, 1)  # (block, bit, pair)
-    for bit in range(64):
-        where[cells[:, bit], block, pair] |= np.uint64(1 << bit)
-    where[len(alphabet)] = 0  # what no pattern holds
-    text = np.full((steps, n), len(alphabet), np.int64)
-    found = np.concatenate(b)
-    at = np.minimum(np.searchsorted(alphabet, found), len(alphabet) - 1)
-    text.T[np.arange(steps) < other[:, None]] = np.where(alphabet[at] == found, at, len(alphabet))
-    up, down = np.full((blocks, n), ~np.uint64(0)), np.zeros((blocks, n), np.uint64)
+    blocks = -(-size // 64)
+    cells = int(blocks.sum())
+    left, right = np.concatenate(a), np.concatenate(b)
+    named = np.zeros(int(max(left.max(), right.max(initial=0))) + 1, bool)
+    named[left] = True
+    alphabet = int(named.sum())
+    if n > 1 and alphabet * cells > 1 << 22:
+        return np.concatenate([edit_distances(a[i:j], b[i:j], None if most is None else most[i:j]) for i, j in ((0, n // 2), (n // 2, n))])
+    code = np.where(named, np.cumsum(named) - 1, alphabet) * cells  # those that no pattern holds come last
+    first = np.cumsum(blocks) - blocks
+    pair = np.repeat(np.arange(n), blocks)
+    cell = np.arange(cells)
+    nth = cell - first[pair]
+    where = np.zeros((alphabet + 1) * cells, np.uint64)
+    row = np.arange(len(left)) - np.repeat(np.cumsum(size) - size, size)
+    np.bitwise_or.at(where, code[left] + np.repeat(first, size) + row // 64, np.uint64(1) << (row % 64).astype(np.uint64))
+    ahead = int(blocks.max())  # before a text and behind all of them: characters that no pattern holds
+    begins = np.cumsum(other + ahead) - other
+    text = np.full(int(begins[-1] + other.max() + other[-1] + 3 * ahead + 64), alphabet * cells)
+    text[np.repeat(begins - np.cumsum(other) + other, other) + np.arange(len(right))] = code[right]
+    at = begins[pair] - nth
     one = np.uint64(1)
+    last = first + blocks - 1
+    shift = np.full(cells, 63, np.uint64)
+    shift[last] = (size - 1) % 64
+    up, down = np.full(cells, ~np.uint64(0)), np.zeros(cells, np.uint64)
+    score = 64 * (nth + 1)  # the distance in a cell's last row
+    score[last] = size
+    rise_out, fall_out = np.zeros(cells, np.uint64), np.zeros(cells, np.uint64)
+    rise_in, fall_in = np.zeros(cells, np.uint64), np.zeros(cells, np.uint64)
     bound = size + other if most is None else most
-    band = steps + 64 * blocks if most is None else int(most.max())
-    out = np.maximum(bound, 0) + 1
-    here = np.arange(n)  # the pairs that are left
-    top, base = 0, np.zeros(n, np.int64)  # the first block that is read, and the distance in the row above it
-    for t in range(1, steps + 1):
-        while top < min(blocks, (t - band - 1) // 64):
-            base += np.bitwise_count(up[top]).astype(np.int64) - np.bitwise_count(down[top])
-            top += 1
-        end = min(blocks, (t + band - 1) // 64 + 1)
-        if end <= top:  # all patterns lie above
-            break
-        rise_in, fall_in = np.full(len(here), one), np.zeros(len(here), np.uint64)
-        equals = where[text[t - 1], top:end, np.arange(len(here))].T
-        for k in range(top, end):
-            equal, u, d = equals[k - top], up[k], down[k]
-            vertical = equal | d
-            equal = equal | fall_in
-            horizontal = (((equal & u) + u) ^ u) | equal
-            rise, fall = d | ~(horizontal | u), u & horizontal
-            rise, rise_in = rise << one | rise_in, rise >> np.uint64(63)
-            fall, fall_in = fall << one | fall_in, fall >> np.uint64(63)
-            up[k] = fall | ~(vertical | rise)
-            down[k] = rise & vertical
-        base += 1
-        done = other[here] == t
-        if done.any():
-            rows = np.clip(size[here[done]] - 64 * np.arange(top, end)[:, None], 0, 64)
-            mask = np.where(rows == 64, ~np.uint64(0), (one << (rows % 64).astype(np.uint64)) - one)
-            last = base[done] + (np.bitwise_count(up[top:end, done] & mask).astype(np.int64) - np.bitwise_count(down[top:end, done] & mask)).sum(axis=0)
-            inside = size[here[done]] >= 64 * top
-            out[here[done][inside]] = last[inside]
-        elif t % 64 or most is None:
+    out = np.where(other == 0, size, np.maximum(bound, 0) + 1)
+    ends = np.where(other == 0, -1, other + blocks - 2)  # the step after which a distance is known
+    order = np.argsort(ends, kind="stable")
+    known = int((ends < 0).sum())
+    alive = ends >= 0
+    ordered = ends[order]
+    for step in range(int(ends.max()) + 1):
+        equal = where.take(text.take(at) + cell)
+        at += 1
+        rise_in[1:], fall_in[1:] = rise_out[:-1], fall_out[:-1]
+        rise_in[first], fall_in[first] = one, 0
+        vertical = equal | down
+        equal |= fall_in
+        horizontal = equal & up
+        horizontal += up
+        horizontal ^= up
+        horizontal |= equal
+        rise = horizontal | up
+        np.invert(rise, out=rise)
+        rise |= down
+        fall = up & horizontal
+        rise_out, fall_out = rise >> shift & one, fall >> shift & one
+        score += rise_out.view(np.int64)
+        score -= fall_out.view(np.int64)
+        rise <<= one
+        rise |= rise_in
+        fall <<= one
+        fall |= fall_in
+        np.bitwise_and(rise, vertical, out=down)
+        vertical |= rise
+        np.invert(vertical, out=vertical)
+        np.bitwise_or(fall, vertical, out=up)
+        if ordered[known] == step:
+            to = int(np.searchsorted(ordered, step, "right"))
+            done = order[known:to]
+            known = to
+            done = done[alive[done]]
+            out[done] = score[last[done]]
+            alive[done] = False
+            if known == n:
+                break
+        if step % 64 < 63:
             continue
-        left = other[here] > t
-        if t % 64 == 0 and most is not None:  # no path comes from a row that is too far from both ends
-            bits = [np.unpackbits(np.ascontiguousarray(x[top:end].T).view(np.uint8), axis=1, bitorder="little").view(np.int8) for x in (up, down)]
-            low = np.cumsum(bits[0] - bits[1], axis=1, dtype=np.int32)
-            row = np.arange(64 * top + 1, 64 * end + 1, dtype=np.int32)
-            after = size[here, None].astype(np.int32) - row
-            low += np.where(after < 0, 1 << 30, np.abs(after - (other[here, None] - t).astype(np.int32)))
-            least = np.minimum(low.min(axis=1), np.abs(size[here] - 64 * top - other[here] + t)) + base
-            left &= least <= bound[here]
-        if not left.any():
-            break
-        if left.sum() > len(here) * 0.8:
+        read = step + 1 - nth  # characters that a cell has read
+        keep = alive[pair]
+        if most is not None:
+            keep &= (read - 64 * (nth + 1) <= bound[pair]) | (nth == blocks[pair] - 1)
+            # No path comes from a row that is too far from both ends; from cell to cell it may pass between what they have read, by two at most.
+            test = np.flatnonzero(keep & (read <= other[pair]))
+            of, seen = pair[test], np.maximum(read[test], 0)
+            bits = [np.unpackbits(x[test].view(np.uint8).reshape(len(test), 8), axis=1, bitorder="little").view(np.int8) for x in (up, down)]
+            rows = 64 * nth[test, None] + np.arange(65)
+            inside = rows <= size[of, None]
+            low = np.zeros((len(test), 65), np.int32)
+            np.cumsum((bits[0] - bits[1]) * inside[:, 1:], axis=1, out=low[:, 1:])
+            low += (score[test] - low[:, -1])[:, None].astype(np.int32)
+            low += np.abs((size[of] - other[of] + seen)[:, None] - rows).astype(np.int32)
+            near = np.full(n, 1 << 30)
+            np.minimum.at(near, of, np.where(inside, low, 1 << 30).min(axis=1) - 2)
+            alive &= near <= bound
+            keep &= alive[pair]
+            if not alive.any():
+                break
+        if keep.sum() > 0.8 * len(cell):
             continue
-        here, base, up, down, where, text = here[left], base[left], up[:, left], down[:, left], where[:, :, left], text[:, left]
+        cell, at, pair, nth, shift, up, down, score, rise_out, fall_out = (x[keep] for x in (cell, at, pair, nth, shift, up, down, score, rise_out, fall_out))
+        rise_in, fall_in = rise_in[keep], fall_in[keep]
+        first = np.flatnonzero(np.append(True, pair[1:] != pair[:-1]))
+        last = np.zeros(n, np.int64)
+        last[pair] = np.arange(len(pair))  # the later one stays
     return out
 
 
-def similar_pairs(a: list[str], b: list[str], threshold: float, *, longest: int = 1024, cells: int = 16384, anchored: int = 64) -> np.ndarray:
-    """``similar`` for each pair. What equal ends leave is first compared between the words that both have once, if it is over ``anchored``
-    characters; where that doesn't settle it, many of like length are compared side by side, the others one by one."""
-    if len(a) > 4096:
-        return np.concatenate([similar_pairs(a[k : k + 4096], b[k : k + 4096], threshold, longest=longest, cells=cells, anchored=anchored) for k in range(0, len(a), 4096)])
+def replaced_words(a: str, b: str) -> int | None:
+    """A number that the Levenshtein distance of two lines of as many words doesn't exceed: words that differ at a place are replaced whole. None if one has more words."""
+    a, b = a.split(" "), b.split(" ")
+    return sum([max(len(x), len(y)) for x, y in zip(a, b) if x != y]) if len(a) == len(b) else None
+
+
+def similar_pairs(a: list[str], b: list[str], threshold: float, *, longest: int = 4096, cells: int = 16384, anchored: int = 64) -> np.ndarray:
+    """``similar`` for each pair. Most that are similar are so by words that differ at their places, or, where over ``anchored`` characters are left between equal ends,
+    between the words that both have once. Of the others many of like length are compared side by side, those of over ``longest`` characters one by one."""
+    if len(a) > 16384:
+        return np.concatenate([similar_pairs(a[k : k + 16384], b[k : k + 16384], threshold, longest=longest, cells=cells, anchored=anchored) for k in range(0, len(a), 16384)])
     out = np.zeros(len(a), bool)
-    rest: list[tuple] = []  # blocks, length, number, most, texts
+    rest: list[tuple] = []  # length, blocks, number, most, texts
     for i, (x, y) in enumerate(zip(a, b, strict=True)):
         if len(x) > len(y):
             x, y = y, x
         most = (1 - threshold) * len(y) + 1e-9
         if len(y) - len(x) > most:
             continue
+        if (bound := replaced_words(x, y)) is not None and bound <= most:
+            out[i] = True
+            continue
         p, q = (np.frombuffer(s.encode("utf-32-le", "surrogatepass"), np.uint32) for s in (x, y))
         unlike = p != q[: len(p)]
         k = int(unlike.argmax()) if unlike.any() else len(p)
@@ -225,20 +292,21 @@ def similar_pairs(a: list[str], b: list[str], threshold: float, *, longest: int
         if len(q) <= most:
             out[i] = True
             continue
-        if len(p) > anchored and anchored_distance(x, y, most) is not None:
+        if len(p) > anchored and anchored_distance(x, y, most, exact=len(p) > longest) is not None:
             out[i] = True
         elif len(p) > longest:
             out[i] = edit_distance(x, y, most) <= most
         elif len(p):
-            rest.append((-(-len(p) // 64), len(q), i, most, p, q))
+            rest.append((len(q), -(-len(p) // 64), i, most, p, q))
     rest.sort(key=lambda r: r[:2])
     at = 0
     while at < len(rest):
-        to = at + 1
-        while to < len(rest) and rest[to][0] <= rest[at][0] * 1.25 and rest[to][1] <= rest[at][1] * 1.25 + 8 and (to - at) * rest[at][0] < cells:
+        to, held = at + 1, rest[at][1]
+        while to < len(rest) and rest[to][0] <= rest[at][0] * 1.5 + 64 and held < cells:
+            held += rest[to][1]
             to += 1
         group = rest[at:to]
-        if len(group) >= 24 * group[-1][0]:
+        if len(group) >= SIDE_BY_SIDE:
             found = edit_distances([r[4] for r in group], [r[5] for r in group], np.array([r[3] for r in group]))
         else:  # long numbers in Python take less steps
             found = np.array([edit_distance(a[r[2]], b[r[2]], r[3]) for r in group])
@@ -319,15 +387,27 @@ def line_bands(hashes: np.ndarray, lengths: np.ndarray, sizes: np.ndarray, bands
     shift = _WEIGHT[np.minimum(lengths, len(_WEIGHT) - 1)]
     out = np.empty((len(sizes), bands), np.uint64)
     sketch = np.empty((len(sizes), bands * rows), np.uint8)
-    if len(sizes):
+    factors, start = seeds(bands * rows, 8 + rows), np.arange(bands, dtype=np.uint64) * np.uint64(8) + np.uint64(rows)
+    at = 0
+    while at < len(sizes):  # so few words at a time that they stay in the processor's memory
+        to = max(at + 1, int(np.searchsorted(first, first[at] + BAND_WORDS, "right")) - 1)
+        to = len(sizes) if first[-1] < first[at] + BAND_WORDS else to
+        words = slice(first[at], first[to] if to < len(sizes) else len(hashes))
+        begins, some, by = first[at:to] - first[at], hashes[words], shift[words]
+        scaled, least = np.empty(len(some), np.uint64), np.empty((bands * rows, to - at), np.uint64)
         with np.errstate(over="ignore"):
-            for k, band in enumerate(seeds(bands * rows, 8 + rows).reshape(bands, rows)):
-                key = np.full(len(sizes), k * 8 + rows, np.uint64)
-                for j, c in enumerate(band):
-                    least = mix(np.minimum.reduceat(hashes * c >> shift, first))
-                    sketch[:, k * rows + j] = least >> np.uint64(56)
-                    key = mix(key + least)
-                out[:, k] = key
+            for j, c in enumerate(factors):
+                np.multiply(some, c, out=scaled)
+                np.right_shift(scaled, by, out=scaled)
+                np.minimum.reduceat(scaled, begins, out=least[j])
+            least = mix(least)
+            sketch[at:to] = (least >> np.uint64(56)).T
+            least = least.reshape(bands, rows, -1)
+            key = np.repeat(start[:, None], to - at, axis=1)
+            for j in range(rows):
+                key = mix(key + least[:, j])
+        out[at:to] = key.T
+        at = to
     return out, sketch
 
 
@@ -344,11 +424,16 @@ def line_keys(hashes: np.ndarray, lengths: np.ndarray, sizes: np.ndarray) -> tup
     return keys, np.concatenate([np.repeat(np.arange(len(sizes)), table.shape[1]), np.repeat(np.flatnonzero(short), MORE_BANDS)])
 
 
-def sketches(lines: Texts, joined: pa.Array | None = None) -> pa.Array:
+def bands_of(lines: Texts) -> tuple[np.ndarray, np.ndarray]:
+    """Keys and bytes of the bands that all lines have."""
+    return line_bands(lines.hashes, lines.ends - lines.starts, np.diff(lines.bounds), BANDS, ROWS)
+
+
+def sketches(lines: Texts, joined: pa.Array | None = None, bands: tuple[np.ndarray, np.ndarray] | None = None) -> pa.Array:
     """For each line whether it is short, middling or LONG (2, 0, 1), and a byte for each coordinate of its bands; of lines of less than
     COUNTED words also how often ``joined`` (if given) has each of 64 kinds of character pairs and 32 of characters."""
     sizes = np.diff(lines.bounds)
-    _, table = line_bands(lines.hashes, lines.ends - lines.starts, sizes, BANDS, ROWS)
+    table = (bands or bands_of(lines))[1]
     kind = np.where(sizes >= LONG, 1, np.where(sizes >= SHORT, 0, 2)).astype(np.uint8)
     whole = np.zeros((len(sizes), 1 + BANDS * ROWS + COUNTS), np.uint8)
     whole[:, 0], whole[:, 1 : 1 + BANDS * ROWS] = kind, table
@@ -362,12 +447,12 @@ def sketches(lines: Texts, joined: pa.Array | None = None) -> pa.Array:
     return pa.BinaryArray.from_buffers(pa.binary(), len(sizes), [None, pa.py_buffer(edges.tobytes()), pa.py_buffer(data.tobytes())])
 
 
-def band_marks(lines: Texts) -> pa.Array:
+def band_marks(lines: Texts, bands: tuple[np.ndarray, np.ndarray] | None = None) -> pa.Array:
     """For each line 32 bits of each of its band keys, first those that all lines have."""
     sizes, lengths = np.diff(lines.bounds), lines.ends - lines.starts
     short = sizes < SHORT
     of = np.repeat(short, sizes)
-    every, more = line_bands(lines.hashes, lengths, sizes, BANDS, ROWS)[0], line_bands(lines.hashes[of], lengths[of], sizes[short], MORE_BANDS, MORE_ROWS)[0]
+    every, more = (bands or bands_of(lines))[0], line_bands(lines.hashes[of], lengths[of], sizes[short], MORE_BANDS, MORE_ROWS)[0]
     whole = np.zeros((len(sizes), BANDS + MORE_BANDS), "<u4")
     whole[:, :BANDS] = every & np.uint64(0xFFFFFFFF)
     whole[short, BANDS:] = more & np.uint64(0xFFFFFFFF)
@@ -533,7 +618,8 @@ def dedup_lines(docs: DataFrame, *, text: str = "text", id_col: str = "doc_id",
                 first = found.offsets.to_numpy()
                 words = read_words(normalized(found.flatten().take(pa.array(first[which] - first[0] + line))))
                 joined = join_words(words, np.ones(len(words.hashes), bool))
-                columns = [pa.array(node), pa.array(two), joined, pc.utf8_length(joined).cast(pa.int32()), sketches(words, joined), band_marks(words)]
+                bands = bands_of(words)
+                columns = [pa.array(node), pa.array(two), joined, pc.utf8_length(joined).cast(pa.int32()), sketches(words, joined, bands), band_marks(words, bands)]
                 parts.append(pa.RecordBatch.from_arrays(columns, names))
             return pa.Table.from_batches(parts).combine_chunks().to_batches()[0]
 
@@ -577,6 +663,7 @@ def dedup_lines(docs: DataFrame, *, text: str = "text", id_col: str = "doc_id",
         words = [t.column("words").to_pylist() for t in (left, right)]
         here = left.column("key")[0].as_py() & 0xFFFFFFFF
         x, y, label = [np.empty(0, np.int64)], [np.empty(0, np.int64)], np.arange(len(names))
+        found, count = [], 0
         for a in range(0, n, 64):
             i, j = np.nonzero(label[now[a : min(a + 64, n)], None] != label[now[n:]])
             i += a
@@ -584,7 +671,12 @@ def dedup_lines(docs: DataFrame, *, text: str = "text", id_col: str = "doc_id",
             i, j = i[ok], j[ok]
             same = bands[0][i] == bands[1][j]
             ok = ~same.any(axis=1) | (bands[0][i, same.argmax(axis=1)] == here)
-            i, j = i[ok], j[ok]
+            found.append((i[ok], j[ok]))
+            count += int(ok.sum())
+            if count < TOGETHER and a + 64 < n:
+                continue
+            i, j = (np.concatenate(side) for side in zip(*found, strict=True))
+            found, count = [], 0
             ok = similar_pairs([words[0][k] for k in i], [words[1][k] for k in j], threshold)
             for p, q in zip(i[ok], j[ok], strict=True):
                 if (one := label[now[p]]) != (other := label[now[n + q]]):

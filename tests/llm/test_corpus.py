@@ -16,7 +16,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from arcframe.llm import _graph
+from arcframe.llm import _graph, line_dedup
 from arcframe.llm._common import in_arrow
 from arcframe.llm._pieces import BYTE_LEVEL, WORD_LEVEL, PieceTokens, load_tokenizer, pieces_of
 from arcframe.llm._words import WORD, join_words, mix, read_words
@@ -766,6 +766,51 @@ def test_edit_distances_of_long_lines():
     assert edit_distance(x, Read(y), 400) > 400 and len(seen) < 1500
 
 
+def test_near_lines_are_settled_by_words(monkeypatch):
+    """Lines with a few words replaced, put in or left out are similar without a character being compared; unlike lines of mixed lengths are compared side by side."""
+    draw = random.Random(33)
+    near, far = [], []
+    for k in range(200):
+        a = words(k, draw.randint(20, 300))
+        b = list(a)
+        for at in draw.sample(range(len(a)), len(a) // 12):
+            b[at] = "".join(draw.choices("xyz", k=len(a[at])))
+        if k % 2:
+            b[7:7] = ["qq"]
+            del b[-3]
+        near.append((" ".join(a), " ".join(b)))
+        far.append(tuple(" ".join(words(10**6 + 2 * k + side, len(a))) for side in (0, 1)))
+    want = [similar(*pair, 0.8) for pair in near + far]
+    assert sum(want[:200]) == 200 and sum(want[200:]) < 100
+    alone = []
+    monkeypatch.setattr(line_dedup, "edit_distance", lambda *pair: alone.append(pair) or edit_distance(*pair))
+    assert similar_pairs(*map(list, zip(*near + far, strict=True)), 0.8).tolist() == want and len(alone) < 40
+    monkeypatch.setattr(line_dedup, "edit_distance", None)
+    monkeypatch.setattr(line_dedup, "edit_distances", None)
+    assert all(similar_pairs(*map(list, zip(*near, strict=True)), 0.8))
+
+
+@pytest.mark.parametrize("most", [None, 5, 60, 400])
+def test_edit_distances_of_mixed_lengths(most):
+    """Pairs of one and of many numbers of 64 bits at once, empty texts, letters that no pattern holds."""
+    draw = random.Random(44)
+    sides = [[], []]
+    for _ in range(300):
+        a = "".join(draw.choices("abcé\U0001f600 ", k=draw.choice([1, 3, 63, 64, 65, 128, 300, 900])))
+        b = list(a)
+        for _ in range(draw.choice([0, 4, 50, 350])):
+            at = draw.randrange(len(b) + 1)
+            b[at : at + draw.randint(0, 2)] = draw.choices("abcz", k=draw.randint(0, 2))
+        sides[0].append(a)
+        sides[1].append("".join(b))
+    codes = [[np.frombuffer(x.encode("utf-32-le"), np.uint32) for x in side] for side in sides]
+    want = [edit_distance(a, b) for a, b in zip(*sides, strict=True)]
+    if most is None:
+        assert edit_distances(*codes).tolist() == want
+    else:
+        assert [min(x, most + 1) for x in edit_distances(*codes, np.full(300, most)).tolist()] == [min(x, most + 1) for x in want]
+
+
 def test_anchored_distance():
     """Never below the distance, and near it for near lines."""
     draw = random.Random(21)
