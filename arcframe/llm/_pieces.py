@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import os
 import re
 from collections.abc import Callable
@@ -43,33 +44,66 @@ def load_tokenizer(path: str):
     return tokenizer
 
 
+#: Steps before the model after which words of Latin letters with blanks between are their lower case, byte by byte.
+_NORMALIZER = [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]
+_PRE_TOKENIZER = [
+    {"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}, "behavior": "Removed", "invert": True},
+    {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+]
+#: From so many words on it pays to take these steps by a table of letters.
+_BY_TABLE = 64
+
+
+def letters_table(tokenizer) -> tuple[object, dict[int, str]] | None:
+    """The model alone, for words with blanks between, and what stands for each Latin letter there; None where the steps before it aren't known."""
+    from tokenizers import Tokenizer, pre_tokenizers
+
+    states = [step and json.loads(step.__getstate__()) for step in (tokenizer.normalizer, tokenizer.pre_tokenizer)]
+    if states != [{"type": "Sequence", "normalizers": _NORMALIZER}, {"type": "Sequence", "pretokenizers": _PRE_TOKENIZER}]:
+        return None
+    alone, to_bytes = Tokenizer(tokenizer.model), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+    alone.pre_tokenizer = pre_tokenizers.CharDelimiterSplit(" ")
+    letters = re.findall(f"[{_LATIN}]", "".join(map(chr, range(0x250))))
+    return alone, {ord(x): to_bytes.pre_tokenize_str(x.lower())[0][0] for x in letters}
+
+
 class PieceTokens(dict):
     """piece -> ``keep(ids)``. Unknown pieces are encoded in batches, many to a text, with a special token between.
 
     A special token ends what stands before it for every step of an encoder, so each piece is encoded as if alone.
     Pieces that may hold a special string are encoded one by one. Where the vocabulary marks the last token of a word, words of Latin
-    letters need only a blank between, which takes less time. A full table starts anew with those of its pieces that are wanted just then.
+    letters need only a blank between, which takes less time; many at once meet the model alone, where ``letters_table`` knows how. A full
+    table starts anew with those of its pieces that were wanted again, or, if these are too many, that are wanted just then.
     """
 
     def __init__(self, tokenizer, keep: Callable[[np.ndarray], object], limit: int = 1 << 19):
         self.tokenizer, self.keep, self.limit = tokenizer, keep, limit
+        self.again: set[str] = set()  # pieces that were wanted again
         special = {t.content: i for i, t in tokenizer.get_added_tokens_decoder().items() if t.special}
         self.special = list(special)
         self.separator, self.separator_id = max(special.items(), key=lambda x: x[1])
         self.last: np.ndarray | None = None
+        self.table = None
         if suffix := getattr(tokenizer.model, "end_of_word_suffix", None):
             ids = tokenizer.get_vocab()
             self.last = np.zeros(max(ids.values()) + 1, bool)
             self.last[[i for token, i in ids.items() if token.endswith(suffix)]] = True
+            self.table = letters_table(tokenizer)
 
-    def learn(self, pieces: list[str]) -> None:
+    def learn(self, pieces: list[str] | set[str]) -> None:
         """Make sure that all given pieces are in the table; at most some 2**19 at a call."""
-        wanted = set(pieces)
+        wanted = pieces if isinstance(pieces, set) else set(pieces)
         new = wanted.difference(self)
+        known = wanted.difference(new)
         if len(self) + len(new) > self.limit:
-            held = {p: self[p] for p in wanted.difference(new)}  # the frequent ones among them
+            kept = self.again | known  # the frequent ones
+            if len(kept) + len(new) > self.limit:
+                kept = known
+            held = {p: self[p] for p in kept}
             self.clear()
             self.update(held)
+            self.again = kept if len(kept) + len(new) < 0.9 * self.limit else set()
+        self.again |= known
         lone = [p for p in new if len(p) > 4096 or "<|" in p or not p]
         many = list(new.difference(lone))
         if self.last is not None:
@@ -89,7 +123,11 @@ class PieceTokens(dict):
     def _learn_words(self, words: list[str]) -> list[str]:
         """Words of Latin letters, encoded with a blank between; gives back those of texts in which not each word has one last token."""
         back, parts = [], [words[i : i + 512] for i in range(0, len(words), 512)]
-        for part, found in zip(parts, self.tokenizer.encode_batch_fast([" ".join(x) for x in parts], add_special_tokens=False), strict=True):
+        texts, tokenizer = [" ".join(x) for x in parts], self.tokenizer
+        if self.table is not None and len(words) >= _BY_TABLE:
+            tokenizer, letters = self.table
+            texts = [x.translate(letters) for x in texts]
+        for part, found in zip(parts, tokenizer.encode_batch_fast(texts, add_special_tokens=False), strict=True):
             ids = np.array(found.ids, "<u4")
             ends = (np.flatnonzero(self.last[ids]) + 1).tolist()
             if len(ends) != len(part) or ends[-1] != len(ids):

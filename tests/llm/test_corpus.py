@@ -347,6 +347,29 @@ def test_words_are_encoded_with_blanks_between():
     assert PieceTokens(load_tokenizer(tokenizer_path(BYTE_BPE)), len).last is None
 
 
+def test_frequent_pieces_stay():
+    """A full table keeps what was wanted twice, though not just then."""
+    calls = []
+    known = PieceTokens(load_tokenizer(tokenizer_path(WORD_BPE)), lambda ids: calls.append(1) or ids.tobytes(), limit=8)
+    for k in range(12):
+        known.learn({"often", "rare" + "abcdefghijkl"[k]} if k % 3 else {"common", "usual", "odd" + "abcdefghijkl"[k]})
+    assert {"often", "common", "usual"} < set(known) and len(calls) == 3 + 12 and len(known) <= 8
+
+
+def test_many_words_meet_the_model_alone():
+    """All Latin letters, in words by the hundred, as the whole tokenizer reads them; tokenizers of other steps are left as they are."""
+    known = PieceTokens(load_tokenizer(tokenizer_path(WORD_BPE)), np.ndarray.tobytes)
+    letters = re.findall(WORD_LEVEL.pattern[: WORD_LEVEL.pattern.index("]") + 1], "".join(map(chr, range(0x250))))
+    draw = random.Random(12)
+    every = sorted({x + y for x in letters for y in draw.choices(letters, k=4)} | {"".join(draw.choices(letters, k=9)) for _ in range(3000)} | set(letters))
+    assert len(letters) > 400 and "İ" not in letters and "ı" in letters
+    want = [x.ids for x in known.tokenizer.encode_batch_fast(every, add_special_tokens=False)]
+    known.tokenizer = SimpleNamespace(encode_batch_fast=lambda texts, **k: [None for _ in texts if pytest.fail("not by the table")])
+    known.learn(every)
+    assert [np.frombuffer(known[x], "<u4").tolist() for x in every] == want
+    assert PieceTokens(load_tokenizer(tokenizer_path(BYTE_BPE)), len).table is None
+
+
 @pytest.mark.parametrize(("name", "pattern"), [(BYTE_BPE, BYTE_LEVEL), (WORD_BPE, WORD_LEVEL)])
 def test_every_letter_before_every_symbol(name, pattern):
     """All letters that end a run, before all that may follow, as the library reads them."""
