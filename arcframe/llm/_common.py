@@ -19,17 +19,17 @@ WORD_SPACE = "\x20\x09\x0a\x0b\x0c\x0d"
 _CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
-def materialize(df: DataFrame) -> DataFrame:
+def materialize(df: DataFrame, level: int = 3) -> DataFrame:
     """Write ``df`` once to the shared folder and read it back: cuts the lineage, survives lost executors.
 
-    Shuffle files of the step go as soon as it is written; its own files when the driver's JVM ends.
+    ``level``: of zstd; 1 takes a third less time for texts and an eighth more space. Shuffle files of the step go as soon as it is written; its own files when the driver's JVM ends.
     """
     spark = df.sparkSession
     at = shared_folder(spark)
     before = spark.conf.get(_CLEAN, None)
     spark.conf.set(_CLEAN, "true")
     try:
-        df.write.option("compression", "zstd").parquet(at)
+        df.write.option("compression", "zstd").option("parquet.compression.codec.zstd.level", str(level)).parquet(at)
     finally:
         spark.conf.unset(_CLEAN) if before is None else spark.conf.set(_CLEAN, before)
     return spark.read.schema(df.schema).parquet(at)

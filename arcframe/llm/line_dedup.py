@@ -6,6 +6,7 @@ import bisect
 import itertools
 from collections import Counter
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -27,8 +28,8 @@ BANDS, ROWS, SHORT, MORE_BANDS, MORE_ROWS = 16, 4, 10, 48, 3
 #: them agrees, or, if both have LONG words, the larger one.
 AGREE, LONG, LONG_AGREE = 0.3, 64, 0.45
 
-#: Words whose MinHash coordinates are made at a time, or one line's.
-BAND_WORDS = 1 << 14
+#: Words that are laid side by side at a time, or one line's, bits of their hashes that count, and products made of them at a time.
+LAID_WORDS, HASHED, PRODUCTS = 1 << 16, 40, 1 << 16
 
 #: Lines of less words than this carry counts of their characters, so many.
 COUNTED, COUNTS = 20, 96
@@ -322,42 +323,101 @@ def similar(a: str, b: str, threshold: float) -> bool:
     return abs(len(a) - len(b)) <= most and edit_distance(a, b, most) <= most
 
 
-def simhash(hashes: np.ndarray, lengths: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-    """(lines, PARTS) unsigned numbers: for each line the weighted majority of the hash bits of its different words.
+@dataclass
+class Laid:
+    """Some lines side by side. For each weight of words that they have (as a power of two): a row for each word of a line, first to last
+    with the words of that weight that are different, then with the last one again; and how many are different."""
+
+    lines: np.ndarray
+    words: dict[int, tuple[np.ndarray, np.ndarray]]
+
 
-    ``hashes`` and ``lengths`` (bytes): the words of all lines one after another; ``sizes``: words of each line, at least
-    one. Repeated words count once, or a frequent one would make unlike lines alike. Bits are counted eight to a number,
-    those of up to 31 words (of weight 8 at most) at a time.
+def side_by_side(hashes: np.ndarray, lengths: np.ndarray, sizes: np.ndarray, most: int = LAID_WORDS) -> list[Laid]:
+    """All lines, such with like many words of the largest weight together, so many words at a time or one line's.
+
+    ``hashes`` and ``lengths`` (bytes): the words of all lines one after another; ``sizes``: words of each line, at least one.
     """
-    out, most = np.empty((len(sizes), PARTS), np.uint64), 1 << 15
-    ends, at = np.cumsum(sizes), 0
+    out: list[Laid] = []
+    if not len(sizes):
+        return out
+    first = np.cumsum(sizes) - sizes
     weight = _WEIGHT[np.minimum(lengths, len(_WEIGHT) - 1)]
-    while at < len(sizes):
-        first = int(ends[at] - sizes[at])
-        to = max(at + 1, int(np.searchsorted(ends, first + most, "right")))
-        owner = np.repeat(np.arange(to - at, dtype=np.uint64), sizes[at:to])
-        words = owner << np.uint64(42) | (hashes[first : ends[to - 1]] >> np.uint64(22) & ~np.uint64(3)) | weight[first : ends[to - 1]]
+    order = np.argsort(np.add.reduceat((weight == _WEIGHT[-1]).astype(np.int64), first), kind="stable")
+    total = np.cumsum(sizes[order])
+    kept = weight << np.uint64(HASHED) | hashes >> np.uint64(64 - HASHED)
+    at = 0
+    while at < len(order):
+        to = max(at + 1, int(np.searchsorted(total, (total[at - 1] if at else 0) + most, "right")))
+        lines = order[at:to]
+        n, own = to - at, sizes[lines]
+        begins = np.cumsum(own) - own
+        words = kept[np.arange(int(own.sum())) + np.repeat(first[lines] - begins, own)] | np.repeat(np.arange(n, dtype=np.uint64) << np.uint64(HASHED + 2), own)
         words.sort()
         words = words[np.append(True, words[1:] != words[:-1])]
-        owner, words = (words >> np.uint64(42)).astype(np.int64), words & np.uint64((1 << 42) - 1)
-        each = np.uint8(1) << (words & np.uint64(3)).astype(np.uint8)
-        begins = np.searchsorted(owner, np.arange(to - at + 1))
-        counts = np.zeros((to - at, 64 * PARTS), np.int32)
-        for a in range(0, len(words), most):  # only a line that long alone takes several turns
-            here, lines = words[a : a + most], owner[a : a + most]
-            with np.errstate(over="ignore"):
-                bits = np.unpackbits(np.stack([mix(here * np.uint64(2 * k + 1) + np.uint64(k)) for k in range(1, PARTS + 1)], axis=1).view(np.uint8), axis=1)
-            bits *= each[a : a + most, None]
-            cuts = np.flatnonzero((np.arange(len(here)) - np.maximum(begins[lines] - a, 0)) % 31 == 0)
-            counted = np.add.reduceat(bits.view(np.uint64), cuts, axis=0).view(np.uint8)
-            new = np.flatnonzero(np.diff(lines[cuts], prepend=-1))
-            counts[lines[cuts[new]]] += np.add.reduceat(counted, new, axis=0, dtype=np.int32) if len(new) < len(cuts) else counted
-        whole = np.bincount(owner, each, minlength=to - at)
-        out[at:to] = np.packbits(counts * 2 > whole[:, None], axis=1).view(np.uint64)
+        counts = np.bincount((words >> np.uint64(HASHED)).astype(np.int64), minlength=4 * n)
+        begins = (np.cumsum(counts) - counts).reshape(n, 4)
+        counts = counts.reshape(n, 4)
+        words &= np.uint64((1 << HASHED) - 1)
+        held = {}
+        for k in range(4):
+            if rows := int(counts[:, k].max()):
+                place = begins[:, k] + np.minimum(np.arange(rows)[:, None], np.maximum(counts[:, k] - 1, 0))
+                held[k] = words.take(place, mode="clip"), counts[:, k]
+        out.append(Laid(lines, held))
         at = to
     return out
 
 
+def simhash(hashes: np.ndarray, lengths: np.ndarray, sizes: np.ndarray, laid: list[Laid] | None = None) -> np.ndarray:
+    """(lines, PARTS) unsigned numbers: for each line the weighted majority of the hash bits of its different words.
+
+    Arguments as for ``side_by_side``, or what it made of them. Repeated words count once, or a frequent one would make unlike lines
+    alike. The bits of 64 hashes are added at once: of three numbers the sums and the carries are two.
+    """
+    out = np.empty((len(sizes), PARTS), np.uint64)
+    for some in side_by_side(hashes, lengths, sizes) if laid is None else laid:
+        n = len(some.lines)
+        added: dict[int, list[np.ndarray]] = {}  # numbers by the weight of their bits
+        whole = np.zeros(n, np.int64)
+        for k, (words, counts) in some.words.items():
+            here = words << np.uint64(2) | np.uint64(k)
+            with np.errstate(over="ignore"):
+                bits = np.concatenate([mix(here * np.uint64(2 * j + 1) + np.uint64(j)) for j in range(1, PARTS + 1)], axis=1)
+            if (least := int(counts.min())) < len(words):
+                bits[least:] *= np.tile(np.arange(least, len(words))[:, None] < counts, PARTS)  # rows beyond a line's words count nothing
+            added[k] = [bits]
+            whole += counts << k
+        planes, k = [], 0
+        while added:
+            rows = added.pop(k, None)
+            if rows is None:
+                planes.append(np.zeros(n * PARTS, np.uint64))
+                k += 1
+                continue
+            rows = np.concatenate(rows) if len(rows) > 1 else rows[0]
+            while len(rows) > 1:
+                if len(rows) == 2:
+                    carry, rows = rows[:1] & rows[1:], rows[:1] ^ rows[1:]
+                else:
+                    m = len(rows) // 3
+                    x, y, z = rows[:m], rows[m : 2 * m], rows[2 * m : 3 * m]
+                    unlike = x ^ y
+                    carry = x & y
+                    carry |= unlike & z
+                    unlike ^= z
+                    rows = np.concatenate((unlike, rows[3 * m :])) if 3 * m < len(rows) else unlike
+                added.setdefault(k + 1, []).append(carry)
+            planes.append(rows[0])
+            k += 1
+        least = np.tile(whole // 2 + 1, PARTS)  # a bit is set if its sum is that or more
+        above = np.full(n * PARTS, ~np.uint64(0))
+        for k, plane in enumerate(planes):
+            wanted = np.where(least >> k & 1 == 1, ~np.uint64(0), np.uint64(0))
+            above = plane & ~wanted | ~(plane ^ wanted) & above
+        out[some.lines] = above.reshape(PARTS, n).T
+    return out
+
+
 def line_hashes(texts: Texts) -> tuple[np.ndarray, ...]:
     """(first word, words, text, number in the text, two hashes) of each line that has a word."""
     feeds = np.flatnonzero(texts.data == 0x0A)
@@ -376,47 +436,45 @@ def line_hashes(texts: Texts) -> tuple[np.ndarray, ...]:
     return first, sizes, owner[first], number, one, two
 
 
-def line_bands(hashes: np.ndarray, lengths: np.ndarray, sizes: np.ndarray, bands: int, rows: int) -> tuple[np.ndarray, np.ndarray]:
+def line_bands(hashes: np.ndarray, lengths: np.ndarray, sizes: np.ndarray, bands: int, rows: int, laid: list[Laid] | None = None) -> tuple[np.ndarray, np.ndarray]:
     """(lines, bands) keys, in each of which two lines agree with the ``rows``-th power of the weighted Jaccard of their words,
     and (lines, bands * rows) bytes, each of which agrees with that Jaccard (and by chance, in 1 of 256).
 
-    ``hashes`` and ``sizes`` as for ``simhash``, ``lengths``: bytes of each word. A word of four bytes or more weighs
-    eight times one of a byte, so that few bands consist of the commonest words alone.
+    Arguments as for ``side_by_side``, or what it made of them. A word of four bytes or more weighs eight times one of a byte, so that few
+    bands consist of the commonest words alone. Coordinates are the least of 32-bit numbers.
     """
-    first = np.cumsum(sizes) - sizes
-    shift = _WEIGHT[np.minimum(lengths, len(_WEIGHT) - 1)]
     out = np.empty((len(sizes), bands), np.uint64)
     sketch = np.empty((len(sizes), bands * rows), np.uint8)
-    factors, start = seeds(bands * rows, 8 + rows), np.arange(bands, dtype=np.uint64) * np.uint64(8) + np.uint64(rows)
-    at = 0
-    while at < len(sizes):  # so few words at a time that they stay in the processor's memory
-        to = max(at + 1, int(np.searchsorted(first, first[at] + BAND_WORDS, "right")) - 1)
-        to = len(sizes) if first[-1] < first[at] + BAND_WORDS else to
-        words = slice(first[at], first[to] if to < len(sizes) else len(hashes))
-        begins, some, by = first[at:to] - first[at], hashes[words], shift[words]
-        scaled, least = np.empty(len(some), np.uint64), np.empty((bands * rows, to - at), np.uint64)
+    factors, start = seeds(bands * rows, 8 + rows).astype(np.uint32), np.arange(bands, dtype=np.uint64) * np.uint64(8) + np.uint64(rows)
+    for some in side_by_side(hashes, lengths, sizes) if laid is None else laid:
+        n = len(some.lines)
+        least = np.full((bands * rows, n), ~np.uint32(0))
+        for k, (words, counts) in some.words.items():
+            values = (words >> np.uint64(HASHED - 32)).astype(np.uint32)
+            if n < 32:  # few lines of many words: a line's lie together
+                values = np.ascontiguousarray(values.T)
+            step = max(1, PRODUCTS // values.size)
+            lowest = np.concatenate([np.minimum.reduce(values * factors[j : j + step, None, None], axis=1 if n >= 32 else 2) for j in range(0, len(factors), step)])
+            lowest >>= np.uint32(k)
+            lowest[:, counts == 0] = ~np.uint32(0)
+            np.minimum(least, lowest, out=least)
         with np.errstate(over="ignore"):
-            for j, c in enumerate(factors):
-                np.multiply(some, c, out=scaled)
-                np.right_shift(scaled, by, out=scaled)
-                np.minimum.reduceat(scaled, begins, out=least[j])
-            least = mix(least)
-            sketch[at:to] = (least >> np.uint64(56)).T
-            least = least.reshape(bands, rows, -1)
-            key = np.repeat(start[:, None], to - at, axis=1)
-            for j in range(rows):
-                key = mix(key + least[:, j])
-        out[at:to] = key.T
-        at = to
+            sketch[some.lines] = (least * np.uint32(0x9E3779B1) >> np.uint32(24)).T
+            least = least.reshape(bands, rows, n)
+            key = np.repeat(start[:, None], n, axis=1)
+            for j, c in enumerate(seeds(rows, 7)):
+                key += least[:, j] * c
+            out[some.lines] = mix(key).T
     return out, sketch
 
 
 def line_keys(hashes: np.ndarray, lengths: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The keys under which lines meet others (blocks of their SimHashes, MinHash bands), and the line of each key."""
-    blocks = simhash(hashes, lengths, sizes).view(np.uint32).astype(np.uint64)  # 32 bits each
+    laid = side_by_side(hashes, lengths, sizes)
+    blocks = simhash(hashes, lengths, sizes, laid).view(np.uint32).astype(np.uint64)  # 32 bits each
     with np.errstate(over="ignore"):
         blocks = mix(blocks + (np.arange(1, blocks.shape[1] + 1, dtype=np.uint64) << np.uint64(40)))
-    table = np.concatenate([blocks, line_bands(hashes, lengths, sizes, BANDS, ROWS)[0]], axis=1)
+    table = np.concatenate([blocks, line_bands(hashes, lengths, sizes, BANDS, ROWS, laid)[0]], axis=1)
     short = sizes < SHORT
     of = np.repeat(short, sizes)
     more, _ = line_bands(hashes[of], lengths[of], sizes[short], MORE_BANDS, MORE_ROWS)
@@ -424,16 +482,11 @@ def line_keys(hashes: np.ndarray, lengths: np.ndarray, sizes: np.ndarray) -> tup
     return keys, np.concatenate([np.repeat(np.arange(len(sizes)), table.shape[1]), np.repeat(np.flatnonzero(short), MORE_BANDS)])
 
 
-def bands_of(lines: Texts) -> tuple[np.ndarray, np.ndarray]:
-    """Keys and bytes of the bands that all lines have."""
-    return line_bands(lines.hashes, lines.ends - lines.starts, np.diff(lines.bounds), BANDS, ROWS)
-
-
-def sketches(lines: Texts, joined: pa.Array | None = None, bands: tuple[np.ndarray, np.ndarray] | None = None) -> pa.Array:
+def sketches(lines: Texts, joined: pa.Array | None = None) -> pa.Array:
     """For each line whether it is short, middling or LONG (2, 0, 1), and a byte for each coordinate of its bands; of lines of less than
     COUNTED words also how often ``joined`` (if given) has each of 64 kinds of character pairs and 32 of characters."""
     sizes = np.diff(lines.bounds)
-    table = (bands or bands_of(lines))[1]
+    table = line_bands(lines.hashes, lines.ends - lines.starts, sizes, BANDS, ROWS)[1]
     kind = np.where(sizes >= LONG, 1, np.where(sizes >= SHORT, 0, 2)).astype(np.uint8)
     whole = np.zeros((len(sizes), 1 + BANDS * ROWS + COUNTS), np.uint8)
     whole[:, 0], whole[:, 1 : 1 + BANDS * ROWS] = kind, table
@@ -447,25 +500,14 @@ def sketches(lines: Texts, joined: pa.Array | None = None, bands: tuple[np.ndarr
     return pa.BinaryArray.from_buffers(pa.binary(), len(sizes), [None, pa.py_buffer(edges.tobytes()), pa.py_buffer(data.tobytes())])
 
 
-def band_marks(lines: Texts, bands: tuple[np.ndarray, np.ndarray] | None = None) -> pa.Array:
-    """For each line 32 bits of each of its band keys, first those that all lines have."""
+def band_marks(lines: Texts, none: int) -> np.ndarray:
+    """(lines, BANDS + MORE_BANDS) numbers: 32 bits of each band key of a line, first of those that all lines have; ``none`` where it has none."""
     sizes, lengths = np.diff(lines.bounds), lines.ends - lines.starts
     short = sizes < SHORT
     of = np.repeat(short, sizes)
-    every, more = (bands or bands_of(lines))[0], line_bands(lines.hashes[of], lengths[of], sizes[short], MORE_BANDS, MORE_ROWS)[0]
-    whole = np.zeros((len(sizes), BANDS + MORE_BANDS), "<u4")
-    whole[:, :BANDS] = every & np.uint64(0xFFFFFFFF)
-    whole[short, BANDS:] = more & np.uint64(0xFFFFFFFF)
-    width = np.where(short, BANDS + MORE_BANDS, BANDS)
-    edges = np.append(0, np.cumsum(4 * width)).astype(np.int32)
-    return pa.BinaryArray.from_buffers(pa.binary(), len(sizes), [None, pa.py_buffer(edges.tobytes()), pa.py_buffer(whole[np.arange(whole.shape[1]) < width[:, None]].tobytes())])
-
-
-def mark_table(column: pa.Array, none: int) -> np.ndarray:
-    """(lines, BANDS + MORE_BANDS) marks of bands, ``none`` where a line has none."""
-    out = np.full((len(column), BANDS + MORE_BANDS), none, np.int64)
-    for k, x in enumerate(column.to_pylist()):
-        out[k, : len(x) // 4] = np.frombuffer(x, "<u4")
+    out = np.full((len(sizes), BANDS + MORE_BANDS), none, np.int64)
+    out[:, :BANDS] = line_bands(lines.hashes, lengths, sizes, BANDS, ROWS)[0] & np.uint64(0xFFFFFFFF)
+    out[short, BANDS:] = line_bands(lines.hashes[of], lengths[of], sizes[short], MORE_BANDS, MORE_ROWS)[0] & np.uint64(0xFFFFFFFF)
     return out
 
 
@@ -557,7 +599,7 @@ def dedup_lines(docs: DataFrame, *, text: str = "text", id_col: str = "doc_id",
     an empty result.
     """
     row, gone_of = unused(docs, "_row", "_gone")
-    stored = materialize(docs.drop("n_lines", "n_removed").withColumn(row, F.monotonically_increasing_id()))
+    stored = materialize(docs.drop("n_lines", "n_removed").withColumn(row, F.monotonically_increasing_id()), level=1)
 
     def slices(column: pa.Array) -> Iterator[tuple[int, Texts, tuple[np.ndarray, ...]]]:
         """(first row, words, lines) of stretches of the texts, a MiB or one text each."""
@@ -609,7 +651,7 @@ def dedup_lines(docs: DataFrame, *, text: str = "text", id_col: str = "doc_id",
 
     def texts():
         def each(batch: pa.RecordBatch) -> pa.RecordBatch:
-            parts, names = [], ["node", "two", "words", "size", "sketch", "bands"]
+            parts, names = [], ["node", "two", "words", "size", "sketch"]
             column = batch.column(0).cast(pa.large_string())
             for a, b in by_bytes((pc.binary_length(column).to_numpy() + 64).tolist(), 1 << 20):
                 needs, found = batch.column(1).slice(a, b - a), pc.split_pattern(column.slice(a, b - a), "\n")
@@ -618,8 +660,7 @@ def dedup_lines(docs: DataFrame, *, text: str = "text", id_col: str = "doc_id",
                 first = found.offsets.to_numpy()
                 words = read_words(normalized(found.flatten().take(pa.array(first[which] - first[0] + line))))
                 joined = join_words(words, np.ones(len(words.hashes), bool))
-                bands = bands_of(words)
-                columns = [pa.array(node), pa.array(two), joined, pc.utf8_length(joined).cast(pa.int32()), sketches(words, joined, bands), band_marks(words, bands)]
+                columns = [pa.array(node), pa.array(two), joined, pc.utf8_length(joined).cast(pa.int32()), sketches(words, joined)]
                 parts.append(pa.RecordBatch.from_arrays(columns, names))
             return pa.Table.from_batches(parts).combine_chunks().to_batches()[0]
 
@@ -633,7 +674,7 @@ def dedup_lines(docs: DataFrame, *, text: str = "text", id_col: str = "doc_id",
         return each
 
     lines = map_arrow(stored.select(row, F.col(id_col).alias("id"), F.col(text).alias("t")), split, f"row long, id {docs.schema[id_col].dataType.simpleString()}, line int, one long, two long")
-    lines = materialize(lines)
+    lines = materialize(lines, level=1)
     probe = keyed(stored.where(F.pmod(F.xxhash64(row), F.lit(PROBE)) == 0), lambda key, node: pa.RecordBatch.from_arrays([pa.array(key)], ["key"]), "key long")
     shared = shared_buckets(deal, probe, 1 / PROBE)
     known: list[DataFrame] = []
@@ -645,7 +686,7 @@ def dedup_lines(docs: DataFrame, *, text: str = "text", id_col: str = "doc_id",
         at = lines.select("one", "two", "row", "line").join(needed, "one", "left_semi").groupBy("one").agg(F.min(F.struct("two", "row", "line")).alias("x"))
         at = at.groupBy(F.col("x.row").alias(row)).agg(F.collect_list(F.struct(F.col("one").alias("node"), "x.two", "x.line")).alias("needs"))  # lines of one document
         wanted = stored.select(row, F.col(text).alias("t")).join(at.hint("merge"), row).select("t", "needs")
-        known.append(materialize(map_arrow(wanted, texts, "node long, two long, words string, size int, sketch binary, bands binary")))
+        known.append(materialize(map_arrow(wanted, texts, "node long, two long, words string, size int, sketch binary"), level=1))
         return known[0]
 
     def verify(pairs: DataFrame) -> DataFrame:
@@ -659,7 +700,7 @@ def dedup_lines(docs: DataFrame, *, text: str = "text", id_col: str = "doc_id",
         the first, and none that the links found here connect already."""
         test, n, m = line_sieve(pa.concat_tables([left, right]), threshold), left.num_rows, right.num_rows
         names, now = np.unique(np.concatenate([t.column("comp").to_numpy() for t in (left, right)]), return_inverse=True)
-        bands = [mark_table(t.column("bands").combine_chunks(), -k) for k, t in enumerate((left, right), 1)]
+        bands = [band_marks(read_words(t.column("words")), -k) for k, t in enumerate((left, right), 1)]  # few rows come here
         words = [t.column("words").to_pylist() for t in (left, right)]
         here = left.column("key")[0].as_py() & 0xFFFFFFFF
         x, y, label = [np.empty(0, np.int64)], [np.empty(0, np.int64)], np.arange(len(names))

@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import random
 import re
+import time
 import tracemalloc
 import zlib
 from collections import Counter, defaultdict
@@ -892,6 +893,35 @@ def test_simhash():
     assert bin(int(got[-1][0] ^ got[-2][0])).count("1") > 16
 
 
+def test_line_keys_take_less_time_than_bits_one_by_one():
+    draw = np.random.default_rng(11)
+    sizes = draw.integers(20, 90, 4000)
+    vocabulary = mix(np.arange(1, 30001, dtype=np.uint64))
+    hashes, lengths = draw.choice(vocabulary, int(sizes.sum())), draw.integers(1, 9, int(sizes.sum()))
+
+    def bits():  # the sums that a SimHash needs, a byte for each bit of a word
+        table = np.unpackbits(np.stack([mix(hashes * np.uint64(k)) for k in (3, 5)], axis=1).view(np.uint8), axis=1)
+        table *= np.uint8(1) << np.minimum(lengths, 4).astype(np.uint8)[:, None] - np.uint8(1)
+        return np.add.reduceat(table.view(np.uint64), np.cumsum(sizes) - sizes, axis=0)
+
+    def least(run):
+        took = []
+        for _ in range(5):
+            began = time.process_time()
+            run()
+            took.append(time.process_time() - began)
+        return min(took)
+
+    with np.errstate(over="ignore"):
+        assert least(lambda: simhash(hashes, lengths, sizes)) < least(bits)
+    laid = [line_dedup.side_by_side(hashes, lengths, sizes, most) for most in (1, 500, 1 << 16)]
+    assert all(sorted(np.concatenate([x.lines for x in some]).tolist()) == list(range(4000)) for some in laid)
+    want = simhash(hashes, lengths, sizes), *line_bands(hashes, lengths, sizes, 16, 4)
+    for some in laid:
+        got = simhash(hashes, lengths, sizes, some), *line_bands(hashes, lengths, sizes, 16, 4, some)
+        assert all((x == y).all() for x, y in zip(got, want, strict=True))
+
+
 def test_words():
     texts = [r[1] for r in corpus()] + ["a b", "b\ta ", "\u00a0x\u2003y", "y" * 5000 + " é"]
     found = read_words(pa.array(texts))
