@@ -191,9 +191,9 @@ def filtered_listing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def duplicate_contents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Entries of equal content across archives: an inventory joined with itself by checksum and size, as a rollup."""
-    table = op.entries(op.pack(_documents(spark, sf_dir)))
-    return table.groupBy("crc32", "uncompressed_size").agg(F.count("*").alias("n")).where("n > 1").groupBy("n").agg(F.count("*").alias("groups"))
+    """Entries of equal content across archives, as a rollup; checksum and size can agree where contents differ."""
+    read = op.read_entries(op.pack(_documents(spark, sf_dir))).where("error_code is null")
+    return read.groupBy(F.sha2("data", 256)).agg(F.count("*").alias("n")).where("n > 1").groupBy("n").agg(F.count("*").alias("groups"))
 
 
 def _orders(spark: SparkSession, sf_dir: str) -> DataFrame:

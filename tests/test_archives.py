@@ -241,3 +241,12 @@ def test_archives_that_do_not_open(hostile):
         assert [(r[column], r.name) for r in found.where("archive_id = 'junk'").collect()] == [("ZIP_EOCD_NOT_FOUND", None)]
     kept = {r.archive_id for r in op.canonicalize(hostile.where("archive_id <> 'twice'")).collect()}
     assert kept == {"good", "corrupt", "locked", "method"}
+
+
+def test_equal_contents_not_equal_checksums(spark, tmp_path):
+    """Two texts of one length and CRC-32 are no duplicates."""
+    from arcframe.queries import duplicate_contents
+
+    rows = [(1, "plumless"), (2, "buckeroo"), (3, "same"), (4, "same"), (5, None), (6, "")]
+    spark.createDataFrame([(k, t, "en", "web") for k, t in rows], "doc_id long, text string, lang string, source string").write.parquet(str(tmp_path / "documents.parquet"))
+    assert [tuple(r) for r in duplicate_contents(spark, str(tmp_path)).collect()] == [(2, 2)]
