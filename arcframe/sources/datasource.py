@@ -12,21 +12,42 @@ from pyspark.sql.types import StructType
 from ..kernel.codecs import codec_table
 from ..kernel.reader import Archive
 from ..vocabulary import ZipFault, resolve_limits
-from .ranges import list_files, open_range
+from .ranges import open_range, sized_files
 
 ENTRY = "archive_id string, ordinal int, name string, compression_method int, compressed_size long, uncompressed_size long, crc32 long, local_header_offset long, flags int, data binary, error_code string"
 
 
-class _File(InputPartition):
-    def __init__(self, path: str):
-        self.path = path
+#: A partition is a run of files: a 64th of them, but at most so many and about so many bytes.
+SHARE, MOST_FILES, MOST_BYTES = 64, 512, 64 << 20
+
+
+class _Files(InputPartition):
+    def __init__(self, paths: list[str]):
+        self.paths = paths
+
+
+def runs(files: list[tuple[str, int]]) -> list[_Files]:
+    """(path, size) files, in order, as partitions of bounded number and size; a large file is one of its own."""
+    most = min(MOST_FILES, -(-len(files) // SHARE))
+    out, held, size = [], [], 0
+    for path, n in files:
+        if held and (len(held) >= most or size + n > MOST_BYTES):
+            out.append(_Files(held))
+            held, size = [], 0
+        held.append(path)
+        size += n
+    return [*out, _Files(held)]
 
 
 class ArchiveReader(DataSourceReader):
-    def __init__(self, paths: list[str], with_data: bool, schema: StructType):
-        self.paths, self.with_data, self.arrow, self.codecs = paths, with_data, to_arrow_schema(schema), codec_table()
+    def __init__(self, files: list[tuple[str, int]], with_data: bool, schema: StructType):
+        self.files, self.with_data, self.arrow, self.codecs = files, with_data, to_arrow_schema(schema), codec_table()
         self.names: list[tuple[str, object]] = []
 
+    def __getstate__(self) -> dict:
+        """What travels with every task: not the list of all files."""
+        return {**vars(self), "files": []}
+
     def pushFilters(self, filters: list[Filter]) -> Iterator[Filter]:
         """Names and archives by equality, list and prefix; all filters are still applied above."""
         for f in filters:
@@ -40,14 +61,13 @@ class ArchiveReader(DataSourceReader):
         tests = [(k.split(":")[1], v) for k, v in self.names if k.startswith(kind + ":")]
         return all(value in v if how == "in" else value.startswith(v[0]) for how, v in tests)
 
-    def partitions(self) -> list[_File]:
-        return [_File(p) for p in self.paths if self._wanted("archive_id", p)] or [_File("")]
+    def partitions(self) -> list[_Files]:
+        return runs([f for f in self.files if self._wanted("archive_id", f[0])])
 
-    def read(self, partition: _File):
+    def read(self, partition: _Files):
         from ..operators._run import batches
 
-        if partition.path:
-            yield from batches(self._rows(partition.path), self.arrow)
+        yield from batches((row for path in partition.paths for row in self._rows(path)), self.arrow)
 
     def _rows(self, path: str) -> Iterator[dict]:
         columns = [f.name for f in self.arrow]
@@ -89,8 +109,8 @@ class ArchiveSource(DataSource):
         return ENTRY
 
     def reader(self, schema: StructType) -> ArchiveReader:
-        paths = [f for p in self.options.get("path", "").split(",") if p for f in list_files(p, self.options.get("pattern", "*.zip"))]
-        return ArchiveReader(paths, self.options.get("data", "false").lower() == "true", schema)
+        files = [f for p in self.options.get("path", "").split(",") if p for f in sized_files(p, self.options.get("pattern", "*.zip"))]
+        return ArchiveReader(files, self.options.get("data", "false").lower() == "true", schema)
 
 
 def register(spark: SparkSession) -> None:

@@ -12,9 +12,9 @@ def file_system(path: str) -> tuple[object, str]:
     return fs.FileSystem.from_uri(path) if "://" in path else (fs.LocalFileSystem(), path)
 
 
-def list_files(path: str, pattern: str = "*.zip") -> list[str]:
+def sized_files(path: str, pattern: str = "*.zip") -> list[tuple[str, int]]:
     """The path itself if it is a file; all files below it whose names match the pattern if it is a folder; a last part with
-    wildcards is the pattern. Sorted."""
+    wildcards is the pattern. (path, size), sorted."""
     import fnmatch
 
     from pyarrow import fs
@@ -23,11 +23,12 @@ def list_files(path: str, pattern: str = "*.zip") -> list[str]:
     if any(c in last for c in "*?["):
         path, pattern = folder, last
     system, at = file_system(path)
-    if system.get_file_info(at).type != fs.FileType.Directory:
-        return [path]
+    info = system.get_file_info(at)
+    if info.type != fs.FileType.Directory:
+        return [(path, info.size or 0)]
     found = system.get_file_info(fs.FileSelector(at, recursive=True))
     base = at.rstrip("/")
-    return sorted(path.rstrip("/") + f.path[len(base) :] for f in found if f.type == fs.FileType.File and fnmatch.fnmatchcase(f.base_name, pattern))
+    return sorted((path.rstrip("/") + f.path[len(base) :], f.size or 0) for f in found if f.type == fs.FileType.File and fnmatch.fnmatchcase(f.base_name, pattern))
 
 
 class FileRange:

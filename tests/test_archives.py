@@ -250,3 +250,18 @@ def test_equal_contents_not_equal_checksums(spark, tmp_path):
     rows = [(1, "plumless"), (2, "buckeroo"), (3, "same"), (4, "same"), (5, None), (6, "")]
     spark.createDataFrame([(k, t, "en", "web") for k, t in rows], "doc_id long, text string, lang string, source string").write.parquet(str(tmp_path / "documents.parquet"))
     assert [tuple(r) for r in duplicate_contents(spark, str(tmp_path)).collect()] == [(2, 2)]
+
+
+def test_tasks_do_not_carry_all_files(spark):
+    """Files come in runs of bounded number and size, and what goes to a task doesn't grow with their number."""
+    from pyspark.cloudpickle import dumps
+
+    from arcframe.sources.datasource import ENTRY, MOST_BYTES, ArchiveReader, runs
+    from pyspark.sql.types import StructType
+
+    schema = StructType.fromDDL(ENTRY)
+    few, many = ([(f"/a/{k}.zip", 10) for k in range(n)] for n in (10, 20_000))
+    assert len(dumps(ArchiveReader(few, False, schema))) == len(dumps(ArchiveReader(many, False, schema)))
+    found = ArchiveReader(many, False, schema).partitions()
+    assert len(found) <= 64 and [p for x in found for p in x.paths] == [p for p, _ in many]
+    assert [len(x.paths) for x in runs([("big", MOST_BYTES), ("a", 1), ("b", 1)])] == [1, 1, 1] and [x.paths for x in runs([])] == [[]]
