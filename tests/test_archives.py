@@ -265,3 +265,17 @@ def test_tasks_do_not_carry_all_files(spark):
     found = ArchiveReader(many, False, schema).partitions()
     assert len(found) <= 64 and [p for x in found for p in x.paths] == [p for p, _ in many]
     assert [len(x.paths) for x in runs([("big", MOST_BYTES), ("a", 1), ("b", 1)])] == [1, 1, 1] and [x.paths for x in runs([])] == [[]]
+
+
+def test_long_names_and_comments_are_not_sorted(spark):
+    """Names count as repeated by a short key, and a comment's length is known before: neither is shuffled."""
+    from arcframe.plans.archive import validated
+
+    rows = spark.createDataFrame([(1, "n" * 70), (2, "n" * 70), (3, "n" * 71), (4, "m" * 70), (5, "a"), (6, "a"), (7, "b")], "seq long, name string").selectExpr("'x' archive_id", "seq", "name", "cast(name as binary) data", "cast(repeat('c', 70000) as binary) comment")
+    found = validated(rows).select("seq", "error_code")
+    assert {r.seq: r.error_code for r in found.collect()} == {k: "ZIP_LIMIT_EXCEEDED" if k in (3, 4, 7) else "ZIP_DUPLICATE_ENTRY_NAME" for k in range(1, 8)}
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    window = next(x for x in plan.splitlines() if "Window" in x)
+    assert "_key" in window and "raw_name" not in window
+    below = plan.splitlines()[plan.splitlines().index(window) + 1]
+    assert not any(f"{c}#" in below.split("[")[1].split(" AS ")[0] for c in ("comment", "raw_name"))
