@@ -27,19 +27,20 @@ def extraction_plan(table: DataFrame, *, where: Column | None = None, reject_sym
     link = is_symlink() if reject_symlinks else F.lit(False)
     if on_unsafe == "skip":
         rows = rows.where(F.col("path").isNotNull() | link)
+    parts = int(table.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # as given, not joined to larger ones: rows are short, a task sorts them twice
+    rows = rows.withColumn("_link", link).repartition(parts, "archive_id")
     running = Window.partitionBy("archive_id").orderBy("ordinal").rowsBetween(Window.unboundedPreceding, 0)
-    same = Window.partitionBy("archive_id", "path")
-    rows = rows.withColumns({
-        "_total": F.sum("uncompressed_size").over(running), "_nth": F.row_number().over(same.orderBy("ordinal")),
-        "_last": F.row_number().over(same.orderBy(F.desc("ordinal"))), "position": F.min("ordinal").over(same),
-    })
-    error = F.when(link, "ZIP_SYMLINK_REJECTED").when(F.col("path").isNull(), "ZIP_PATH_TRAVERSAL").when(F.col("_total") > F.lit(float(bound)), "ZIP_LIMIT_EXCEEDED")
+    same = Window.partitionBy("archive_id", "path").orderBy("ordinal")
+    # two sorts: by ordinal, and by path and ordinal, which serves all that regards repeats and the whole archive
+    rows = rows.withColumn("_total", F.sum("uncompressed_size").over(running))
+    rows = rows.withColumns({"_nth": F.row_number().over(same), "_last": F.lead(F.lit(1)).over(same).isNull(), "position": F.min("ordinal").over(same.rowsBetween(Window.unboundedPreceding, 0))})
+    error = F.when(F.col("_link"), "ZIP_SYMLINK_REJECTED").when(F.col("path").isNull(), "ZIP_PATH_TRAVERSAL").when(F.col("_total") > F.lit(float(bound)), "ZIP_LIMIT_EXCEEDED")
     if on_duplicate == "error":
         error = error.when(F.col("_nth") > 1, "ZIP_EXTRACT_DUPLICATE_PATH")
     rows = rows.withColumn("error_code", error)
     whole = Window.partitionBy("archive_id")
     rows = rows.withColumn("_stop", F.min(F.when(F.col("error_code").isNotNull(), F.col("ordinal"))).over(whole))
-    kept = F.col("_last") == 1 if on_duplicate == "last" else F.col("_nth") == 1
+    kept = F.col("_last") if on_duplicate == "last" else F.col("_nth") == 1
     return rows.where(F.col("_stop").isNull() & kept | (F.col("ordinal") == F.col("_stop"))).select("archive_id", "ordinal", "path", "position", "error_code")
 
 

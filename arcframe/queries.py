@@ -155,9 +155,10 @@ def writer_names(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """An entry table in which names repeat, as a raw builder could make it."""
-    order = ("l_orderkey", "l_linenumber", "l_partkey", "l_quantity", "l_extendedprice")
+    order = ["l_orderkey", "l_linenumber", "l_partkey", "l_quantity", "l_extendedprice"]
     ordinal = F.row_number().over(Window.partitionBy("l_suppkey").orderBy(*order)).cast("long")
-    return _table(spark, sf_dir, "lineitem").select(
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    return _table(spark, sf_dir, "lineitem").select("l_suppkey", *order).repartition(parts, "l_suppkey").select(
         F.concat(F.lit("s"), F.col("l_suppkey")).alias("archive_id"), ordinal.alias("ordinal"), (F.col("l_partkey") % 50).cast("string").alias("name"), F.col("l_quantity").cast("long").alias("uncompressed_size"),
         F.lit(False).alias("is_directory"), F.lit(0).cast("long").alias("external_attributes"),
     )

@@ -279,3 +279,14 @@ def test_long_names_and_comments_are_not_sorted(spark):
     assert "_key" in window and "raw_name" not in window
     below = plan.splitlines()[plan.splitlines().index(window) + 1]
     assert not any(f"{c}#" in below.split("[")[1].split(" AS ")[0] for c in ("comment", "raw_name"))
+
+
+def _plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_extraction_sorts_twice(spark):
+    for how in ("error", "first", "last"):
+        rows = spark.createDataFrame([("x", 1, "n", 1, False, 0)], "archive_id string, ordinal long, name string, uncompressed_size long, is_directory boolean, external_attributes long")
+        plan = _plan(op.extraction_plan(rows, on_duplicate=how))
+        assert plan.count("Sort [") == 2 and plan.count("hashpartitioning(archive_id") == 1 and "REPARTITION_BY_NUM" in plan
