@@ -14,6 +14,7 @@ from pyspark.sql.window import Window
 from . import operators as op
 from .functions import dos_to_timestamp, external_attributes, glob, is_symlink, name_error, sanitize_path, timestamp_to_dos, unix_mode
 from .operators.write import assemble, packed_specs
+from .session import stored
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -240,7 +241,7 @@ def determinism_report(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def canonicalize_idempotent(spark: SparkSession, sf_dir: str) -> DataFrame:
     orders = _orders(spark, sf_dir).select("archive_id", "name", F.encode("o_orderpriority", "UTF-8").alias("data"), F.col("o_orderdate").cast("timestamp_ntz").alias("date"), (-F.col("o_orderkey")).alias("seq"))
-    once = op.canonicalize(op.pack(orders, canonical=False))
+    once = stored(op.canonicalize(op.pack(orders, canonical=False)))
     twice = op.canonicalize(once).withColumnRenamed("content", "again")
     verdict = op.determinism(op.entries(once)).select("archive_id", "deterministic")
     return once.join(twice, "archive_id").join(verdict, "archive_id").select("archive_id", (F.col("content") == F.col("again")).alias("same"), "deterministic")

@@ -5,7 +5,7 @@ from __future__ import annotations
 import os
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def reach_workers(spark: SparkSession) -> SparkSession:
@@ -32,3 +32,10 @@ def shared_folder(spark: SparkSession) -> str:
     path = spark._jvm.org.apache.hadoop.fs.Path(folder)
     path.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(path)
     return folder
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """``df`` written once to a shared folder and read from there: what several branches use isn't made in each."""
+    at = shared_folder(df.sparkSession)
+    df.write.parquet(at)
+    return df.sparkSession.read.schema(df.schema).parquet(at)

@@ -290,3 +290,9 @@ def test_extraction_sorts_twice(spark):
         rows = spark.createDataFrame([("x", 1, "n", 1, False, 0)], "archive_id string, ordinal long, name string, uncompressed_size long, is_directory boolean, external_attributes long")
         plan = _plan(op.extraction_plan(rows, on_duplicate=how))
         assert plan.count("Sort [") == 2 and plan.count("hashpartitioning(archive_id") == 1 and "REPARTITION_BY_NUM" in plan
+
+
+def test_canonical_archives_are_made_once(spark):
+    from arcframe.queries import canonicalize_idempotent
+
+    assert _plan(canonicalize_idempotent(spark, "/root/testdata/sf0.001")).count("FlatMapGroupsInArrow") == 1
