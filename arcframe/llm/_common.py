@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-import ctypes
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..session import shared_folder
+from ..session import in_arrow, shared_folder
 
 #: White space that separates words, as a Java/RE2/Python character class and as characters.
 WORD_PATTERN = r"[^\x20\x09-\x0D]+"
@@ -68,24 +67,6 @@ def by_bytes(sizes: list[int], most: int) -> Iterator[tuple[int, int]]:
         yield start, len(sizes)
 
 
-def give_back() -> None:
-    """Memory that a task has freed goes back to the system: Python workers stay for the next task."""
-    pa.default_memory_pool().release_unused()
-    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of the GNU library
-    if trim is not None:
-        trim(0)
-
-
-def in_arrow(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
-    """mapInArrow whose tasks give their memory back when they end."""
-
-    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        yield from run(batches)
-        give_back()
-
-    return df.mapInArrow(whole, schema)
-
-
 def map_arrow(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], pa.RecordBatch | None]], schema: str) -> DataFrame:
     """mapInArrow with per-task state: ``make()`` runs once in each task and returns the function of a batch."""
 

@@ -11,17 +11,18 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
 from ..kernel.reader import Bytes
+from ..session import in_arrow
 from ..sources.ranges import open_range
 
 #: Rows and payload bytes after which an output batch is handed on.
 BATCH_ROWS, BATCH_BYTES = 4096, 16 << 20
 
 
-def batches(rows: Iterator[dict], schema: pa.Schema) -> Iterator[pa.RecordBatch]:
+def batches(rows: Iterator[dict], schema: pa.Schema, payload: str = "data") -> Iterator[pa.RecordBatch]:
     held, size = [], 0
     for row in rows:
         held.append(row)
-        size += len(row.get("data") or b"")
+        size += len(row.get(payload) or b"")
         if len(held) >= BATCH_ROWS or size >= BATCH_BYTES:
             yield from pa.Table.from_pylist(held, schema).to_batches()
             held, size = [], 0
@@ -53,4 +54,4 @@ def per_archive(archives: DataFrame, kernel: Callable[[object, dict], Iterator[d
 
         yield from batches(rows(), arrow)
 
-    return archives.select("archive_id", held, *[F.col(c) for c in carry]).mapInArrow(run, full)
+    return in_arrow(archives.select("archive_id", held, *[F.col(c) for c in carry]), run, full)

@@ -7,12 +7,16 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 from ..functions import timestamp_to_dos
 from ..kernel import writer
 from ..kernel.codecs import codec_table
 from ..kernel.reader import Archive, Bytes
 from ..vocabulary import ENCRYPTED, EPOCH_DATE, EPOCH_TIME, MADE_BY, STRONG, UTF8, ZipFault, resolve_limits
+from ..session import in_arrow
+from ._run import batches
 from .content import raw_payloads
 from .write import pack_raw
 
@@ -66,7 +70,8 @@ def modify(archives: DataFrame, edits: DataFrame, *, compact: bool = False, limi
     struct = F.struct("seq", "op", "name", "new_name", "data")
     grouped = edits.groupBy("archive_id").agg(F.sort_array(F.collect_list(struct)).alias("edits"))  # the edits of one archive
     rows = archives.select("archive_id", "content").join(grouped, "archive_id", "left")
-    key = archives.schema["archive_id"].dataType.simpleString()
+    full = StructType().add("archive_id", archives.schema["archive_id"].dataType).add("content", "binary").add("dead_ratio", "double").add("error_code", "string")
+    arrow = to_arrow_schema(full)
 
     def change(content: bytes, changes: list[dict]) -> tuple[bytes, float]:
         archive = Archive(Bytes(content), bounds, codecs=codecs)
@@ -103,8 +108,10 @@ def modify(archives: DataFrame, edits: DataFrame, *, compact: bool = False, limi
         return out, max(0.0, 1 - (live + len(tail) + len(end)) / len(out))
 
     def run(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from batches(changed(stream), arrow, "content")
+
+    def changed(stream: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         for batch in stream:
-            out = []
             for r in (batch.slice(k, 1).to_pylist()[0] for k in range(batch.num_rows)):
                 content, ratio, code = r["content"], 0.0, None
                 if r["edits"]:
@@ -112,10 +119,9 @@ def modify(archives: DataFrame, edits: DataFrame, *, compact: bool = False, limi
                         content, ratio = change(bytes(content), r["edits"])
                     except ZipFault as fault:
                         content, ratio, code = None, None, fault.code
-                out.append({"archive_id": r["archive_id"], "content": content, "dead_ratio": ratio, "error_code": code})
-            yield from pa.Table.from_pylist(out, pa.schema([batch.schema.field("archive_id"), pa.field("content", pa.binary()), pa.field("dead_ratio", pa.float64()), pa.field("error_code", pa.string())])).to_batches()
+                yield {"archive_id": r["archive_id"], "content": content, "dead_ratio": ratio, "error_code": code}
 
-    return rows.mapInArrow(run, f"archive_id {key}, content binary, dead_ratio double, error_code string")
+    return in_arrow(rows, run, full)
 
 
 def _kept_spec(archive: Archive, e: dict, new_name: str | None) -> dict:

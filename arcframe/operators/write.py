@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from ..kernel import writer
 from ..kernel.codecs import codec_table
 from ..plans.archive import planned, validated
+from ..session import in_arrow
 from ..vocabulary import ENCRYPTED, MADE_BY, STRONG
 from .content import raw_payloads
 
@@ -38,7 +39,7 @@ def _map(df: DataFrame, new: str, kernel, uses: list[str], drop: tuple[str, ...]
                 columns = [fresh.column(f.name).combine_chunks() if f.name in added.names else part.column(at[f.name]).cast(f.type) for f in arrow]
                 yield pa.RecordBatch.from_arrays(columns, schema=arrow)
 
-    return df.mapInArrow(run, full)
+    return in_arrow(df, run, full)
 
 
 def stop_at_errors(rows: DataFrame) -> DataFrame:
@@ -183,7 +184,7 @@ def write_archives(parts: DataFrame, folder: str, *, chunk: int = 1 << 20) -> Da
         yield from pa.Table.from_pylist(done, arrow).to_batches()
 
     arrow = to_arrow_schema(StructType.fromDDL(out))
-    return rows.mapInArrow(run, out)
+    return in_arrow(rows, run, out)
 
 
 def pack_raw(rows: DataFrame, *, canonical: bool = True, comments: DataFrame | None = None, limits: dict | None = None) -> DataFrame:

@@ -19,7 +19,7 @@ from .functions import encryption_scheme, extended_timestamps, ratio
 from .kernel.codecs import register_codec
 from .kernel.crafted import deflate, raw_zip
 from .operators.write import packed_specs
-from .session import shared_folder
+from .session import in_arrow, shared_folder
 from .sources import read_archives, register
 
 
@@ -36,7 +36,7 @@ def crafted(rows: DataFrame, make: Callable[[dict], bytes]) -> DataFrame:
                 part = batch.slice(at, 256).to_pylist()
                 yield pa.RecordBatch.from_arrays([pa.array([r["archive_id"] for r in part], pa.string()), pa.array([make(r) for r in part], pa.binary())], ["archive_id", "content"])
 
-    return rows.mapInArrow(run, "archive_id string, content binary")
+    return in_arrow(rows, run, "archive_id string, content binary")
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:

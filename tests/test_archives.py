@@ -296,3 +296,13 @@ def test_canonical_archives_are_made_once(spark):
     from arcframe.queries import canonicalize_idempotent
 
     assert _plan(canonicalize_idempotent(spark, "/root/testdata/sf0.001")).count("FlatMapGroupsInArrow") == 1
+
+
+def test_batches_are_bounded_by_their_payload():
+    """Modified archives leave a task by bounded batches."""
+    import pyarrow as pa
+
+    from arcframe.operators._run import batches
+
+    rows = ({"content": bytes(9 << 20)} for _ in range(5))
+    assert [b.num_rows for b in batches(rows, pa.schema([("content", pa.binary())]), "content")] == [2, 2, 1]
